@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, dac, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,20 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return packing.pack(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return dac.write_and_read(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe}
+    return {"op2_byte_bpe": op2_byte_bpe, "op7_packing": op7_packing, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,7 +20,7 @@ import gc
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import pyarrow as pa
 import regex
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_rows, schema_of
 
 #: Chunks and pre-tokens that a worker keeps before it starts that memo afresh.
-CHUNK_ENTRIES, PIECE_ENTRIES = 300_000, 700_000
+CHUNK_ENTRIES, PIECE_ENTRIES = 800_000, 1_200_000
 
 
 class PerfectHash:
@@ -114,25 +114,36 @@ class ByteBPE:
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Lowest rank first, leftmost among equals, over linked bytes."""
-        pairs, ids, n = self.pairs.get, [self.byte_ids[b] for b in raw], len(raw)
+        pairs, ids, n = self.pairs.get, list(map(self.byte_ids.__getitem__, raw)), len(raw)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | k for k in range(n - 1) if (r := pairs(ids[k] << 20 | ids[k + 1])) is not None]
+        due = [pairs(a << 20 | b) for a, b in pairwise(ids)]  # the rank that the pair at k has now
+        due.append(None)
+        heap = [r << 32 | k for k, r in enumerate(due) if r is not None]
         heapify(heap)
         while heap:
             top = heappop(heap)
             k, rank = top & 0xFFFFFFFF, top >> 32
-            j = after[k]
-            if ids[k] < 0 or j >= n or pairs(ids[k] << 20 | ids[j]) != rank:
+            if due[k] != rank:
                 continue
-            ids[k], ids[j] = rank, -1
-            after[k] = j = after[j]
+            ids[k], gone = rank, after[k]
+            due[gone] = None
+            after[k] = j = after[gone]
             if j < n:
                 before[j] = k
-                if (r := pairs(rank << 20 | ids[j])) is not None:
+                due[k] = r = pairs(rank << 20 | ids[j])
+                if r is not None:
                     heappush(heap, r << 32 | k)
-            if (i := before[k]) >= 0 and (r := pairs(ids[i] << 20 | rank)) is not None:
-                heappush(heap, r << 32 | i)
-        return tuple([i for i in ids if i >= 0])
+            else:
+                due[k] = None
+            if (i := before[k]) >= 0:
+                due[i] = r = pairs(ids[i] << 20 | rank)
+                if r is not None:
+                    heappush(heap, r << 32 | i)
+        out, k = [], 0
+        while k < n:
+            out.append(ids[k])
+            k = after[k]
+        return tuple(out)
 
     def chunk(self, text: str) -> tuple[int, ...]:
         pieces, out = self.pieces, []
@@ -142,7 +153,7 @@ class ByteBPE:
             if (got := pieces.get(p)) is None:
                 pieces[p] = got = self.piece(p)
             out.append(got)
-        return tuple(chain.from_iterable(out))
+        return out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
 
     def encode(self, text: str) -> list[int]:
         if not text:

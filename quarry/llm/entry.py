@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, packing, warc
+from . import bpe, dac, html_cut, packing, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,12 +30,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.write_and_read(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op10_warc": op10_warc}
+    return {"op2_byte_bpe": op2_byte_bpe, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op9_html": op9_html, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:

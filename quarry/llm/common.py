@@ -75,5 +75,10 @@ def arrow_rows(batch: pa.RecordBatch, keys: list[str], columns: dict[str, tuple[
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; it reads no further than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most so many rows; each task counts its own."""
+    return df.count() <= rows
+
+
+def with_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", most: int = 2_000_000) -> DataFrame:
+    """A join with a table of distinct keys, which is broadcast if it has at most `most` rows and shuffled beyond."""
+    return df.join(F.broadcast(ids) if small_enough(ids, most) else ids, key, how)

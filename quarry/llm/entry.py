@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, html_cut, jaccard, packing, warc
+from . import bpe, dac, html_cut, jaccard, packing, quality, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "llr"]
+    return quality.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted).select(*columns)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -43,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op9_html": op9_html, "op10_warc": op10_warc}
+    return {"op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op9_html": op9_html, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, html_cut, jaccard, packing, quality, vafile, warc
+from . import bpe, dac, fm, html_cut, jaccard, packing, quality, vafile, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return fm.classify(documents, documents, table(spark, sf_dir, "labels"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -53,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op4_top_k": op4_top_k, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op9_html": op9_html, "op10_warc": op10_warc}
+    return {"op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op3_quality_classifier": op3_quality_classifier, "op4_top_k": op4_top_k, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op9_html": op9_html, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -67,19 +67,26 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix((total[stop] - total[start]) * down[start]), np.searchsorted(start, ends)
 
 
-def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a text of fewer words than width is one shingle."""
+def text_blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes of consecutive texts, and where each ends among them; nulls are empty."""
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
-    at, step = 0, np.uint64(_STEP)
+    at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
-        to = min(to, len(column))
-        ends = offsets[at + 1 : to + 1] - offsets[at]
-        words, until = word_hashes(data[offsets[at] : offsets[to]], ends)
+        to = int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1
+        to = min(max(at + 1, to), len(column))
+        yield data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]
+        at = to
+
+
+def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text of fewer words than width is one shingle."""
+    step = np.uint64(_STEP)
+    for data, ends in text_blocks(column):
+        words, until = word_hashes(data, ends)
         if len(words) >= width:
             h = words[: len(words) - width + 1].copy()
             for k in range(1, width):
@@ -99,4 +106,3 @@ def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             else:
                 yield np.zeros(0, np.uint64)
             begin = end
-        at = to

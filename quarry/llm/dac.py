@@ -19,6 +19,7 @@ import os
 import struct
 import unicodedata
 import zlib
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -35,7 +36,8 @@ CHUNK_BITS = 8
 #: Bits of a bitmap between two entries of its rank directory.
 RANK_BLOCK = 512
 DOCS_PER_SHARD = 4096
-MEMO_ENTRIES = 400_000
+#: White-space words and pieces of them that a worker keeps before it starts that memo afresh.
+WORD_ENTRIES, PIECE_ENTRIES = 800_000, 600_000
 MAGIC = b"QDAC0001"
 
 
@@ -163,7 +165,7 @@ class WordIds:
         self.find = regex.compile(self.PATTERN).findall
         self.odd = regex.compile(r"[\x1c-\x1fΣ]").search
         self.cuts = self.PATTERN in definition.replace("\\\\", "\\") and '"Lowercase"' in definition and '"NFC"' in definition
-        self.model = self.tokenizer.model
+        self.model, self.code = self.tokenizer.model, "H" if self.width == "<u2" else "I"
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.words: dict[str, bytes] = {}
@@ -173,7 +175,7 @@ class WordIds:
         """Ids of a normalised piece: the model alone, on the characters that stand for its bytes."""
         if not (piece.isascii() and piece.isprintable()):
             piece = "".join(map(self.shown.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(piece)], dtype=self.width).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
@@ -184,7 +186,7 @@ class WordIds:
             if (got := pieces.get(p)) is None:
                 pieces[p] = got = self.piece(p)
             out.append(got)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids in little-endian bytes, two or four each."""
@@ -194,9 +196,9 @@ class WordIds:
         if not lower.isascii() and (self.odd(text) or not unicodedata.is_normalized("NFC", lower)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.whole(text)
         memo, parts = self.words, lower.split()
-        if len(memo) > MEMO_ENTRIES:
+        if len(memo) > WORD_ENTRIES:
             memo.clear()
-        if len(self.pieces) > MEMO_ENTRIES:
+        if len(self.pieces) > PIECE_ENTRIES:
             self.pieces.clear()
         for w in {*parts}.difference(memo):
             memo[w] = self.word(w)

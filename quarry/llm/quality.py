@@ -114,5 +114,7 @@ def scores(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "
 def keep(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that pass, with the columns of df."""
     held = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct("*").alias("_row"))
-    passed = scores(held, trusted.select(F.col(key).alias("_key")), "_key", "_text").filter("kept")
+    scored = scores(held, trusted.select(F.col(key).alias("_key")), "_key", "_text")
+    # a row number in the projection keeps the filter above it; pushed down, it would repeat the whole expression
+    passed = scored.select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("kept")).filter("kept")
     return passed.select("_row.*")

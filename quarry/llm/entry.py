@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, fm, html_cut, jaccard, packing, quality, vafile, warc
+from . import bpe, dac, fm, html_cut, jaccard, packing, quality, quoting, vafile, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quoting.link(table(spark, sf_dir, "conversations"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op3_quality_classifier": op3_quality_classifier, "op4_top_k": op4_top_k, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op9_html": op9_html, "op10_warc": op10_warc}
+    return {"op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op3_quality_classifier": op3_quality_classifier, "op4_top_k": op4_top_k, "op5_quotation_linking": op5_quotation_linking, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op9_html": op9_html, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -311,8 +311,7 @@ def _scored(spark, sf):
     n = nodes(spark, sf)
     q = asked(spark, sf).select("query_id", "query", T.tokenise_query(F.col("query")).alias("tokens"))
     scored = fts.bm25(fts.matches(fts.phrases(q), fts.frequencies(n)), fts.doc_stats(n))
-    hits = fts.top(scored.withColumn("key", F.round("bm25", 6)), 200, "key").drop("rank", "key").join(n.select("id", "type", "content"), "id")
-    return n, rank.score_text(hits, q)
+    return n, rank.score_text(fts.top(scored.withColumn("key", F.round("bm25", 6)), 200, "key"), n, q)
 
 
 @query(f"WITH {_SCORED} SELECT query_id, id, round(score, 4) AS score FROM sc")
@@ -348,7 +347,7 @@ def budget_fill(spark, sf):
 
 @query(f"""WITH {_SCORED}, {DOC_EDGES}, sd AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rn FROM sc) WHERE rn <= 30),
  h1 AS (SELECT DISTINCT query_id, to_id AS id FROM sd JOIN doc_edges ON from_id = id), h2 AS (SELECT DISTINCT query_id, to_id AS id FROM h1 JOIN doc_edges ON from_id = id),
- hop AS (SELECT query_id, id, min(h) AS hop FROM (SELECT *, 1 AS h FROM h1 UNION ALL SELECT *, 2 FROM h2 WHERE (query_id, id) NOT IN (SELECT query_id, id FROM sd)) GROUP BY ALL)
+ hop AS (SELECT query_id, id, min(h) AS hop FROM (SELECT *, 1 AS h FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL)
  SELECT query_id, hop.id AS id, hop, sc.id IS NOT NULL AS known, round(CASE WHEN sc.id IS NULL THEN 0.3 ELSE 0.15 END / ln(hop + 2), 4) AS gain FROM hop LEFT JOIN sc USING (query_id, id)""")
 def graph_expand_scores(spark, sf):
     n, found = _scored(spark, sf)
@@ -427,15 +426,17 @@ def trace_node_ids(spark, sf):
     return graph.trace_nodes(edges(spark, sf), "c1", 2)
 
 
-_CALLS = """sym AS (SELECT source || '/' || doc_id AS id, split_part(trim(text), ' ', 1) AS name, source AS dir FROM documents), pend AS (SELECT source || '/' || doc_id AS caller, source AS dir, split_part(trim(text), ' ', 1) AS callee FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
+_CALLS = """sym AS (SELECT p_brand || '/' || p_partkey AS id, 'f' || p_partkey % 700 AS name, p_brand AS dir FROM part WHERE p_partkey % 3 > 0), pend AS (SELECT p_brand || '/' || p_partkey AS caller, p_brand AS dir, 'f' || p_partkey * 3 % 900 AS callee FROM part)"""
 
 
 @query(f"""WITH {_CALLS}, l AS (SELECT name, dir, count(*) AS n, min(id) AS id FROM sym GROUP BY ALL), g AS (SELECT name, count(*) AS n, min(id) AS id FROM sym GROUP BY name)
  SELECT DISTINCT caller AS from_id, to_id FROM (SELECT caller, CASE WHEN l.n = 1 THEN l.id WHEN l.n IS NULL AND g.n = 1 AND pend.dir <> '(root)' THEN g.id END AS to_id FROM pend LEFT JOIN l ON l.name = callee AND l.dir = pend.dir LEFT JOIN g ON g.name = callee) WHERE to_id IS NOT NULL AND to_id <> caller""")
 def resolve_calls(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.split(F.trim("text"), " ")[0].alias("name"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("id"))
-    pending = d.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("id").alias("caller"), F.col("source").alias("dir"), F.col("name").alias("callee"))
-    return graph.resolve_calls(pending, d.select("id", "name", F.col("source").alias("dir"))).select("from_id", "to_id")
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("dir"), F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("id"))
+    named = lambda key: F.concat(F.lit("f"), key.cast("string"))
+    symbols = p.filter("p_partkey % 3 > 0").select("id", named(F.col("p_partkey") % 700).alias("name"), "dir")
+    pending = p.select(F.col("id").alias("caller"), "dir", named(F.col("p_partkey") * 3 % 900).alias("callee"))
+    return graph.resolve_calls(pending, symbols).select("from_id", "to_id")
 
 
 # co-occurrence

@@ -10,16 +10,21 @@ from ..functions import text as T
 DENSE_SHARE, GRAPH_BOOST, GRAPH_SCORE, LEAST_SHARE, SEEDS = 0.25, 0.15, 0.3, 0.25, 30
 
 
-def score_text(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, type, content, bm25) to candidates: (0.5 + min-max of bm25) * type factor * (0.2 + 0.8 coverage).
+def node_tokens(nodes: DataFrame) -> DataFrame:
+    """id, type and held: the tokens of content and id. Cut once for each node, below the join with its hits."""
+    return nodes.select("id", "type", F.array_union(T.token_set(F.col("content")), T.token_set(F.col("id"))).alias("held"))
+
+
+def score_text(hits: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, bm25) to candidates: (0.5 + min-max of bm25) * type factor * (0.2 + 0.8 coverage).
 
     queries has query_id and tokens; the range is that of the query's own hits.
     """
+    hits = hits.select("query_id", "id", "bm25").join(node_tokens(nodes), "id")
     w = Window.partitionBy("query_id")
     low, high = F.min("bm25").over(w), F.max("bm25").over(w)
     norm = F.when(high - low <= 1e-9, 1.0).otherwise((F.col("bm25") - low) / (high - low))
-    held = F.array_union(T.token_set(F.col("content")), T.token_set(F.col("id")))
-    out = hits.join(queries.select("query_id", "tokens"), "query_id").withColumn("coverage", T.term_coverage(F.col("tokens"), held)).withColumn("norm", norm)
+    out = hits.join(queries.select("query_id", "tokens"), "query_id").withColumn("coverage", T.term_coverage(F.col("tokens"), F.col("held"))).withColumn("norm", norm)
     score = (0.5 + F.col("norm")) * T.type_factor(F.col("id"), F.col("type")) * (0.2 + 0.8 * F.col("coverage"))
     return out.select("query_id", "id", "type", score.alias("score"), F.lit("fts").alias("source"))
 

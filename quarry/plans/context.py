@@ -27,8 +27,7 @@ class Config:
 def candidates(nodes: DataFrame, edges: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
     """Ranked candidates of each query: query_id, id, type, score, source, boost, total, rank."""
     asked = queries.select("query_id", "query", T.tokenise_query(F.col("query")).alias("tokens"))
-    hits = fts.search(nodes, asked, cfg.files).drop("rank", "type").join(nodes.select("id", "type", "content"), "id")
-    found = rank.score_text(hits, asked)
+    found = rank.score_text(fts.search(nodes, asked, cfg.files), nodes, asked)
     if vectors is not None and query_vectors is not None:
         near = vector.top_cosine(vectors, query_vectors, cfg.dense).withColumn("id", T.file_id(F.col("id")))
         found = rank.fuse_dense(found, near, nodes)

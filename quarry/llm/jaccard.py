@@ -10,10 +10,19 @@ may leave out thin segments (which would match by chance) of up to slack in weig
 thin segments indexes all of them. How many segments of either weight, and how much slack, is chosen
 for each band by estimated cost from its number of sets.
 
+Shingles that a great share of documents hold (passages, licence lines, large groups of copies) would
+fill segments that match by chance, so allocation gives them no weight: three universes are kept. Sets
+of mostly rare shingles index segments of those alone. Sets with more than k, but fewer, rare shingles
+index the first k + 1 of them in a fixed order. Sets with few rare shingles index segments of all. The
+ranges overlap by k, so that every qualifying pair meets in one universe: no link is lost whatever
+counts as frequent.
+
 Sets that are equal are one class from the start. Candidates are verified on their whole sets. First
 every set meets the smallest id of each of its buckets; links make components; then only pairs of a
-bucket that are still in different components are verified, so a bucket of thousands of near copies
-never costs all its pairs, and no connection is lost.
+bucket that are still in different components are verified: as rows in buckets of up to HOT sets, and
+for larger ones block against block of the sets that such buckets tie together, where only links that
+join two components leave the task. So thousands of near copies never become a row for each pair, and
+no connection is lost.
 
 Defined cases: null or blank text has an empty set and links with nothing; a text of fewer words than
 the shingle is one shingle; rows that share a doc_id are one node; a null doc_id has no component; an
@@ -40,6 +49,16 @@ WIDTH = 4
 PERCENT = 85
 #: Ids (of 8 bytes) that are broadcast at most; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: A shingle is frequent if about one in FREQUENT documents holds it; counted in stretches of STRETCH shingles.
+FREQUENT = 1000
+STRETCH = 4_000_000
+#: Share of rare shingles, in hundredths of a band's least size, from which their segments are indexed.
+RARE_PERCENT = 75
+#: Sets of a bucket whose pairs become rows at most; larger buckets go by blocks of about so many sets or bytes.
+HOT = 16
+BLOCK_SETS, BLOCK_BYTES = 512, 4 << 20
+#: Columns of an overlap that are multiplied at a time.
+COLUMNS = 8192
 #: Elements below which a segment of weight 1 or 2 is thin.
 THIN = {1: 2, 2: 3}
 
@@ -84,28 +103,29 @@ def _tail(mean: float, over: float) -> float:
     return max(0.0, 1 - total)
 
 
-def allocate(number: int, low: int, high: int, sets: int, percent: int = PERCENT) -> Band:
-    """The cheapest mix of weights: signatures of a set, and chance matches of sets that keep thin segments."""
+def allocate(number: int, low: int, high: int, percent: int = PERCENT) -> Band:
+    """The mix of weights and slack with the fewest signatures: segments, and the prefixes of sets with too many thin ones."""
     need = differences(high, percent) + 1
     best = None
-    for share in (0, 1 / 8, 1 / 4, 1 / 2, 1):
-        for slack in sorted({0, 1, 2, 3, 4, 6, 8, 12, 16, *(round(need * x) for x in (0.1, 0.15, 0.2, 0.3, 0.5))}):
+    for share in (0, 1 / 8, 1 / 4, 1 / 2, 1) if need <= 8 else (0,):
+        for slack in range(0, need // 2 + 3):
             total = need + slack
             heavy = math.ceil(total * share / 2)
             light = max(0, total - 2 * heavy)
-            fill = low / (light + heavy)
+            fill = (low + high) / 2 / (light + heavy)
             thin = [sum(math.exp(-fill) * fill**i / math.factorial(i) for i in range(THIN[w])) for w in (1, 2)]
             if light + heavy == 1:
                 thin = [float(low < THIN[1]), float(low < THIN[2])]
-            kept = _tail(light * thin[0] + heavy * thin[1], slack if not heavy else slack / (1 + heavy / (heavy + light)))
-            cost = light + heavy * (1 + fill) + kept * (light + heavy) * min(sets, 10_000) * 0.01
+            over = _tail(light * thin[0] + heavy * thin[1], slack if not heavy else slack / (1 + heavy / (heavy + light)))
+            # a shared shingle is a likelier chance match than a shared segment of several, so it costs more
+            cost = light + heavy * (1 + fill) + over * need * 10
             if best is None or cost < best[0]:
                 best = (cost, light, heavy, 2 * heavy + light - need)
     return Band(number, low, high, *best[1:])
 
 
-def signatures(u: np.ndarray, band: Band) -> np.ndarray:
-    """The signatures of a set under a band's partition."""
+def segments(u: np.ndarray, band: Band, universe: int) -> tuple[np.ndarray, bool]:
+    """The signatures of a set's segments under a band's partition, and whether too many were left out as thin."""
     m = np.uint64(band.segments)
     h = shingles.mix(u + np.uint64((band.number * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
     at = ((h >> np.uint64(32)) % m).astype(np.int64)
@@ -115,18 +135,46 @@ def signatures(u: np.ndarray, band: Band) -> np.ndarray:
     begin = np.concatenate([[0], np.cumsum(count)])[:-1]
     total = np.zeros(band.segments, np.uint64)
     there = np.flatnonzero(count)
-    total[there] = np.add.reduceat(h, begin[there])
-    name = shingles.mix(np.arange(band.segments, dtype=np.uint64) + np.uint64(band.number << 32))
+    if len(there):
+        total[there] = np.add.reduceat(h, begin[there])
+    name = shingles.mix(np.arange(band.segments, dtype=np.uint64) + np.uint64((band.number << 32) + (universe << 56)))
     weight = np.ones(band.segments, np.int64)
     weight[: band.heavy] = 2
     thin = count < np.where(weight == 2, THIN[2], THIN[1])
     # a partner's segment of weight 2 may have one element fewer, so those just below the bound stay
-    use = np.ones(band.segments, bool) if int(weight[thin].sum()) > band.slack else ~thin | (weight == 2) & (count == THIN[2] - 1)
+    use = ~thin | (weight == 2) & (count == THIN[2] - 1)
     out = [total[use] ^ name[use]]
     if band.heavy:
         mine = use[at] & (at < band.heavy)
         out.append((total[at[mine]] - h[mine]) ^ name[at[mine]])
-    return np.unique(shingles.mix(np.concatenate(out)))
+    return shingles.mix(np.concatenate(out)), int(weight[thin].sum()) > band.slack
+
+
+def prefix(u: np.ndarray, k: int, band: Band, universe: int) -> np.ndarray:
+    """The signatures of a set's first k + 1 shingles in the order of their mixed values."""
+    return shingles.mix(np.sort(shingles.mix(u))[: k + 1] + np.uint64((band.number << 32) + (universe << 56)))
+
+
+def signatures(u: np.ndarray, band: Band, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The signatures of a set in the universes that its count of rare shingles asks for."""
+    k = differences(band.high, percent)
+    rare = u
+    if len(frequent):
+        near = np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)
+        rare = u[frequent[near] != u]
+    n, enough = len(rare), -(-RARE_PERCENT * band.low // 100)
+    out, over = [], False
+    if n >= enough:
+        found, over = segments(rare, band, 0)
+        out.append(found)
+    if k < n and (over or n < enough + k):
+        out.append(prefix(rare, k, band, 1))
+    if n <= 2 * k and n - k < enough:
+        found, over = segments(u, band, 2)
+        out.append(found)
+        if over:
+            out.append(prefix(u, k, band, 3))
+    return np.unique(np.concatenate(out))
 
 
 def bands_of(n: int, bands: list[Band], percent: int = PERCENT) -> list[Band]:
@@ -145,17 +193,20 @@ def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", how)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar enough."""
-    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _members(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id and members (sorted hashes) of the documents that are asked for."""
 
     def load(batches):
         for batch in batches:
             found = [u.tobytes() for u in shingles.sets(batch.column("text"), width)]
             yield arrow_rows(batch, ["doc_id"], {"members": (found, pa.binary())})
 
-    members = _only(docs.select("doc_id", "text"), wanted, "left_semi").mapInArrow(load, "doc_id bigint, members binary")
-    members = checkpoint(members)
+    return checkpoint(_only(docs.select("doc_id", "text"), checkpoint(ids.distinct()), "left_semi").mapInArrow(load, "doc_id bigint, members binary"))
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets are similar enough."""
+    members = _members(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width)
 
     def compare(batches):
         for batch in batches:
@@ -166,19 +217,126 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of their incidence matrices."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), COLUMNS):
+        part, sides = both[at : at + COLUMNS], []
+        for side in (left, right):
+            m = np.zeros((len(side), len(part)), np.float32)
+            for r, u in enumerate(side):
+                near = np.minimum(np.searchsorted(part, u), len(part) - 1)
+                m[r, near[part[near] == u]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def spanning_links(left: tuple[list, list, list], right: tuple[list, list, list], percent: int) -> list[tuple[int, int]]:
+    """Links between similar sets of two blocks (ids, components, sets), but those that join nothing new."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sizes = [np.array([len(u) for u in side[2]]) for side in (left, right)]
+    both = overlaps(left[2], right[2])
+    rows, columns = np.nonzero(100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both))
+    out = []
+    for i, j in zip(rows.tolist(), columns.tolist(), strict=True):
+        x, y = find(left[1][i]), find(right[1][j])
+        if x != y:
+            parent[x] = y
+            out.append((left[0][i], right[0][j]))
+    return out
+
+
+def _by_blocks(docs: DataFrame, hot: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among the sets of large buckets (signature, doc_id, component) that are in different components."""
+    least = F.min("doc_id").over(Window.partitionBy("signature"))
+    ties = hot.select(least.alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    cluster = components(ties).toDF("doc_id", "cluster")
+    placed = hot.select("doc_id", "component").distinct().join(cluster, "doc_id")
+    held = checkpoint(placed.join(_members(docs, placed.select("doc_id"), width), "doc_id"))
+    sizes = held.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.length("members")) / BLOCK_BYTES)).alias("blocks"))
+    dealt = held.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    packed = checkpoint(dealt.groupBy("cluster", "block").agg(F.collect_list(F.struct("doc_id", "component", "members")).alias("sets")))
+    pairs = packed.toDF("cluster", "i", "x").join(packed.toDF("cluster", "j", "y"), "cluster").filter("i <= j").select("x", "y")
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = []
+                for c in ("x", "y"):
+                    x = batch.column(c)[k].values
+                    ids, comps, members = (x.field(n) for n in ("doc_id", "component", "members"))
+                    sides.append((ids.to_pylist(), comps.to_pylist(), [np.frombuffer(m, np.uint64) for m in members.to_pylist()]))
+                found = spanning_links(*sides, percent)
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return pairs.repartition(F.xxhash64(F.col("x")[0]["doc_id"], F.col("y")[0]["doc_id"])).mapInArrow(compare, "a bigint, b bigint")
+
+
+def _counted(stretches: list[bytes]) -> pa.RecordBatch:
+    n = len(stretches)
+    return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(n, pa.int64()), "n_shingles": pa.array([-1] * n, pa.int64()), "name": pa.nulls(n, pa.binary()), "often": pa.array(stretches, pa.binary())})
+
+
+def _frequent(often: DataFrame, documents: int) -> np.ndarray:
+    """The sorted shingles that about one in FREQUENT documents or more hold.
+
+    Their number is at most that of a mean set times 2 * FREQUENT; beyond BROADCAST_IDS of them the
+    bound is doubled until they fit. Any choice is right, as long as all sets are dealt by the same.
+    """
+
+    def unpack(batches):
+        for batch in batches:
+            for x in batch.column("often"):
+                found, times = np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["shingle", "n"])
+
+    total = checkpoint(often.mapInArrow(unpack, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(20, documents // (2 * FREQUENT))))
+    least = 20
+    while (few := total.filter(F.col("n") >= least)).count() > BROADCAST_IDS:
+        least *= 2
+    return np.sort(few.select("shingle").toArrow().column("shingle").to_numpy().view(np.uint64)) if not few.isEmpty() else np.zeros(0, np.uint64)
+
+
 def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     docs = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def measure(batches):
+        """Sizes and names of sets; then, with n_shingles -1, the shingles of each stretch that look frequent."""
+        held, most = [], 0
+
+        def often() -> list[bytes]:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            there = times >= max(3, len(held) // (2 * FREQUENT))
+            held.clear()
+            return [np.stack([found[there], times[there].astype(np.uint64)]).tobytes()]
+
         for batch in batches:
-            size, name = [], []
+            size, name, counted = [], [], []
             for u in shingles.sets(batch.column("text"), width):
                 size.append(len(u))
                 name.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-            yield arrow_rows(batch, ["doc_id"], {"n_shingles": (size, pa.int64()), "name": (name, pa.binary())})
-
-    rows = checkpoint(docs.mapInArrow(measure, "doc_id bigint, n_shingles bigint, name binary"))
+                held.append(u)
+                most += len(u)
+                if most >= STRETCH:
+                    counted, most = counted + often(), 0
+            yield arrow_rows(batch, ["doc_id"], {"n_shingles": (size, pa.int64()), "name": (name, pa.binary()), "often": ([None] * len(size), pa.binary())})
+            yield _counted(counted)
+        if held:
+            yield _counted(often())
+
+    measured = checkpoint(docs.mapInArrow(measure, "doc_id bigint, n_shingles bigint, name binary, often binary"))
+    rows = measured.filter("n_shingles >= 0").drop("often")
+    frequent = _frequent(measured.filter("n_shingles < 0").select("often"), rows.count())
     classes = rows.filter("doc_id is not null and name is not null").groupBy("name").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1")
     classes = checkpoint(classes.select("name", "class_id"))
     members = rows.join(classes, "name", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -187,18 +345,17 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
     ties = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a <> z").select("doc_id", "a")
     ties = members.join(ties, "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct()
 
-    statistics = members.filter("n_shingles > 0 and doc_id = class_id").groupBy("n_shingles").count()
     largest = members.agg(F.max("n_shingles")).first()[0] or 0
     limits = band_limits(largest, percent)
-    where = F.array_size(F.filter(F.array(*[F.lit(low) for low, _ in limits]), lambda x: x <= F.col("n_shingles"))) - 1 if limits else F.lit(0)
-    sizes = {r["band"]: r["sets"] for r in statistics.groupBy(where.alias("band")).agg(F.sum("count").alias("sets")).collect()}
-    bands = [allocate(i, low, high, sizes.get(i, 0) + sizes.get(i + 1, 0), percent) for i, (low, high) in enumerate(limits)]
+    bands = [allocate(i, low, high, percent) for i, (low, high) in enumerate(limits)]
+
+    known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(batches):
         for batch in batches:
             keys, found = batch.column("doc_id").to_pylist(), []
             for u in shingles.sets(batch.column("text"), width):
-                found.append(np.concatenate([signatures(u, b) for b in bands_of(len(u), bands, percent)]) if len(u) else np.zeros(0, np.uint64))
+                found.append(np.concatenate([signatures(u, b, known.value, percent) for b in bands_of(len(u), bands, percent)]) if len(u) else np.zeros(0, np.uint64))
             n = [len(x) for x in found]
             at = 0
             while at < len(keys):  # a few million rows at a time
@@ -221,13 +378,19 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
     found = checkpoint(components(links))
 
     placed = buckets.join(found.toDF("doc_id", "component"), "doc_id", "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_ = placed.withColumns({"least": F.min("component").over(by), "most": F.max("component").over(by)}).filter("least <> most").select("signature", "doc_id", "component")
+    open_ = placed.withColumns({"least": F.min("component").over(by), "most": F.max("component").over(by), "n": F.count("*").over(by)}).filter("least <> most").select("signature", "doc_id", "component", "n")
     open_ = checkpoint(open_)
-    left, right = open_.toDF("signature", "a", "ca"), open_.toDF("signature", "b", "cb")
+    cold, hot = open_.filter(F.col("n") <= HOT).drop("n"), open_.filter(F.col("n") > HOT).drop("n")
+    left, right = cold.toDF("signature", "a", "ca"), cold.toDF("signature", "b", "cb")
     rest = left.join(right, "signature").filter("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = checkpoint(rest)
+    rest, more = checkpoint(rest), None
     if not rest.isEmpty():
-        links = checkpoint(links.union(_verify(docs, rest, width, percent).distinct()))
+        more = _verify(docs, rest, width, percent)
+    if not hot.isEmpty():
+        dense = _by_blocks(docs, hot, width, percent)
+        more = more.union(dense) if more else dense
+    if more:
+        links = checkpoint(links.union(more.distinct()))
         found = checkpoint(components(links))
     reached = found.toDF("class_id", "component")
     return members.join(reached, "class_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"))

@@ -63,15 +63,29 @@ def matches(wanted: DataFrame, posted: DataFrame) -> DataFrame:
     return hits.unionByName(full.groupBy("query_id", "phrase_no", "id").agg(F.count("*").alias("f")))
 
 
-def bm25(found: DataFrame, stats: DataFrame) -> DataFrame:
-    """query_id, id, bm25 (higher is better); stats cover all nodes, as the index does."""
+def parts(found: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, phrase_no, id, part): what each phrase adds to the score of each node that has it.
+
+    stats cover all nodes, as the index does.
+    """
     totals = stats.agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     n = found.groupBy("query_id", "phrase_no").agg(F.count("*").alias("n_hits"))
     scored = found.join(n, ["query_id", "phrase_no"]).join(stats, "id").join(F.broadcast(totals))
     idf = F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
     weight = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     part = weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    return scored.select("query_id", "phrase_no", "id", part.alias("part"))
+
+
+def bm25(wanted: DataFrame, posted: DataFrame, stats: DataFrame) -> DataFrame:
+    """query_id, id, bm25 (higher is better) of all phrases of each query; a phrase that repeats counts again.
+
+    Phrases that queries share are matched and weighed once, and only their parts meet the queries.
+    """
+    named = wanted.withColumn("phrase", F.xxhash64("terms", "prefix"))
+    distinct = named.select(F.col("phrase").alias("query_id"), F.lit(0).alias("phrase_no"), "terms", "prefix").dropDuplicates(["query_id"])
+    weighed = parts(matches(distinct, posted), stats).select(F.col("query_id").alias("phrase"), "id", "part")
+    return named.select("query_id", "phrase").join(weighed, "phrase").groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
 
 
 def top(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
@@ -83,5 +97,5 @@ def top(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
 def search(nodes: DataFrame, queries: DataFrame, k: int = 200, files_only: bool = True, phrase_positions: bool = False) -> DataFrame:
     """query_id, id, type, bm25 and rank of the k best nodes of each query."""
     posted = postings(nodes) if phrase_positions else frequencies(nodes)
-    scored = bm25(matches(phrases(queries), posted), doc_stats(nodes)).join(nodes.select("id", "type"), "id")
+    scored = bm25(phrases(queries), posted, doc_stats(nodes)).join(nodes.select("id", "type"), "id")
     return top(scored.filter(F.col("type").like("%_file")) if files_only else scored, k)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, fm, html_cut, jaccard, packing, quality, quoting, vafile, warc
+from . import bpe, dac, fm, html_cut, jaccard, oracles, packing, quality, quoting, vafile, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality": oracles.QUALITY, "op4_top_k": oracles.TOP_K, "op6_jaccard": oracles.JACCARD, "op10_warc": oracles.WARC}

@@ -478,7 +478,7 @@ def expand_query(spark, sf):
 @query()
 def ppmi_documents(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), T.vocabulary_tokens(F.col("text")).alias("terms"))
-    return cooccur.ppmi(cooccur.document_terms(d, 60), d.count())
+    return cooccur.ppmi(cooccur.document_terms(d), d.count())
 
 
 # vectors
@@ -492,10 +492,11 @@ def vector_norms(spark, sf):
     return e.select("vec_id", F.round(F.sqrt(vector.dot(F.transform("embedding", lambda x: x.cast("double")), F.transform("embedding", lambda x: x.cast("double")))), 6).alias("norm"), F.size("embedding").cast("bigint").alias("dim"))
 
 
-@query(f"WITH {_UNIT} SELECT query_id, id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rn FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.v, c.v) AS cosine FROM u q, u c WHERE q.vec_id < 40)) WHERE rn <= 10")
+@query(f"WITH {_UNIT} SELECT query_id, id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rn FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.v, c.v) AS cosine FROM u q JOIN benchmark ON q.vec_id = item_id, u c)) WHERE rn <= 10")
 def vector_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    vectors, queries = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.filter("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    vectors = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    queries = asked(spark, sf).join(e, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("vec"))
     return vector.top_cosine(vectors, queries).select("query_id", "id", F.round("cosine", 6).alias("cosine"))
 
 

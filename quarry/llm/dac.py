@@ -4,9 +4,9 @@ An id is split into chunks of CHUNK_BITS bits. Level k holds the k-th chunk of e
 one, a bitmap that says which of them continue on level k + 1, and a rank directory (ones before
 each block of the bitmap), so id i is reached by one rank per level and no block is ever decoded.
 
-Documents are encoded, appended an end id, dealt to shards by quantiles of their key, sorted, and
-written one file per shard below spark.checkpoint.dir; each file is renamed into place whole, so a
-lost or repeated task does no harm. A manifest row per file gives its counts; ids of all earlier
+Documents are encoded, appended an end id, dealt to ranges by quantiles of their key, sorted, and
+written as shards of DOCS_PER_SHARD below spark.checkpoint.dir; each file is renamed into place whole,
+so a lost or repeated task does no harm. A manifest row per file gives its counts; ids of all earlier
 documents are summed over shards in two levels, so no task ever gathers all shards.
 
 Null text counts as empty (the end id alone). Null keys sort first. Repeated rows are separate
@@ -35,7 +35,8 @@ from .common import arrow_rows, filesystem, publish, schema_of, work_dir
 CHUNK_BITS = 8
 #: Bits of a bitmap between two entries of its rank directory.
 RANK_BLOCK = 512
-DOCS_PER_SHARD = 4096
+#: Documents of a file, and key ranges that documents are dealt to, at most; a range can fill many files.
+DOCS_PER_SHARD, RANGES = 4096, 10_000
 #: White-space words and pieces of them that a worker keeps before it starts that memo afresh.
 WORD_ENTRIES, PIECE_ENTRIES = 800_000, 600_000
 MAGIC = b"QDAC0001"
@@ -221,14 +222,17 @@ def _worker_coder(shared) -> WordIds:
 # the operator
 
 
+MANIFEST = "shard int, part int, path string, n_docs bigint, n_ids bigint"
+
+
 def write(df: DataFrame, vocabulary: str, folder: str, end: int = 1, docs_per_shard: int = DOCS_PER_SHARD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the files; returns the manifest: shard, path, n_docs, n_ids, and start, the ids of all shards before."""
+    """Writes the files; returns the manifest: shard, part, path, n_docs, n_ids, and start, the ids of all files before."""
     spark = df.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     width = "<u2" if Tokenizer.from_str(shared.value).get_vocab_size() <= 1 << 16 else "<u4"
     n = df.select(key).count()
-    shards = max(1, -(-n // docs_per_shard))
+    shards = max(1, min(RANGES, -(-n // docs_per_shard)))
     bounds = np.array([], dtype=np.int64)
     if shards > 1:
         # quantiles of the key column alone: a few numbers per thousand documents
@@ -244,37 +248,39 @@ def write(df: DataFrame, vocabulary: str, folder: str, end: int = 1, docs_per_sh
             yield arrow_rows(batch, [key], {"shard": (at, pa.int32()), "ids": (ids, pa.binary())})
 
     coded = df.select(key, text).mapInArrow(encode, schema_of(df, [key], "shard int, ids binary"))
-    dealt = coded.repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard", key, "ids")
+    dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", key, "ids")
 
     def store(batches):
         fs, root = filesystem(folder)
-        shard, keys, ids = None, [], []
+        shard, part, keys, ids = None, 0, [], []
 
         def close():
-            path = f"{root}/ids-{shard:07d}.dac"
+            path = f"{root}/ids-{shard:05d}-{part:06d}.dac"
             publish(fs, path, write_shard(keys, ids))
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(keys)], "n_ids": [sum(map(len, ids))]})
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(keys)], "n_ids": [sum(map(len, ids))]})
             keys.clear()
             ids.clear()
             return row
 
         for batch in batches:
             for s, k, x in zip(batch.column("shard").to_pylist(), batch.column(key).to_pylist(), batch.column("ids"), strict=True):
-                if s != shard and keys:
+                if keys and (s != shard or len(keys) >= docs_per_shard):
                     yield close()
-                shard = s
+                    part += 1
+                if s != shard:
+                    shard, part = s, 0
                 keys.append(k)
                 ids.append(np.frombuffer(x.as_py(), dtype=width))
         if keys:
             yield close()
 
     manifest_path = f"{folder}/manifest"
-    dealt.mapInArrow(store, "shard int, path string, n_docs bigint, n_ids bigint").write.parquet(manifest_path)
-    manifest = spark.read.schema("shard int, path string, n_docs bigint, n_ids bigint").parquet(manifest_path).withColumn("block", F.expr("shard div 1024"))
+    dealt.mapInArrow(store, MANIFEST).write.parquet(manifest_path)
+    manifest = spark.read.schema(MANIFEST).parquet(manifest_path).withColumn("block", F.expr("shard div 64"))
     blocks = manifest.groupBy("block").agg(F.sum("n_ids").alias("in_block"))
     blocks = blocks.select("block", (F.sum("in_block").over(Window.orderBy("block")) - F.col("in_block")).alias("before_block"))
-    inside = F.sum("n_ids").over(Window.partitionBy("block").orderBy("shard")) - F.col("n_ids")
-    return manifest.withColumn("inside", inside).join(blocks, "block").select("shard", "path", "n_docs", "n_ids", (F.col("inside") + F.col("before_block")).alias("start"))
+    inside = F.sum("n_ids").over(Window.partitionBy("block").orderBy("shard", "part")) - F.col("n_ids")
+    return manifest.withColumn("inside", inside).join(blocks, "block").select("shard", "part", "path", "n_docs", "n_ids", (F.col("inside") + F.col("before_block")).alias("start"))
 
 
 def read(manifest: DataFrame, key: str = "doc_id", files_per_task: int = 1) -> DataFrame:

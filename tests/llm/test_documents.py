@@ -113,7 +113,7 @@ def test_codes_give_any_id():
         codes[3000]
 
 
-def test_token_files_round_trip(spark, docs, texts, empty):
+def test_token_files_round_trip(spark, docs, texts, empty, monkeypatch):
     reference = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     reference.encode_special_tokens = True
     ids = {i: [*reference.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
@@ -123,6 +123,9 @@ def test_token_files_round_trip(spark, docs, texts, empty):
         want = np.array(ids[i], dtype="<u4")
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(want), zlib.crc32(want.tobytes()))
         start += len(want)
+    monkeypatch.setattr(dac, "RANGES", 2)
+    again = {r["doc_id"]: r for r in dac.write_and_read(docs, P.path("word_bpe_49k.json"), docs_per_shard=7).collect()}
+    assert again == got
     assert dac.write_and_read(empty, P.path("word_bpe_49k.json")).count() == 0
     odd = spark.createDataFrame([(None, "a"), (5, "b"), (5, "b")], "doc_id long, text string")
     assert sorted(r["start"] for r in dac.write_and_read(odd, P.path("word_bpe_49k.json")).collect()) == [0, 2, 4]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import cooccur, fts, graph, metrics, nav, rank, store, vector
-from quarry.plans import context
+from quarry.plans import context, evaluate
 
 NODE = "id string, type string, content string, hash string"
 
@@ -179,3 +179,10 @@ def test_metrics(spark):
     assert m[1]["ndcg"] == 1 and m[4]["ndcg"] == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)))
     assert m[4]["precision"] == 0.2 and m[4]["recall"] == 0.5
     assert {r["metric"]: r["median"] for r in metrics.summary(metrics.per_query(got, truth)).collect()}["mrr"] == pytest.approx((1 / 3 + 0.5) / 2)
+
+
+def test_evaluation(spark):
+    nodes = spark.createDataFrame([("a.go", "go_file", "needle in code", "1"), ("b.go", "go_file", "other words", "2")], NODE)
+    cases = spark.createDataFrame([("x", "needle", ["a.go"], ""), ("y", "words", ["a.go"], "")], "id string, query string, ground_truth_files array<string>, notes string")
+    rows = {r["metric"]: r["mean"] for r in evaluate.evaluate(nodes, edges(spark, ("b.go", "zzz", "imports")), cases).collect()}
+    assert rows == {"mrr": 0.5, "ndcg": 0.5, "precision": 0.1, "recall": 0.5}

@@ -183,7 +183,8 @@ class WordIds:
 
     def word(self, word: str) -> bytes:
         out, pieces = [], self.pieces
-        for p in self.find(word):
+        # one run of ASCII letters is one piece; the pattern decides about all else
+        for p in (word,) if word.isascii() and word.isalpha() else self.find(word):
             if (got := pieces.get(p)) is None:
                 pieces[p] = got = self.piece(p)
             out.append(got)

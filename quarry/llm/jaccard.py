@@ -18,7 +18,8 @@ ranges overlap by k, so that every qualifying pair meets in one universe: no lin
 counts as frequent.
 
 Sets that are equal are one class from the start. Candidates are verified on their whole sets. First
-every set meets the smallest id of each of its buckets; links make components; then only pairs of a
+every set meets the smallest of the ids that lead its buckets, then those that lead the buckets whose
+leader is still in another component; links make components; then only pairs of a
 bucket that are still in different components are verified: as rows in buckets of up to HOT sets, and
 for larger ones block against block of the sets that such buckets tie together, where only links that
 join two components leave the task. So thousands of near copies never become a row for each pair, and
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_rows, checkpoint, small_enough
+from .common import arrow_rows, checkpoint, small_enough, written
 from .components import components
 
 WIDTH = 4
@@ -193,7 +194,7 @@ def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", how)
 
 
-def _members(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def _cut(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """doc_id and members (sorted hashes) of the documents that are asked for."""
 
     def load(batches):
@@ -201,20 +202,31 @@ def _members(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             found = [u.tobytes() for u in shingles.sets(batch.column("text"), width)]
             yield arrow_rows(batch, ["doc_id"], {"members": (found, pa.binary())})
 
-    return checkpoint(_only(docs.select("doc_id", "text"), checkpoint(ids.distinct()), "left_semi").mapInArrow(load, "doc_id bigint, members binary"))
+    return _only(docs.select("doc_id", "text"), checkpoint(ids.distinct()), "left_semi").mapInArrow(load, "doc_id bigint, members binary")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar enough."""
-    members = _members(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width)
+    """Those of pairs (a, b) whose sets are similar enough.
+
+    The set of b is cut where its text is read, once for each of its pairs, and meets that of a in one shuffle.
+    """
+    asked = pairs.select("a", F.col("b").alias("doc_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(asked) if small_enough(asked, BROADCAST_IDS) else asked, "doc_id")
+
+    def load(batches):
+        for batch in batches:
+            found = [u.tobytes() for u in shingles.sets(batch.column("text"), width)]
+            yield arrow_rows(batch, ["a", "doc_id"], {"y": (found, pa.binary())})
+
+    right = rows.select("a", "doc_id", "text").mapInArrow(load, "a bigint, doc_id bigint, y binary")
+    left = _cut(docs, pairs.select(F.col("a").alias("doc_id")), width).toDF("a", "x")
 
     def compare(batches):
         for batch in batches:
             keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(members.toDF("b", "y"), "b").join(members.toDF("a", "x"), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    return right.join(left, "a").select("a", F.col("doc_id").alias("b"), "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -261,7 +273,7 @@ def _by_blocks(docs: DataFrame, hot: DataFrame, width: int, percent: int) -> Dat
     ties = hot.select(least.alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
     cluster = components(ties).toDF("doc_id", "cluster")
     placed = hot.select("doc_id", "component").distinct().join(cluster, "doc_id")
-    held = checkpoint(placed.join(_members(docs, placed.select("doc_id"), width), "doc_id"))
+    held = checkpoint(placed.join(_cut(docs, placed.select("doc_id"), width), "doc_id"))
     sizes = held.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.length("members")) / BLOCK_BYTES)).alias("blocks"))
     dealt = held.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     packed = checkpoint(dealt.groupBy("cluster", "block").agg(F.collect_list(F.struct("doc_id", "component", "members")).alias("sets")))
@@ -372,10 +384,19 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
     indexed = single.mapInArrow(index, "signature bigint, doc_id bigint")
     by = Window.partitionBy("signature")
     buckets = indexed.withColumns({"hub": F.min("doc_id").over(by), "top": F.max("doc_id").over(by)}).filter("hub <> top").select("signature", "doc_id", "hub")
-    buckets = checkpoint(buckets)
+    # in columns, which take half the room of a checkpoint's rows
+    buckets = written(buckets)
     stars = checkpoint(buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = checkpoint(_verify(docs, stars, width, percent).distinct().union(ties))
+    # one pair for each set first: of its hubs the smallest; then only what that left apart
+    first = checkpoint(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = checkpoint(_verify(docs, first, width, percent).union(ties))
     found = checkpoint(components(links))
+    at = lambda c: found.toDF(c, f"c{c}")
+    apart = stars.join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    apart = checkpoint(apart)
+    if not apart.isEmpty():
+        links = checkpoint(links.union(_verify(docs, apart, width, percent)))
+        found = checkpoint(components(links))
 
     placed = buckets.join(found.toDF("doc_id", "component"), "doc_id", "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_ = placed.withColumns({"least": F.min("component").over(by), "most": F.max("component").over(by), "n": F.count("*").over(by)}).filter("least <> most").select("signature", "doc_id", "component", "n")

@@ -2,41 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _settled
 
-def document_terms(docs: DataFrame, most: int = 300) -> DataFrame:
-    """(doc, term) from (doc, terms): distinct terms, the first `most` in order; a documented feature of the
-    statistic, which bounds a document's pairs."""
-    return docs.select("doc", F.explode(F.slice(F.array_sort(F.array_distinct("terms")), 1, most)).alias("term"))
+#: Terms of a block: a task forms the pairs of two blocks of a document at a time.
+BLOCK = 512
+
+
+def document_terms(docs: DataFrame) -> DataFrame:
+    """(doc, term) from (doc, terms): every distinct term of a document, however many there are."""
+    return docs.select("doc", F.explode(F.array_distinct("terms")).alias("term"))
 
 
 def frequencies(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def pairs(terms: DataFrame, least: int = 2) -> DataFrame:
-    """a < b and n, the documents that hold both; rare terms go first, since their pairs cannot count.
+def _vocabulary(terms: DataFrame, least: int) -> DataFrame:
+    """term and code of terms in `least` documents or more: df in the upper half, place in term order in the lower."""
+    common = frequencies(terms).filter(F.col("df") >= least).orderBy("term")
+    placed = _settled(common.select("term", "df", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    before, offsets = 0, []
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):  # a number for each partition
+        offsets += [F.lit(r["part"]), F.lit(before)]
+        before += r["count"]
+    if before >= 1 << 32:
+        raise ValueError("too many terms for their codes")
+    place = F.col("at").bitwiseAND((1 << 33) - 1) + (F.create_map(*offsets)[part] if offsets else F.lit(0))
+    return placed.select("term", F.shiftleft("df", 32).bitwiseOR(place).alias("code"))
+
+
+def _place(code: str) -> Column:
+    return F.col(code).bitwiseAND((1 << 32) - 1)
+
+
+def _counted(terms: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
+    """Codes a < b and n, the documents that hold both.
 
-    Pairs are formed inside each document's array, so no join multiplies rows before aggregation.
+    Pairs are formed inside each document's array, so no join multiplies rows before aggregation. A long
+    document is dealt out by pairs of its blocks.
     """
-    common = frequencies(terms).filter(F.col("df") >= least).select("term")
-    held = terms.join(common, "term").groupBy("doc").agg(F.array_sort(F.collect_list("term")).alias("t"))
-    firsts = held.select("t", F.posexplode("t").alias("i", "a"))
-    both = firsts.select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
-    return both.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    held = terms.join(vocabulary, "term").groupBy("doc").agg(F.array_sort(F.collect_list("code")).alias("t"))
+    last = F.floor((F.size("t") - 1) / BLOCK).cast("int")
+    rows = held.select("t", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    rows = rows.select("t", "i", F.explode(F.sequence("i", "last")).alias("j"))
+    block = lambda k: F.slice("t", F.col(k) * BLOCK + 1, BLOCK)
+    dealt = rows.select(block("i").alias("x"), block("j").alias("y"), (F.col("i") == F.col("j")).alias("own")).repartition(_tasks(terms))
+    firsts = dealt.select("y", "own", F.posexplode("x").alias("k", "a"))
+    rest = F.slice("y", F.when(F.col("own"), F.col("k") + 2).otherwise(1), F.size("y"))
+    return firsts.select("a", F.explode(rest).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def pairs(terms: DataFrame, least: int = 2) -> DataFrame:
+    """a < b and n, the documents that hold both; rare terms go first, since their pairs cannot count."""
+    vocabulary = _vocabulary(terms, least)
+    named = lambda c: vocabulary.toDF(f"t{c}", c)
+    both = _counted(terms, vocabulary, least).join(named("a"), "a").join(named("b"), "b")
+    return both.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "n")
 
 
 def ppmi(terms: DataFrame, documents: int, k: int = 10, least: int = 2) -> DataFrame:
-    """term, neighbour, weight: the k neighbours of highest positive pointwise mutual information."""
-    df = frequencies(terms)
-    scored = pairs(terms, least).join(df.select(F.col("term").alias("a"), F.col("df").alias("df_a")), "a").join(df.select(F.col("term").alias("b"), F.col("df").alias("df_b")), "b")
-    weight = F.log(F.col("n") * F.lit(float(documents)) / (F.col("df_a") * F.col("df_b")))
-    positive = scored.select("a", "b", weight.alias("weight")).filter("weight > 0")
-    both = positive.select(F.col("a").alias("term"), F.col("b").alias("neighbour"), "weight").union(positive.select("b", "a", "weight"))
-    by = Window.partitionBy("term").orderBy(F.desc("weight"), "neighbour")
-    return both.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n")
+    """term, neighbour, weight: the k neighbours of highest positive pointwise mutual information.
+
+    Codes carry what weights and ties need, so only the neighbours that are kept meet their names.
+    """
+    vocabulary = _vocabulary(terms, least)
+    df = lambda c: F.shiftright(c, 32)
+    weight = F.log(F.col("n") * F.lit(float(documents)) / (df("a") * df("b")))
+    positive = _counted(terms, vocabulary, least).select("a", "b", weight.alias("weight")).filter("weight > 0")
+    ways = F.explode(F.array(F.struct(F.col("a").alias("t"), F.col("b").alias("o")), F.struct(F.col("b").alias("t"), F.col("a").alias("o"))))
+    both = positive.select(ways.alias("w"), "weight").select("w.t", "w.o", "weight")
+    by = Window.partitionBy("t").orderBy(F.desc("weight"), _place("o"))
+    kept = both.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n")
+    return kept.join(vocabulary.toDF("term", "t"), "t").join(vocabulary.toDF("neighbour", "o"), "o").select("term", "neighbour", "weight")
 
 
 def rebuild(existing: DataFrame | None, changed: int, least_changed: int, build) -> DataFrame:

@@ -1,5 +1,6 @@
 """Search, graph, ranking, store and metric operators on small instances."""
 
+import itertools
 import math
 
 import pytest
@@ -68,6 +69,24 @@ def test_ppmi(spark):
     assert got == {"baz"}
 
 
+def test_ppmi_of_long_documents(spark, monkeypatch):
+    common = [f"m{i:03d}" for i in range(400)]
+    held = [[*common, "zeta", "zulu"], ["zeta", "zulu"], ["zulu"], *[common[i : i + 40] for i in range(0, 400, 40)], ["alone"], ["alone"]]
+    docs = spark.createDataFrame([(i, t + t[:1]) for i, t in enumerate(held)], "doc long, terms array<string>")
+    terms = cooccur.document_terms(docs)
+    assert {r["term"]: r["df"] for r in cooccur.frequencies(terms).collect()} == {"zeta": 2, "zulu": 3, "alone": 2} | dict.fromkeys(common, 2)
+    n = {}
+    for t in held:
+        for a, b in itertools.combinations(sorted(t), 2):
+            n[a, b] = n.get((a, b), 0) + 1
+    for block in (cooccur.BLOCK, 64):  # a document of one block and of several
+        monkeypatch.setattr(cooccur, "BLOCK", block)
+        assert {(r["a"], r["b"]): r["n"] for r in cooccur.pairs(terms).collect()} == {p: c for p, c in n.items() if c >= 2}
+        got = {(r["term"], r["neighbour"]): r["weight"] for r in cooccur.ppmi(terms, len(held)).collect()}
+        assert got["zeta", "zulu"] == got["zulu", "zeta"] == pytest.approx(math.log(2 * len(held) / 6))
+        assert sorted(b for a, b in got if a == "m000") == common[1:11]  # ties to the smaller
+
+
 def test_expansion_and_rebuild(spark):
     neighbours = spark.createDataFrame([("foo", "baz", 2.0), ("bar", "baz", 1.0), ("bar", "foo", 3.0)], "term string, neighbour string, weight double")
     asked = spark.createDataFrame([(1, ["foo", "bar"]), (2, ["none"])], "query_id long, terms array<string>")

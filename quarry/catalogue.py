@@ -279,7 +279,7 @@ def term_matches(spark, sf):
 @query(f"WITH {_BM25} SELECT query_id, id, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rn FROM bm) WHERE rn <= 20")
 def bm25_or_topk(spark, sf):
     n = nodes(spark, sf)
-    scored = fts.bm25(fts.phrases(asked(spark, sf)), fts.frequencies(n), fts.doc_stats(n))
+    scored = fts.scores(n, fts.phrases(asked(spark, sf)))
     best = fts.top(scored.withColumn("key", F.round("bm25", 6)), 20, "key")
     return best.select("query_id", "id", F.round("bm25", 4).alias("bm25"))
 
@@ -287,7 +287,7 @@ def bm25_or_topk(spark, sf):
 @query(f"WITH {_BM25} SELECT query_id, id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rn FROM bm WHERE type LIKE '%_file') WHERE rn <= 10")
 def fts_files_topk(spark, sf):
     n = nodes(spark, sf)
-    scored = fts.bm25(fts.phrases(asked(spark, sf)), fts.frequencies(n), fts.doc_stats(n)).join(n.select("id", "type"), "id").filter(F.col("type").like("%_file"))
+    scored = fts.scores(n, fts.phrases(asked(spark, sf))).join(n.select("id", "type"), "id").filter(F.col("type").like("%_file"))
     return fts.top(scored.withColumn("key", F.round("bm25", 6)), 10, "key").select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -310,7 +310,7 @@ _SCORED = f"""{_BM25}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTI
 def _scored(spark, sf):
     n = nodes(spark, sf)
     q = asked(spark, sf).select("query_id", "query", T.tokenise_query(F.col("query")).alias("tokens"))
-    scored = fts.bm25(fts.phrases(q), fts.frequencies(n), fts.doc_stats(n))
+    scored = fts.scores(n, fts.phrases(q))
     return n, rank.score_text(fts.top(scored.withColumn("key", F.round("bm25", 6)), 200, "key"), n, q)
 
 

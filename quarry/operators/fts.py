@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import _settled
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Terms of phrases that are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -17,10 +20,26 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 
 def frequencies(nodes: DataFrame) -> DataFrame:
-    """term, id and tf: postings for queries without phrases, counted before the shuffle."""
+    """term, id and tf: postings of single terms, counted before the shuffle."""
     return nodes.select("id", F.explode(T.unicode_terms(F.col("content"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
+def phrase_postings(nodes: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """Postings with positions of just the terms that phrases of several terms match; None without such phrases."""
+    several = wanted.filter(F.size("terms") > 1).select(F.size("terms").alias("n"), "prefix", F.posexplode("terms").alias("i", "want"))
+    parts = _settled(several.select("want", (F.col("prefix") & (F.col("i") == F.col("n") - 1)).alias("star")).distinct())
+    count, shortest = parts.agg(F.count("*"), F.min(F.when(F.col("star"), F.length("want")))).first()
+    if not count:
+        return None
+    # what a part matches begins as it does
+    head = lambda c: F.substring(c, 1, min(3, shortest or 3))
+    parts = parts.withColumn("head", head("want"))
+    terms = nodes.select("id", F.posexplode(T.unicode_terms(F.col("content"))).alias("pos", "term"))
+    same = (head("term") == F.col("head")) & ((F.col("term") == F.col("want")) | (F.col("star") & F.col("term").startswith(F.col("want"))))
+    held = terms.join(F.broadcast(parts) if count <= BROADCAST_TERMS else parts, same, "left_semi")
+    return held.groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
 def doc_stats(nodes: DataFrame) -> DataFrame:
     """id and dl, the terms of each node."""
     return nodes.select("id", F.size(T.unicode_terms(F.col("content"))).cast("bigint").alias("dl"))
@@ -45,20 +64,27 @@ def _term_matches(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return whole.unionByName(started).unionByName(short)
 
 
-def matches(wanted: DataFrame, posted: DataFrame) -> DataFrame:
+def matches(wanted: DataFrame, posted: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """query_id, phrase_no, id and f, the occurrences of each phrase in each node that has it.
 
-    Single terms add up term frequencies; phrases of several terms intersect shifted positions.
+    Single terms add up term frequencies; phrases of several terms intersect shifted positions, which are
+    those of placed (see phrase_postings) or else of posted.
     """
     vocabulary = posted.select("term").distinct()
     single = wanted.filter(F.size("terms") == 1).select("query_id", "phrase_no", F.col("terms")[0].alias("want"), F.col("prefix").alias("star"))
     hits = _term_matches(single, vocabulary).select("query_id", "phrase_no", "term").join(posted.select("term", "id", "tf"), "term").groupBy("query_id", "phrase_no", "id").agg(F.sum("tf").alias("f"))
-    if "positions" not in posted.columns:
-        return hits
     several = wanted.filter(F.size("terms") > 1)
+    if placed is None:
+        if "positions" not in posted.columns:
+            if several.isEmpty():
+                return hits
+            raise ValueError("phrases of several terms need positions")
+        placed = posted
+    else:
+        vocabulary = placed.select("term").distinct()
     parts = several.select("query_id", "phrase_no", F.size("terms").alias("n"), "prefix", F.posexplode("terms").alias("i", "want")).withColumn("star", F.col("prefix") & (F.col("i") == F.col("n") - 1)).drop("prefix")
-    placed = _term_matches(parts, vocabulary).select("query_id", "phrase_no", "n", "i", "term").join(posted.select("term", "id", "positions"), "term")
-    shifted = placed.select("query_id", "phrase_no", "n", "i", "id", F.explode("positions").alias("p")).select("query_id", "phrase_no", "n", "i", "id", (F.col("p") - F.col("i")).alias("at")).distinct()
+    found = _term_matches(parts, vocabulary).select("query_id", "phrase_no", "n", "i", "term").join(placed.select("term", "id", "positions"), "term")
+    shifted = found.select("query_id", "phrase_no", "n", "i", "id", F.explode("positions").alias("p")).select("query_id", "phrase_no", "n", "i", "id", (F.col("p") - F.col("i")).alias("at")).distinct()
     full = shifted.groupBy("query_id", "phrase_no", "id", "at").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter("k = n")
     return hits.unionByName(full.groupBy("query_id", "phrase_no", "id").agg(F.count("*").alias("f")))
 
@@ -77,17 +103,22 @@ def parts(found: DataFrame, stats: DataFrame) -> DataFrame:
     return scored.select("query_id", "phrase_no", "id", part.alias("part"))
 
 
-def bm25(wanted: DataFrame, posted: DataFrame, stats: DataFrame) -> DataFrame:
+def bm25(wanted: DataFrame, posted: DataFrame, stats: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """query_id, id, bm25 (higher is better) of all phrases of each query; a phrase that repeats counts again.
 
     Phrases that queries share are matched and weighed once, and only their parts meet the queries.
     """
     named = wanted.withColumn("phrase", F.xxhash64("terms", "prefix"))
     distinct = named.select(F.col("phrase").alias("query_id"), F.lit(0).alias("phrase_no"), "terms", "prefix").dropDuplicates(["query_id"])
-    weighed = parts(matches(distinct, posted), stats).select(F.col("query_id").alias("phrase"), "id", "part")
+    weighed = parts(matches(distinct, posted, placed), stats).select(F.col("query_id").alias("phrase"), "id", "part")
     return named.select("query_id", "phrase").join(weighed, "phrase").groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
 
 
+def scores(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """bm25() of phrases over nodes; only terms of phrases of several terms get positions."""
+    return bm25(wanted, frequencies(nodes), doc_stats(nodes), phrase_postings(nodes, wanted))
+
+
 def top(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
     """The k best of each query with their rank; ties to the smaller id."""
     by = Window.partitionBy("query_id").orderBy(F.desc(score), "id")
@@ -95,7 +126,11 @@ def top(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
 
 
 def search(nodes: DataFrame, queries: DataFrame, k: int = 200, files_only: bool = True, phrase_positions: bool = False) -> DataFrame:
-    """query_id, id, type, bm25 and rank of the k best nodes of each query."""
-    posted = postings(nodes) if phrase_positions else frequencies(nodes)
-    scored = bm25(phrases(queries), posted, doc_stats(nodes)).join(nodes.select("id", "type"), "id")
+    """query_id, id, type, bm25 and rank of the k best nodes of each query.
+
+    phrase_positions: every term gets positions, in one pass over the nodes; the result is the same.
+    """
+    wanted = phrases(queries)
+    found = bm25(wanted, postings(nodes), doc_stats(nodes)) if phrase_positions else scores(nodes, wanted)
+    scored = found.join(nodes.select("id", "type"), "id")
     return top(scored.filter(F.col("type").like("%_file")) if files_only else scored, k)

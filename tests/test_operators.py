@@ -127,6 +127,22 @@ def test_bm25_with_prefixes_and_phrases(spark):
     assert {r["id"] for r in fts.search(nodes, asked).collect()} == {"a.go", "b/b.go", "c.md"}
 
 
+def test_phrases_score_in_every_path(spark):
+    nodes = corpus(spark).unionByName(spark.createDataFrame([("d.py", "py_file", "boost terms and a boost_termite", "4"), ("e.py", "py_file", "my boost, don't", "5"), ("f.py", "py_file", "x y1 x y2", "6")], NODE))
+    asked = spark.createDataFrame([(1, "boost_term sqlite"), (2, "don't"), (3, "x-y my-boost"), (4, "_x_y")], "query_id long, query string")
+    texts = [(r["id"], r["t"]) for r in nodes.select("id", T.unicode_terms(F.col("content")).alias("t")).collect()]
+    wanted = {1: [(["boost", "term"], True), (["sqlite"], True)], 2: [(["don", "t"], False)], 3: [(["x", "y"], False), (["my", "boost"], False)], 4: [(["x", "y"], True)]}
+    want = {(q, i): s for q, phrases in wanted.items() for i, s in brute_bm25(texts, phrases).items()}
+    assert {q for q, _ in want} == {1, 2, 3, 4}
+    for found in (fts.search(nodes, asked, files_only=False), fts.search(nodes, asked, files_only=False, phrase_positions=True), fts.scores(nodes, fts.phrases(asked))):
+        got = {(r["query_id"], r["id"]): r["bm25"] for r in found.collect()}
+        assert set(got) == set(want) and got == pytest.approx(want)
+    one = asked.filter("query_id = 2")
+    assert {r["file"] for r in context.baseline(nodes, one).collect()} == {r["id"] for r in context.build(nodes, edges(spark, ("q", "r")), one).collect()} == {"e.py"}
+    with pytest.raises(ValueError):
+        fts.bm25(fts.phrases(asked), fts.frequencies(nodes), fts.doc_stats(nodes))
+
+
 def test_context(spark):
     nodes = spark.createDataFrame([("a.go", "go_file", "needle in code", "1"), ("b.go", "go_file", "nothing else", "2"), ("c.md", "text_file", "needle " + "long words " * 4000, "3")], NODE)
     asked = spark.createDataFrame([(1, "needle"), (2, "absent")], "query_id long, query string")

@@ -9,6 +9,9 @@ written as shards of DOCS_PER_SHARD below spark.checkpoint.dir; each file is ren
 so a lost or repeated task does no harm. A manifest row per file gives its counts; ids of all earlier
 documents are summed over shards in two levels, so no task ever gathers all shards.
 
+With added=True a text that holds the content of an added token of the file (<|endoftext|>) is encoded by
+the tokenizers library with its defaults, which give that token's id; else it is spelled out.
+
 Null text counts as empty (the end id alone). Null keys sort first. Repeated rows are separate
 documents. An empty table writes no file and gives no rows. Other columns are ignored.
 """
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import arrow_rows, filesystem, publish, schema_of, work_dir
+from .packing import added_tokens
 
 CHUNK_BITS = 8
 #: Bits of a bitmap between two entries of its rank directory.
@@ -159,9 +163,10 @@ class WordIds:
     #: Of the pattern in the tokenizer's file; fixed values.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, added: bool = False):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = added_tokens(definition) if added else lambda text: None
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.find = regex.compile(self.PATTERN).findall
         self.odd = regex.compile(r"[\x1c-\x1fΣ]").search
@@ -192,7 +197,7 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """Ids in little-endian bytes, two or four each."""
-        if not self.cuts:
+        if not self.cuts or self.added(text):
             return self.whole(text)
         lower = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
         if not lower.isascii() and (self.odd(text) or not unicodedata.is_normalized("NFC", lower)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -212,11 +217,11 @@ _coder: tuple[object, WordIds] | None = None
 
 def _worker_coder(shared) -> WordIds:
     global _coder
-    if _coder is None or _coder[0] != (key := hash(shared.value)):
+    if _coder is None or _coder[0] != shared.value:
         import gc
 
         gc.disable()  # the memos hold no cycles
-        _coder = (hash(shared.value), WordIds(shared.value))
+        _coder = (shared.value, WordIds(*shared.value))
     return _coder[1]
 
 
@@ -226,12 +231,12 @@ def _worker_coder(shared) -> WordIds:
 MANIFEST = "shard int, part int, path string, n_docs bigint, n_ids bigint"
 
 
-def write(df: DataFrame, vocabulary: str, folder: str, end: int = 1, docs_per_shard: int = DOCS_PER_SHARD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write(df: DataFrame, vocabulary: str, folder: str, end: int = 1, docs_per_shard: int = DOCS_PER_SHARD, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Writes the files; returns the manifest: shard, part, path, n_docs, n_ids, and start, the ids of all files before."""
     spark = df.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
-    width = "<u2" if Tokenizer.from_str(shared.value).get_vocab_size() <= 1 << 16 else "<u4"
+        shared = spark.sparkContext.broadcast((f.read(), added))
+    width = "<u2" if Tokenizer.from_str(shared.value[0]).get_vocab_size() <= 1 << 16 else "<u4"
     n = df.select(key).count()
     shards = max(1, min(RANGES, -(-n // docs_per_shard)))
     bounds = np.array([], dtype=np.int64)
@@ -303,5 +308,5 @@ def read(manifest: DataFrame, key: str = "doc_id", files_per_task: int = 1) -> D
     return manifest.select("path", "start").repartition(tasks).mapInArrow(load, f"{key} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def write_and_read(df: DataFrame, vocabulary: str, end: int = 1, docs_per_shard: int = DOCS_PER_SHARD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return read(write(df, vocabulary, work_dir(df.sparkSession, "token-ids"), end, docs_per_shard, key, text), key)
+def write_and_read(df: DataFrame, vocabulary: str, end: int = 1, docs_per_shard: int = DOCS_PER_SHARD, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
+    return read(write(df, vocabulary, work_dir(df.sparkSession, "token-ids"), end, docs_per_shard, key, text, added), key)

@@ -44,13 +44,13 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    return packing.pack(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN, added=True)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    return dac.write_and_read(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
+    return dac.write_and_read(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), added=True)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ length, to the sequence of lowest cost that still has room; an item that fits no
 the sequences of lowest cost, so that no token is lost and no sequence is padded.
 
 Groups never cross tasks, so the operator needs no shuffle, and a repeated task repeats its result.
+With added=True a text that holds the content of an added token of the file (<|endoftext|>) is encoded by
+the tokenizers library with its defaults, which give that token's id; else it is spelled out.
+
 Null text counts as empty: its document is the end id alone. Repeated rows are separate documents;
 other columns are ignored; an empty table gives no rows.
 """
@@ -16,13 +19,16 @@ other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import schema_of
 
@@ -51,11 +57,23 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte_of for c in t) and i < 256 + len(pairs)}
 
 
+def added_tokens(definition: str) -> Callable[[str], object]:
+    """Tells texts that may hold an added token of the file; any may where a token meets the normalised text."""
+    added = json.loads(definition).get("added_tokens") or []
+    if any(t["normalized"] for t in added):
+        return lambda text: True
+    return re.compile("|".join(re.escape(t["content"]) for t in added)).search if added else lambda text: None
+
+
 class Tokens:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, definition: str | None = None):
         self.coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.library = Tokenizer.from_str(definition) if definition else None
+        self.added = added_tokens(definition) if definition else lambda text: None
 
     def encode(self, text: str, end: int) -> np.ndarray:
+        if self.added(text):
+            return np.array([*self.library.encode(text, add_special_tokens=False).ids, end], dtype=np.uint32)
         ids = self.coder.encode_to_numpy(text, disallowed_special=())
         return np.append(ids.astype(np.uint32, copy=False), np.uint32(end))
 
@@ -114,18 +132,23 @@ _coder: tuple[object, Tokens] | None = None
 
 def _worker_coder(shared) -> Tokens:
     global _coder
-    ranks, pattern = shared.value
-    if _coder is None or _coder[0] != (len(ranks), pattern):
-        _coder = ((len(ranks), pattern), Tokens(ranks, pattern))
+    ranks, pattern, definition = shared.value
+    key = len(ranks), pattern, definition
+    if _coder is None or _coder[0] != key:
+        _coder = (key, Tokens(ranks, pattern, definition))
     return _coder[1]
 
 
-def pack(df: DataFrame, vocabulary: str, pattern: str, end: int = 0, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, pattern: str, end: int = 0, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long).
 
     A sequence's length is capacity, or a power of two below it.
     """
-    shared = df.sparkSession.sparkContext.broadcast((read_vocabulary(vocabulary), pattern))
+    definition = None
+    if added:
+        with open(vocabulary, encoding="utf-8") as f:
+            definition = f.read()
+    shared = df.sparkSession.sparkContext.broadcast((read_vocabulary(vocabulary), pattern, definition))
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, components, dac, fm, jaccard, packing, quality, shingles
+from quarry.llm import bpe, components, dac, entry, fm, jaccard, packing, quality, shingles
 
 WORDS = "the of and to in reing thation onder ver, und Der! é ção naïve 12 x7 don't ### %% | ¿qué? 日本".split()
 
@@ -131,6 +131,28 @@ def test_token_files_round_trip(spark, docs, texts, empty, monkeypatch):
     assert sorted(r["start"] for r in dac.write_and_read(odd, P.path("word_bpe_49k.json")).collect()) == [0, 2, 4]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>Y <|endoftext|><|endoftext|>\n z", "<|ENDOFTEXT|> and <|endoftext", "plain", None, "Caf\u0065\u0301 <|endoftext|> \x1c"]
+
+
+def test_added_tokens_as_the_library_has_them(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda ids: zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in SPECIAL]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in entry.op8_token_files(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), crc(x)) for i, x in enumerate(ids)} and got[0][0] == 4
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in SPECIAL]
+    import corpus_pipeline
+
+    for rows in (entry.op7_packing(spark, str(tmp_path)), corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))):
+        rows = rows.collect()
+        assert {(r["doc_id"], r["doc_tokens"]) for r in rows} == {(i, len(x)) for i, x in enumerate(ids)}
+        for r in rows:
+            assert r["ids_crc32"] == crc(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]])
+
+
 def shingle_sets(texts, width):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     out = []

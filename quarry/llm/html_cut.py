@@ -13,7 +13,8 @@ changes the value of the cut; what remains goes through a max-flow by shortest a
 Capacities are integers, so results are exact and repeatable.
 
 Null html counts as empty and gives empty text. Character references are decoded, white space inside
-a block becomes one space, blocks are joined by a line feed in page order. Each row yields one row,
+a block becomes one space, blocks are joined by a line feed in page order. Elements whose content is no
+text (RAW) are left out whole; one without an end tag loses its tag alone, unless its content can hold no tags (ENDLESS). Each row yields one row,
 repeats included; other columns are ignored. Nothing is cut from long pages.
 """
 
@@ -32,6 +33,8 @@ from .common import arrow_rows, schema_of
 # Element and class vocabularies of the classifier.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select head".split())
+#: Without an end tag these reach to the end of the page.
+ENDLESS = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BAD_TAGS = frozenset("nav footer aside form button menu dialog fieldset datalist".split())
 GOOD_TAGS = frozenset("article main".split())
@@ -117,6 +120,7 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     root = top = Frame("#root", None, "")
     texts, linked, holder = [], 0, root
+    unclosed: set[str] = set()  # tags without an end tag in what is left of the page
 
     def flush() -> None:
         nonlocal linked
@@ -158,9 +162,15 @@ def blocks(html: str) -> list[Block]:
         if tag in RAW:
             if tag not in ("svg", "math"):
                 flush()
-            if tag != "head":
+            empty = tag in ("svg", "math") and (m[3] or m[6] or "").endswith("/")
+            if tag != "head" and not empty and tag not in unclosed:
                 end = _RAW_END[tag].search(html, at)
-                at = end.end() if end else size
+                if end:
+                    at = end.end()
+                elif tag in ENDLESS:
+                    at = size
+                else:
+                    unclosed.add(tag)
             continue
         if tag not in INLINE:
             flush()

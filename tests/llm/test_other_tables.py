@@ -45,6 +45,21 @@ def test_main_text():
     assert html_cut.main_text("<article>" + "<p>A whole sentence with quite a few words in it.</p>" * 3000).count("\n") == 2999
 
 
+def test_unclosed_elements_keep_the_page():
+    whole = "A first sentence that is long enough to be kept as a part of the article."
+    rest = "Another sentence that is long enough to be kept as a part of the article."
+    page = f"<article><p>{whole}</p>%s<p>{rest}</p>%s</article>"
+    for tag in ('<svg width="5"/>', "<svg/>", '<math display="block" />', "<p><svg/></p>"):
+        for later in ("", "<svg><text>no</text></svg><math><mi>x</mi></math>"):
+            assert html_cut.main_text(page % (tag, later)).split("\n") == [whole, rest]
+    for tag in ("<select>", "<object data=x>", "<noscript>", "<template>", "<iframe src=x>", "<svg>", "<math>"):
+        assert html_cut.main_text(page % (tag, "")).split("\n") == [whole, rest]
+        assert html_cut.main_text(page % (f"{tag}dropped</{tag[1:-1].split()[0]}>", "")).split("\n") == [whole, rest]
+    for tag in ("<script>", "<style>", "<textarea>", "<title>"):
+        assert html_cut.main_text(page % (tag, "")) == whole
+    assert html_cut.main_text("<article>" + f"<svg><p>{whole}</p>" * 3000).count("\n") == 2999
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "", 5)], "page_id long, url string, html string, n_chars int")
     rows = html_cut.extract(df).collect()

@@ -32,7 +32,7 @@ _QUOTED = r"(?m)^[ \t]*>"
 
 def normalised(text: Column) -> Column:
     """Quote marks off, lower case, white space folded and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, r"(?m)^(?:[ \t]*>)+", "")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, r"(?m)^[ \t]*>[ \t>]*", "")), r"\s+", " "))
 
 
 def body(text: Column) -> Column:
@@ -41,15 +41,25 @@ def body(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?m)^(?:On\b.*\bwrote|.{0,80}\bschrieb.*|Le\b.*\bécrit\s?|El\b.*\bescribió)\s?:[ \t]*(?:\r?\n|\z)", ""))
 
 
-def passages(text: Column) -> Column:
-    """(level, passage) of every run of lines of one depth."""
+def _passages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, key, level and passage of every run of lines of one depth.
 
-    def runs_of(level: int) -> Column:
-        marks = rf"(?:[ \t]*>){{{level}}}(?![ \t]*>)" if level < MOST_LEVELS else rf"(?:[ \t]*>){{{level}}}"
-        runs = F.regexp_extract_all(text, F.lit(rf"(?m)(?:^{marks}.*(?:\n|\z))+"), 0)
-        return F.transform(runs, lambda x: F.struct(F.lit(level).alias("level"), x.alias("passage")))
-
-    return F.flatten(F.array(*map(runs_of, range(1, MOST_LEVELS + 1))))
+    Lines are array elements, so no pattern sees more than one of them. Arrays that are read by place are
+    columns of their own: an expression would be evaluated for every place.
+    """
+    key = ["key", "conv_id", "turn"]
+    marks = lambda x: F.regexp_extract(x, r"^[ \t>]*", 0)
+    depth = lambda x: F.length(marks(x)) - F.length(F.replace(marks(x), F.lit(">"), F.lit("")))
+    lines = messages.select(*key, F.split("text", "\n").alias("line"))
+    lines = lines.select(*key, "line", F.transform("line", lambda x: F.least(depth(x), F.lit(MOST_LEVELS))).alias("level"))
+    places = F.sequence(F.lit(0), F.size("level") - 1)
+    firsts = F.filter(places, lambda i: (i == 0) | (F.get("level", i) != F.get("level", i - 1)))
+    runs = lines.select(*key, "line", "level", firsts.alias("first"))
+    lasts = F.concat(F.transform(F.slice("first", 2, F.size("first")), lambda i: i - 1), F.array(F.size("line") - 1))
+    runs = runs.select(*key, "line", "level", F.explode(F.arrays_zip("first", lasts.alias("last"))).alias("run"))
+    runs = runs.filter(F.get("level", "run.first") > 0)
+    held = F.transform(F.sequence("run.first", "run.last"), lambda i: F.get("line", i))
+    return runs.select(*key, F.get("level", "run.first").alias("level"), F.array_join(held, "\n").alias("passage"))
 
 
 def units(text: Column) -> Column:
@@ -60,8 +70,8 @@ def units(text: Column) -> Column:
 
 def _links(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Units of quoted passages with what they link to, and the counts of each message."""
-    quoted = messages.filter(F.col("text").rlike(_QUOTED)).select("key", "conv_id", "turn", F.explode(passages(F.col("text"))).alias("p"))
-    quoted = quoted.select("key", "conv_id", "turn", "p.level", "p.passage", F.xxhash64("p.level", "p.passage").alias("passage_id"))
+    quoted = messages.filter(F.col("text").rlike(_QUOTED))
+    quoted = _passages(quoted).withColumn("passage_id", F.xxhash64("level", "passage"))
     asked = checkpoint(quoted.select("key", "conv_id", "turn", "level", "passage_id", F.explode(units(F.col("passage"))).alias("unit")).select("*", F.xxhash64("unit").alias("hash"), F.length("unit").alias("weight")).drop("unit"))
     held = messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units(F.col("body"))).alias("unit")).select("conv_id", "turn", F.xxhash64("unit").alias("hash"))
     wanted = asked.select("hash").distinct()

@@ -142,6 +142,19 @@ def test_bounds_hold():
     assert (vafile.Cells(v).upper(q) >= q @ v.T).all()
 
 
+def test_long_quotes(spark):
+    words = [f"line {i} of the text" for i in range(100_000)]
+    mixed = "".join(f"{'>' * (1 + i % 2)} {w}\n" for i, w in enumerate(words[:20_000]))  # a run for each line
+    rows = [(1, 0, "\n".join(words)), (1, 1, "\n".join("> " + w for w in words) + "\nI agree"), (1, 2, mixed), (1, 3, "> " * 30_000 + words[5]), (1, 4, "> line 7 of the text\r\nSo\r\n>> line 8 of the text\r\n")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in quoting.link(df).collect()}
+    assert [got[t]["n_passages"] for t in range(5)] == [0, 1, 20_000, 1, 2]
+    assert [got[t]["n_linked"] for t in range(5)] == [0, 1, 20_000, 1, 2]
+    assert [got[t]["n_levels"] for t in (0, 1, 2, 4)] == [0, 1, 2, 2]
+    assert [got[t]["parent_turn"] for t in range(5)] == [None, 0, 0, None, 0]
+    assert (got[1]["body"], got[2]["body"], got[3]["body"], got[4]["body"]) == ("I agree", "", "", "So\r\n")
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "On Monday A wrote:\n> Hello  there.\n> how are you?\nFine thanks."),

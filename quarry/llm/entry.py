@@ -34,7 +34,7 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quoting.link(table(spark, sf_dir, "conversations"))
+    return quoting.link(table(spark, sf_dir, "conversations"), most_levels=None)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

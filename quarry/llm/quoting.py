@@ -12,7 +12,7 @@ Everything is DataFrame expressions. Originals are cut to one row per unit befor
 that thousands of messages hold or quote costs one row on that side.
 
 Null text counts as empty, without passages. Messages that quote nothing known are roots of their own.
-Depths from MOST_LEVELS on count as MOST_LEVELS. Rows that repeat a conv_id and turn keep their own bodies and
+Depths from most_levels on count as most_levels; None, as the query has it, sets no bound. Rows that repeat a conv_id and turn keep their own bodies and
 share one parent, the earliest of theirs; null conv_id or turn never links. Other columns are ignored; an
 empty table gives no rows.
 """
@@ -41,7 +41,7 @@ def body(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?m)^(?:On\b.*\bwrote|.{0,80}\bschrieb.*|Le\b.*\bécrit\s?|El\b.*\bescribió)\s?:[ \t]*(?:\r?\n|\z)", ""))
 
 
-def _passages(messages: DataFrame) -> DataFrame:
+def _passages(messages: DataFrame, most_levels: int | None) -> DataFrame:
     """conv_id, turn, key, level and passage of every run of lines of one depth.
 
     Lines are array elements, so no pattern sees more than one of them. Arrays that are read by place are
@@ -51,7 +51,7 @@ def _passages(messages: DataFrame) -> DataFrame:
     marks = lambda x: F.regexp_extract(x, r"^[ \t>]*", 0)
     depth = lambda x: F.length(marks(x)) - F.length(F.replace(marks(x), F.lit(">"), F.lit("")))
     lines = messages.select(*key, F.split("text", "\n").alias("line"))
-    lines = lines.select(*key, "line", F.transform("line", lambda x: F.least(depth(x), F.lit(MOST_LEVELS))).alias("level"))
+    lines = lines.select(*key, "line", F.transform("line", lambda x: F.least(depth(x), F.lit(most_levels)) if most_levels else depth(x)).alias("level"))
     places = F.sequence(F.lit(0), F.size("level") - 1)
     firsts = F.filter(places, lambda i: (i == 0) | (F.get("level", i) != F.get("level", i - 1)))
     runs = lines.select(*key, "line", "level", firsts.alias("first"))
@@ -68,10 +68,10 @@ def units(text: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.array(normalised(text)), lines)), lambda x: x != "")
 
 
-def _links(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _links(messages: DataFrame, most_levels: int | None) -> tuple[DataFrame, DataFrame]:
     """Units of quoted passages with what they link to, and the counts of each message."""
     quoted = messages.filter(F.col("text").rlike(_QUOTED))
-    quoted = _passages(quoted).withColumn("passage_id", F.xxhash64("level", "passage"))
+    quoted = _passages(quoted, most_levels).withColumn("passage_id", F.xxhash64("level", "passage"))
     asked = checkpoint(quoted.select("key", "conv_id", "turn", "level", "passage_id", F.explode(units(F.col("passage"))).alias("unit")).select("*", F.xxhash64("unit").alias("hash"), F.length("unit").alias("weight")).drop("unit"))
     held = messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units(F.col("body"))).alias("unit")).select("conv_id", "turn", F.xxhash64("unit").alias("hash"))
     wanted = asked.select("hash").distinct()
@@ -100,12 +100,12 @@ def _ancestors(parents: DataFrame) -> DataFrame:
     raise RuntimeError("threads did not settle")
 
 
-def link(df: DataFrame) -> DataFrame:
+def link(df: DataFrame, most_levels: int | None = MOST_LEVELS) -> DataFrame:
     """One row per message: conv_id, turn, role, body (without quotes), n_levels, n_passages, n_linked,
     parent_conv, parent_turn, root_conv, root_turn and depth (all long but role and body)."""
     messages = df.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     messages = messages.withColumns({"body": body(F.col("text")), "key": F.xxhash64("conv_id", "turn", "text")})
-    linked, counts = _links(messages)
+    linked, counts = _links(messages, most_levels)
     votes = linked.filter("level = 1 and target is not null").groupBy("conv_id", "turn", "key", "target").agg(F.sum("weight").alias("weight"))
     best = votes.groupBy("conv_id", "turn", "key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("target").alias("t")))["t"].alias("target"))
     parents = checkpoint(best.groupBy("conv_id", "turn").agg(F.min("target").alias("parent")))

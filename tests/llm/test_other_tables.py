@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm import html_cut, quoting, vafile, warc
+from quarry.llm import entry, html_cut, quoting, vafile, warc
 from quarry.llm.common import work_dir
 
 
@@ -155,6 +155,14 @@ def test_long_quotes(spark):
     assert (got[1]["body"], got[2]["body"], got[3]["body"], got[4]["body"]) == ("I agree", "", "", "So\r\n")
 
 
+def test_quotes_nest_without_bound(spark, tmp_path):
+    deep = "\n".join(">" * (40 - k) + f" words of level {40 - k}" for k in range(40))
+    rows = [(1, k, "user", f"words of level {k}") for k in range(1, 41)] + [(1, 50, "user", deep), (1, 51, "user", "> " * 17 + "words of level 9")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: (r["n_levels"], r["n_passages"], r["n_linked"]) for r in entry.op5_quotation_linking(spark, str(tmp_path)).filter("turn >= 50").collect()}
+    assert got == {50: (40, 40, 40), 51: (17, 1, 1)}
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "On Monday A wrote:\n> Hello  there.\n> how are you?\nFine thanks."),

@@ -354,8 +354,8 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
     members = rows.join(classes, "name", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     members = checkpoint(members)
     # a doc_id of several different rows ties their classes together
-    ties = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a <> z").select("doc_id", "a")
-    ties = members.join(ties, "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct()
+    mixed = checkpoint(members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a <> z"))
+    ties = members.join(mixed.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct()
 
     largest = members.agg(F.max("n_shingles")).first()[0] or 0
     limits = band_limits(largest, percent)
@@ -379,7 +379,8 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[at:to]).view(np.int64)), pa.array(ids)], names=["signature", "doc_id"])
                 at = to
 
-    copies = members.filter("doc_id <> class_id").select("doc_id").distinct()
+    # a doc_id that has another text besides stays, for no row but its own may stand for that
+    copies = members.filter("doc_id <> class_id").select("doc_id").distinct().join(mixed.filter("z = doc_id").select("doc_id"), "doc_id", "left_anti")
     single = _only(docs.filter("doc_id is not null"), copies, "left_anti")
     indexed = single.mapInArrow(index, "signature bigint, doc_id bigint")
     by = Window.partitionBy("signature")

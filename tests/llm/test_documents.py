@@ -214,6 +214,17 @@ def test_jaccard_join_odd_keys(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_with_a_copy_in_a_repeated_id(spark):
+    rng = random.Random(8)
+    a, b = (" ".join(f"{x}{rng.randint(0, 9999)}" for _ in range(80)) for x in "ab")
+    near = " ".join([*b.split()[:-1], "changed"])
+    rows = [(3, a), (5, a), (5, b), (9, near), (12, b), (20, "something else that is alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for table, ids in ((df, {3, 5, 9, 12}), (df.filter("doc_id <> 12"), {3, 5, 9})):
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.join(table).collect()} == dict.fromkeys(ids, 3) | {20: 20}
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == [3, 20]
+
+
 @pytest.mark.parametrize("frequent_share", [0, 0.1, 0.5, 1.0])
 def test_every_qualifying_pair_shares_a_signature(frequent_share):
     rng = np.random.default_rng(int(frequent_share * 10))

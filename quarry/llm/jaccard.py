@@ -17,13 +17,18 @@ index the first k + 1 of them in a fixed order. Sets with few rare shingles inde
 ranges overlap by k, so that every qualifying pair meets in one universe: no link is lost whatever
 counts as frequent.
 
-Sets that are equal are one class from the start. Candidates are verified on their whole sets. First
-every set meets the smallest of the ids that lead its buckets, then those that lead the buckets whose
-leader is still in another component; links make components; then only pairs of a
-bucket that are still in different components are verified: as rows in buckets of up to HOT sets, and
-for larger ones block against block of the sets that such buckets tie together, where only links that
-join two components leave the task. So thousands of near copies never become a row for each pair, and
-no connection is lost.
+Sets that are equal are one class from the start. A signature that SHARED sets of a task's chunk hold
+is dealt by their ids to 4,095 slots of it, and one of the sets stands for the chunk in slot 0: so no slot
+grows as a group of near copies does, and the smallest ids of a signature's slots are tied together.
+
+Candidates pass a bound first: a set's odd sketch has one bit for each class of its elements' hashes, set if
+the class holds an odd number of them, so two sketches differ in at most as many bits as their sets in
+elements. What can still be similar is verified on whole sets. First every set meets the smallest of
+the ids that lead its slots, then those that lead the slots whose leader is still in another
+component; links make components; then only pairs of a signature that are still in different
+components are verified: as rows for signatures of up to HOT sets, and for larger ones block against block of
+the sets that such signatures tie together, where only links that join two components leave the task. So
+thousands of near copies never become a row for each pair, and no connection is lost.
 
 Defined cases: null or blank text has an empty set and links with nothing; a text of fewer words than
 the shingle is one shingle; rows that share a doc_id are one node; a null doc_id has no component; an
@@ -55,6 +60,11 @@ FREQUENT = 1000
 STRETCH = 4_000_000
 #: Share of rare shingles, in hundredths of a band's least size, from which their segments are indexed.
 RARE_PERCENT = 75
+#: Low bits of a signature that number its slots; sets of a chunk of about so many signatures that share one before it is dealt.
+SLOTS, SHARED, CHUNK = 4095, 4, 1_000_000
+MASK = (1 << 64) - 1 - SLOTS
+#: Signatures of more than one in GIANT of all rows are at most that many, so they are broadcast.
+GIANT, GIANT_ROWS = 1_000_000, 256
 #: Sets of a bucket whose pairs become rows at most; larger buckets go by blocks of about so many sets or bytes.
 HOT = 16
 BLOCK_SETS, BLOCK_BYTES = 512, 4 << 20
@@ -189,6 +199,36 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def odd_sketch(u: np.ndarray) -> bytes:
+    """Parities of the classes of a set's hashes: a power of two of them, at least twice its size."""
+    bits = max(64, 1 << (2 * len(u) - 1).bit_length())
+    odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Elements in which the sets of two sketches differ, at least."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):  # the parity of two classes together
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sketches (doc_id, n_shingles, sketch) allow them to be similar."""
+    met = pairs.join(sketches.toDF("a", "na", "x"), "a").join(sketches.toDF("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+
+    def bound(batches):
+        for batch in batches:
+            n, x, y = np.add(batch.column("na").to_numpy(), batch.column("nb").to_numpy()), batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            keep = [least_difference(p, q) * (100 + percent) <= m * (100 - percent) for m, p, q in zip(n.tolist(), x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return checkpoint(met.mapInArrow(bound, "a bigint, b bigint").distinct())
+
+
 def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """A semi or anti join on doc_id; the ids are broadcast if they are few."""
     return df.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", how)
@@ -267,10 +307,9 @@ def spanning_links(left: tuple[list, list, list], right: tuple[list, list, list]
     return out
 
 
-def _by_blocks(docs: DataFrame, hot: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among the sets of large buckets (signature, doc_id, component) that are in different components."""
-    least = F.min("doc_id").over(Window.partitionBy("signature"))
-    ties = hot.select(least.alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+def _by_blocks(docs: DataFrame, hot: DataFrame, heads: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among the sets of large buckets (doc_id, hub, component) that are in different components; heads tie hubs."""
+    ties = hot.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(heads).filter("a <> b").distinct()
     cluster = components(ties).toDF("doc_id", "cluster")
     placed = hot.select("doc_id", "component").distinct().join(cluster, "doc_id")
     held = checkpoint(placed.join(_cut(docs, placed.select("doc_id"), width), "doc_id"))
@@ -295,7 +334,7 @@ def _by_blocks(docs: DataFrame, hot: DataFrame, width: int, percent: int) -> Dat
 
 def _counted(stretches: list[bytes]) -> pa.RecordBatch:
     n = len(stretches)
-    return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(n, pa.int64()), "n_shingles": pa.array([-1] * n, pa.int64()), "name": pa.nulls(n, pa.binary()), "often": pa.array(stretches, pa.binary())})
+    return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(n, pa.int64()), "n_shingles": pa.array([-1] * n, pa.int64()), "name": pa.nulls(n, pa.binary()), "sketch": pa.nulls(n, pa.binary()), "often": pa.array(stretches, pa.binary())})
 
 
 def _frequent(often: DataFrame, documents: int) -> np.ndarray:
@@ -333,21 +372,23 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
             return [np.stack([found[there], times[there].astype(np.uint64)]).tobytes()]
 
         for batch in batches:
-            size, name, counted = [], [], []
+            size, name, sketch, counted = [], [], [], []
             for u in shingles.sets(batch.column("text"), width):
                 size.append(len(u))
+                sketch.append(odd_sketch(u) if len(u) else None)
                 name.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
                 held.append(u)
                 most += len(u)
                 if most >= STRETCH:
                     counted, most = counted + often(), 0
-            yield arrow_rows(batch, ["doc_id"], {"n_shingles": (size, pa.int64()), "name": (name, pa.binary()), "often": ([None] * len(size), pa.binary())})
+            yield arrow_rows(batch, ["doc_id"], {"n_shingles": (size, pa.int64()), "name": (name, pa.binary()), "sketch": (sketch, pa.binary()), "often": ([None] * len(size), pa.binary())})
             yield _counted(counted)
         if held:
             yield _counted(often())
 
-    measured = checkpoint(docs.mapInArrow(measure, "doc_id bigint, n_shingles bigint, name binary, often binary"))
-    rows = measured.filter("n_shingles >= 0").drop("often")
+    measured = written(docs.mapInArrow(measure, "doc_id bigint, n_shingles bigint, name binary, sketch binary, often binary"))
+    rows = measured.filter("n_shingles >= 0").select("doc_id", "n_shingles", "name")
+    sketches = measured.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
     frequent = _frequent(measured.filter("n_shingles < 0").select("often"), rows.count())
     classes = rows.filter("doc_id is not null and name is not null").groupBy("name").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1")
     classes = checkpoint(classes.select("name", "class_id"))
@@ -364,52 +405,79 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(batches):
+        """Rows of a chunk of whole sets: (signature and slot in one number, doc_id)."""
+        ids, found, held = [], [], 0
+
+        def chunk():
+            of = np.repeat(np.array(ids, np.int64), [len(x) for x in found])
+            names, at, n = np.unique(np.concatenate(found) & np.uint64(MASK), return_inverse=True, return_counts=True)
+            dealt = n[at] >= SHARED
+            least = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(least, at[dealt], of[dealt])
+            stand = np.flatnonzero(n >= SHARED)
+            slot = shingles.mix(of.view(np.uint64)) % np.uint64(SLOTS) + np.uint64(1)
+            names_of = np.where(dealt, names[at] | slot, names[at])
+            ids.clear()
+            found.clear()
+            for rows, docs_ in ((names_of, of), (names[stand], least[stand])):
+                yield pa.RecordBatch.from_arrays([pa.array(rows.view(np.int64)), pa.array(docs_)], names=["slot", "doc_id"])
+
         for batch in batches:
-            keys, found = batch.column("doc_id").to_pylist(), []
-            for u in shingles.sets(batch.column("text"), width):
-                found.append(np.concatenate([signatures(u, b, known.value, percent) for b in bands_of(len(u), bands, percent)]) if len(u) else np.zeros(0, np.uint64))
-            n = [len(x) for x in found]
-            at = 0
-            while at < len(keys):  # a few million rows at a time
-                to, held = at, 0
-                while to < len(keys) and (to == at or held + n[to] <= 500_000):
-                    held += n[to]
-                    to += 1
-                ids = np.repeat(np.array([k if k is not None else 0 for k in keys[at:to]], np.int64), n[at:to])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[at:to]).view(np.int64)), pa.array(ids)], names=["signature", "doc_id"])
-                at = to
+            for i, u in zip(batch.column("doc_id").to_pylist(), shingles.sets(batch.column("text"), width), strict=True):
+                if len(u):
+                    ids.append(i)
+                    found.append(np.unique(np.concatenate([signatures(u, b, known.value, percent) for b in bands_of(len(u), bands, percent)])))
+                    held += len(found[-1])
+                if held >= CHUNK:
+                    yield from chunk()
+                    held = 0
+        if ids:
+            yield from chunk()
 
     # a doc_id that has another text besides stays, for no row but its own may stand for that
     copies = members.filter("doc_id <> class_id").select("doc_id").distinct().join(mixed.filter("z = doc_id").select("doc_id"), "doc_id", "left_anti")
     single = _only(docs.filter("doc_id is not null"), copies, "left_anti")
-    indexed = single.mapInArrow(index, "signature bigint, doc_id bigint")
-    by = Window.partitionBy("signature")
-    buckets = indexed.withColumns({"hub": F.min("doc_id").over(by), "top": F.max("doc_id").over(by)}).filter("hub <> top").select("signature", "doc_id", "hub")
+    indexed = single.mapInArrow(index, "slot bigint, doc_id bigint")
+    by = Window.partitionBy("slot")
+    led = indexed.withColumns({"hub": F.min("doc_id").over(by), "top": F.max("doc_id").over(by)}).withColumn("part", F.col("slot").bitwiseAND(SLOTS))
+    buckets = led.filter("hub <> top or part > 0").select((F.col("slot") - F.col("part")).alias("signature"), "part", "doc_id", "hub")
     # in columns, which take half the room of a checkpoint's rows
     buckets = written(buckets)
-    stars = checkpoint(buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    # the hubs of a dealt signature's slots, at most SLOTS + 1
+    parted = buckets.filter("part > 0").select("signature", "hub").distinct()
+    hubs = parted.union(buckets.filter("part = 0 and doc_id = hub").select("signature", "hub").join(parted.select("signature").distinct(), "signature", "left_semi"))
+    heads = hubs.join(hubs.groupBy("signature").agg(F.min("hub").alias("a")), "signature").select("signature", "a", F.col("hub").alias("b")).filter("a <> b")
+    heads = checkpoint(heads.distinct())
+    stars = checkpoint(buckets.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(heads.select("a", "b")).filter("a <> b").distinct())
     # one pair for each set first: of its hubs the smallest; then only what that left apart
     first = checkpoint(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = checkpoint(_verify(docs, first, width, percent).union(ties))
+    links = checkpoint(_verify(docs, _possible(first, sketches, percent), width, percent).union(ties))
     found = checkpoint(components(links))
     at = lambda c: found.toDF(c, f"c{c}")
     apart = stars.join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    apart = checkpoint(apart)
+    apart = _possible(apart, sketches, percent)
     if not apart.isEmpty():
         links = checkpoint(links.union(_verify(docs, apart, width, percent)))
         found = checkpoint(components(links))
 
-    placed = buckets.join(found.toDF("doc_id", "component"), "doc_id", "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_ = placed.withColumns({"least": F.min("component").over(by), "most": F.max("component").over(by), "n": F.count("*").over(by)}).filter("least <> most").select("signature", "doc_id", "component", "n")
-    open_ = checkpoint(open_)
-    cold, hot = open_.filter(F.col("n") <= HOT).drop("n"), open_.filter(F.col("n") > HOT).drop("n")
+    placed = buckets.join(found.toDF("doc_id", "component"), "doc_id", "left").select("signature", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
+    # minima and counts are taken before the shuffle, and rows of frequent signatures do not meet in one task after it;
+    # two sets have met as a star
+    open_ = placed.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).filter("least <> most and n > 2")
+    open_ = checkpoint(open_.select("signature", "n"))
+    many = max(GIANT_ROWS, (open_.agg(F.sum("n")).first()[0] or 0) // GIANT)
+    giant = F.broadcast(open_.filter(F.col("n") > many))
+    few = placed.join(giant.select("signature"), "signature", "left_anti").join(open_.filter(F.col("n") <= many), "signature")
+    rows_of = checkpoint(few.unionByName(placed.join(giant, "signature")))
+    cold, hot = rows_of.filter(F.col("n") <= HOT).drop("n", "hub"), rows_of.filter(F.col("n") > HOT).drop("n")
     left, right = cold.toDF("signature", "a", "ca"), cold.toDF("signature", "b", "cb")
     rest = left.join(right, "signature").filter("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    rest, more = checkpoint(rest), None
+    rest, more = _possible(rest, sketches, percent), None
     if not rest.isEmpty():
         more = _verify(docs, rest, width, percent)
     if not hot.isEmpty():
-        dense = _by_blocks(docs, hot, width, percent)
+        own = heads.join(open_.filter(F.col("n") > HOT), "signature", "left_semi").select("a", "b")
+        dense = _by_blocks(docs, hot, own, width, percent)
         more = more.union(dense) if more else dense
     if more:
         links = checkpoint(links.union(more.distinct()))

@@ -205,6 +205,44 @@ def test_jaccard_join_against_brute_force(spark, width, percent):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_components(ids, sets, percent).values()))
 
 
+def near_copies(rng, groups, each):
+    """Groups of near copies with exact ones among them, texts that share a passage, and one long text."""
+    vocabulary = [f"w{i}" for i in range(3000)]
+    out = []
+    for _ in range(groups):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 200))]
+        for _ in range(each):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            out.append(" ".join(w))
+    passage = " ".join(rng.choice(vocabulary) for _ in range(60))
+    out += [passage + " " + " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 90))) for _ in range(60)]
+    long = [rng.choice(vocabulary) for _ in range(30_000)]
+    return [*out, " ".join(long), " ".join(long[:-700])]
+
+
+@pytest.mark.parametrize("bounds", [{"CHUNK": 3000, "SHARED": 2, "SLOTS": 4095}, {"HOT": 3, "BLOCK_SETS": 7, "FREQUENT": 10, "STRETCH": 2000, "CHUNK": 10_000}, {"GIANT": 20, "GIANT_ROWS": 5, "BLOCK_BYTES": 4000, "HOT": 2, "COLUMNS": 16}])
+def test_jaccard_join_dealt_and_by_blocks(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(jaccard, name, value)
+    texts = near_copies(random.Random(len(bounds)), 5, 40)
+    ids = list(range(len(texts)))
+    random.Random(3).shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(df).collect()}
+    assert got == brute_components(ids, shingle_sets(texts, 4), 85)
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        u = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900), dtype=np.uint64))
+        v = np.unique(np.concatenate([u[int(rng.integers(0, len(u))) :], rng.integers(0, 1 << 63, int(rng.integers(0, 400)), dtype=np.uint64)]))
+        found = jaccard.least_difference(jaccard.odd_sketch(u), jaccard.odd_sketch(v))
+        assert found <= len(np.setxor1d(u, v)) and (found - len(np.setxor1d(u, v))) % 2 == 0
+
+
 def test_jaccard_join_odd_keys(spark):
     rows = [(7, "a b c d e"), (7, "a b c d e"), (7, "p q r s t"), (9, "P q r s t"), (None, "a b c d e"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,21 +1,26 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A forgiving parser turns a page into blocks: runs of text between block-level tags, each with its
-ancestors and the share of its characters inside links. A linear classifier over tag, class, length
-and link features gives every block a log-odds of being content; its positive part is the capacity
-from the source, its negative part the capacity to the sink. Smoothness edges join blocks that
-follow each other (stronger the closer they are in the tree) and blocks that follow each other under
-one parent. The minimum cut labels all blocks at once: a short line between paragraphs stays, a
-sentence inside a menu goes.
-
-Blocks whose terminal capacity is at least the sum of their edges are settled first, which never
-changes the value of the cut; what remains goes through a max-flow by shortest augmenting paths.
-Capacities are integers, so results are exact and repeatable.
+ancestors and the share of its characters inside links. The graph has a node for each block and one for each
+element whose tag, class, id, role or visibility says something. A linear classifier gives every node
+log-odds of being content: a block's from its own text alone (length, links, punctuation, heading), an
+element's from what it and its ancestors are called. The positive part is the capacity from the source,
+the negative part that to the sink. Smoothness edges join a block to the nearest such element, blocks that
+follow each other (stronger the closer they are in the tree) and blocks that follow each other under one
+parent; blocks of different elements are nearly free of each other. The minimum cut labels all nodes at once:
+a word between paragraphs of an article stays although its text says menu, a paragraph in a footer goes
+although its text says content, and an element of doubtful name goes the way of what it holds.
+
+Nodes whose terminal capacity is at least the sum of their edges are settled first, which never
+changes the value of the cut; what remains goes, a connected part at a time, through a max-flow by
+blocking flows on levels. Capacities are integers, so results are exact and repeatable.
 
 Null html counts as empty and gives empty text. Character references are decoded, white space inside
 a block becomes one space, blocks are joined by a line feed in page order. Elements whose content is no
-text (RAW) are left out whole; one without an end tag loses its tag alone, unless its content can hold no tags (ENDLESS). Each row yields one row,
-repeats included; other columns are ignored. Nothing is cut from long pages.
+text (RAW) are left out whole; one without an end tag loses its tag alone, unless its content can hold no tags (ENDLESS).
+Tags that are neither block-level nor known are inline, as in browsers. Each row yields one row,
+repeats included; other columns are ignored, also those named text or n_chars. Nothing is cut from long pages, and
+time grows with their length, however deep they nest.
 """
 
 from __future__ import annotations
@@ -32,10 +37,13 @@ from .common import arrow_rows, schema_of
 
 # Element and class vocabularies of the classifier.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select head".split())
+RAW = frozenset("script style noscript template iframe textarea title svg select head".split())
 #: Without an end tag these reach to the end of the page.
 ENDLESS = frozenset("script style textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCK_TAGS = frozenset(
+    "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html "
+    "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 BAD_TAGS = frozenset("nav footer aside form button menu dialog fieldset datalist".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_WORDS = frozenset(
@@ -46,13 +54,20 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 NEUTRAL_WORDS = frozenset("has with no layout wrapper wrap container page site outer inner".split())
+#: Beside a bad word these leave a name as bad as it is; other words make it doubtful.
+PLAIN_WORDS = NEUTRAL_WORDS | GOOD_WORDS | frozenset("area articles bar block bottom box button buttons group inline item items left link links list main mobile posts primary right secondary section slot stories text top unit".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSABLE = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
+LAYOUT_WORDS = frozenset("sidebar header footer nav menu hero banner".split())
 SCOPES = frozenset("ul ol dl table tr article section div body main aside nav footer header form blockquote".split())
 
-#: Log-odds of the classifier, in thousandths.
-BIAS, BAD, GOOD, HIDDEN, LINKS, SHORT, LONG, SENTENCE, HEADER, HEADING = -600, -9000, 5000, -12000, -4000, -700, 1600, 700, -3000, 900
-#: Smoothness: neighbours in page order under one parent, in nearby parents, and siblings in general.
-NEAR, FAR, SIBLING = 900, 250, 400
+#: Log-odds of blocks, in thousandths.
+BIAS, LINKS, SHORT, LONG, SENTENCE, HEADING = -600, -3000, -700, 1600, 700, 900
+#: Log-odds of elements, in thousandths; those of GOOD tags, BAD names and HIDDEN elements are held certain.
+BAD, GOOD, HIDDEN, HEADER, GOOD_NAME, DOUBTFUL = -9000, 5000, -20000, -3000, 3000, -1500
+CERTAIN = 1_000_000
+#: Smoothness: a block and its element; neighbours in page order under one parent, in nearby parents, in other elements; siblings.
+HOLD, NEAR, FAR, OTHER, SIBLING = 4000, 900, 250, 100, 400
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/]|$)", re.I)
@@ -61,10 +76,10 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @lru_cache(maxsize=20_000)
-def attribute_score(tag: str, attributes: str) -> int:
-    """What class, id, role and visibility say of an element, in thousandths of log-odds."""
+def attribute_score(tag: str, attributes: str) -> tuple[int, bool]:
+    """What class, id, role and visibility say of an element, in thousandths of log-odds, and whether that is certain."""
     if tag in ("html", "body"):
-        return 0
+        return 0, False
     names, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -73,40 +88,63 @@ def attribute_score(tag: str, attributes: str) -> int:
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name in ("class", "id", "role", "itemprop"):
-            names += [w.lower() for w in _WORD.findall(value)]
-    score = HIDDEN if hidden else 0
-    words = set(names)
-    bad, good = words & BAD_WORDS, words & GOOD_WORDS
-    if bad and not (good | words & NEUTRAL_WORDS and bad <= {"sidebar", "header", "footer", "nav", "menu", "hero", "banner"} and words & NEUTRAL_WORDS):
-        return score + BAD
-    return score + (GOOD * 3 // 5 if good else 0)
+            names += [frozenset(w.lower() for w in _WORD.findall(x)) for x in value.split()]
+    if hidden:
+        return HIDDEN, True
+    words = frozenset().union(*names)
+    good = words & GOOD_WORDS
+    doubt = False
+    for name in names:
+        bad = name & BAD_WORDS
+        if not bad or bad <= LAYOUT_WORDS and (good | words & NEUTRAL_WORDS) and words & NEUTRAL_WORDS:
+            continue
+        if name - bad <= PLAIN_WORDS:
+            return BAD, True
+        doubt = True
+    return (GOOD_NAME if good else 0) + (DOUBTFUL if doubt else 0), False
+
+
+def is_block(tag: str) -> bool:
+    return tag in BLOCK_TAGS or "-" in tag
 
 
 class Frame:
-    __slots__ = ("tag", "score", "link", "parent", "depth")
+    """An open element: score and certain say what it and its ancestors are called."""
+
+    __slots__ = ("tag", "score", "certain", "form", "link", "parent", "depth", "element", "holder", "near")
 
     def __init__(self, tag: str, parent: Frame | None, attributes: str):
         self.tag, self.parent = tag, parent
         if parent is None:
-            self.score, self.link, self.depth = 0, False, 0
+            self.score, self.certain, self.form, self.link, self.depth, self.element, self.holder, self.near = 0, False, 0, False, 0, None, self, None
             return
-        own = attribute_score(tag, attributes) if attributes else 0
+        own, certain = attribute_score(tag, attributes) if attributes else (0, False)
+        self.form = parent.form
         if tag in BAD_TAGS:
-            own += BAD
+            own, certain = own + BAD, True
+            if tag == "form":
+                self.form += BAD
         elif tag in GOOD_TAGS:
-            own += GOOD
+            # an article inside a form is no part of one
+            own, certain, self.form = own + GOOD - parent.form, True, 0
         elif tag == "header":
-            own += HEADER
-        self.score, self.link, self.depth = parent.score + own, parent.link or tag == "a", parent.depth + 1
+            own, certain = own + HEADER, True
+        self.score, self.certain, self.link, self.depth = parent.score + own, parent.certain or certain, parent.link or tag == "a", parent.depth + 1
+        self.element = self if own or certain else parent.element
+        self.holder = self if is_block(tag) else parent.holder
+        self.near = self if tag in CLOSABLE else None if tag in SCOPES else parent.near
+
+    def terminal(self) -> int:
+        return self.score * CERTAIN if self.certain else self.score
 
 
 class Block:
-    __slots__ = ("text", "score", "holder", "heading")
+    __slots__ = ("text", "score", "holder", "element")
 
-    def __init__(self, text: str, linked: int, holder: Frame):
-        self.text, self.holder = text, holder
+    def __init__(self, text: str, linked: int, holder: Frame, element: Frame | None):
+        self.text, self.holder, self.element = text, holder, element
         n = text.count(" ") + 1
-        score = BIAS + holder.score + (SHORT if n < 5 else LONG if n >= 12 else 0)
+        score = BIAS + (SHORT if n < 5 else LONG if n >= 12 else 0)
         if linked * 2 > len(text):
             score += LINKS
         if text[-1] in ".!?…。":
@@ -119,7 +157,8 @@ class Block:
 def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     root = top = Frame("#root", None, "")
-    texts, linked, holder = [], 0, root
+    texts, linked, holder, element = [], 0, root, None
+    open_: dict[str, int] = {}
     unclosed: set[str] = set()  # tags without an end tag in what is left of the page
 
     def flush() -> None:
@@ -127,7 +166,7 @@ def blocks(html: str) -> list[Block]:
         if texts:
             text = " ".join(unescape("".join(texts)).split())
             if text:
-                out.append(Block(text, linked, holder))
+                out.append(Block(text, linked, holder, element))
             texts.clear()
         linked = 0
 
@@ -142,27 +181,31 @@ def blocks(html: str) -> list[Block]:
                 if not texts:
                     if run.isspace():
                         continue
-                    holder = top
-                    while holder.tag in INLINE and holder.parent is not None:
-                        holder = holder.parent
+                    holder, element = top.holder, top.element
                 texts.append(run)
                 if top.link:
                     linked += len(run)
             continue
         tag = tag.lower()
+        block = is_block(tag)
         if m[1] or m[4]:
-            if tag not in INLINE:
+            if block:
                 flush()
-            f = top
-            while f is not root and f.tag != tag and not (tag in INLINE and f.tag not in INLINE):
-                f = f.parent
-            if f.tag == tag and f is not root:
-                top = f.parent
+            if open_.get(tag):
+                f = top
+                while f.tag != tag and (block or f.holder is not f):
+                    f = f.parent
+                if f.tag == tag:
+                    while top is not f:
+                        open_[top.tag] -= 1
+                        top = top.parent
+                    open_[tag] -= 1
+                    top = f.parent
             continue
         if tag in RAW:
-            if tag not in ("svg", "math"):
+            if tag != "svg":
                 flush()
-            empty = tag in ("svg", "math") and (m[3] or m[6] or "").endswith("/")
+            empty = tag == "svg" and (m[3] or m[6] or "").endswith("/")
             if tag != "head" and not empty and tag not in unclosed:
                 end = _RAW_END[tag].search(html, at)
                 if end:
@@ -172,36 +215,46 @@ def blocks(html: str) -> list[Block]:
                 else:
                     unclosed.add(tag)
             continue
-        if tag not in INLINE:
+        if block:
             flush()
-            closed = CLOSED_BY.get(tag)
-            f = top
-            while f is not root and f.tag not in SCOPES - {tag}:
-                if f.tag == "p" and tag not in INLINE or closed and f.tag in closed or f.tag == tag and tag[0] == "h" and tag[1:].isdigit():
-                    top = f.parent
-                f = f.parent
+            closed, f = CLOSED_BY.get(tag, ()), top.near
+            while f is not None:
+                if f.tag == "p" or f.tag in closed or f.tag == tag and tag[0] == "h":
+                    while top is not f.parent:
+                        open_[top.tag] -= 1
+                        top = top.parent
+                elif f.tag in SCOPES:
+                    break
+                f = f.parent.near
         elif tag == "br":
             texts.append(" ")
         if tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             top = Frame(tag, top, m[3] or m[6] or "")
+            open_[tag] = open_.get(tag, 0) + 1
     flush()
     return out
 
 
-def edges(found: list[Block]) -> dict[tuple[int, int], int]:
-    """Smoothness capacities between blocks i < j."""
-    out: dict[tuple[int, int], int] = {}
-    last: dict[int, int] = {}
+def graph(found: list[Block]) -> tuple[list[int], dict[tuple[int, int], int]]:
+    """Terminal capacities of the blocks, then of the elements that hold them, and smoothness capacities between i < j."""
+    terminal, out = [b.score for b in found], {}
+    last: dict[tuple[int, int], int] = {}
+    node: dict[int, int] = {}
     for j, b in enumerate(found):
         parent = b.holder.parent or b.holder
         if j:
             a = found[j - 1].holder
             near = (a.parent or a) is parent or a is parent or b.holder is (a.parent or a)
-            out[j - 1, j] = NEAR if near else FAR
-        if (i := last.get(id(parent))) is not None:
+            out[j - 1, j] = OTHER if found[j - 1].element is not b.element else NEAR if near else FAR
+        if (i := last.get((id(parent), id(b.element)))) is not None:
             out[i, j] = out.get((i, j), 0) + SIBLING
-        last[id(parent)] = j
-    return out
+        last[id(parent), id(b.element)] = j
+        if b.element is not None:
+            if id(b.element) not in node:
+                node[id(b.element)] = len(terminal)
+                terminal.append(b.element.terminal())
+            out[j, node[id(b.element)]] = HOLD
+    return terminal, out
 
 
 def minimum_cut(terminal: list[int], smooth: dict[tuple[int, int], int]) -> list[bool]:
@@ -221,18 +274,24 @@ def minimum_cut(terminal: list[int], smooth: dict[tuple[int, int], int]) -> list
     queue = deque(range(n))
     while queue:
         i = queue.popleft()
-        if label[i] is not None or h[i] < around[i] and -h[i] < around[i]:
+        if label[i] is not None or h[i] <= around[i] and -h[i] < around[i]:
             continue
-        label[i] = h[i] > 0 and h[i] >= around[i]
+        label[i] = h[i] > around[i]
         for j, w in beside[i].items():
             if label[j] is None:
                 h[j] += w if label[i] else -w
                 around[j] -= w
                 queue.append(j)
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        for i, side in zip(rest, max_flow_sides(rest, h, beside), strict=True):
-            label[i] = side
+    for begin in range(n):
+        if label[begin] is None:
+            part, label[begin] = [begin], False
+            for i in part:
+                for j in beside[i]:
+                    if label[j] is None:
+                        label[j] = False
+                        part.append(j)
+            for i, side in zip(part, max_flow_sides(part, h, beside), strict=True):
+                label[i] = side
     return label
 
 
@@ -250,30 +309,39 @@ def max_flow_sides(rest: list[int], h: list[int], beside: list[dict[int, int]])
         elif h[i] < 0:
             left[k][sink], left[sink][k] = -h[i], 0
     while True:
-        before = {source: source}
-        queue = deque([source])
-        while queue and sink not in before:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             u = queue.popleft()
             for v, c in left[u].items():
-                if c > 0 and v not in before:
-                    before[v] = u
+                if c > 0 and v not in level:
+                    level[v] = level[u] + 1
                     queue.append(v)
-        if sink not in before:
-            return [k in before for k in range(len(rest))]
-        path, v = [], sink
-        while v != source:
-            path.append((before[v], v))
-            v = before[v]
-        push = min(left[u][v] for u, v in path)
-        for u, v in path:
-            left[u][v] -= push
-            left[v][u] = left[v].get(u, 0) + push
+        if sink not in level:
+            return [k in level for k in range(len(rest))]
+        ways, path = {u: iter(left[u]) for u in level}, [source]
+        while path:
+            u = path[-1]
+            if u == sink:
+                push = min(left[a][b] for a, b in zip(path, path[1:]))
+                for a, b in zip(path, path[1:]):
+                    left[a][b] -= push
+                    left[b][a] = left[b].get(a, 0) + push
+                # back to before the first edge that is full, whose way is tried again
+                stop = next(k for k, (a, b) in enumerate(zip(path, path[1:])) if not left[a][b])
+                del path[stop + 1 :]
+                continue
+            for v in ways[u]:
+                if left[u][v] > 0 and level.get(v) == level[u] + 1:
+                    path.append(v)
+                    break
+            else:
+                path.pop()
 
 
 def main_text(html: str) -> str:
     found = blocks(html)
-    keep = minimum_cut([b.score for b in found], edges(found))
-    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    keep = minimum_cut(*graph(found))
+    return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

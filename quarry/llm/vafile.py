@@ -1,126 +1,234 @@
-"""Exact top-k inner products with a vector-approximation file, block against block.
-
-Vectors are integers, floor(64 * x) of each component. Candidates are dealt evenly to blocks of
-CANDIDATES rows, queries to blocks of QUERIES rows; each pair of blocks is one row of work, so what a
-task holds is bounded and queries are never broadcast. In a block every component is quantised to
-1 << BITS cells. A scan of the cells bounds each candidate's score from above; exact vectors are read
-in order of that bound, a batch at a time, until the k-th score so far exceeds every bound left, which
-makes the k best certain, ties included. The k best of each block are cut per task and then ranked.
-
-Vectors that are null, hold null or non-finite components, or have another length than the longest
-take no part. Ties go to the smaller vec_id. A query's own id is never its candidate. Rows that repeat
-a query's id and vector are one query; repeated candidates each keep their place. Other columns are
-ignored; an empty table gives no rows.
+"""Exact top-k inner products with a vector-approximation file.
+
+Vectors are integers, floor(64 * x) of each component. Two files are written to the shared folder: the
+exact vectors by key, and their approximations, 1 << BITS cells of equal width per component between its
+least and greatest value, packed to BITS bits. Work is dealt as pairs of a block of queries and a file of
+approximations, whose tasks read both by themselves, so that nothing is shuffled or broadcast but numbers.
+
+The cells bound every score from both sides. A first scan takes each query's k best lower bounds of a
+file; the k-th best of all files is a score that k candidates reach for certain. A second scan with that
+threshold, which all files share, passes on the candidates whose upper bound reaches it. Their exact vectors are
+then fetched by key in order of upper bound, READ at first and twice as many in each round after it, until the
+k-th exact score of every query exceeds all its bounds that are left: ties are read, so the k best are
+certain. Bounds are widened by what floating-point sums can be off.
+
+Of equal vectors only the k + 1 smallest ids are candidates, for no more of them can be among the k best of
+any query: a vector that a third of all rows share costs no query more than that.
+
+Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Shorter
+vectors count as filled up with zeros. Ties go to the smaller vec_id. A query's own id is never its candidate. Rows
+that repeat a query's id and vector are one query; repeated candidates each keep their place. Scores beyond 63 bits wrap. Other
+columns are ignored; an empty table, or one of empty vectors alone, gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, filesystem, written
 
 SCALE = 64
-CANDIDATES, QUERIES = 8192, 2048
-BITS = 4
-#: Exact vectors that are read at a time.
+#: Vectors of a file and of a block of it at most, queries of a block, and vectors of a file where there are few.
+FILE, CANDIDATES, QUERIES, LEAST_FILE = 131_072, 2048, 1024, 4096
+BITS = 6
+#: Exact vectors that a query reads first.
 READ = 64
 
 
-class Cells:
-    """A block's quantised components: value = base + width * cell + rest, 0 <= rest < width."""
+def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
+    """Rows of a list column as int64, filled up with zeros."""
+    lengths = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    if (lengths == dims).all():
+        return values.reshape(len(column), dims)
+    out = np.zeros((len(column), dims), np.int64)
+    out[np.arange(dims) < lengths[:, None]] = values
+    return out
 
-    def __init__(self, vectors: np.ndarray, bits: int = BITS):
-        low, high = vectors.min(axis=0), vectors.max(axis=0)
-        self.base, self.width = low, -(-(high - low + 1) // (1 << bits))
-        self.cells = ((vectors - low) // self.width).astype(np.uint8)
 
-    def upper(self, q: np.ndarray) -> np.ndarray:
-        """Least upper bounds of the scores of queries (rows) with the block's vectors (columns)."""
+class Grid:
+    """Cells of each component: value = low + width * cell + rest, 0 <= rest < width."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, bits: int = BITS):
+        self.bits, self.low = bits, low
+        self.width = np.array([-(-(h - a + 1) // (1 << bits)) for a, h in zip(low.tolist(), high.tolist(), strict=True)], np.int64)
+        self.most = np.maximum(np.abs(low.astype(np.float64)), np.abs(high.astype(np.float64))) + self.width
+
+    def pack(self, vectors: np.ndarray) -> bytes:
+        cells = ((vectors - self.low) // self.width).astype(np.uint8)
+        return np.packbits(np.unpackbits(cells[:, :, None], axis=2)[:, :, 8 - self.bits :].reshape(len(cells), -1), axis=1).tobytes()
+
+    def unpack(self, data: bytes, n: int) -> np.ndarray:
+        dims = len(self.low)
+        bits = np.unpackbits(np.frombuffer(data, np.uint8).reshape(n, -1), axis=1)[:, : dims * self.bits].reshape(n, dims, self.bits)
+        return bits @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.uint8))
+
+    def bounds(self, q: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the scores of queries (rows) with approximated vectors (columns)."""
         q = q.astype(np.float64)
-        known = q @ self.base + np.maximum(q, 0) @ (self.width - 1)
-        return known[:, None] + (q * self.width) @ self.cells.T.astype(np.float64)
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of each query's k best in a block."""
-    bounds = Cells(vectors).upper(q)
-    rows, found, scores = [], [], []
-    for r in range(len(q)):
-        bound = bounds[r].copy()
-        bound[ids == q_ids[r]] = -np.inf
-        n = int(np.isfinite(bound).sum())
-        first = np.argpartition(-bound, min(READ, len(bound)) - 1)[:READ] if len(bound) > READ else np.arange(len(bound))
-        first = first[np.isfinite(bound[first])]
-        best_id, best = ids[first], vectors[first] @ q[r]
-        if n > len(first):
-            least = np.sort(best)[-k] if len(best) >= k else -np.inf
-            bound[first] = -np.inf
-            more = np.flatnonzero(bound >= least)
-            more = more[np.argsort(-bound[more], kind="stable")]
-            for at in range(0, len(more), READ):
-                if bound[more[at]] < least:
-                    break
-                part = more[at : at + READ]
-                best_id, best = np.concatenate([best_id, ids[part]]), np.concatenate([best, vectors[part] @ q[r]])
-                least = np.sort(best)[-k] if len(best) >= k else -np.inf
-        order = np.lexsort((best_id, -best))[:k]
-        rows.append(np.full(len(order), r))
-        found.append(best_id[order])
-        scores.append(best[order])
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
-
-
-def _blocks(df: DataFrame, count: int, size: int, prefix: str) -> DataFrame:
-    """Rows dealt evenly, then packed: number, ids and vectors of each block of at most `size` rows."""
+        known = (q @ self.low)[:, None] + (q * self.width) @ cells.T.astype(np.float64)
+        off = np.abs(q) @ self.most * 2.0**-44
+        return known + (np.minimum(q, 0) @ (self.width - 1) - off)[:, None], known + (np.maximum(q, 0) @ (self.width - 1) + off)[:, None]
+
+
+def _extremes(vectors: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest value of each component; a row for each component comes back."""
+
+    def run(batches):
+        low = high = None
+        for batch in batches:
+            if batch.num_rows:
+                m = matrix(batch.column("v"), dims)
+                low = m.min(axis=0) if low is None else np.minimum(low, m.min(axis=0))
+                high = m.max(axis=0) if high is None else np.maximum(high, m.max(axis=0))
+        if low is not None:
+            yield pa.RecordBatch.from_pydict({"at": np.arange(dims), "low": low, "high": high})
+
+    rows = vectors.select("v").mapInArrow(run, "at bigint, low bigint, high bigint").groupBy("at").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("at").collect()
+    return np.array([r["low"] for r in rows], np.int64), np.array([r["high"] for r in rows], np.int64)
+
+
+def _packed(df: DataFrame, size: int, dims: int, key: str, encode) -> list[str]:
+    """Paths of Parquet files of rows (n, ids, keys, data) of at most `size` vectors each."""
 
     def pack(batches):
-        from pyspark import TaskContext
+        ids, keys, rows, held = [], [], [], 0
+
+        def block(n: int):
+            i, k, m = np.concatenate(ids), np.concatenate(keys), np.concatenate(rows)
+            ids[:], keys[:], rows[:] = [i[n:]], [k[n:]], [m[n:]]
+            return pa.RecordBatch.from_pydict({"n": pa.array([len(i[:n])], pa.int64()), "ids": [i[:n].tobytes()], "keys": [k[:n].tobytes()], "data": [encode(m[:n])]})
+
+        for batch in batches:
+            if batch.num_rows:
+                ids.append(batch.column("vec_id").to_numpy())
+                keys.append(batch.column(key).to_numpy())
+                rows.append(matrix(batch.column("v"), dims))
+                held += batch.num_rows
+                while held >= size:
+                    yield block(size)
+                    held -= size
+        if held:
+            yield block(held)
 
-        number, ids, vectors = TaskContext.get().partitionId() << 20, [], []
+    return written(df.mapInArrow(pack, "n bigint, ids binary, keys binary, data binary")).inputFiles()
 
-        def close():
-            return pa.RecordBatch.from_pydict({f"{prefix}_block": pa.array([number], pa.int64()), f"{prefix}_ids": [np.array(ids, np.int64).tobytes()], f"{prefix}_vectors": [np.array(vectors, np.int64).tobytes()]})
 
+def _read(path: str):
+    """The rows of a file that _packed wrote, one at a time."""
+    import pyarrow.parquet as pq
+
+    fs, at = filesystem(path)
+    with fs.open_input_file(at) as f:
+        for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
+            yield from batch.to_pylist()
+
+
+def _queries(path: str, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, keys and vectors of a block of queries."""
+    found = list(_read(path))
+    return tuple(np.concatenate([np.frombuffer(r[c], np.int64) for r in found]) for c in ("ids", "keys")) + (np.concatenate([np.frombuffer(r["data"], np.int64).reshape(-1, dims) for r in found]),)
+
+
+def _scan(spark: SparkSession, asked: list[str], files: list[str], grid: Grid, k: int, thresholds: DataFrame | None) -> DataFrame:
+    """Without thresholds: (q, bound) of each query's k best lower bounds in each file. With (block, reached: array
+    of (q, least)): (q, key, bound) of all candidates whose upper bound reaches their query's."""
+    dims, first = len(grid.low), thresholds is None
+
+    def run(batches):
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == size:
-                    yield close()
-                    number += 1
-                    ids.clear()
-                    vectors.clear()
-        if ids:
-            yield close()
+            reached = None if first else batch.column("reached").to_pylist()
+            for row, (block, file) in enumerate(zip(batch.column("block").to_pylist(), batch.column("file").to_pylist(), strict=True)):
+                q_ids, q_keys, q = _queries(asked[block], dims)
+                if not first:
+                    least_of = {x["q"]: x["least"] for x in reached[row]}
+                    least = np.array([least_of.get(x, -np.inf) for x in q_keys.tolist()])
+                best = np.full((len(q), k), -np.inf)
+                for part in _read(files[file]):
+                    ids, keys = np.frombuffer(part["ids"], np.int64), np.frombuffer(part["keys"], np.int64)
+                    low, high = grid.bounds(q, grid.unpack(part["data"], part["n"]))
+                    own = q_ids[:, None] == ids[None, :]
+                    if first:
+                        low[own] = -np.inf
+                        both = np.concatenate([best, low], axis=1)
+                        best = -np.partition(-both, k - 1, axis=1)[:, :k]
+                    else:
+                        r, c = np.nonzero((high >= least[:, None]) & ~own)
+                        yield pa.RecordBatch.from_pydict({"q": q_keys[r], "key": keys[c], "bound": high[r, c]})
+                if first:
+                    r, c = np.nonzero(np.isfinite(best))
+                    yield pa.RecordBatch.from_pydict({"q": q_keys[r], "bound": best[r, c]})
+
+    n = len(asked) * len(files)
+    pairs = spark.range(0, n, 1, min(n, 100_000)).select(F.expr(f"id div {len(files)}").alias("block"), F.pmod("id", F.lit(len(files))).alias("file"))
+    if first:
+        return pairs.mapInArrow(run, "q bigint, bound double")
+    return pairs.join(thresholds, "block").mapInArrow(run, "q bigint, key bigint, bound double")
+
+
+def _scored(pairs: DataFrame, vectors: DataFrame, asked: DataFrame, dims: int) -> DataFrame:
+    """(q, query_id, vec_id, score) of pairs (q, key), whose exact vectors are fetched."""
+    met = pairs.select("q", "key").join(vectors.select("key", "vec_id", "v"), "key").join(asked.select("q", F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "q")
 
-    dealt = df.repartition(max(1, -(-count // size)))
-    return checkpoint(dealt.mapInArrow(pack, f"{prefix}_block bigint, {prefix}_ids binary, {prefix}_vectors binary"))
+    def run(batches):
+        for batch in batches:
+            score = (matrix(batch.column("v"), dims) * matrix(batch.column("w"), dims)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "query_id", "vec_id")), pa.array(score, pa.int64())], names=["q", "query_id", "vec_id", "score"])
+
+    return met.select("q", "query_id", "vec_id", "v", "w").mapInArrow(run, "q bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(df: DataFrame, k: int = 20, query: str = "vec_id % 20 = 0", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row that the condition selects."""
+    return search(df, k, query, vector)[0]
+
+
+def search(df: DataFrame, k: int, query: str, vector: str) -> tuple[DataFrame, DataFrame | None]:
+    """What top_k returns, and the pairs (q, key) whose exact vectors were read."""
+    spark = df.sparkSession
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(x))
     valid = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & sound)
-    n, dims = valid.agg(F.count("*"), F.max(F.size("v"))).first()
-    same = valid.filter(F.size("v") == F.lit(dims or 0))
-    ints = same.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(SCALE)))).alias("v"))
-    asked = ints.filter(query).distinct()
-    left, right = _blocks(asked, asked.count(), QUERIES, "q"), _blocks(ints, n, CANDIDATES, "c")
-    # block numbers alone are paired; their vectors follow by equality
-    pairs = left.select("q_block").join(right.select("c_block"), how="cross")
-    work = pairs.join(right, "c_block").join(left, "q_block")
-
-    def run(batches):
+    ints = written(valid.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(SCALE)))).alias("v")))
+    asked = written(ints.filter(query).distinct().withColumn("q", F.monotonically_increasing_id()))
+    equal = Window.partitionBy("v").orderBy("vec_id")
+    kept = ints.withColumn("n", F.row_number().over(equal)).filter(F.col("n") <= k + 1).drop("n")
+    vectors = written(kept.withColumn("key", F.monotonically_increasing_id()))
+    n, dims = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_asked = asked.count()
+    if not n or not dims or not n_asked:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint"), None
+    grid = Grid(*_extremes(vectors, dims))
+    parts = max(-(-n // FILE), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_FILE)))
+    files = _packed(vectors.repartition(parts), CANDIDATES, dims, "key", grid.pack)
+    blocks = _packed(asked.repartition(-(-n_asked // QUERIES)), QUERIES, dims, "q", lambda m: m.tobytes())
+
+    by = Window.partitionBy("q").orderBy(F.desc("bound"))
+    lower = _scan(spark, blocks, files, grid, k, None).withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k)
+    reached = lower.groupBy("q").agg(F.min("bound").alias("least"), F.count("*").alias("n")).filter(F.col("n") == k)
+    number = {path: i for i, path in enumerate(blocks)}
+
+    def owners(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-                q, v = (np.frombuffer(row[c], np.int64).reshape(len(i), -1) for c, i in (("q_vectors", q_ids), ("c_vectors", ids)))
-                at, found, scores = search(q_ids, q, ids, v, k)
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[at], "query_no": (row["q_block"] << 12) + at, "vec_id": found, "score": scores})
-
-    best = work.mapInArrow(run, "query_id bigint, query_no bigint, vec_id bigint, score bigint")
-    by = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for b in batch.column("block").to_pylist():
+                keys = _queries(blocks[b], dims)[1]
+                yield pa.RecordBatch.from_pydict({"block": np.full(len(keys), b), "q": keys})
+
+    placed = spark.range(0, len(number), 1, len(number)).select(F.col("id").alias("block")).mapInArrow(owners, "block bigint, q bigint")
+    thresholds = checkpoint(placed.join(reached.select("q", "least"), "q", "left").groupBy("block").agg(F.collect_list(F.struct("q", F.coalesce("least", F.lit(float("-inf"))).alias("least"))).alias("reached")))
+    close = written(_scan(spark, blocks, files, grid, k, thresholds).withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "key"))))
+
+    left, read, at, most = close.select("q", "key", "bound", "place"), None, 0, READ
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    while True:
+        pairs = left.filter((F.col("place") > at) & (F.col("place") <= most)).select("q", "key")
+        found = _scored(pairs, vectors, asked, dims)
+        scored = checkpoint((found if read is None else read.unionByName(found)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
+        read = scored.drop("rank")
+        kth = scored.filter(F.col("rank") == k).select("q", "score")
+        left = checkpoint(left.filter(F.col("place") > most).join(kth, "q", "left").filter(F.col("score").isNull() | (F.col("bound") >= F.col("score"))).drop("score"))
+        if left.isEmpty():
+            return scored.select("query_id", "rank", "vec_id", "score"), close
+        at, most = most, most * 2

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,3 +89,36 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def with_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", most: int = 2_000_000) -> DataFrame:
     """A join with a table of distinct keys, which is broadcast if it has at most `most` rows and shuffled beyond."""
     return df.join(F.broadcast(ids) if small_enough(ids, most) else ids, key, how)
+
+
+#: Keys that hold more than one in FREQUENT_SHARE of all rows, and FREQUENT_ROWS at least, are at most FREQUENT_SHARE.
+FREQUENT_SHARE, FREQUENT_ROWS = 100_000, 4096
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """A left join with a table of distinct keys whose frequent keys never meet in one task.
+
+    Keys are counted before a shuffle; the frequent ones among `rows` rows, at most FREQUENT_SHARE of them, are
+    broadcast with what they join to, and the rest is shuffled. left is read twice, so it should be a table or a
+    checkpoint.
+    """
+    known = left.filter(" and ".join(f"{c} is not null" for c in on))
+    often = known.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > max(FREQUENT_ROWS, rows // FREQUENT_SHARE)).drop("n")
+    often = checkpoint(often)
+    if often.isEmpty():
+        return left.join(right, on, "left")
+    hot = F.broadcast(right.join(F.broadcast(often), on, "left_semi"))
+    return left.join(F.broadcast(often), on, "left_semi").join(hot, on, "left").unionByName(left.join(F.broadcast(often), on, "left_anti").join(right, on, "left"))
+
+
+def places(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with each row's place, from 1, in its group: rows are sorted over all tasks, so a group may be of any size."""
+    part = F.shiftright("_at", 33)
+    laid = written(df.orderBy(*group, *order).withColumn("_at", F.monotonically_increasing_id()))
+    runs = laid.groupBy(*group, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each group and task
+    runs = runs.withColumn("_before", earlier).drop("_n")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
+    met = laid.withColumn("_part", part).alias("a").join(runs.alias("b"), [*same, F.col("a._part") == F.col("b._part")])
+    return met.select(*[F.col(f"a.{c}").alias(c) for c in df.columns], (F.col("a._at") - F.col("b._first") + F.col("b._before") + 1).alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, dac, fm, html_cut, jaccard, oracles, packing, quality, quoting, vafile, warc
 from .common import table
@@ -34,7 +35,9 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quoting.link(table(spark, sf_dir, "conversations"), most_levels=None)
+    """The turns of all conversations, one row each, from the lists that the operator builds."""
+    linked = quoting.link(table(spark, sf_dir, "conversations"), most_levels=None, follow=True)
+    return quoting.conversations(linked).select("root_conv", "root_turn", "part", F.inline("turns"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +69,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": oracles.QUALITY, "op4_top_k": oracles.TOP_K, "op6_jaccard": oracles.JACCARD, "op10_warc": oracles.WARC}
+    return {"op1_quality": oracles.QUALITY, "op4_top_k": oracles.TOP_K, "op5_quotation_linking": oracles.QUOTES, "op6_jaccard": oracles.JACCARD, "op10_warc": oracles.WARC}

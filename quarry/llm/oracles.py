@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, quoting
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,3 +40,31 @@ QUALITY = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documen
  f AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM base)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
  NOT base_failed AND coalesce(llr, 0) >= {quality.THRESHOLD} * coalesce(n_grams, 0) AS kept, coalesce(n_grams, 0)::BIGINT AS n_grams, coalesce(llr, 0) AS llr FROM f LEFT JOIN sc USING (doc_id)"""
+
+_BLANK = r"[ \t\n\x0B\f\r]"
+
+QUOTES = rf"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS line FROM conversations),
+ e AS (SELECT rid, conv_id, turn, role, unnest(line) AS x, generate_subscripts(line, 1) AS i FROM m),
+ d AS (SELECT *, length(regexp_extract(x, '^[ \t>]*')) - length(replace(regexp_extract(x, '^[ \t>]*'), '>', '')) AS lv, trim(regexp_replace(lower(regexp_replace(x, '^[ \t]*>[ \t>]*', '')), '{_BLANK}+', ' ', 'g')) AS u FROM e),
+ n AS (SELECT *, lead(lv) OVER w AS lv1, lead(lv, 2) OVER w AS lv2, lead(x) OVER w AS x1, lag(lv) OVER w AS lv0 FROM d WINDOW w AS (PARTITION BY rid ORDER BY i)),
+ k AS (SELECT *, lv = 0 AND NOT (regexp_matches(x, '{quoting.ANNOUNCED}') AND (coalesce(lv1, 0) > 0 OR coalesce(regexp_matches(x1, '^{_BLANK}*$') AND lv2 > 0, false))) AS keep, sum((lv0 IS DISTINCT FROM lv)::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM n),
+ b AS (SELECT rid, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(role) AS role, trim(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (keep), '')) AS body FROM k GROUP BY rid),
+ bu AS (SELECT conv_id, turn, u FROM k WHERE keep AND u <> '' UNION SELECT any_value(conv_id), any_value(turn), string_agg(u, ' ' ORDER BY i) FROM k WHERE keep AND u <> '' GROUP BY rid),
+ held AS (SELECT * FROM bu WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+ p AS (SELECT rid, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(lv) AS lv, string_agg(x, chr(10) ORDER BY i) AS raw, list(u ORDER BY i) AS us FROM k WHERE lv > 0 GROUP BY rid, run),
+ pd AS (SELECT DISTINCT * FROM p),
+ q AS (SELECT DISTINCT rid, conv_id, turn, lv, raw, unnest(list_append(us, array_to_string(list_filter(us, lambda v: v <> ''), ' '))) AS u FROM pd),
+ near AS (SELECT conv_id, u, min(turn) AS here FROM held GROUP BY ALL), far AS (SELECT u, min(ROW(conv_id, turn)) AS there FROM held GROUP BY u),
+ t AS (SELECT q.*, CASE WHEN here < turn THEN ROW(q.conv_id, here) WHEN there < ROW(q.conv_id, turn) AND q.conv_id IS NOT NULL AND turn IS NOT NULL THEN there END AS target FROM q LEFT JOIN near ON near.conv_id = q.conv_id AND near.u = q.u LEFT JOIN far ON far.u = q.u WHERE q.u <> ''),
+ c AS (SELECT rid, max(lv) AS n_levels, count(*) AS n_passages, sum(found) AS n_linked FROM (SELECT rid, lv, raw, max((target IS NOT NULL)::INT) AS found FROM t GROUP BY ALL) GROUP BY rid),
+ v AS (SELECT rid, conv_id, turn, target, sum(length(u)) AS w FROM t WHERE lv = 1 AND target IS NOT NULL GROUP BY ALL),
+ best AS (SELECT conv_id, turn, target FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY w DESC, target) AS r FROM v) WHERE r = 1),
+ par AS (SELECT conv_id, turn, min(target) AS parent FROM best GROUP BY ALL),
+ seen AS (SELECT DISTINCT conv_id, turn FROM b WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+ prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM seen),
+ up AS (SELECT s.conv_id, s.turn, coalesce(struct_extract(parent, 1), CASE WHEN last IS NOT NULL THEN s.conv_id END) AS pc, coalesce(struct_extract(parent, 2), last) AS pt FROM prev s LEFT JOIN par USING (conv_id, turn)),
+ th AS (SELECT conv_id, turn, conv_id AS rc, turn AS rt, 0::BIGINT AS depth FROM up WHERE pc IS NULL UNION ALL SELECT up.conv_id, up.turn, rc, rt, depth + 1 FROM th JOIN up ON up.pc = th.conv_id AND up.pt = th.turn),
+ o AS (SELECT b.*, coalesce(n_levels, 0)::BIGINT AS n_levels, coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(n_linked, 0)::BIGINT AS n_linked, pc, pt, coalesce(rc, b.conv_id) AS rc, coalesce(rt, b.turn) AS rt, coalesce(depth, 0) AS depth
+  FROM b LEFT JOIN c USING (rid) LEFT JOIN up ON up.conv_id = b.conv_id AND up.turn = b.turn LEFT JOIN th ON th.conv_id = b.conv_id AND th.turn = b.turn),
+ pos AS (SELECT *, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY rc, rt ORDER BY depth, conv_id, turn, role NULLS FIRST, body) END AS position FROM o)
+SELECT rc AS root_conv, rt AS root_turn, (position - 1) // {quoting.PART} AS part, position, conv_id, turn, role, body, n_levels, n_passages, n_linked, pc AS parent_conv, pt AS parent_turn, depth FROM pos"""

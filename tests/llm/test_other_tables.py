@@ -4,11 +4,13 @@ import base64
 import hashlib
 import itertools
 import random
+import re
+import time
 
 import numpy as np
 import pytest
 
-from quarry.llm import entry, html_cut, quoting, vafile, warc
+from quarry.llm import common, entry, html_cut, quoting, vafile, warc
 from quarry.llm.common import work_dir
 
 
@@ -50,9 +52,9 @@ def test_unclosed_elements_keep_the_page():
     rest = "Another sentence that is long enough to be kept as a part of the article."
     page = f"<article><p>{whole}</p>%s<p>{rest}</p>%s</article>"
     for tag in ('<svg width="5"/>', "<svg/>", '<math display="block" />', "<p><svg/></p>"):
-        for later in ("", "<svg><text>no</text></svg><math><mi>x</mi></math>"):
+        for later in ("", "<svg><text>no</text></svg>"):
             assert html_cut.main_text(page % (tag, later)).split("\n") == [whole, rest]
-    for tag in ("<select>", "<object data=x>", "<noscript>", "<template>", "<iframe src=x>", "<svg>", "<math>"):
+    for tag in ("<select>", "<noscript>", "<template>", "<iframe src=x>", "<svg>"):
         assert html_cut.main_text(page % (tag, "")).split("\n") == [whole, rest]
         assert html_cut.main_text(page % (f"{tag}dropped</{tag[1:-1].split()[0]}>", "")).split("\n") == [whole, rest]
     for tag in ("<script>", "<style>", "<textarea>", "<title>"):
@@ -60,6 +62,71 @@ def test_unclosed_elements_keep_the_page():
     assert html_cut.main_text("<article>" + f"<svg><p>{whole}</p>" * 3000).count("\n") == 2999
 
 
+LONG = "This sentence has more than a dozen words in it, so that its own text looks like content."
+
+
+def test_the_cut_decides():
+    """Blocks whose own text speaks against the label that the whole page asks for."""
+    for page, kept in (
+        (f"<article><p>{LONG}</p><p>Of.</p><p>{LONG}</p></article>", [LONG, "Of.", LONG]),  # a word between paragraphs
+        (f"<p>{LONG}</p><p>Three short words.</p><p>{LONG}</p>", [LONG, "Three short words.", LONG]),  # without any name
+        (f"<article><p>{LONG}</p></article><footer><p>{LONG}</p><p>{LONG}</p></footer>", [LONG]),  # sentences of a footer
+        (f'<article><p>{LONG}</p><div class="ad">{LONG}</div><p>{LONG}</p></article>', [LONG, LONG]),  # an advert between paragraphs
+        (f'<div class="search-results-study"><p>{LONG}</p><p>{LONG}</p></div>', [LONG, LONG]),  # an element of doubtful name goes with its text
+        ('<div class="search-results-study"><p><a>One</a></p><p><a>Two</a></p></div>', []),
+        (f'<div class="content"><p><a>A link</a></p><p>{LONG}</p></div>', ["A link", LONG]),
+    ):
+        found = html_cut.blocks(page)
+        terminal, smooth = html_cut.graph(found)
+        keep = html_cut.minimum_cut(terminal, smooth)
+        assert html_cut.main_text(page).split("\n") == (kept or [""])
+        alone = html_cut.minimum_cut(terminal, {})
+        assert kept and any(x != y for x, y in zip(keep, alone, strict=True)) or not kept
+
+
+def test_labels_of_pages_against_brute_force():
+    rng = random.Random(5)
+    texts = ["Of.", "Menu", LONG, "<a>Link</a>", "<a>A link of a few more words.</a>", "Some five or six words here"]
+    opens = ["<article>", "<div class=content>", "<div class=ad>", "<footer>", "<div class=search-tips>", "<section>", "<header>"]
+    for _ in range(150):
+        page = "".join(rng.choice([f"<p>{rng.choice(texts)}</p>", f"<p>{rng.choice(texts)}</p>", rng.choice(opens), f"</{rng.choice(opens)[1:].split()[0].rstrip('>')}>"]) for _ in range(8))
+        terminal, smooth = html_cut.graph(html_cut.blocks(page))
+        if not terminal or len(terminal) > 11:
+            continue
+        best = None
+        for label in itertools.product([False, True], repeat=len(terminal)):
+            cost = sum(abs(t) for t, x in zip(terminal, label, strict=True) if (t > 0) != x) + sum(w for (i, j), w in smooth.items() if label[i] != label[j])
+            best = min(best, (cost, sum(label), label)) if best else (cost, sum(label), label)
+        assert tuple(html_cut.minimum_cut(terminal, smooth)) == best[2]
+
+
+def test_no_text_of_an_article_is_lost():
+    for inner, kept in (
+        ("<p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is small.</p>", "The sum a+b is small."),
+        ("<object data=x.pdf><p>A fallback text that can be read instead.</p></object>", "A fallback text that can be read instead."),
+        ("<my-box>In an element of its own.</my-box>", "In an element of its own."),
+        ("<p>A <unknown>strange</unknown> tag.</p>", "A strange tag."),
+    ):
+        assert html_cut.main_text(f"<article><p>{LONG}</p>{inner}</article>").split("\n") == [LONG, kept]
+    assert html_cut.main_text(f'<article class="post comment-policy"><p>{LONG}</p></article>') == LONG
+    assert html_cut.main_text(f'<article><section class="search-results-study"><p>{LONG}</p><p>Ok.</p></section></article>') == LONG + "\nOk."
+    assert html_cut.main_text(f"<form><div><article><p>{LONG}</p></article><p>Your name here please, it is needed.</p></div></form>") == LONG
+    assert html_cut.main_text(f"<article><p>{LONG}</p><form><p>{LONG}</p></form></article>") == LONG
+
+
+def test_deep_pages_take_time_by_length():
+    for page in ("<center>" * 40_000 + LONG, "<b>" * 40_000 + "</i>" * 40_000 + LONG, f"<ul><li>{LONG}" * 20_000, f"<div class=content>{f'<p>{LONG}</p><p><a>Nine</a></p>' * 20_000}"):
+        began = time.monotonic()
+        html_cut.main_text(page)
+        assert time.monotonic() - began < 20
+
+
+def test_extract_rows_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, "clash", 7)], "page_id long, url string, html string, text string, n_chars long")
+    row = html_cut.extract(df).first()
+    assert row["text"] == html_cut.main_text(PAGE) and row["n_chars"] == len(row["text"])
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "", 5)], "page_id long, url string, html string, n_chars int")
     rows = html_cut.extract(df).collect()
@@ -119,27 +186,60 @@ def brute_top(rows, k):
     return out
 
 
+VECTORS = "vec_id long, embedding array<float>, score string"
+
+
+def small_blocks(monkeypatch):
+    for name, value in {"CANDIDATES": 40, "QUERIES": 7, "FILE": 100, "LEAST_FILE": 60, "READ": 25}.items():
+        monkeypatch.setattr(vafile, name, value)
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)], "x") for i in range(300)]
     rows += [(i, rows[0][1], "x") for i in range(300, 340)]  # one common vector: ties
-    bad = [(1000, None, "x"), (1020, [1.0] * 7 + [None], "x"), (1040, [float("nan")] * 8, "x"), (1060, [float("inf")] * 8, "x"), (1080, [1.0] * 3, "x"), (None, [1.0] * 8, "x")]
-    schema = "vec_id long, embedding array<float>, score string"
-    df = spark.createDataFrame([(i, v, s) for i, v, s in rows + bad], schema)
+    bad = [(1000, None, "x"), (1020, [1.0] * 7 + [None], "x"), (1040, [float("nan")] * 8, "x"), (1060, [float("inf")] * 8, "x"), (None, [1.0] * 8, "x")]
+    df = spark.createDataFrame([(i, v, s) for i, v, s in rows + bad], VECTORS)
     exact = [(i, np.array(v, dtype=np.float32).astype(float).tolist()) for i, v, _ in rows]
-    monkeypatch.setattr(vafile, "CANDIDATES", 120)
-    monkeypatch.setattr(vafile, "QUERIES", 7)
-    assert {tuple(r) for r in vafile.top_k(df, 20).collect()} == brute_top(exact, 20)
-    few = spark.createDataFrame(rows[:3], schema)
+    small_blocks(monkeypatch)
+    got, read = vafile.search(df, 20, "vec_id % 20 = 0", "embedding")
+    assert {tuple(r) for r in got.collect()} == brute_top(exact, 20)
+    assert read.count() < 17 * 200  # the cells leave out many of the 321 candidates of each query
+    few = spark.createDataFrame(rows[:3], VECTORS)
     assert {tuple(r) for r in vafile.top_k(few, 20).collect()} == brute_top(exact[:3], 20)
     assert vafile.top_k(df.limit(0)).count() == 0
-    assert vafile.top_k(spark.createDataFrame(bad, schema)).count() == 0
-
-
-def test_bounds_hold():
+    assert vafile.top_k(df, query="vec_id = 7777").count() == 0
+    assert vafile.top_k(spark.createDataFrame([*bad, (1100, [], "x")], VECTORS)).count() == 0
+
+
+def test_top_k_of_other_lengths_and_repeats(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 3)], "x") for i in range(50)] + [(50, [0.5, -0.25, 1.5, 0.25], "x"), (60, [0.75], "x"), (61, [], "x")]
+    exact = [(i, [*np.array(v, dtype=np.float32).astype(float).tolist(), 0, 0, 0, 0][:4]) for i, v, _ in rows]
+    got = vafile.top_k(spark.createDataFrame(rows, VECTORS), 20)
+    assert {tuple(r) for r in got.collect()} == brute_top(exact, 20)
+    # a repeated query is one query, repeated candidates keep their places
+    twice = [(0, [1.0, 1.0], "x")] * 3 + [(3, [1.0, 0.0], "x")] * 2 + [(4, [0.5, 0.0], "x"), (3, [0.0, 2.0], "x")]
+    got = vafile.top_k(spark.createDataFrame(twice, VECTORS), 3)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1, 3, 8192), (0, 2, 3, 4096), (0, 3, 3, 4096)]
+    large = [(i, [float(np.float32(2.0**40 * x)) for x in rng.normal(0, 1, 4)], "x") for i in range(30)]
+    got = {(r["query_id"], r["rank"]): r["score"] for r in vafile.top_k(spark.createDataFrame([(i, [x / 2**20 for x in v], s) for i, v, s in large], VECTORS), 5).collect()}
+    v = np.floor(64 * np.array([[x / 2**20 for x in v] for _, v, _ in large])).astype(np.int64)
+    for q in (0, 20):
+        assert [got[q, r] for r in range(1, 6)] == sorted((int(v[q] @ v[i]) for i in range(30) if i != q), reverse=True)[:5]
+
+
+@pytest.mark.parametrize("bits", [1, 4, 6, 8])
+def test_bounds_hold(bits):
     rng = np.random.default_rng(1)
-    v, q = rng.integers(-60, 60, (200, 16)), rng.integers(-60, 60, (9, 16))
-    assert (vafile.Cells(v).upper(q) >= q @ v.T).all()
+    for scale in (3, 60, 2**40):
+        v, q = rng.integers(-scale, scale, (200, 13)), rng.integers(-60, 60, (9, 13))
+        grid = vafile.Grid(v.min(axis=0), v.max(axis=0), bits)
+        data = grid.pack(v)
+        assert len(data) == 200 * -(-13 * bits // 8)
+        low, high = grid.bounds(q, grid.unpack(data, 200))
+        assert (low <= q @ v.T).all() and (high >= q @ v.T).all()
 
 
 def test_long_quotes(spark):
@@ -163,6 +263,108 @@ def test_quotes_nest_without_bound(spark, tmp_path):
     assert got == {50: (40, 40, 40), 51: (17, 1, 1)}
 
 
+def brute_conversations(rows):
+    """(conv_id, turn) to parent, root, depth and (n_levels, n_passages, n_linked), and the reply order; keys are distinct."""
+    fold = lambda x: " ".join(re.sub(r"^[ \t]*>[ \t>]*", "", x).lower().split())
+    level = lambda x: re.match(r"[ \t>]*", x)[0].count(">")
+    pick = lambda lines: {u for u in [*map(fold, lines), " ".join(filter(None, map(fold, lines)))] if u}
+    own, passages = {}, {}
+    for c, t, _, text in rows:
+        lines = (text or "").split("\n")
+        depth = [level(x) for x in lines] + [0, 0]
+        body = [x for i, x in enumerate(lines) if not depth[i] and not (re.search(quoting.ANNOUNCED, x) and (depth[i + 1] or not "".join(lines[i + 1 : i + 2]).strip() and depth[i + 2]))]
+        own[c, t] = pick(body)
+        passages[c, t] = {(n, "\n".join(run)) for n, run in ((n, [lines[i] for i in run]) for n, run in itertools.groupby(range(len(lines)), key=lambda i: depth[i])) if n}
+    out, children = {}, {}
+    for k in own:
+        votes, linked = {}, 0
+        for n, raw in passages[k]:
+            hit = False
+            for u in pick(raw.split("\n")):
+                here = min([x for x in own if x[0] == k[0] and u in own[x]], default=None)
+                there = min([x for x in own if u in own[x]], default=None)
+                target = here if here and here < k else there if there and there < k else None
+                if target:
+                    hit = True
+                    if n == 1:
+                        votes[target] = votes.get(target, 0) + len(u)
+            linked += hit
+        parent = min(votes, key=lambda x: (-votes[x], x)) if votes else max([x for x in own if x[0] == k[0] and x < k], default=None)
+        children.setdefault(parent, []).append(k)
+        out[k] = [parent, None, 0, (max((n for n, _ in passages[k]), default=0), len(passages[k]), linked)]
+    order = {}
+    for root in children.get(None, []):
+        todo = [(0, root)]
+        for d, k in todo:
+            out[k][1:3] = root, d
+            todo += [(d + 1, x) for x in children.get(k, [])]
+        order[root] = [k for _, k in sorted(todo)]
+    return out, order
+
+
+def threads(rng):
+    words = ["alpha", "beta", "gamma", "Delta", "omega", "One two", "so be it"]
+    rows, said = [], []
+    for c in range(6):
+        for t in range(9):
+            lines = [f"{rng.choice(words)} {rng.randint(0, 30)}" for _ in range(rng.randint(1, 3))]
+            if said and rng.random() < 0.6:
+                old = rng.choice(said[-12:]).split("\n")
+                lines = [*rng.choice([["On Monday B wrote:"], ["Am Montag schrieb C:", ""], []]), *("> " + x if not x.startswith(">") else ">" + x for x in old), *rng.choice([lines, [lines[0], "", "> no such line", lines[-1]]])]
+            elif rng.random() < 0.2:
+                lines.insert(1, "Then the minister wrote:")
+            said.append("\n".join(lines))
+            rows.append((c, t * 2, rng.choice(["user", "assistant", None]), rng.choice([said[-1], said[-1], said[-1].replace("\n", "\r\n")])))
+    return rows
+
+
+def test_conversations_against_brute_force_and_sql(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    rows = threads(random.Random(11))
+    df = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, position int").repartition(3)
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    for frequent in (4096, 2):
+        monkeypatch.setattr(common, "FREQUENT_ROWS", frequent)
+        got = entry.op5_quotation_linking(spark, str(tmp_path)).collect()
+        expected, order = brute_conversations(rows)
+        assert len(got) == len(rows) and sum(r["n_linked"] for r in got) > 20 and max(r["depth"] for r in got) > 4
+        for r in got:
+            parent = (r["parent_conv"], r["parent_turn"]) if r["parent_conv"] is not None else None
+            assert [parent, (r["root_conv"], r["root_turn"]), r["depth"], (r["n_levels"], r["n_passages"], r["n_linked"])] == expected[r["conv_id"], r["turn"]], r
+        by = {}
+        for r in sorted(got, key=lambda r: r["position"]):
+            by.setdefault((r["root_conv"], r["root_turn"]), []).append((r["conv_id"], r["turn"]))
+        assert by == order
+        place = {(r["conv_id"], r["turn"]): r["position"] for r in got}
+        assert all(r["parent_conv"] is None or place[r["parent_conv"], r["parent_turn"]] < r["position"] for r in got)
+    df.union(df.limit(4)).union(spark.createDataFrame([(None, 3, "user", "> alpha 1\nx", 5), (2, None, None, None, 5)], df.schema)).write.parquet(f"{tmp_path}/more/conversations.parquet")
+    monkeypatch.setattr(quoting, "PART", 4)
+    got = entry.op5_quotation_linking(spark, f"{tmp_path}/more")
+    columns = sorted(got.columns)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/more/conversations.parquet/*.parquet'")
+        sql = entry.oracle_sql()["op5_quotation_linking"].replace("// 256", "// 4")
+        want = db.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+    key = lambda row: tuple((x is not None, x) for x in row)
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_prose_that_announces_no_quote_stays(spark):
+    rows = [(1, 0, "u", "Hello\nOn Monday the minister wrote:\nNo quote follows here."), (1, 1, "u", "On Monday the minister wrote:\n\n> Hello\nYes"), (1, 2, "u", "x\n" + "a" * 200 + " schrieb:\n> Hello\nNo")]
+    linked = quoting.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["turn"]: r["body"] for r in linked.collect()} == {0: rows[0][3], 1: "\nYes", 2: "x\nNo"}
+
+
+def test_long_conversations_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(quoting, "PART", 10)
+    rows = [(7, t, "u", "hello") for t in range(55)] + [(None, 1, "u", "x"), (None, 1, "u", "x")]
+    found = quoting.conversations(quoting.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), follow=True)).collect()
+    parts = {r["part"]: [m["turn"] for m in r["turns"]] for r in found if r["root_conv"] == 7}
+    assert parts == {p: list(range(10 * p, min(55, 10 * p + 10))) for p in range(6)}
+    assert len(found) == 8
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "On Monday A wrote:\n> Hello  there.\n> how are you?\nFine thanks."),

@@ -7,7 +7,7 @@ a heap; stale heap entries are recognised when popped.
 
 Texts are cut at single spaces between non-space characters before the pattern is applied, because
 no pre-token crosses such a cut; results of chunks and pre-tokens are memoised per worker in
-bounded tables. Texts in which spaces touch other white space take the pattern over the whole text.
+tables of bounded bytes. Texts in which spaces touch other white space take the pattern over the whole text.
 
 Null text counts as empty: no ids, and the digests of zero bytes. Every row yields one row, repeats
 included; other columns are ignored.
@@ -16,7 +16,6 @@ included; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
@@ -29,8 +28,10 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_rows, schema_of
 
-#: Chunks and pre-tokens that a worker keeps before it starts that memo afresh.
-CHUNK_ENTRIES, PIECE_ENTRIES = 800_000, 1_200_000
+#: Bytes of chunks and of pre-tokens, as they are held, that a worker keeps before it starts that memo afresh.
+CHUNK_BYTES, PIECE_BYTES = 224 << 20, 224 << 20
+#: Bytes that an entry takes besides its characters (up to four bytes each) and ids.
+ENTRY_BYTES, ID_BYTES = 200, 8
 
 
 class PerfectHash:
@@ -105,6 +106,7 @@ class ByteBPE:
         self.decimals = [str(i) for i in range(len(tokens))]
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.chunk_bytes = self.piece_bytes = 0
 
     def piece(self, text: str) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -147,11 +149,14 @@ class ByteBPE:
 
     def chunk(self, text: str) -> tuple[int, ...]:
         pieces, out = self.pieces, []
-        if len(pieces) > PIECE_ENTRIES:
-            pieces.clear()
         for p in self.find(text):
             if (got := pieces.get(p)) is None:
-                pieces[p] = got = self.piece(p)
+                got = self.piece(p)
+                self.piece_bytes += ENTRY_BYTES + len(p) * (1 if p.isascii() else 4) + ID_BYTES * len(got)
+                if self.piece_bytes > PIECE_BYTES:
+                    pieces.clear()
+                    self.piece_bytes = 0
+                pieces[p] = got
             out.append(got)
         return out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
 
@@ -164,10 +169,12 @@ class ByteBPE:
         if parts is None:
             return list(self.chunk(text))
         memo = self.chunks
-        if len(memo) > CHUNK_ENTRIES:
+        if self.chunk_bytes > CHUNK_BYTES:
             memo.clear()
+            self.chunk_bytes = 0
         for p in {*parts}.difference(memo):
-            memo[p] = self.chunk(p)
+            memo[p] = got = self.chunk(p)
+            self.chunk_bytes += ENTRY_BYTES + len(p) * (1 if p.isascii() else 4) + ID_BYTES * len(got)
         return list(chain.from_iterable(map(memo.__getitem__, parts)))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -184,18 +191,17 @@ _coder: tuple[object, ByteBPE] | None = None
 def _worker_coder(shared) -> ByteBPE:
     """One coder per Python worker and vocabulary."""
     global _coder
-    tokens, pattern, table = shared.value
-    key = (len(tokens), pattern, hash(tuple(tokens[-8:])))
+    key, tokens, pattern, table = shared.value
     if _coder is None or _coder[0] != key:
-        gc.disable()  # the memo's many tuples hold no cycles
         _coder = (key, ByteBPE(tokens, pattern, table))
     return _coder[1]
 
 
 def _shared(df: DataFrame, vocabulary: str, pattern: str):
     with open(vocabulary, "rb") as f:
-        tokens = read_ranks(f.read())
-    return df.sparkSession.sparkContext.broadcast((tokens, pattern, PerfectHash(tokens)))
+        data = f.read()
+    tokens = read_ranks(data)
+    return df.sparkSession.sparkContext.broadcast((hashlib.sha256(data + pattern.encode()).hexdigest(), tokens, pattern, PerfectHash(tokens)))
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,22 +23,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor and the driver share.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place and is
-    registered for checkpoints too.
+    Where the setting is absent on one machine (in tests) a temporary folder takes its place and is
+    registered for checkpoints too; on a cluster that is an error, for executors do not share such a folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = current or "file://" + tempfile.mkdtemp(prefix="quarry-")
         if not current:
             spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    for held in _scratch:
+        held.append(path)
+    return path
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes what the block put below the shared folder when it ends, so its result must stand elsewhere by then.
+
+    Without it, tables that a lazy result still needs stay until the folder itself is cleared.
+    """
+    held: list[str] = []
+    _scratch.append(held)
+    try:
+        yield
+    finally:
+        _scratch.remove(held)
+        remove(spark, held)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders on whatever file system they are."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared checkpoint folder; never a local checkpoint."""
     work_dir(df.sparkSession, "probe")
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if _scratch:
+        file = done._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        for held in _scratch if file.isDefined() else []:
+            held.append(file.get())
+    return done
 
 
 def written(df: DataFrame) -> DataFrame:

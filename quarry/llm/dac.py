@@ -4,10 +4,11 @@ An id is split into chunks of CHUNK_BITS bits. Level k holds the k-th chunk of e
 one, a bitmap that says which of them continue on level k + 1, and a rank directory (ones before
 each block of the bitmap), so id i is reached by one rank per level and no block is ever decoded.
 
-Documents are encoded, appended an end id, dealt to ranges by quantiles of their key, sorted, and
-written as shards of DOCS_PER_SHARD below spark.checkpoint.dir; each file is renamed into place whole,
+Documents are dealt to ranges of their key by Spark's sampled range partitioning, which splits equal keys
+by a row number, sorted, encoded with an end id appended, and
+written as shards of DOCS_PER_SHARD documents or SHARD_IDS ids below spark.checkpoint.dir; each file is renamed into place whole,
 so a lost or repeated task does no harm. A manifest row per file gives its counts; ids of all earlier
-documents are summed over shards in two levels, so no task ever gathers all shards.
+documents are summed over ranges in two levels, the upper one of RANGES / 64 rows.
 
 With added=True a text that holds the content of an added token of the file (<|endoftext|>) is encoded by
 the tokenizers library with its defaults, which give that token's id; else it is spelled out.
@@ -33,16 +34,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import arrow_rows, filesystem, publish, schema_of, work_dir
+from .common import filesystem, publish, work_dir
 from .packing import added_tokens
 
 CHUNK_BITS = 8
 #: Bits of a bitmap between two entries of its rank directory.
 RANK_BLOCK = 512
-#: Documents of a file, and key ranges that documents are dealt to, at most; a range can fill many files.
-DOCS_PER_SHARD, RANGES = 4096, 10_000
-#: White-space words and pieces of them that a worker keeps before it starts that memo afresh.
-WORD_ENTRIES, PIECE_ENTRIES = 800_000, 600_000
+#: Documents and, but for a longer document, ids of a file, and key ranges that documents are dealt to, at most; a range can fill many files.
+DOCS_PER_SHARD, SHARD_IDS, RANGES = 4096, 16 << 20, 50_000
+#: Bytes of white-space words and of pieces of them, as they are held, that a worker keeps before it starts that memo afresh.
+WORD_BYTES, PIECE_BYTES = 192 << 20, 128 << 20
+#: Bytes that an entry takes besides its characters (up to four bytes each) and ids.
+ENTRY_BYTES = 200
 MAGIC = b"QDAC0001"
 
 
@@ -176,6 +179,7 @@ class WordIds:
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.word_bytes = self.piece_bytes = 0
 
     def piece(self, piece: str) -> bytes:
         """Ids of a normalised piece: the model alone, on the characters that stand for its bytes."""
@@ -192,6 +196,7 @@ class WordIds:
         for p in (word,) if word.isascii() and word.isalpha() else self.find(word):
             if (got := pieces.get(p)) is None:
                 pieces[p] = got = self.piece(p)
+                self.piece_bytes += ENTRY_BYTES + len(p) * (1 if p.isascii() else 4) + len(got)
             out.append(got)
         return out[0] if len(out) == 1 else b"".join(out)
 
@@ -203,12 +208,15 @@ class WordIds:
         if not lower.isascii() and (self.odd(text) or not unicodedata.is_normalized("NFC", lower)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.whole(text)
         memo, parts = self.words, lower.split()
-        if len(memo) > WORD_ENTRIES:
+        if self.word_bytes > WORD_BYTES:
             memo.clear()
-        if len(self.pieces) > PIECE_ENTRIES:
+            self.word_bytes = 0
+        if self.piece_bytes > PIECE_BYTES:
             self.pieces.clear()
+            self.piece_bytes = 0
         for w in {*parts}.difference(memo):
-            memo[w] = self.word(w)
+            memo[w] = got = self.word(w)
+            self.word_bytes += ENTRY_BYTES + len(w) * (1 if w.isascii() else 4) + len(got)
         return b"".join(map(memo.__getitem__, parts))
 
 
@@ -218,9 +226,6 @@ _coder: tuple[object, WordIds] | None = None
 def _worker_coder(shared) -> WordIds:
     global _coder
     if _coder is None or _coder[0] != shared.value:
-        import gc
-
-        gc.disable()  # the memos hold no cycles
         _coder = (shared.value, WordIds(*shared.value))
     return _coder[1]
 
@@ -238,27 +243,17 @@ def write(df: DataFrame, vocabulary: str, folder: str, end: int = 1, docs_per_sh
         shared = spark.sparkContext.broadcast((f.read(), added))
     width = "<u2" if Tokenizer.from_str(shared.value[0]).get_vocab_size() <= 1 << 16 else "<u4"
     n = df.select(key).count()
-    shards = max(1, min(RANGES, -(-n // docs_per_shard)))
-    bounds = np.array([], dtype=np.int64)
-    if shards > 1:
-        # quantiles of the key column alone: a few numbers per thousand documents
-        cuts = df.select(F.percentile_approx(key, [k / shards for k in range(1, shards)], min(1_000_000, 50 * shards)).alias("q")).first()["q"] or []
-        bounds = np.array(sorted(set(cuts)), dtype=np.int64)
-
-    def encode(batches):
-        coder = _worker_coder(shared)
-        tail = np.array([end], dtype=width).tobytes()
-        for batch in batches:
-            ids = [coder.encode(t.as_py() or "") + tail for t in batch.column(text)]
-            at = [0 if k is None else int(np.searchsorted(bounds, k)) for k in batch.column(key).to_pylist()]
-            yield arrow_rows(batch, [key], {"shard": (at, pa.int32()), "ids": (ids, pa.binary())})
-
-    coded = df.select(key, text).mapInArrow(encode, schema_of(df, [key], "shard int, ids binary"))
-    dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", key, "ids")
+    ranges = max(1, min(RANGES, -(-n // docs_per_shard)))
+    # rows of one key are told apart by their number, so they fill as many ranges as they need
+    numbered = df.select(key, text).withColumn("_row", F.monotonically_increasing_id())
+    dealt = numbered.repartitionByRange(ranges, key, "_row").sortWithinPartitions(key, "_row").drop("_row")
 
     def store(batches):
+        from pyspark import TaskContext
+
         fs, root = filesystem(folder)
-        shard, part, keys, ids = None, 0, [], []
+        coder, tail = _worker_coder(shared), np.array([end], dtype=width).tobytes()
+        shard, part, held, keys, ids = TaskContext.get().partitionId(), 0, 0, [], []
 
         def close():
             path = f"{root}/ids-{shard:05d}-{part:06d}.dac"
@@ -269,14 +264,13 @@ def write(df: DataFrame, vocabulary: str, folder: str, end: int = 1, docs_per_sh
             return row
 
         for batch in batches:
-            for s, k, x in zip(batch.column("shard").to_pylist(), batch.column(key).to_pylist(), batch.column("ids"), strict=True):
-                if keys and (s != shard or len(keys) >= docs_per_shard):
-                    yield close()
-                    part += 1
-                if s != shard:
-                    shard, part = s, 0
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(text), strict=True):
                 keys.append(k)
-                ids.append(np.frombuffer(x.as_py(), dtype=width))
+                ids.append(np.frombuffer(coder.encode(t.as_py() or "") + tail, dtype=width))
+                held += len(ids[-1])
+                if len(keys) >= docs_per_shard or held >= SHARD_IDS:
+                    yield close()
+                    part, held = part + 1, 0
         if keys:
             yield close()
 

@@ -18,6 +18,7 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -130,10 +131,16 @@ def pack_group(ids: list[np.ndarray], capacity: int) -> list[tuple[int, int, int
 _coder: tuple[object, Tokens] | None = None
 
 
+def fingerprint(path: str, *more: object) -> str:
+    """Names a vocabulary by its bytes and what else decides about ids."""
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read() + repr(more).encode()).hexdigest()
+
+
 def _worker_coder(shared) -> Tokens:
+    """One coder per Python worker and vocabulary."""
     global _coder
-    ranks, pattern, definition = shared.value
-    key = len(ranks), pattern, definition
+    key, ranks, pattern, definition = shared.value
     if _coder is None or _coder[0] != key:
         _coder = (key, Tokens(ranks, pattern, definition))
     return _coder[1]
@@ -148,7 +155,7 @@ def pack(df: DataFrame, vocabulary: str, pattern: str, end: int = 0, capacity: i
     if added:
         with open(vocabulary, encoding="utf-8") as f:
             definition = f.read()
-    shared = df.sparkSession.sparkContext.broadcast((read_vocabulary(vocabulary), pattern, definition))
+    shared = df.sparkSession.sparkContext.broadcast((fingerprint(vocabulary, pattern, added), read_vocabulary(vocabulary), pattern, definition))
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):

@@ -31,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, publish, work_dir
+from . import common
+from .common import checkpoint, filesystem, publish, work_dir
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 4 << 10
@@ -114,8 +115,14 @@ def write(df: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, least_
     rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html")})
     # one row for each payload that occurs more than once, counted before the shuffle
     copied = rows.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n"))
-    copied = copied.filter("n > 1 and winner is not null").select("digest", "winner")
-    dealt = rows.select("page_id", "url", "html", F.when(F.col("size") >= least_bytes, F.col("digest")).alias("digest")).join(copied, "digest", "left")
+    copied = checkpoint(copied.filter("n > 1 and winner is not null"))
+    # payloads of more than one in FREQUENT_SHARE of all pages are at most that many, so they are broadcast; their pages,
+    # and those that revisit nothing, are then dealt by what else they hold
+    often = copied.filter(F.col("n") > max(common.FREQUENT_ROWS, df.count() // common.FREQUENT_SHARE)).select("digest", F.col("winner").alias("often"))
+    met = rows.join(F.broadcast(often), "digest", "left")
+    open_ = (F.col("size") >= least_bytes) & F.col("often").isNull()
+    met = met.withColumn("digest", F.when(open_, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
+    dealt = met.join(copied.select("digest", "winner"), "digest", "left").withColumn("winner", F.when(F.col("size") >= least_bytes, F.coalesce("often", "winner"))).drop("often", "size", "digest")
     run_id = uuid.uuid4().hex
 
     def store(batches):

@@ -1,5 +1,6 @@
 """Operators on documents: brute force, round trips and the cases that the docstrings define."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -14,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, components, dac, entry, fm, jaccard, packing, quality, shingles
+from quarry.llm import bpe, common, components, dac, entry, fm, jaccard, packing, quality, shingles
 
 WORDS = "the of and to in reing thation onder ver, und Der! é ção naïve 12 x7 don't ### %% | ¿qué? 日本".split()
 
@@ -398,6 +399,87 @@ def test_pipeline_stages(spark, tmp_path):
         assert after.columns == docs.columns, name
         docs = after
     assert sorted(r["doc_id"] for r in docs.collect()) == list(range(60))
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
     packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(range(60))
     assert packed.filter(F.col("length") < 1).count() == 0
+    # the pieces are the whole documents that the stages kept, as the library encodes them, and sequences have no gaps
+    library, pieces = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packed.collect()
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in kept.items()}
+    at = dict.fromkeys(ids, 0)
+    for r in sorted(pieces, key=lambda r: (r["doc_id"], r["start"])):
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["start"] == at[r["doc_id"]] and len(part) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(part, dtype="<u4").tobytes())
+        at[r["doc_id"]] += r["length"]
+    assert at == {i: len(x) for i, x in ids.items()} and all(r["doc_tokens"] == len(ids[r["doc_id"]]) for r in pieces)
+    sequences = collections.defaultdict(list)
+    for r in pieces:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(gapless(found) == 1024 or gapless(found).bit_count() == 1 and gapless(found) < 1024 for found in sequences.values())
+
+
+def gapless(found):
+    at = 0
+    for offset, n in sorted(found):
+        assert offset == at
+        at += n
+    return at
+
+
+def test_the_pipeline_leaves_only_its_rows(spark, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline
+
+    made = []
+    monkeypatch.setattr(corpus_pipeline, "work_dir", lambda spark, name: made.append(common.work_dir(spark, name)) or made[-1])
+    rows = [(i, " ".join(f"word{(i * 7 + k * k) % 900}" for k in range(90)), "en", "s", 500) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    root = os.path.dirname(common.work_dir(spark, "probe").removeprefix("file:"))
+    before = set(os.listdir(root))
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    folder = made[0].removeprefix("file:")
+    assert os.listdir(folder) == ["3"]
+    assert {x for x in set(os.listdir(root)) - before if os.listdir(f"{root}/{x}")} <= {os.path.basename(folder)}
+
+
+def test_work_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.work_dir(cluster, "x")
+
+
+def test_rows_of_one_key_fill_many_ranges(spark):
+    rows = [(5, f"text {i}") for i in range(300)] + [(i, "other") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = dac.write(df, P.path("word_bpe_49k.json"), common.work_dir(spark, "t"), docs_per_shard=20)
+    found = manifest.groupBy("shard").agg(F.sum("n_docs").alias("n")).collect()
+    assert len(found) >= 12 and max(r["n"] for r in found) <= 80
+    starts = [(r["doc_id"], r["start"], r["n_tokens"]) for r in dac.read(manifest).orderBy("start").collect()]
+    assert [k for k, _, _ in starts] == sorted(k for k, _ in rows)
+    assert all(b[1] == a[1] + a[2] for a, b in zip(starts, starts[1:], strict=False))
+
+
+def test_coders_know_their_vocabulary(spark, tmp_path):
+    """A second vocabulary of equal size and last tokens, in the same workers, is another one."""
+    tokens = [bytes([b]) for b in range(256)]
+    paths = []
+    for name, merged in (("a", [b"th", b"he", b"zz"]), ("b", [b"to", b"he", b"zz"])):
+        paths.append(tmp_path / name)
+        paths[-1].write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate([*tokens, *merged])))
+    df = spark.createDataFrame([(1, "this toss")], "doc_id long, text string")
+    got = [bpe.encode(df, str(p), r"\S+|\s+").first()["ids"] for p in paths]
+    assert got[0] != got[1] and len(got[0]) == len(got[1]) == 8
+
+
+def test_memos_are_bounded_by_bytes(monkeypatch):
+    ranks = [bytes([b]) for b in range(256)]
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 20_000)
+    coder = bpe.ByteBPE(ranks, r"\S+|\s+")
+    for i in range(300):
+        text = " ".join(f"{chr(0x4E00 + i)}{chr(0x4E00 + k)}" * 20 for k in range(5))
+        assert bytes(coder.encode(text)) == text.encode()
+        assert coder.chunk_bytes < 30_000 and coder.piece_bytes < 30_000 and len(coder.chunks) < 100

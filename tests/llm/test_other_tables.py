@@ -150,8 +150,9 @@ def test_segments():
             warc.join_segments(broken)
 
 
-@pytest.mark.parametrize("least", [0, 3])
-def test_archives(spark, least):
+@pytest.mark.parametrize(("least", "frequent"), [(0, 4096), (3, 4096), (0, 1), (3, 1)])
+def test_archives(spark, monkeypatch, least, frequent):
+    monkeypatch.setattr(common, "FREQUENT_ROWS", frequent)
     rng = random.Random(5)
     long = "".join(rng.choice("abcdé \n") for _ in range(3000))
     html = [None, "", "a", "a", long, long, long + "!", "日本\r\n0\r\n\r\n", "WARC/1.1\r\n\r\n", long]

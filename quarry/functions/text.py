@@ -64,8 +64,9 @@ def token_set(x: Column) -> Column:
 
 def split_identifiers(x: Column) -> Column:
     """Parts of camel-case and snake-case identifiers: lower case, three characters or more, distinct, in order."""
-    words = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("[A-Za-z0-9]+"), 0)
-    parts = F.flatten(F.transform(words, lambda w: F.split(w, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")))
+    words = F.array_distinct(F.split(F.coalesce(x, F.lit("")), "[^A-Za-z0-9]+"))
+    cut = lambda w: F.split(w, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+    parts = F.flatten(F.transform(words, lambda w: F.when(w.rlike("[a-z][A-Z]|[A-Z]{2}[a-z]"), cut(w)).otherwise(F.array(w))))
     return F.array_distinct(F.filter(F.transform(parts, F.lower), lambda t: F.length(t) >= 3))
 
 
@@ -141,7 +142,10 @@ def type_boost(kind: Column) -> Column:
 
 def term_coverage(query: Column, tokens: Column) -> Column:
     """Share of the query's tokens (repeats counted) among the tokens; 1 without any."""
-    return F.when(F.size(query) == 0, 1.0).otherwise(F.size(F.filter(query, lambda t: F.array_contains(tokens, t))) / F.size(query))
+    both = F.array_intersect(query, tokens)  # by hashes
+    repeats = F.size(query) - F.size(F.array_distinct(query))
+    held = F.when(repeats == 0, F.size(both)).otherwise(F.size(F.filter(query, lambda t: F.array_contains(both, t))))
+    return F.when(F.size(query) == 0, 1.0).otherwise(held / F.size(query))
 
 
 def signatures(content: Column, most: int) -> Column:
@@ -169,6 +173,11 @@ def summary_line(node_id: Column, kind: Column, content: Column) -> Column:
     return F.when(kind.isin("function", "type", "variable"), symbol).when(kind == "import", F.concat(F.lit("[import] "), node_id)).otherwise(label)
 
 
+def first_runes(x: Column, n: int) -> Column:
+    """The first n code points."""
+    return F.substring(x, 1, n)
+
+
 def file_context(content: Column, line: Column, radius: int) -> Column:
     """Numbered lines around one, which is marked."""
     lines = F.split(content, "\n")

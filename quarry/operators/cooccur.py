@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import _settled
+from .settle import settled as _settled
 
 #: Terms of a block: a task forms the pairs of two blocks of a document at a time.
 BLOCK = 512
@@ -92,6 +92,13 @@ def rebuild(existing: DataFrame | None, changed: int, least_changed: int, build)
     return build()
 
 
+def nearest(neighbours: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """term, neighbour and weight: the k best neighbours of each of terms (term)."""
+    by = Window.partitionBy("term").orderBy(F.desc("weight"), "neighbour")
+    found = neighbours.join(terms.select("term").distinct(), "term", "left_semi")
+    return found.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n")
+
+
 def expand(queries: DataFrame, neighbours: DataFrame, each: int) -> DataFrame:
     """query_id and terms of (query_id, terms): the originals, then the `each` best neighbours of every term,
     without originals or repeats."""

@@ -1,16 +1,30 @@
-"""Full-text search: postings, BM25 over batches of queries, prefix and phrase matching."""
+"""Full-text search: postings, BM25 over batches of queries, prefix and phrase matching.
+
+A search reads either nodes, whose texts are cut to terms once, or stored postings. What the queries ask for is
+small and meets the terms by equality of keys: a whole term, or its first characters for a prefix. So
+every term that nobody asks for is dropped before any shuffle, hits are dealt by node, and all that follows, up to the
+k best nodes of each task, stays there.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import _settled
+from .settle import settled as _settled
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Terms of phrases that are broadcast; more are joined by a shuffle.
+#: Parts of phrases, phrases of queries and weights of phrases that are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 1_000_000
+#: Decimal places of a score that count.
+PLACES = 9
+#: Parts of phrases that become a filter of the scan at most.
+PUSHED = 64
+#: Characters of a prefix that meet terms by equality; longer ones are compared then.
+HEAD = 8
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -24,27 +38,16 @@ def frequencies(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.explode(T.unicode_terms(F.col("content"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
-def phrase_postings(nodes: DataFrame, wanted: DataFrame) -> DataFrame | None:
-    """Postings with positions of just the terms that phrases of several terms match; None without such phrases."""
-    several = wanted.filter(F.size("terms") > 1).select(F.size("terms").alias("n"), "prefix", F.posexplode("terms").alias("i", "want"))
-    parts = _settled(several.select("want", (F.col("prefix") & (F.col("i") == F.col("n") - 1)).alias("star")).distinct())
-    count, shortest = parts.agg(F.count("*"), F.min(F.when(F.col("star"), F.length("want")))).first()
-    if not count:
-        return None
-    # what a part matches begins as it does
-    head = lambda c: F.substring(c, 1, min(3, shortest or 3))
-    parts = parts.withColumn("head", head("want"))
-    terms = nodes.select("id", F.posexplode(T.unicode_terms(F.col("content"))).alias("pos", "term"))
-    same = (head("term") == F.col("head")) & ((F.col("term") == F.col("want")) | (F.col("star") & F.col("term").startswith(F.col("want"))))
-    held = terms.join(F.broadcast(parts) if count <= BROADCAST_TERMS else parts, same, "left_semi")
-    return held.groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
 def doc_stats(nodes: DataFrame) -> DataFrame:
     """id and dl, the terms of each node."""
     return nodes.select("id", F.size(T.unicode_terms(F.col("content"))).cast("bigint").alias("dl"))
 
 
+def totals(stats: DataFrame) -> DataFrame:
+    """One row: n_docs and avgdl over all nodes, as the index has them."""
+    return stats.agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+
+
 def phrases(queries: DataFrame, text: str = "query") -> DataFrame:
     """query_id, phrase_no, terms, prefix: what a query's tokens match.
 
@@ -55,82 +58,131 @@ def phrases(queries: DataFrame, text: str = "query") -> DataFrame:
     return tokens.filter(star | (F.octet_length("token") >= 2)).select("query_id", "phrase_no", T.unicode_terms(F.col("token")).alias("terms"), star.alias("prefix")).filter(F.size("terms") > 0)
 
 
-def _term_matches(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """wanted (…, want, star) with each vocabulary term it matches; equal three-character heads bound the prefix join."""
-    whole = wanted.filter("not star").join(vocabulary, F.col("want") == F.col("term"))
-    head = F.substring("term", 1, 3)
-    started = wanted.filter("star and length(want) >= 3").withColumn("head", F.substring("want", 1, 3)).join(vocabulary.withColumn("head", head), "head").filter(F.col("term").startswith(F.col("want"))).drop("head")
-    short = wanted.filter("star and length(want) < 3").join(vocabulary, F.col("term").startswith(F.col("want")))
-    return whole.unionByName(started).unionByName(short)
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def matches(wanted: DataFrame, posted: DataFrame, placed: DataFrame | None = None) -> DataFrame:
-    """query_id, phrase_no, id and f, the occurrences of each phrase in each node that has it.
+class Asked:
+    """The distinct phrases of a batch of queries, so that what queries share is matched once.
 
-    Single terms add up term frequencies; phrases of several terms intersect shifted positions, which are
-    those of placed (see phrase_postings) or else of posted.
+    queries: query_id and phrase, one row for each use. parts: phrase, n (its terms), i, want, star and key.
     """
-    vocabulary = posted.select("term").distinct()
-    single = wanted.filter(F.size("terms") == 1).select("query_id", "phrase_no", F.col("terms")[0].alias("want"), F.col("prefix").alias("star"))
-    hits = _term_matches(single, vocabulary).select("query_id", "phrase_no", "term").join(posted.select("term", "id", "tf"), "term").groupBy("query_id", "phrase_no", "id").agg(F.sum("tf").alias("f"))
-    several = wanted.filter(F.size("terms") > 1)
-    if placed is None:
-        if "positions" not in posted.columns:
-            if several.isEmpty():
-                return hits
-            raise ValueError("phrases of several terms need positions")
-        placed = posted
-    else:
-        vocabulary = placed.select("term").distinct()
-    parts = several.select("query_id", "phrase_no", F.size("terms").alias("n"), "prefix", F.posexplode("terms").alias("i", "want")).withColumn("star", F.col("prefix") & (F.col("i") == F.col("n") - 1)).drop("prefix")
-    found = _term_matches(parts, vocabulary).select("query_id", "phrase_no", "n", "i", "term").join(placed.select("term", "id", "positions"), "term")
-    shifted = found.select("query_id", "phrase_no", "n", "i", "id", F.explode("positions").alias("p")).select("query_id", "phrase_no", "n", "i", "id", (F.col("p") - F.col("i")).alias("at")).distinct()
-    full = shifted.groupBy("query_id", "phrase_no", "id", "at").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter("k = n")
-    return hits.unionByName(full.groupBy("query_id", "phrase_no", "id").agg(F.count("*").alias("f")))
-
-
-def parts(found: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, phrase_no, id, part): what each phrase adds to the score of each node that has it.
-
-    stats cover all nodes, as the index does.
+
+    def __init__(self, wanted: DataFrame):
+        named = _settled(wanted.withColumn("phrase", F.xxhash64("terms", "prefix")))
+        self.queries = named.select("query_id", "phrase")
+        distinct = named.select("phrase", "terms", "prefix").dropDuplicates(["phrase"])
+        parts = distinct.select("phrase", F.size("terms").alias("n"), "prefix", F.posexplode("terms").alias("i", "want"))
+        parts = parts.withColumn("star", F.col("prefix") & (F.col("i") == F.col("n") - 1)).drop("prefix")
+        key = F.when(F.col("star"), F.concat(F.lit("^"), F.substring("want", 1, HEAD))).otherwise(F.concat(F.lit("="), F.col("want")))
+        self.parts = _settled(parts.withColumn("key", key))
+        # at most HEAD + 1 kinds of keys
+        kinds = self.parts.groupBy(F.when(F.col("star"), F.least(F.length("want"), F.lit(HEAD))).alias("head")).agg(F.count("*").alias("n"), F.max("n").alias("longest")).collect()
+        self.heads = sorted(r["head"] for r in kinds if r["head"])
+        self.whole = any(r["head"] is None for r in kinds)
+        self.n_parts = sum(r["n"] for r in kinds)
+        self.several = any(r["longest"] > 1 for r in kinds)
+        self.n_uses = self.queries.count()
+
+    def keys(self, term: Column) -> Column:
+        """What of the parts a term can match."""
+        starts = [F.when(F.length(term) >= n, F.concat(F.lit("^"), F.substring(term, 1, n))) for n in self.heads]
+        return F.array(*starts, *([F.concat(F.lit("="), term)] if self.whole else []), *([] if starts or self.whole else [F.lit(None).cast("string")]))
+
+    def meet(self, terms: DataFrame, several: bool) -> DataFrame:
+        """Rows of terms (term, ...) with the parts that match them: of phrases of several terms, or of one."""
+        parts = self.parts.filter("n > 1" if several else "n = 1")
+        keyed = terms.withColumn("key", F.explode(self.keys(F.col("term")))).filter("key is not null")
+        return keyed.join(_bounded(parts, self.n_parts), "key").filter(~F.col("star") | F.col("term").startswith(F.col("want"))).drop("key", "star", "want", "term")
+
+
+def _full(placed: DataFrame, more: list[str]) -> DataFrame:
+    """phrase, id, *more and f of rows (phrase, n, i, id, pos): places where all parts of a phrase follow each other."""
+    at = placed.select("phrase", "n", "id", *more, (F.col("pos") - F.col("i")).alias("at"))
+    whole = at.groupBy("id", "phrase", "at", *more).agg(F.count("*").alias("k"), F.first("n").alias("n")).filter("k = n")
+    return whole.groupBy("id", "phrase", *more).agg(F.count("*").alias("f")).select("phrase", "id", *more, "f")
+
+
+def _node_hits(nodes: DataFrame, asked: Asked) -> DataFrame:
+    """phrase, id, dl and f: the occurrences of each phrase in each node that has it."""
+    # an array of one array: what a generator makes is made once, where a projection would be repeated for each use
+    cut = nodes.select("id", F.explode(F.array(T.unicode_terms(F.col("content")))).alias("terms")).select("id", F.size("terms").cast("bigint").alias("dl"), F.posexplode("terms").alias("pos", "term"))
+    # one term may be one part of a phrase in one place only, so matches are counted; dealt by node, for what follows
+    hits = asked.meet(cut.drop("pos"), False).select("phrase", "id", "dl").repartition("id").groupBy("id", "phrase", "dl").agg(F.count("*").alias("f")).select("phrase", "id", "dl", "f")
+    return hits.unionByName(_full(asked.meet(cut, True).repartition("id"), ["dl"])) if asked.several else hits
+
+
+def _index_hits(posted: DataFrame, asked: Asked) -> DataFrame:
+    """phrase, id and f from postings."""
+    if asked.several and "positions" not in posted.columns:
+        raise ValueError("phrases of several terms need positions")
+    if 0 < asked.n_parts <= PUSHED:  # few enough for the scan of stored postings to skip what no query asks for
+        wants = [F.col("term").startswith(r["want"]) if r["star"] else F.col("term") == r["want"] for r in asked.parts.select("want", "star").distinct().collect()]
+        posted = posted.filter(reduce(lambda a, b: a | b, wants))
+    hits = asked.meet(posted.select("term", "id", "tf"), False).groupBy("phrase", "id").agg(F.sum("tf").alias("f"))
+    if asked.several:
+        placed = asked.meet(posted.select("term", "id", "positions"), True)
+        hits = hits.unionByName(_full(placed.select("phrase", "n", "i", "id", F.explode("positions").alias("pos")), []))
+    return hits
+
+
+def occurrences(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, phrase_no, id and f: what matches gives, from nodes without postings."""
+    asked = Asked(wanted)
+    named = wanted.withColumn("phrase", F.xxhash64("terms", "prefix")).select("query_id", "phrase_no", "phrase")
+    return named.join(_node_hits(nodes, asked), "phrase").select("query_id", "phrase_no", "id", "f")
+
+
+def matches(wanted: DataFrame, posted: DataFrame) -> DataFrame:
+    """query_id, phrase_no, id and f, the occurrences of each phrase in each node that has it.
+
+    Single terms add up term frequencies; phrases of several terms intersect shifted positions.
     """
-    totals = stats.agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-    n = found.groupBy("query_id", "phrase_no").agg(F.count("*").alias("n_hits"))
-    scored = found.join(n, ["query_id", "phrase_no"]).join(stats, "id").join(F.broadcast(totals))
-    idf = F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
-    weight = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-    part = weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.select("query_id", "phrase_no", "id", part.alias("part"))
+    asked = Asked(wanted)
+    named = wanted.withColumn("phrase", F.xxhash64("terms", "prefix")).select("query_id", "phrase_no", "phrase")
+    return named.join(_index_hits(posted, asked), "phrase").select("query_id", "phrase_no", "id", "f")
 
 
-def bm25(wanted: DataFrame, posted: DataFrame, stats: DataFrame, placed: DataFrame | None = None) -> DataFrame:
-    """query_id, id, bm25 (higher is better) of all phrases of each query; a phrase that repeats counts again.
+def _scored(hits: DataFrame, whole: DataFrame, asked: Asked) -> DataFrame:
+    """query_id, id and bm25 of hits (phrase, id, dl, f); a phrase that repeats counts again."""
+    hits = _settled(hits)
+    n = hits.groupBy("phrase").agg(F.count("*").alias("n_hits")).join(F.broadcast(whole))
+    idf = F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
+    weights = n.select("phrase", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("weight"), "avgdl")
+    uses = asked.queries.groupBy("phrase", "query_id").agg(F.count("*").alias("times"))
+    part = F.col("weight") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weighed = hits.join(_bounded(weights, asked.n_parts), "phrase").select("phrase", "id", part.alias("part"))
+    used = weighed.join(_bounded(uses, asked.n_uses), "phrase")
+    return used.groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("bm25"))
 
-    Phrases that queries share are matched and weighed once, and only their parts meet the queries.
-    """
-    named = wanted.withColumn("phrase", F.xxhash64("terms", "prefix"))
-    distinct = named.select(F.col("phrase").alias("query_id"), F.lit(0).alias("phrase_no"), "terms", "prefix").dropDuplicates(["query_id"])
-    weighed = parts(matches(distinct, posted, placed), stats).select(F.col("query_id").alias("phrase"), "id", "part")
-    return named.select("query_id", "phrase").join(weighed, "phrase").groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
+
+def bm25(wanted: DataFrame, posted: DataFrame, stats: DataFrame) -> DataFrame:
+    """query_id, id, bm25 (higher is better) of all phrases of each query, from postings and (id, dl) of all nodes."""
+    asked = Asked(wanted)
+    return _scored(_index_hits(posted, asked).join(stats.select("id", "dl"), "id"), totals(stats), asked)
 
 
 def scores(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """bm25() of phrases over nodes; only terms of phrases of several terms get positions."""
-    return bm25(wanted, frequencies(nodes), doc_stats(nodes), phrase_postings(nodes, wanted))
+    """The same over nodes, whose terms are cut once for hits and once for the totals."""
+    asked = Asked(wanted)
+    return _scored(_node_hits(nodes, asked), totals(doc_stats(nodes)), asked)
 
 
 def top(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
-    """The k best of each query with their rank; ties to the smaller id."""
-    by = Window.partitionBy("query_id").orderBy(F.desc(score), "id")
+    """The k best of each query with their rank; ties to the smaller id. Sums that differ by the order of addition are ties."""
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, PLACES)), "id")
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def search(nodes: DataFrame, queries: DataFrame, k: int = 200, files_only: bool = True, phrase_positions: bool = False) -> DataFrame:
+def search(nodes: DataFrame, queries: DataFrame, k: int = 200, files_only: bool = True, phrase_positions: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_id, id, type, bm25 and rank of the k best nodes of each query.
 
-    phrase_positions: every term gets positions, in one pass over the nodes; the result is the same.
+    index: postings and (id, dl) of the nodes, which are then not read for their texts. phrase_positions: postings
+    are made on the way; the result is the same.
     """
     wanted = phrases(queries)
-    found = bm25(wanted, postings(nodes), doc_stats(nodes)) if phrase_positions else scores(nodes, wanted)
-    scored = found.join(nodes.select("id", "type"), "id")
-    return top(scored.filter(F.col("type").like("%_file")) if files_only else scored, k)
+    if index is None and phrase_positions:
+        index = postings(nodes), doc_stats(nodes)
+    found = bm25(wanted, *index) if index else scores(nodes, wanted)
+    kinds = nodes.select("id", "type")
+    return top(found.join(kinds.filter(F.col("type").like("%_file")) if files_only else kinds, "id"), k)

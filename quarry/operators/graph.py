@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: through spark.checkpoint.dir where it is set, else in the executors' storage."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+from .settle import settled as _settled
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -34,27 +28,33 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def trace(edges: DataFrame, start: str, depth: int, limit: int = 10_000) -> DataFrame:
-    """The first edge of each pair of nodes within reach, by depth, then relation."""
+def _first(found: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first rows in an order, or all rows in none."""
+    return found if limit is None else found.orderBy(*order).limit(limit)
+
+
+def trace(edges: DataFrame, start: str, depth: int, limit: int | None = 10_000) -> DataFrame:
+    """The first edge of each pair of nodes within reach, by depth, then relation; limit None: all of them, unsorted."""
     seeds = edges.sparkSession.createDataFrame([(start,)], "id string")
     by = Window.partitionBy("from_id", "to_id").orderBy("depth", "relation_type")
     first = walk(edges, seeds, depth).withColumn("n", F.row_number().over(by)).filter("n = 1").drop("n")
-    return first.orderBy("depth", "from_id", "to_id").limit(limit)
+    return _first(first, limit, "depth", "from_id", "to_id")
 
 
-def trace_nodes(edges: DataFrame, start: str, depth: int) -> DataFrame:
-    found = trace(edges, start, depth)
+def trace_nodes(edges: DataFrame, start: str, depth: int, limit: int | None = 10_000) -> DataFrame:
+    """start and the ids of the nodes that its trace touches."""
+    found = trace(edges, start, depth, limit)
     begin = edges.sparkSession.createDataFrame([(start,)], "id string")
     return found.select(F.explode(F.array("from_id", "to_id")).alias("id")).union(begin).distinct()
 
 
-def trace_many(edges: DataFrame, seeds: DataFrame, depth: int, limit: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def trace_many(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
     """Edges with least depth, and hops (id, hop) of what they reach other than by containment;
     children of what is reached by `contains` then take their parent's hop."""
     key = ["query_id"] if "query_id" in seeds.columns else []
     found = walk(edges, seeds, depth).groupBy(*key, "from_id", "to_id", "relation_type").agg(F.min("depth").alias("depth"))
     if not key:
-        found = found.orderBy("depth", "from_id", "to_id", "relation_type").limit(limit)
+        found = _first(found, limit, "depth", "from_id", "to_id", "relation_type")
     hops = found.filter("relation_type <> 'contains'").groupBy(*key, F.col("to_id").alias("id")).agg(F.min("depth").alias("hop"))
     inside = found.filter("relation_type = 'contains'").select(*key, F.col("from_id").alias("parent"), F.col("to_id").alias("id")).join(hops.withColumnRenamed("id", "parent"), [*key, "parent"]).select(*key, "id", "hop")
     inside = inside.join(hops.select(*key, "id"), [*key, "id"], "left_anti").groupBy(*key, "id").agg(F.min("hop").alias("hop"))

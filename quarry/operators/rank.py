@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .settle import settled
 
+#: Decimal places of a score that count: sums that differ by the order of addition are ties.
+PLACES = 9
 DENSE_SHARE, GRAPH_BOOST, GRAPH_SCORE, LEAST_SHARE, SEEDS = 0.25, 0.15, 0.3, 0.25, 30
 
 
@@ -20,7 +23,9 @@ def score_text(hits: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFra
 
     queries has query_id and tokens; the range is that of the query's own hits.
     """
-    hits = hits.select("query_id", "id", "bm25").join(node_tokens(nodes), "id")
+    hits = hits.select("query_id", "id", "bm25")
+    # only nodes with hits are cut to tokens
+    hits = hits.join(node_tokens(nodes.join(hits.select("id").distinct(), "id", "left_semi")), "id")
     w = Window.partitionBy("query_id")
     low, high = F.min("bm25").over(w), F.max("bm25").over(w)
     norm = F.when(high - low <= 1e-9, 1.0).otherwise((F.col("bm25") - low) / (high - low))
@@ -41,7 +46,7 @@ def fuse_dense(candidates: DataFrame, hits: DataFrame, nodes: DataFrame) -> Data
 
 
 def seeds(candidates: DataFrame, k: int = SEEDS) -> DataFrame:
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", PLACES)), "id")
     return candidates.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).select("query_id", "id")
 
 
@@ -71,24 +76,24 @@ def ranked(candidates: DataFrame) -> DataFrame:
     """rank by score + boost + type boost, ties to the smaller id."""
     boost = F.col("boost") if "boost" in candidates.columns else F.lit(0.0)
     out = candidates.withColumn("total", F.col("score") + boost + T.type_boost(F.col("type")))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "id")))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("total", PLACES)), "id")))
 
 
 def threshold(ranks: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
     """Candidates of at least a share of their query's best total; dropped says whether any fell below."""
     w = Window.partitionBy("query_id")
-    marked = ranks.withColumn("below", F.col("total") < F.max("total").over(w) * share)
+    marked = ranks.withColumn("below", F.round("total", PLACES) < F.round(F.max("total").over(w) * share, PLACES))
     return marked.withColumn("dropped", F.max("below").over(w)).filter("not below").drop("below")
 
 
-def fill_budget(items: DataFrame, budget: int = 4000) -> DataFrame:
+def fill_budget(items: DataFrame, budget: int = 4000, at_once: int = 2000) -> DataFrame:
     """Greedy fill in rank order: an item takes its soft size if it fits, else its hard size, else it is skipped.
 
-    items: query_id, rank, id, soft, hard (tokens). Returns query_id, rank, id, tokens, form and used (so far).
-    A query's candidates are bounded by the search's k, so its fold runs over a short array.
+    items: query_id, rank, id, soft, hard (tokens). Returns query_id, rank, id, tokens, form and used (so far). Each
+    round folds the first at_once items of every query, cut by rank in each task; of the others only those
+    stay that can still fit into what is left of their query's budget, so few rounds do for any number of items.
     """
     kind = "struct<used:bigint,kept:array<struct<rank:int,id:string,tokens:bigint,form:string,used:bigint>>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().alias("kept")).cast(kind)
 
     def step(acc, x):
         tokens = F.when(acc["used"] + x["soft"] <= budget, x["soft"]).when(acc["used"] + x["hard"] <= budget, x["hard"])
@@ -97,5 +102,19 @@ def fill_budget(items: DataFrame, budget: int = 4000) -> DataFrame:
         entry = F.struct(x["rank"].alias("rank"), x["id"].alias("id"), tokens.alias("tokens"), form.alias("form"), used.alias("used"))
         return F.when(tokens.isNull(), acc).otherwise(F.struct(used.alias("used"), F.concat(acc["kept"], F.array(entry)).alias("kept")).cast(kind))
 
-    listed = items.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "id", F.col("soft").cast("bigint").alias("soft"), F.col("hard").cast("bigint").alias("hard")))).alias("items"))
-    return listed.select("query_id", F.inline(F.aggregate("items", start, step)["kept"]))
+    by = Window.partitionBy("query_id").orderBy("rank", "id")
+    left = items.select("query_id", F.col("rank").cast("int").alias("rank"), "id", F.col("soft").cast("bigint").alias("soft"), F.col("hard").cast("bigint").alias("hard"))
+    left, out = left.filter(F.least("soft", "hard") <= budget).withColumn("spent", F.lit(0).cast("bigint")), None
+    while True:
+        left = settled(left)
+        first = left.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= at_once)
+        listed = first.groupBy("query_id").agg(F.max("spent").alias("spent"), F.sort_array(F.collect_list(F.struct("rank", "id", "soft", "hard"))).alias("items"))
+        start = F.struct(F.col("spent").alias("used"), F.array().alias("kept")).cast(kind)
+        folded = settled(listed.select("query_id", F.size("items").alias("n"), F.element_at("items", -1).alias("last"), F.aggregate("items", start, step).alias("state")))
+        found = folded.select("query_id", F.inline("state.kept"))
+        out = found if out is None else out.unionByName(found)
+        full = folded.filter(F.col("n") >= at_once).select("query_id", "last", F.col("state.used").alias("now"))
+        if full.isEmpty():
+            return out
+        rest = left.join(full, "query_id").filter(F.struct("rank", "id") > F.struct("last.rank", "last.id")).filter(F.least("soft", "hard") <= budget - F.col("now"))
+        left = rest.select("query_id", "rank", "id", "soft", "hard", F.col("now").alias("spent"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fts, graph, nav, rank, vector
+from ..operators import extract, fts, graph, nav, rank, vector
+from ..operators.settle import settled
 
 
 @dataclass(frozen=True)
@@ -23,25 +24,57 @@ class Config:
     seeds: int = 30
     branches: int = 8
 
+    @classmethod
+    def of(cls, spark: SparkSession, prefix: str = "spark.quarry.") -> Config:
+        """The settings of a session; those that are absent, no number or not positive keep their defaults."""
+        found = {}
+        for f in fields(cls):
+            kind = type(f.default)
+            try:
+                value = kind(spark.conf.get(prefix + f.name, str(f.default)))
+            except ValueError:
+                continue
+            if value > 0:
+                found[f.name] = value
+        return cls(**found)
 
-def candidates(nodes: DataFrame, edges: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
-    """Ranked candidates of each query: query_id, id, type, score, source, boost, total, rank."""
-    asked = queries.select("query_id", "query", T.tokenise_query(F.col("query")).alias("tokens"))
-    found = rank.score_text(fts.search(nodes, asked, cfg.files), nodes, asked)
+
+Index = tuple[DataFrame, DataFrame]
+
+
+def candidates(nodes: DataFrame, edges: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """Ranked candidates of each query: query_id, id, type, score, source, boost, total, rank.
+
+    A column expanded of queries, where there is one, is searched in place of query; coverage is that of the query's own
+    tokens in any case. index: stored postings and statistics of the nodes, which are then not searched by their texts.
+    """
+    asked = queries.select("query_id", F.col("expanded" if "expanded" in queries.columns else "query").alias("query"), T.tokenise_query(F.col("query")).alias("tokens"))
+    found = rank.score_text(fts.search(nodes, asked, cfg.files, index=index), nodes, asked)
     if vectors is not None and query_vectors is not None:
         near = vector.top_cosine(vectors, query_vectors, cfg.dense).withColumn("id", T.file_id(F.col("id")))
         found = rank.fuse_dense(found, near, nodes)
-    found = found.persist()  # seeds and scores both read it
+    found = settled(found)  # seeds and scores both read it
     _, hops = graph.trace_many(edges, rank.seeds(found, cfg.seeds), cfg.depth)
-    return rank.ranked(rank.expand_graph(found, hops, nodes))
+    return rank.ranked(rank.expand_graph(found, settled(hops), nodes.select("id", "type")))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """rows (id, type, content) with soft and hard, the short forms of their contents; Go files by their outline."""
+    outlines = extract.outlines(rows.select("id", "type", "content"), 60)
+    code = F.coalesce("outline", F.when(F.col("type") == "py_file", T.signatures(F.col("content"), 60)).otherwise(T.truncate_lines(F.col("content"), 60)))
+    soft = T.compress(F.col("id"), F.col("type"), F.col("content"), code)
+    return rows.join(outlines, "id", "left").withColumns({"soft": soft, "hard": T.compress_hard(F.col("id"), F.col("type"), F.col("content"))}).drop("outline")
 
 
-def build(nodes: DataFrame, edges: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+def build(nodes: DataFrame, edges: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """query_id, rank, id, type, source, score (4 places), form, tokens, used and truncated."""
-    ranks = candidates(nodes, edges, queries, cfg, vectors, query_vectors)
-    kept = rank.threshold(ranks, cfg.share).join(nodes.select("id", "content"), "id").persist()
-    sized = kept.select("query_id", "rank", "id", T.estimate_tokens(T.compress(F.col("id"), F.col("type"), F.col("content"))).alias("soft"), T.estimate_tokens(T.compress_hard(F.col("id"), F.col("type"), F.col("content"))).alias("hard"))
-    filled = rank.fill_budget(sized, cfg.budget)
+    ranks = settled(candidates(nodes, edges, queries, cfg, vectors, query_vectors, index).filter("id is not null"))
+    kept = settled(rank.threshold(ranks, cfg.share).select("query_id", "rank", "id", "type", "source", "score", "dropped"))
+    # each node is cut once, however many queries it answers
+    held = nodes.select("id", "type", "content").join(kept.select("id").distinct(), "id", "left_semi")
+    sizes = shown(held).select("id", T.estimate_tokens(F.col("soft")).alias("soft"), T.estimate_tokens(F.col("hard")).alias("hard"))
+    kept = settled(kept.join(sizes, "id"))
+    filled = rank.fill_budget(kept.select("query_id", "rank", "id", "soft", "hard"), cfg.budget)
     counts = kept.groupBy("query_id").agg(F.count("*").alias("n_kept"), F.max("dropped").alias("dropped"))
     fitted = filled.groupBy("query_id").agg(F.count("*").alias("n_filled"))
     truncated = counts.join(fitted, "query_id", "left").select("query_id", (F.col("dropped") | (F.coalesce("n_filled", F.lit(0)) < F.col("n_kept"))).alias("truncated"))
@@ -51,14 +84,13 @@ def build(nodes: DataFrame, edges: DataFrame, queries: DataFrame, cfg: Config =
 
 def contents(built: DataFrame, nodes: DataFrame) -> DataFrame:
     """Built rows with the text they stand for."""
-    joined = built.join(nodes.select("id", F.col("content").alias("whole")), "id")
-    text = F.when(F.col("form") == "soft", T.compress(F.col("id"), F.col("type"), F.col("whole"))).otherwise(T.compress_hard(F.col("id"), F.col("type"), F.col("whole")))
-    return joined.withColumn("content", text).drop("whole")
+    forms = shown(nodes.select("id", "type", "content").join(built.select("id").distinct(), "id", "left_semi")).select("id", "soft", "hard")
+    return built.join(forms, "id").withColumn("content", F.when(F.col("form") == "soft", F.col("soft")).otherwise(F.col("hard"))).drop("soft", "hard")
 
 
-def baseline(nodes: DataFrame, queries: DataFrame, k: int = 200) -> DataFrame:
+def baseline(nodes: DataFrame, queries: DataFrame, k: int = 200, index: Index | None = None) -> DataFrame:
     """Distinct files of the plain search in order."""
-    hits = fts.search(nodes, queries, k, files_only=False).withColumn("file", T.file_id(F.col("id")))
+    hits = fts.search(nodes, queries, k, files_only=False, index=index).withColumn("file", T.file_id(F.col("id")))
     return hits.groupBy("query_id", "file").agg(F.min("rank").alias("rank"))
 
 

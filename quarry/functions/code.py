@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
+from collections.abc import Callable
 from typing import NamedTuple
 
 
@@ -15,7 +17,9 @@ class Symbol(NamedTuple):
     calls: list[str]
 
 
-_PY_KEYWORDS = frozenset("if elif else for while with return print def class and or not in is lambda except raise assert del yield await async from import pass break continue global nonlocal try finally".split())
+# Built-ins that count as no call.
+_PY_BUILTINS = frozenset("super isinstance type len range list dict set tuple str int float bool open vars dir hasattr getattr".split())
+_PY_KEYWORDS = _PY_BUILTINS | frozenset("if elif else for while with return print def class and or not in is lambda except raise assert del yield await async from import pass break continue global nonlocal try finally".split())
 
 
 def _indent(line: str) -> int:
@@ -36,10 +40,10 @@ def python_symbols(source: str) -> list[Symbol]:
                 decorators = []
             continue
         depth, body = _indent(line), []
-        for later in lines[n + 1 :]:
-            if later.strip() and _indent(later) <= depth:
+        for k in range(n + 1, len(lines)):
+            if lines[k].strip() and _indent(lines[k]) <= depth:
                 break
-            body.append(later)
+            body.append(lines[k])
         calls = [] if m[1] == "class" else python_calls("\n".join(body))
         out.append(Symbol(m[2], "class" if m[1] == "class" else "function", n + 1, "\n".join([*decorators, text]), calls))
         decorators = []
@@ -142,6 +146,12 @@ def _block_end(plain: str, at: int) -> int:
     return len(plain)
 
 
+def _lines_of(text: str) -> Callable[[int], int]:
+    """Tells the line, from 1, of a place in the text."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    return lambda at: bisect_left(ends, at) + 1
+
+
 _GO_WORDS = frozenset("func if for switch select go defer return range case interface struct map chan type var const".split())
 
 
@@ -150,8 +160,7 @@ def go_symbols(source: str) -> list[Symbol]:
     plain = blank_noise(source)
     if not re.search(r"^\s*package\s+\w+", plain, re.M) or not _balanced(plain):
         return []
-    out = []
-    line_of = lambda i: plain.count("\n", 0, i) + 1
+    out, line_of = [], _lines_of(plain)
     for m in re.finditer(r"^func\s+(?:\([^)]*\)\s*)?(\w+)", plain, re.M):
         end = _block_end(plain, m.end())
         brace = plain.find("{", m.end(), end)
@@ -257,12 +266,162 @@ def go_outline(source: str, most: int = 60) -> str:
     return "\n".join(cut("\n".join(out).split("\n")))
 
 
+# precise forms: nested declarations of the languages, without what function bodies hold
+
+
+def _closing(plain: str, at: int) -> int:
+    """Just behind the bracket that closes the one at `at`, or the end."""
+    depth = 0
+    for m in _BRACKET.finditer(plain, at):
+        depth += 1 if m[0] in "([{" else -1
+        if depth == 0:
+            return m.end()
+    return len(plain)
+
+
+_BRACKET = re.compile(r"[()\[\]{}]")
+_TS_WORDS = frozenset("if for while switch catch return function typeof await async new super import constructor do else in of delete void yield case throw".split())
+_NAME = r"([A-Za-z_$][\w$]*)"
+_TS_DECLARATION = re.compile(
+    rf"(?<![\w$.])(?:(?P<fn>(?:async\s+)?function\s*\*?\s*{_NAME})|(?P<cls>(?:abstract\s+)?class\s+{_NAME})|(?P<face>interface\s+{_NAME})|(?P<alias>type\s+{_NAME}\s*(?:<[^=;]*>)?\s*=(?!=))"
+    rf"|(?P<enum>(?:const\s+)?enum\s+{_NAME})|(?P<arrow>(?:const|let|var)\s+{_NAME}\s*(?::[^=;]+)?=\s*(?:async\s*)?(?=\(|{_NAME}\s*=>)))"
+)
+_TS_METHOD = re.compile(rf"(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?\s*(#?{_NAME[1:-1]}|constructor)\s*(?:<[^>(]*>)?(?=\()")
+
+
+def _first_line(source: str, at: int, end: int) -> str:
+    line = source.find("\n", at, end)
+    return source[at : end if line < 0 else line].strip()
+
+
+def _ts_calls(plain: str) -> list[str]:
+    """Sorted distinct names called, the last part of dotted ones."""
+    found = {m[2] for m in re.finditer(r"(\bnew\s+|\bfunction\s+)?([A-Za-z_$][\w$]*)\s*\(", plain) if not m[1] and (m[2] not in _TS_WORDS or plain[m.start() - 1 : m.start()] == ".")}
+    return sorted(found)
+
+
+def ts_precise(source: str, typed: bool = True) -> list[Symbol]:
+    """Functions, classes, their methods and single arrow functions at any level outside function bodies; with `typed`
+    interfaces, type aliases and enums too. Calls are those of the whole body."""
+    plain, out = blank_noise(source), []
+    line_of, at = _lines_of(plain), 0
+
+    def add(name: str, kind: str, begin: int, end: int, calls: list[str]) -> None:
+        out.append(Symbol(name, kind, line_of(begin), _first_line(source, begin, end), calls))
+
+    def expression(i: int) -> int:
+        """Where an expression ends: before a comma, semicolon or line break outside brackets."""
+        while i < len(plain) and plain[i] not in ",;\n)]}":
+            i = _closing(plain, i) if plain[i] in "([{" else i + 1
+        return i
+
+    def body(after: int, stop: str = ";") -> tuple[int, int]:
+        """The braces behind a head, past its brackets; empty where the statement ends before."""
+        i = after
+        while i < len(plain) and plain[i] not in "{" + stop:
+            i = _closing(plain, i) if plain[i] in "([" else i + 1
+        return (i, _closing(plain, i)) if i < len(plain) and plain[i] == "{" else (i, i)
+
+    def methods(begin: int, end: int) -> None:
+        i = begin + 1
+        while i < end - 1:
+            if (m := _TS_METHOD.match(plain, i)) and (i == begin + 1 or not re.match(r"[\w$.]", plain[i - 1])):
+                low, high = body(_closing(plain, m.end()))
+                if high > low:
+                    add(m[1], "method", i + len(m[0]) - len(m[0].lstrip()), high, _ts_calls(plain[low:high]))
+                i = max(high, i + 1)
+            elif plain[i] in "([{":
+                i = _closing(plain, i)
+            elif plain[i] == "=":
+                i = next((j for j in range(i, end) if plain[j] in ";\n{(["), end)
+            else:
+                i += 1
+
+    while m := _TS_DECLARATION.search(plain, at):
+        kind, name = m.lastgroup, next(x for x in m.groups()[1:] if x and re.fullmatch(_NAME, x) and x not in ("async", "function"))
+        begin, at = m.start(), m.end()
+        if kind in ("face", "alias", "enum"):
+            at = body(at)[1] if kind != "alias" else expression(at)
+            if typed:
+                add(name, {"face": "interface", "alias": "type_alias", "enum": "enum"}[kind], begin, at, [])
+        elif kind == "fn":
+            low, at = body(at)
+            add(name, "function", begin, at, _ts_calls(plain[low:at]))
+        elif kind == "cls":
+            low, high = body(at)
+            add(name, "class", begin, high, [])
+            methods(low, high)
+            at = high
+        else:
+            head = _closing(plain, at) if plain[at] == "(" else re.compile(_NAME).match(plain, at).end()
+            if arrow := re.compile(r"\s*(?::[^=;{]+)?=>\s*").match(plain, head):
+                end = expression(arrow.end())
+                if plain[end : end + 1] != ",":
+                    add(name, "function", begin, end, _ts_calls(plain[at:end]))
+                at = end
+    return out
+
+
+_RUST_DECLARATION = re.compile(
+    r"(?<![\w.])(?:(?P<fn>(?:const\s+|unsafe\s+|async\s+|extern\s+(?:\"[^\"]*\"\s+)?)*fn\s+(?P<fname>\w+))|(?P<struct>struct\s+(?P<sname>\w+))|(?P<enum>enum\s+(?P<ename>\w+))|(?P<trait>(?:unsafe\s+)?trait\s+(?P<tname>\w+))"
+    r"|(?P<impl>(?:unsafe\s+)?impl\b)|(?P<alias>type\s+(?P<aname>\w+)\s*(?:<[^=;]*>)?\s*=))"
+)
+_RUST_WORDS = frozenset("if for while match return loop fn in let else move unsafe async await where impl as mut ref dyn".split())
+
+
+def rust_precise(source: str) -> list[Symbol]:
+    """fn with a body, struct, enum, trait, impl and type items, those of traits and impls too, but not of function bodies."""
+    held = re.sub(r"r(#+)\".*?\"\1|'(?:\\[^'\n]+|[^'\\\n])'", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
+    plain, out, at = blank_noise(held, quotes='"'), [], 0
+    line_of = _lines_of(plain)
+
+    def add(name: str, kind: str, begin: int, end: int, calls: list[str]) -> None:
+        out.append(Symbol(name, kind, line_of(begin), _first_line(source, begin, end), calls))
+
+    while m := _RUST_DECLARATION.search(plain, at):
+        begin, at = m.start(), m.end()
+        brace = next((j for j in range(at, len(plain)) if plain[j] in "{;"), len(plain))
+        if m["fn"]:
+            if plain[brace : brace + 1] == "{":
+                at = _closing(plain, brace)
+                calls = {x[2] for x in re.finditer(r"(\bfn\s+)?\b([A-Za-z_]\w*)\s*\(", plain[brace:at]) if not x[1] and x[2] not in _RUST_WORDS}
+                add(m["fname"], "function", begin, at, sorted(calls))
+            else:
+                at = brace
+        elif m["impl"]:
+            head = plain[at:brace]
+            if head.startswith("<"):
+                depth = 0
+                for k, c in enumerate(head):
+                    depth += (c == "<") - (c == ">" and head[k - 1] != "-")
+                    if not depth:
+                        head = head[k + 1 :]
+                        break
+            name = re.split(r"\bwhere\b", re.split(r"\bfor\b(?!\s*<)", head)[-1])[0].strip()
+            if name and plain[brace : brace + 1] == "{":
+                add(" ".join(name.split()), "impl", begin, _closing(plain, brace), [])
+            at = brace
+        elif m["trait"]:
+            add(m["tname"], "trait", begin, _closing(plain, brace) if plain[brace : brace + 1] == "{" else brace, [])
+            at = brace
+        elif m["alias"]:
+            while at < len(plain) and plain[at] != ";":
+                at = _closing(plain, at) if plain[at] in "([{" else at + 1
+            add(m["aname"], "type_alias", begin, at, [])
+        else:
+            at = _closing(plain, brace) if plain[brace : brace + 1] == "{" else brace
+            add(m["sname"] or m["ename"], "struct" if m["struct"] else "enum", begin, at, [])
+    return out
+
+
+PRECISE = {".py": python_precise, ".ts": ts_precise, ".tsx": ts_precise, ".js": lambda s: ts_precise(s, False), ".jsx": lambda s: ts_precise(s, False), ".rs": rust_precise}
 SYMBOLS = {".go": go_symbols, ".py": python_symbols, ".ts": ts_symbols, ".tsx": ts_symbols, ".js": ts_symbols, ".jsx": ts_symbols, ".rs": rust_symbols}
 IMPORTS = {".go": go_imports, ".py": python_imports, ".ts": ts_imports, ".tsx": ts_imports, ".js": ts_imports, ".jsx": ts_imports}
 
 
 def parse(path: str, source: str, precise: bool = False) -> tuple[list[Symbol], list[str]]:
     extension = (re.search(r"\.[^./]*$", path) or [""])[0].lower()
-    symbols = python_precise if precise and extension == ".py" else SYMBOLS.get(extension)
+    symbols = PRECISE.get(extension) if precise else None
+    symbols = symbols or SYMBOLS.get(extension)
     imports = IMPORTS.get(extension)
     return symbols(source) if symbols else [], imports(source) if imports else []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +15,42 @@ from .graph import resolve_calls
 PARSED = "id string, symbols array<struct<name:string,type:string,line:int,content:string,calls:array<string>>>, imports array<string>"
 
 
-def parsed(files: DataFrame, precise: bool = False) -> DataFrame:
-    """id, symbols and imports of (id, content); one file at a time is in memory beside its batch."""
+def parsed(files: DataFrame, precise: bool = False, parse: Callable[[str, str], tuple[list, list[str]]] | None = None) -> DataFrame:
+    """id, symbols and imports of (id, content); one file at a time is in memory beside its batch.
+
+    parse: a parser in place of the built-in ones, from path and source to code.Symbol rows and imports.
+    """
+    one = parse or (lambda path, source: code.parse(path, source, precise))
 
     def run(batches):
         for batch in batches:
-            rows = [code.parse(i, c or "", precise) for i, c in zip(batch["id"], batch["content"], strict=True)]
+            rows = [one(i, c or "") for i, c in zip(batch["id"], batch["content"], strict=True)]
             yield pd.DataFrame({"id": batch["id"], "symbols": [[s._asdict() for s in r[0]] for r in rows], "imports": [r[1] for r in rows]})
 
     return files.select("id", "content").mapInPandas(run, PARSED)
 
 
+def as_json(found: DataFrame) -> DataFrame:
+    """id and symbols as a JSON text of parsed rows."""
+    return found.select("id", F.to_json("symbols").alias("json"))
+
+
+def from_json(rows: DataFrame) -> DataFrame:
+    """id and symbols of (id, json)."""
+    return rows.select("id", F.from_json("json", PARSED.split("symbols ")[1].rsplit(", imports", 1)[0]).alias("symbols"))
+
+
+def outlines(rows: DataFrame, most: int = 60) -> DataFrame:
+    """id and outline of the Go files of rows (id, type, content) that declare a package; other rows go through no Python."""
+    go = rows.filter((F.col("type") == "go_file") & F.col("content").rlike(r"(?m)^\s*package\s+\w+"))
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "outline": [code.go_outline(c or "", most) for c in batch["content"]]})
+
+    return go.select("id", "content").mapInPandas(run, "id string, outline string")
+
+
 def graph(files: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, type, content, hash) and edges of files (id, type, content, hash) and what was parsed in them.
 

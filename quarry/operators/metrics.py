@@ -38,3 +38,33 @@ def density(used: DataFrame, truth: DataFrame) -> DataFrame:
 
 def harmonic(p, d):
     return F.when(p + d > 0, 2 * p * d / (p + d)).otherwise(0.0)
+
+
+def efficiency(rows: DataFrame, used: DataFrame, raw: DataFrame, budget: int = 4000) -> DataFrame:
+    """rows (per_query) with tokens, within (the budget), ratio and compression, and efficiency.
+
+    used: query_id, tokens and density; raw: query_id and raw_tokens, those of the whole files that were named. ratio is
+    tokens / raw tokens and compression 1 - ratio, both null without raw tokens; efficiency is the harmonic mean of
+    precision and density where compression is positive.
+    """
+    out = rows.join(used.select("query_id", "tokens", "density"), "query_id", "left").join(raw, "query_id", "left")
+    out = out.withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "density": F.coalesce("density", F.lit(0.0))})
+    out = out.withColumns({"within": F.col("tokens") <= budget, "ratio": F.when(F.col("raw_tokens") > 0, F.col("tokens") / F.col("raw_tokens"))})
+    out = out.withColumn("compression", 1 - F.col("ratio"))
+    return out.withColumn("efficiency", F.when(F.col("compression") > 0, harmonic(F.col("precision"), F.col("density"))))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """One row of means (3 places): n, tokens, pass_percent within the budget; ratio over the queries that have one;
+    compression, density and efficiency over those with positive compression."""
+    squeezed = F.col("compression") > 0
+    mean = lambda c, when=None: F.round(F.coalesce(F.avg(F.when(when, F.col(c)) if when is not None else F.col(c)), F.lit(0.0)), 3).alias(c)
+    return rows.agg(F.count("*").alias("n"), mean("tokens"), F.round(100 * F.avg(F.col("within").cast("int")), 3).alias("pass_percent"), mean("ratio"), mean("compression", squeezed), mean("density", squeezed), mean("efficiency", squeezed))
+
+
+def report(rows: DataFrame, columns: list[str] | None = None, width: int = 12, most: int = 10_000) -> str:
+    """A fixed-width table of at most `most` rows: names, then values, text cut to the width."""
+    columns = columns or rows.columns
+    shown = lambda x: f"{x:.3f}" if isinstance(x, float) else "" if x is None else str(x)
+    lines = [columns, *([shown(x) for x in r] for r in rows.select(*columns).limit(most).collect())]
+    return "\n".join(" ".join(x[:width].ljust(width) for x in line).rstrip() for line in lines)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .vector import normalise
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
@@ -48,6 +49,18 @@ def stale(existing: DataFrame, seen: DataFrame, root: str = "") -> DataFrame:
     return existing.filter(F.col("id").startswith(root)).join(seen.select("id"), "id", "left_anti")
 
 
+def current(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (id, hash) with known, whether a node of that id exists, and current, whether it has that hash."""
+    held = nodes.select("id", F.col("hash").alias("held"))
+    return wanted.select("id", "hash").join(held, "id", "left").select("id", F.col("held").isNotNull().alias("known"), F.coalesce(F.col("held") == F.col("hash"), F.lit(False)).alias("current"))
+
+
+def upsert_vectors(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """(id, dim, vec) with the vectors of delta (id, vec) at unit length in place of those of the same id."""
+    made = delta.select("id", normalise(F.col("vec")).cast("array<float>").alias("vec")).withColumn("dim", F.size("vec"))
+    return upsert(base.select("id", "dim", "vec"), made.select("id", "dim", "vec"), ["id"])
+
+
 def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """Nodes whose id is wanted; Spark broadcasts the ids while they are small."""
     return nodes.join(ids.select("id").distinct(), "id", "left_semi")

@@ -1,19 +1,28 @@
-"""The interactive interface: index a tree, then search, build, trace, drill down and reset."""
+"""The interactive interface: index a tree, then search, build, trace, drill down and reset.
+
+Tables are kept up to date for what changed: only changed files are parsed and embedded, and only nodes that changed
+are cut to postings again. Searches read the stored postings; texts are read for what is shown.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cooccur, extract, fts, graph, nav, store
+from ..operators import cooccur, extract, fts, graph, nav, rank, store
+from ..operators.settle import settled
 from ..sources import files as sources
-from ..sources.snapshot import Snapshots
+from ..sources.snapshot import Snapshots, by_term
 from . import context
 
-MOST_QUERY_BYTES = 4096
+#: Bytes of a query or symbol, and of a request, at most.
+MOST_QUERY_BYTES, MOST_REQUEST_BYTES = 4096, 1 << 20
 CONFIRMATION = "yes-delete-all"
 
 
@@ -44,8 +53,18 @@ def _checked(text: str, what: str) -> str:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, root: str, cfg: context.Config | None = None, expansion: int = 0):
-        self.spark, self.tables, self.root, self.cfg, self.expansion = spark, Snapshots(spark, folder), root, cfg or context.Config(), expansion
+    """expansion: neighbours that each query term adds to the search.
+
+    Plug-in points: embed (texts to vectors of one length), which turns dense retrieval on; parse (path and source to
+    symbols and imports) in place of the extractors; vocabulary (a text column to an array of terms) of the pair statistics.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, root: str, cfg: context.Config | None = None, expansion: int = 0, precise: bool = False, tracked_only: bool = False,
+        embed: Callable[[list[str]], list[list[float]]] | None = None, parse: Callable[[str, str], tuple[list, list[str]]] | None = None, vocabulary: Callable[[Column], Column] = T.vocabulary_tokens,
+    ):
+        self.spark, self.tables, self.root, self.cfg, self.expansion = spark, Snapshots(spark, folder), root, cfg or context.Config.of(spark), expansion
+        self.precise, self.tracked_only, self.embed, self.parse, self.vocabulary = precise, tracked_only, embed, parse, vocabulary
 
     def nodes(self) -> DataFrame:
         return self.tables.table("nodes")
@@ -53,6 +72,9 @@ class Engine:
     def edges(self) -> DataFrame:
         return self.tables.table("edges")
 
+    def searched(self) -> context.Index:
+        return self.tables.table("postings"), self.tables.table("stats")
+
     def init(self) -> dict:
         if self.nodes().isEmpty():
             self.index()
@@ -61,35 +83,69 @@ class Engine:
 
     def index(self, path: str | None = None) -> int:
         """Indexes path (default: the root); returns how many files are new, changed or gone."""
-        scanned = sources.scan(self.spark, path or self.root, self.root).persist()
+        scanned = sources.scan(self.spark, path or self.root, self.root)
+        if self.tracked_only:
+            scanned = scanned.join(sources.git_tracked(self.spark, self.root), "id", "left_semi")
+        scanned = scanned.persist()
         old = self.nodes()
         held = old.filter("hash <> ''")
         at = "" if path is None else sources.os.path.relpath(sources.os.path.realpath(path), sources.os.path.realpath(self.root)).removeprefix(".")
-        seen = store.diff(held.filter(F.col("id").startswith(at)).select("id", "hash"), scanned.select("id", "hash"))
+        below = F.lit(True) if not at else (F.col("id") == at) | F.col("id").startswith(at + "/")
+        seen = settled(store.diff(held.filter(below).select("id", "hash"), scanned.select("id", "hash")))
         states = {r["state"]: r["n"] for r in seen.groupBy("state").agg(F.count("*").alias("n")).collect()}
         changed = sum(n for s, n in states.items() if s != "same")
         if changed:
-            gone = seen.filter("state = 'deleted'").select("id")
-            contents = store.upsert(held.join(gone, "id", "left_anti"), scanned, ["id"])
-            nodes, edges = extract.graph(contents, extract.parsed(contents))
-            terms = cooccur.document_terms(contents.select(F.col("id").alias("doc"), T.vocabulary_tokens(F.col("content")).alias("terms")))
+            gone, fresh = seen.filter("state = 'deleted'").select("id"), seen.filter("state in ('new', 'changed')").select("id")
+            delta = scanned.join(fresh, "id", "left_semi")
+            touched = gone.union(fresh)
+            contents = settled(held.join(touched, "id", "left_anti").unionByName(delta))
+            parsed = settled(self.tables.table("parsed").join(touched, "id", "left_anti").unionByName(extract.parsed(delta, self.precise, self.parse)))
+            nodes, edges = extract.graph(contents, parsed)
+            nodes = settled(nodes)
+            made = {"nodes": nodes, "edges": edges, "parsed": parsed} | self._postings(old, nodes)
+            terms = cooccur.document_terms(contents.select(F.col("id").alias("doc"), self.vocabulary(F.col("content")).alias("terms")))
             known = self.tables.table("neighbours")
-            neighbours = cooccur.rebuild(known, changed, 100, lambda: cooccur.ppmi(terms, contents.count()))
-            self.tables.commit(nodes=nodes, edges=edges, neighbours=neighbours)
+            made["neighbours"] = cooccur.rebuild(known, changed, 100, lambda: cooccur.ppmi(terms, contents.count()))
+            if self.embed:
+                vectors = self.tables.table("vectors")
+                made["vectors"] = store.upsert_vectors(vectors.join(touched, "id", "left_anti"), self._embedded(delta.select("id", F.col("content").alias("text"))))
+            self.tables.commit(**made)
         self.tables.put("head", sources.git_head(self.root))
         scanned.unpersist()
         return changed
 
+    def _postings(self, old: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
+        """postings and stats with those of changed nodes made anew; files are indexed with the parts of their identifiers."""
+        mark = F.xxhash64("type", F.when(F.col("hash") != "", F.col("hash")).otherwise(F.col("content")))
+        before, now = old.select("id", mark.alias("a")), nodes.select("id", mark.alias("b"))
+        touched = settled(before.join(now, "id", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select("id"))
+        augmented = F.concat("content", F.lit("\n"), T.index_text(F.col("content"), F.col("id")))
+        cut = nodes.join(touched, "id", "left_semi").select("id", F.when(F.col("hash") != "", augmented).otherwise(F.col("content")).alias("content"))
+        postings, stats = (x.join(touched, "id", "left_anti") for x in self.searched())
+        return {"postings": by_term(postings.unionByName(fts.postings(cut).select(F.col("term"), "id", "tf", "positions"))), "stats": stats.unionByName(fts.doc_stats(cut))}
+
+    def _embedded(self, texts: DataFrame) -> DataFrame:
+        """id and vec of (id, text)."""
+        embed = self.embed
+
+        def run(batches):
+            for batch in batches:
+                yield pd.DataFrame({"id": batch["id"], "vec": [list(map(float, v)) for v in embed(list(batch["text"].fillna("")))]})
+
+        return texts.mapInPandas(run, "id string, vec array<float>")
+
     def head_changed(self) -> bool:
         head = sources.git_head(self.root)
         return bool(head) and head != self.tables.get("head")
 
     def _query(self, query: str) -> DataFrame:
+        """One query; neighbours of its terms are searched with it, but are no terms of its own."""
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         if self.expansion:
             terms = asked.select("query_id", T.tokenise_query(F.col("query")).alias("terms"))
-            more = cooccur.expand(terms, self.tables.table("neighbours"), self.expansion)
-            asked = more.select("query_id", F.array_join("terms", " ").alias("query"))
+            more = cooccur.expand(terms, self.tables.table("neighbours"), self.expansion).withColumnRenamed("terms", "all")
+            added = more.join(terms, "query_id").select("query_id", F.array_except("all", "terms").alias("added"))
+            asked = asked.join(added, "query_id").select("query_id", "query", F.concat_ws(" ", "query", F.array_join("added", " ")).alias("expanded"))
         return asked
 
     def build_context(self, query: str) -> Result:
@@ -97,32 +153,40 @@ class Engine:
         nodes = self.nodes()
         if nodes.isEmpty():
             return Result(message="the index is empty; call index() first")
-        built = context.build(nodes, self.edges(), self._query(query), self.cfg).persist()
-        rows = context.contents(built, nodes).orderBy("rank").select("id", "type", "content", "score", "source", "tokens", "truncated").collect()
-        if not rows:
-            return Result(message="nothing matches the query")
-        found = context.branches(nodes, built, self.cfg.branches).orderBy("rank").select(F.col("dir").alias("path"), "n_files", "n_symbols", "summary").collect()
+        dense = {}
+        if self.embed:
+            vector = [float(x) for x in self.embed([query])[0]]
+            dense = {"vectors": self.tables.table("vectors").select("id", "vec"), "query_vectors": self.spark.createDataFrame([(0, vector)], "query_id long, vec array<double>")}
+        built = context.build(nodes, self.edges(), self._query(query), self.cfg, index=self.searched(), **dense).persist()
+        try:
+            rows = context.contents(built, nodes).orderBy("rank").select("id", "type", "content", "score", "source", "tokens", "truncated").collect()
+            if not rows:
+                return Result(message="nothing matches the query")
+            found = context.branches(nodes, built, self.cfg.branches).orderBy("rank").select(F.col("dir").alias("path"), "n_files", "n_symbols", "summary").collect()
+        finally:
+            built.unpersist()
         truncated = any(r["truncated"] for r in rows)
         return Result([{k: r[k] for k in ("id", "type", "content", "score", "source")} for r in rows], [r.asDict() for r in found], sum(r["tokens"] for r in rows), truncated, truncated or bool(found), [r["path"] for r in found[:2]])
 
     def drill_down(self, path: str) -> Result:
+        """Files below a path, as many as the budget holds in order of their ids; what is left out stays on the executors."""
         _checked(path, "path")
-        rows = nav.drill_down(self.nodes(), path).orderBy("id").collect()
-        if not rows:
+        nodes = self.nodes()
+        found = nav.drill(nodes, path)
+        filled = settled(rank.fill_budget(found.select(F.lit(0).alias("query_id"), "rank", "id", F.col("tokens").alias("soft"), F.col("tokens").alias("hard")), self.cfg.budget))
+        total = found.count()
+        if not total:
             return Result(message=f"no file begins with {path}")
-        out, used = Result(), 0
-        for r in rows:  # at most a budget's worth of files stays
-            if used + r["tokens"] > self.cfg.budget:
-                out.truncated = True
-                continue
-            used += r["tokens"]
-            out.nodes.append({k: r[k] for k in ("id", "type", "content", "score", "source")})
-        out.token_estimate, out.insufficient = used, out.truncated
-        return out
+        rows = found.drop("tokens", "rank").join(filled.select("id", "rank", "tokens"), "id").orderBy("rank").collect()
+        covered = nodes.join(filled.select("id"), "id", "left_semi").select(F.lit(0).alias("query_id"), "id")
+        left = context.branches(nodes.filter(nav.below(path)), covered, self.cfg.branches).orderBy("rank").select(F.col("dir").alias("path"), "n_files", "n_symbols", "summary").collect()
+        truncated = len(rows) < total
+        return Result([{k: r[k] for k in ("id", "type", "content", "score", "source")} for r in rows], [r.asDict() for r in left], sum(r["tokens"] for r in rows), truncated, truncated or bool(left), [r["path"] for r in left[:2]])
 
     def search(self, query: str, limit: int = 10) -> list[str]:
+        """Summary lines of the best nodes of any kind."""
         _checked(query, "query")
-        hits = fts.search(self.nodes(), self._query(query), clamp(limit, 10, 100), files_only=False, phrase_positions=True)
+        hits = fts.search(self.nodes(), self._query(query).select("query_id", F.col("expanded" if self.expansion else "query").alias("query")), clamp(limit, 10, 100), files_only=False, index=self.searched())
         shown = hits.drop("type").join(self.nodes(), "id")
         return [r[0] for r in shown.orderBy("rank").select(T.summary_line(F.col("id"), F.col("type"), F.col("content"))).collect()]
 
@@ -137,4 +201,22 @@ class Engine:
         self.tables.reset()
 
     def status(self) -> dict:
-        return {"nodes": self.nodes().count(), "edges": self.edges().count(), "neighbours": self.tables.table("neighbours").count(), "head": self.tables.get("head")}
+        return {"nodes": self.nodes().count(), "edges": self.edges().count(), "neighbours": self.tables.table("neighbours").count(), "vectors": self.tables.table("vectors").count(), "head": self.tables.get("head")}
+
+    def handle(self, request: str | bytes) -> str:
+        """A JSON request {tool, arguments} to an indented JSON answer; errors of arguments come as {error}."""
+        raw = request.encode() if isinstance(request, str) else request
+        try:
+            if len(raw) > MOST_REQUEST_BYTES:
+                raise ValueError(f"a request has at most {MOST_REQUEST_BYTES} bytes")
+            asked = json.loads(raw)
+            tool, arguments = asked.get("tool"), asked.get("arguments") or {}
+            if tool not in TOOLS:
+                raise ValueError(f"unknown tool {tool!r}")
+            found = getattr(self, tool)(**arguments)
+        except (ValueError, TypeError) as error:
+            return json.dumps({"error": str(error)}, indent=2)
+        return json.dumps(found.to_dict() if isinstance(found, Result) else found, indent=2, ensure_ascii=False)
+
+
+TOOLS = ("init", "index", "build_context", "drill_down", "search", "trace", "reset", "status")

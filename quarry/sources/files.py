@@ -7,6 +7,7 @@ import fnmatch
 import hashlib
 import os
 import re
+import subprocess
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +99,13 @@ def git_head(root: str) -> str:
     return head if re.fullmatch("[0-9a-fA-F]{40}", head) else ""
 
 
+def git_tracked(spark: SparkSession, root: str) -> DataFrame:
+    """id of the files that git tracks below root; none outside a work tree."""
+    listed = subprocess.run(["git", "-C", root, "ls-files", "-z"], capture_output=True, check=False)
+    names = [x for x in listed.stdout.decode("utf-8", "replace").split("\0") if x] if listed.returncode == 0 else []
+    return spark.createDataFrame([(x,) for x in names], "id string")
+
+
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluation cases: every *.json below folder is an array of id, query, ground_truth_files, notes."""
     return spark.read.schema("id string, query string, ground_truth_files array<string>, notes string").option("multiLine", True).json(f"{folder}/*.json")

@@ -1,62 +1,107 @@
-"""Versioned table sets: every commit writes a new folder, then moves one pointer."""
+"""Versioned table sets: every commit writes a new folder, then moves one pointer.
+
+Folders are on any file system that Spark reads; the pointer is a small JSON file that is replaced by a rename.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..operators.extract import PARSED
 
-VERSION = 5
+VERSION = 6
 # Tables and their columns.
 SCHEMAS = {
     "nodes": "id string, type string, content string, hash string",
     "edges": "from_id string, to_id string, relation_type string",
     "neighbours": "term string, neighbour string, weight double",
     "vectors": "id string, dim int, vec array<float>",
+    "parsed": PARSED,
+    "postings": "term string, id string, tf bigint, positions array<int>",
+    "stats": "id string, dl bigint",
 }
 
 
+class Folder:
+    """Small files of a folder on any of Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        given = self.jvm.org.apache.hadoop.fs.Path(folder)
+        # an instance of its own, for check sums of local files are off
+        self.fs = self.jvm.org.apache.hadoop.fs.FileSystem.newInstance(given.getFileSystem(self.conf).makeQualified(given).toUri(), self.conf)
+        self.fs.setWriteChecksum(False)
+        self.fs.setVerifyChecksum(False)
+        self.root = self.fs.makeQualified(given).toString()
+        self.fs.mkdirs(self._at(""))
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def read(self, name: str) -> str | None:
+        if not self.fs.exists(self._at(name)):
+            return None
+        stream = self.fs.open(self._at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Readers see the old file or the new one, whole."""
+        part = self._at(f"{name}.{uuid.uuid4().hex}")
+        out = self.fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.conf).rename(part, self._at(name), how)
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 class Snapshots:
     """A folder of table sets that the driver and executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
+        self.spark, self.files = spark, Folder(spark, folder)
+        self.folder = self.files.root
 
     def _manifest(self) -> dict:
-        try:
-            with open(os.path.join(self.folder, "current.json"), encoding="utf-8") as f:
-                found = json.load(f)
-        except FileNotFoundError:
-            return {"version": VERSION, "tables": {}, "meta": {}}
+        text = self.files.read("current.json")
+        if text is None:
+            return {"version": VERSION, "tables": {}, "meta": {}, "replaced": []}
+        found = json.loads(text)
         if found["version"] > VERSION:
             raise ValueError(f"the tables have version {found['version']}; this code reads up to {VERSION}")
-        return found
+        return {"replaced": []} | found
 
     def _point(self, manifest: dict) -> None:
-        part = os.path.join(self.folder, f"current.{uuid.uuid4().hex}")
-        with open(part, "w", encoding="utf-8") as f:
-            json.dump(manifest | {"version": VERSION}, f)
-        os.replace(part, os.path.join(self.folder, "current.json"))
+        self.files.replace("current.json", json.dumps(manifest | {"version": VERSION}))
 
     def table(self, name: str) -> DataFrame:
         path = self._manifest()["tables"].get(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(path) if path else self.spark.createDataFrame([], SCHEMAS[name])
 
     def commit(self, **tables: DataFrame) -> None:
-        """All tables or none: readers see the old set until the pointer moves."""
+        """All tables or none: readers see the old set until the pointer moves, and can go on reading it until the next commit."""
         manifest, old = self._manifest(), []
-        folder = os.path.join(self.folder, uuid.uuid4().hex)
+        folder = f"{self.folder}/{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).write.parquet(f"{folder}/{name}")
+            df.select(*T._parse_datatype_string(SCHEMAS[name]).names).write.parquet(f"{folder}/{name}")
             old.append(manifest["tables"].get(name))
             manifest["tables"][name] = f"{folder}/{name}"
+        gone, manifest["replaced"] = manifest["replaced"], [x for x in old if x]
         self._point(manifest)
-        for path in filter(None, old):
-            shutil.rmtree(path, ignore_errors=True)
+        for path in gone:
+            self.files.delete(path)
 
     def get(self, key: str) -> str:
         return self._manifest()["meta"].get(key, "")
@@ -69,10 +114,21 @@ class Snapshots:
     def reset(self) -> None:
         """Drops all tables; meta stays."""
         manifest = self._manifest()
-        self._point(manifest | {"tables": {}})
-        for path in manifest["tables"].values():
-            shutil.rmtree(path, ignore_errors=True)
+        self._point(manifest | {"tables": {}, "replaced": []})
+        for path in [*manifest["tables"].values(), *manifest["replaced"]]:
+            self.files.delete(path)
+
+    def optimise(self, target_bytes: int = 128 << 20) -> None:
+        """Rewrites every table in files of about target_bytes; postings stay in the order of their terms."""
+        made = {}
+        for name, path in self._manifest()["tables"].items():
+            size = self.files.fs.getContentSummary(self.files.jvm.org.apache.hadoop.fs.Path(path)).getLength()
+            parts, df = max(1, -(-size // target_bytes)), self.table(name)
+            made[name] = by_term(df, parts) if name == "postings" else df.coalesce(parts)
+        self.commit(**made)
+
 
-    def optimise(self) -> None:
-        """Rewrites every table in few files."""
-        self.commit(**{name: self.table(name).coalesce(8) for name in self._manifest()["tables"]})
+def by_term(postings: DataFrame, parts: int | None = None) -> DataFrame:
+    """Postings dealt and sorted by term, so that a reader of few terms skips most files and row groups."""
+    dealt = postings.repartitionByRange(parts, "term", "id") if parts else postings.repartitionByRange("term", "id")
+    return dealt.sortWithinPartitions("term", "id")

@@ -6,6 +6,7 @@ the order tables for a graph, embeddings for vectors, quality labels for ground
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import cooccur, extract, fts, graph, metrics, nav, rank, store, vector
+from .operators.settle import settled
 from .plans import context
 from .streaming import incremental
 
@@ -100,6 +102,12 @@ def _terms_sql(x: str) -> str:
     return rf"list_filter(regexp_split_to_array(strip_accents(lower({x})), '[^\p{{L}}\p{{N}}\p{{Co}}]+'), lambda t: t <> '')"
 
 
+def _split_sql(x: str) -> str:
+    cut = r"regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')"
+    return f"list_filter(list_transform(flatten(list_transform(regexp_extract_all({x}, '[A-Za-z0-9]+'), lambda w: string_split({cut}, ' '))), lambda p: lower(p)), lambda p: length(p) >= 3)"
+
+
+_STEM_SQL = r"regexp_replace(regexp_extract(id, '([^/]*)$', 1), '\.[^.]*$', '')"
 _HEX_STEM = "CASE WHEN strlen(t) >= 10 THEN substr(hex(encode(t)), 1, 2 * (strlen(t) - 3)) ELSE hex(encode(t)) END"
 _CUT = "CASE WHEN strlen(t) < 10 THEN t WHEN strlen(left(t, length(t) - 1)) <= strlen(t) - 3 THEN left(t, length(t) - 1) WHEN strlen(left(t, length(t) - 2)) <= strlen(t) - 3 THEN left(t, length(t) - 2) ELSE left(t, length(t) - 3) END"
 
@@ -180,6 +188,39 @@ def delete_cascade(spark, sf):
     return store.delete_nodes(ids, e, gone)[1].groupBy("relation_type").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_VERSIONS} SELECT a.id AS id, b.hash IS NOT NULL AS known, coalesce(a.hash = b.hash, false) AS current FROM a LEFT JOIN b USING (id)")
+def hash_current(spark, sf):
+    """Which files the index knows, and which of them as they are now."""
+    before, after = _versions(spark, sf)
+    return store.current(before, after)
+
+
+@query("""WITH gone AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT 'o' || o_orderkey AS id, 'file' AS kind FROM orders UNION ALL SELECT 'o' || l_orderkey || ':' || l_linenumber, 'symbol' FROM lineitem),
+ e AS (SELECT 'o' || l_orderkey AS f, 'o' || l_orderkey || ':' || l_linenumber AS t FROM lineitem UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)
+ SELECT kind, count(*) AS n FROM n WHERE split_part(id, ':', 1) NOT IN (SELECT id FROM gone) OR kind = 'file' GROUP BY kind UNION ALL SELECT 'edge', count(*) FROM e WHERE f NOT IN (SELECT id FROM gone)""")
+def clear_contents(spark, sf):
+    """Orders stand for files and their lines for symbols: what finished orders contain is cleared, the orders stay."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    of = lambda k: F.concat(F.lit("o"), F.col(k).cast("string"))
+    line = F.concat(of("l_orderkey"), F.lit(":"), F.col("l_linenumber").cast("string"))
+    n = orders.select(of("o_orderkey").alias("id")).union(lines.select(line))
+    e = lines.select(of("l_orderkey").alias("from_id"), line.alias("to_id"), F.lit("contains").alias("relation_type")).union(orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), of("o_orderkey"), F.lit("imports")))
+    kept, left = store.clear_contents(n, e, orders.filter("o_orderstatus = 'F'").select(of("o_orderkey").alias("id")))
+    kind = F.when(F.instr("id", ":") > 0, "symbol").otherwise("file").alias("kind")
+    return kept.groupBy(kind).agg(F.count("*").alias("n")).unionByName(left.agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "n"))
+
+
+@query("""WITH d AS (SELECT vec_id, embedding FROM embeddings), u AS (SELECT 'v' || vec_id % 1500 AS id, max(vec_id) AS vec_id FROM d GROUP BY 1)
+ SELECT id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))), 4) AS total FROM u JOIN d USING (vec_id)""")
+def upsert_vectors(spark, sf):
+    """Vectors in two loads of which the later ones replace those of the same id; stored at unit length."""
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), (F.col("vec_id") % 1500).cast("string")).alias("id"), "vec_id", F.col("embedding").alias("vec"))
+    none = spark.createDataFrame([], "id string, dim int, vec array<float>")
+    first = store.upsert_vectors(none, e.filter("vec_id < 1500").select("id", "vec"))
+    both = store.upsert_vectors(first, e.filter("vec_id >= 1500").select("id", "vec"))
+    return both.select("id", F.col("dim").cast("bigint").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
 # text functions
 
 
@@ -240,6 +281,19 @@ def compress_signatures(spark, sf):
     return nodes(spark, sf).select("id", T.signatures(F.col("content"), 1_000_000).alias("s")).select("id", F.when(F.col("s") == "", 0).otherwise(F.size(F.split("s", "\n"))).cast("bigint").alias("n"))
 
 
+@query(f"WITH {NODES}, l AS (SELECT id, string_split(content, chr(10)) AS x FROM nodes) SELECT id, md5(array_to_string(list_transform(range(greatest(1, len(x) // 2 - 2), least(len(x), len(x) // 2 + 2) + 1), lambda i: CASE WHEN i = len(x) // 2 THEN '> ' ELSE '  ' END || printf('%4d: ', i) || x[i]), chr(10))) AS digest FROM l")
+def file_context(spark, sf):
+    """The middle line of every file between the two lines before and after it."""
+    n = nodes(spark, sf)
+    middle = F.floor(F.size(F.split("content", "\n")) / 2).cast("int")
+    return n.select("id", F.md5(T.file_context(F.col("content"), middle, 2)).alias("digest"))
+
+
+@query(f"WITH {NODES} SELECT id, left(content, 40) AS head FROM nodes")
+def first_runes(spark, sf):
+    return nodes(spark, sf).select("id", T.first_runes(F.col("content"), 40).alias("head"))
+
+
 # full-text search
 
 _INDEX = f"""{NODES}, t AS (SELECT id, type, {_terms_sql('content')} AS k FROM nodes), dl AS (SELECT id, type, len(k) AS dl FROM t), tot AS (SELECT count(*) AS n_docs, sum(dl)::DOUBLE / count(*) AS avgdl FROM dl),
@@ -248,8 +302,12 @@ _PHRASES = f"""tok AS (SELECT item_id AS query_id, unnest({_raw_sql('text')}) AS
  seen AS (SELECT query_id, t, pos, {_HEX_STEM} AS hx, {_CUT} AS s FROM tok),
  kept AS (SELECT * FROM seen a WHERE NOT EXISTS (SELECT 1 FROM seen b WHERE b.query_id = a.query_id AND b.pos < a.pos AND b.hx = hex(encode(a.t)))),
  ph AS (SELECT query_id, pos, s, hx, regexp_full_match(s, '[a-z0-9_]{{3,}}') AND (strlen(t) < 10 OR strlen(s) = strlen(t) - 3) AS star, {_terms_sql('s')} AS terms FROM kept),
- one AS (SELECT query_id, pos, terms[1] AS want, star FROM ph WHERE len(terms) = 1 AND (star OR strlen(s) >= 2))"""
-_BM25 = f"""{_INDEX}, {_PHRASES}, hit AS (SELECT query_id, pos, id, sum(tf) AS f FROM (SELECT query_id, pos, term FROM one JOIN (SELECT DISTINCT term FROM post) ON CASE WHEN star THEN starts_with(term, want) ELSE term = want END) JOIN post USING (term) GROUP BY ALL),
+ one AS (SELECT query_id, pos, terms[1] AS want, star FROM ph WHERE len(terms) = 1 AND (star OR strlen(s) >= 2)),
+ many AS (SELECT query_id, pos, len(terms) AS m, unnest(terms) AS want, generate_subscripts(terms, 1) - 1 AS i, star FROM ph WHERE len(terms) > 1 AND (star OR strlen(s) >= 2))"""
+_BM25 = f"""{_INDEX}, {_PHRASES}, voc AS (SELECT DISTINCT term FROM post),
+ placed AS (SELECT id, unnest(k) AS term, generate_subscripts(k, 1) AS p FROM t WHERE EXISTS (SELECT 1 FROM many)),
+ whole AS (SELECT query_id, pos, id, p - i AS place, m FROM many JOIN placed ON CASE WHEN star AND i = m - 1 THEN starts_with(term, want) ELSE term = want END GROUP BY ALL HAVING count(*) = m),
+ hit AS (SELECT query_id, pos, id, sum(tf) AS f FROM (SELECT query_id, pos, term FROM one JOIN voc ON CASE WHEN star THEN starts_with(term, want) ELSE term = want END) JOIN post USING (term) GROUP BY ALL UNION ALL SELECT query_id, pos, id, count(*) FROM whole GROUP BY ALL),
  n AS (SELECT query_id, pos, count(*) AS n_hits FROM hit GROUP BY ALL),
  bm AS (SELECT query_id, id, type, sum(CASE WHEN ln((n_docs - n_hits + 0.5) / (n_hits + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - n_hits + 0.5) / (n_hits + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
  FROM hit JOIN n USING (query_id, pos) JOIN dl USING (id), tot GROUP BY ALL)"""
@@ -260,6 +318,15 @@ def postings(spark, sf):
     return fts.postings(nodes(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("tf"))
 
 
+@query(f"""WITH {NODES}, w AS (SELECT id, content, array_to_string(list_distinct(list_concat({_split_sql('content')}, {_split_sql(_STEM_SQL)})), chr(10)) AS more FROM nodes), t AS (SELECT id, {_terms_sql("content || chr(10) || more")} AS k FROM w)
+ SELECT id, len(k) AS dl, len(list_distinct(k)) AS n_terms FROM t""")
+def augmented_index(spark, sf):
+    """What the index holds of each file: its terms and the parts of its identifiers."""
+    text = F.concat("content", F.lit("\n"), T.index_text(F.col("content"), F.col("id")))
+    made = nodes(spark, sf).select("id", F.explode(F.array(T.unicode_terms(text))).alias("k"))
+    return made.select("id", F.size("k").cast("bigint").alias("dl"), F.size(F.array_distinct("k")).cast("bigint").alias("n_terms"))
+
+
 @query(f"WITH {_INDEX} SELECT id, dl FROM dl")
 def doc_stats(spark, sf):
     return fts.doc_stats(nodes(spark, sf))
@@ -276,31 +343,32 @@ def term_matches(spark, sf):
     return w.join(fts.frequencies(nodes(spark, sf)), "term").groupBy("query_id").agg(F.countDistinct("id").alias("n_docs_hit"), F.sum("tf").alias("n_hits"))
 
 
-@query(f"WITH {_BM25} SELECT query_id, id, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rn FROM bm) WHERE rn <= 20")
+@query(f"WITH {_BM25} SELECT query_id, id, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm) WHERE rn <= 20")
 def bm25_or_topk(spark, sf):
     n = nodes(spark, sf)
     scored = fts.scores(n, fts.phrases(asked(spark, sf)))
-    best = fts.top(scored.withColumn("key", F.round("bm25", 6)), 20, "key")
-    return best.select("query_id", "id", F.round("bm25", 4).alias("bm25"))
+    return fts.top(scored, 20).select("query_id", "id", F.round("bm25", 4).alias("bm25"))
 
 
-@query(f"WITH {_BM25} SELECT query_id, id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rn FROM bm WHERE type LIKE '%_file') WHERE rn <= 10")
+@query(f"WITH {_BM25} SELECT query_id, id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm WHERE type LIKE '%_file') WHERE rn <= 10")
 def fts_files_topk(spark, sf):
     n = nodes(spark, sf)
     scored = fts.scores(n, fts.phrases(asked(spark, sf))).join(n.select("id", "type"), "id").filter(F.col("type").like("%_file"))
-    return fts.top(scored.withColumn("key", F.round("bm25", 6)), 10, "key").select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
+    return fts.top(scored, 10).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {NODES}, t AS (SELECT id, {_terms_sql('content')} AS k FROM nodes), p AS (SELECT id, unnest(k) AS term, generate_subscripts(k, 1) AS pos FROM t),
- q AS (SELECT item_id AS query_id, {_terms_sql('text')} AS w FROM benchmark), two AS (SELECT query_id, w[1] AS a, w[2] AS b FROM q WHERE len(w) >= 2)
- SELECT query_id, x.id, count(DISTINCT x.pos) AS f FROM two JOIN p x ON x.term = a JOIN p y ON y.id = x.id AND y.pos = x.pos + 1 AND starts_with(y.term, b) GROUP BY query_id, x.id""")
+ q AS (SELECT item_id AS query_id, unnest(w) AS want, generate_subscripts(w, 1) AS i, len(w) AS m FROM (SELECT item_id, {_terms_sql('text')} AS w FROM benchmark)),
+ met AS (SELECT query_id, id, pos - i AS place, m FROM q JOIN p ON term = want WHERE i < m UNION ALL SELECT query_id, id, pos - i, m FROM q JOIN p ON starts_with(term, want) WHERE i = m)
+ SELECT query_id, id, count(*) AS f FROM (SELECT query_id, id, place FROM met GROUP BY query_id, id, place, m HAVING count(*) = m) GROUP BY query_id, id""")
 def bm25_phrase(spark, sf):
-    terms = asked(spark, sf).select("query_id", T.unicode_terms(F.col("query")).alias("w")).filter(F.size("w") >= 2)
-    wanted = terms.select("query_id", F.lit(0).alias("phrase_no"), F.slice("w", 1, 2).alias("terms"), F.lit(True).alias("prefix"))
-    return fts.matches(wanted, fts.postings(nodes(spark, sf))).select("query_id", "id", F.col("f").cast("bigint").alias("f"))
+    """Where documents hold a whole passage of the benchmark; its last word matches as a prefix."""
+    terms = asked(spark, sf).select("query_id", T.unicode_terms(F.col("query")).alias("terms")).filter(F.size("terms") >= 1)
+    wanted = terms.select("query_id", F.lit(0).alias("phrase_no"), "terms", F.lit(True).alias("prefix"))
+    return fts.occurrences(nodes(spark, sf), wanted).select("query_id", "id", F.col("f").cast("bigint").alias("f"))
 
 
-_SCORED = f"""{_BM25}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rn FROM bm) WHERE rn <= 200),
+_SCORED = f"""{_BM25}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm) WHERE rn <= 200),
  qt AS (SELECT query_id, list(hx) AS hs FROM kept GROUP BY query_id),
  held AS (SELECT id, list_distinct(list_concat(list_transform({_raw_sql('content')}, lambda t: {_HEX_STEM}), list_transform({_raw_sql('id')}, lambda t: {_HEX_STEM}))) AS toks FROM nodes),
  sc AS (SELECT query_id, id, type, (0.5 + CASE WHEN max(bm25) OVER w - min(bm25) OVER w <= 1e-9 THEN 1 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END) * CASE WHEN type = 'text_file' THEN 0.3 ELSE 1 END
@@ -311,7 +379,7 @@ def _scored(spark, sf):
     n = nodes(spark, sf)
     q = asked(spark, sf).select("query_id", "query", T.tokenise_query(F.col("query")).alias("tokens"))
     scored = fts.scores(n, fts.phrases(q))
-    return n, rank.score_text(fts.top(scored.withColumn("key", F.round("bm25", 6)), 200, "key"), n, q)
+    return n, rank.score_text(fts.top(scored, 200), n, q)
 
 
 @query(f"WITH {_SCORED} SELECT query_id, id, round(score, 4) AS score FROM sc")
@@ -319,10 +387,10 @@ def fts_scores(spark, sf):
     return _scored(spark, sf)[1].select("query_id", "id", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {_SCORED} SELECT query_id, id, round(score + CASE WHEN type = 'text_file' THEN 0.1 ELSE 0.2 END, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score + CASE WHEN type = 'text_file' THEN 0.1 ELSE 0.2 END, 6) DESC, id) AS rn FROM sc) WHERE rn <= 30")
+@query(f"WITH {_SCORED} SELECT query_id, id, round(score + CASE WHEN type = 'text_file' THEN 0.1 ELSE 0.2 END, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score + CASE WHEN type = 'text_file' THEN 0.1 ELSE 0.2 END, 9) DESC, id) AS rn FROM sc) WHERE rn <= 30")
 def rank_candidates(spark, sf):
     r = _scored(spark, sf)[1].withColumn("total", F.col("score") + T.type_boost(F.col("type")))
-    return fts.top(r.withColumn("key", F.round("total", 6)), 30, "key").select("query_id", "id", F.round("total", 4).alias("total"))
+    return fts.top(r, 30, "total").select("query_id", "id", F.round("total", 4).alias("total"))
 
 
 @query(f"WITH {_SCORED} SELECT query_id, count(*) AS n_kept, max(n_all) - count(*) AS n_dropped FROM (SELECT query_id, score + CASE WHEN type = 'text_file' THEN 0.1 ELSE 0.2 END AS total, max(score + CASE WHEN type = 'text_file' THEN 0.1 ELSE 0.2 END) OVER (PARTITION BY query_id) AS best, count(*) OVER (PARTITION BY query_id) AS n_all FROM sc) WHERE round(total, 9) >= round(best * 0.25, 9) GROUP BY query_id")
@@ -351,20 +419,55 @@ def budget_fill(spark, sf):
  SELECT query_id, hop.id AS id, hop, sc.id IS NOT NULL AS known, round(CASE WHEN sc.id IS NULL THEN 0.3 ELSE 0.15 END / ln(hop + 2), 4) AS gain FROM hop LEFT JOIN sc USING (query_id, id)""")
 def graph_expand_scores(spark, sf):
     n, found = _scored(spark, sf)
-    found = found.persist()
-    _, hops = graph.trace_many(doc_edges(spark, sf), rank.seeds(found.withColumn("score", F.round("score", 9))), 2)
-    both = rank.expand_graph(found, hops, n).join(hops, ["query_id", "id"])
+    found = settled(found)
+    _, hops = graph.trace_many(doc_edges(spark, sf), rank.seeds(found), 2)
+    hops = settled(hops)
+    both = rank.expand_graph(found, hops, n.select("id", "type")).join(hops, ["query_id", "id"])
     known = F.col("source") != "graph"
     return both.select("query_id", "id", F.col("hop").cast("int").alias("hop"), known.alias("known"), F.round(F.when(known, F.col("boost")).otherwise(F.col("score")), 4).alias("gain"))
 
 
-@query()
+def _lines_sql(n: int, lines: str = "x", content: str = "content") -> str:
+    return f"CASE WHEN len({lines}) > {n} THEN array_to_string({lines}[1:{n}], chr(10)) || chr(10) || '... (' || (len({lines}) - {n}) || ' lines omitted)' ELSE {content} END"
+
+
+_DEFINES = "list_filter(x, lambda l: regexp_matches(trim(l), '^(import |from |def |class |async def )'))"
+_DENSE = """u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+ near AS (SELECT * FROM (SELECT query_id, id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS r FROM (SELECT item_id AS query_id, nodes.id AS id, round(list_dot_product(q.v, c.v), 12) AS cosine FROM benchmark JOIN u q ON q.vec_id = item_id, u c JOIN nodes ON nodes.doc_id = c.vec_id)) WHERE r <= 10),
+ bonus AS (SELECT query_id, near.id AS id, cosine * best * 0.25 AS bonus FROM near JOIN (SELECT query_id, max(score) AS best FROM sc GROUP BY query_id) USING (query_id)),
+ c0 AS (SELECT query_id, id, coalesce(sc.type, nodes.type) AS type, coalesce(score, 0) + coalesce(bonus, 0) AS score, CASE WHEN score IS NULL THEN 'dense' ELSE 'fts' END AS source FROM sc FULL JOIN bonus USING (query_id, id) JOIN nodes USING (id))"""
+
+
+def _context_sql(c0: str) -> str:
+    """built: what the context pipeline returns, from candidates c0 (query_id, id, type, score, source)."""
+    return f"""{_SCORED}, {DOC_EDGES}, {c0}, sd AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rn FROM c0) WHERE rn <= 30),
+ h1 AS (SELECT DISTINCT query_id, to_id AS id FROM sd JOIN doc_edges ON from_id = id), h2 AS (SELECT DISTINCT query_id, to_id AS id FROM h1 JOIN doc_edges ON from_id = id),
+ hop AS (SELECT query_id, id, min(h) AS hop FROM (SELECT *, 1 AS h FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL),
+ cand AS (SELECT query_id, id, type, score, source, CASE WHEN hop IS NULL THEN 0 ELSE 0.15 / ln(hop + 2) END AS boost FROM c0 LEFT JOIN hop USING (query_id, id)
+  UNION ALL SELECT query_id, hop.id, nodes.type, 0.3 / ln(hop + 2), 'graph', 0 FROM hop JOIN nodes ON nodes.id = hop.id WHERE (query_id, hop.id) NOT IN (SELECT (query_id, id) FROM c0)),
+ ranks AS (SELECT *, score + boost + CASE WHEN type = 'text_file' THEN 0.1 ELSE 0.2 END AS total FROM cand), best AS (SELECT query_id, max(total) AS best FROM ranks GROUP BY query_id),
+ marked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, id) AS rank, round(total, 9) < round(best * 0.25, 9) AS below FROM ranks JOIN best USING (query_id)),
+ lined AS (SELECT id, content, type, string_split(content, chr(10)) AS x FROM nodes), outlined AS (SELECT *, {_DEFINES} AS d FROM lined),
+ sizes AS (SELECT id, greatest(1, strlen(CASE type WHEN 'text_file' THEN {_lines_sql(30)} WHEN 'py_file' THEN {_lines_sql(60, 'd', 'array_to_string(d, chr(10))')} ELSE {_lines_sql(60)} END) // 4) AS soft, greatest(1, strlen({_lines_sql(8)}) // 4) AS hard FROM outlined),
+ items AS (SELECT marked.*, soft, hard FROM marked JOIN sizes USING (id) WHERE NOT below),
+ fill AS (SELECT query_id, 0::BIGINT AS rank, ''::VARCHAR AS id, 0::BIGINT AS tokens, 0::BIGINT AS used, 'skip'::VARCHAR AS form FROM (SELECT DISTINCT query_id FROM items)
+  UNION ALL SELECT items.query_id, items.rank, items.id, CASE WHEN used + soft <= 4000 THEN soft ELSE hard END, used + CASE WHEN used + soft <= 4000 THEN soft WHEN used + hard <= 4000 THEN hard ELSE 0 END,
+  CASE WHEN used + soft <= 4000 THEN 'soft' WHEN used + hard <= 4000 THEN 'hard' ELSE 'skip' END FROM fill JOIN items ON items.query_id = fill.query_id AND items.rank = fill.rank + 1),
+ filled AS (SELECT * FROM fill WHERE form <> 'skip'),
+ state AS (SELECT query_id, coalesce(any_value(below), false) OR any_value(n_filled) < any_value(n_kept) AS truncated FROM (SELECT query_id, bool_or(below) AS below, count(*) FILTER (NOT below) AS n_kept FROM marked GROUP BY query_id) LEFT JOIN (SELECT query_id, count(*) AS n_filled FROM filled GROUP BY query_id) USING (query_id) GROUP BY query_id),
+ built AS (SELECT query_id, rank::INT AS rank, filled.id AS id, items.type AS type, items.source AS source, round(items.score, 4) AS score, filled.form AS form, filled.tokens AS tokens, filled.used AS used, truncated FROM filled JOIN items USING (query_id, rank) JOIN state USING (query_id))"""
+
+
+_BUILT = _context_sql("c0 AS (SELECT query_id, id, type, score, 'fts' AS source FROM sc)")
+
+
+@query(f"WITH RECURSIVE {_BUILT} SELECT * FROM built")
 def build_context_batch(spark, sf):
     n = nodes(spark, sf)
     return context.build(n, doc_edges(spark, sf), asked(spark, sf))
 
 
-@query()
+@query(f"WITH RECURSIVE {_context_sql(_DENSE)} SELECT * FROM built")
 def build_context_dense(spark, sf):
     """The same with dense hits: a document's vector is that of its number, a query's that of its item."""
     n, e = nodes(spark, sf), table(spark, sf, "embeddings")
@@ -373,13 +476,72 @@ def build_context_dense(spark, sf):
     return context.build(n, doc_edges(spark, sf), asked(spark, sf), vectors=vectors, query_vectors=queries)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BUILT}, dirs AS (SELECT dir, count(*) AS n_files, (list(id ORDER BY id))[1:5] AS names FROM nodes GROUP BY dir), have AS (SELECT query_id, dir, count(DISTINCT built.id) AS n_covered FROM built JOIN nodes USING (id) GROUP BY ALL),
+ open AS (SELECT query_id, dir, n_files, coalesce(n_covered, 0) AS n_covered, names FROM (SELECT DISTINCT query_id FROM built) CROSS JOIN dirs LEFT JOIN have USING (query_id, dir))
+ SELECT query_id, dir, n_files, n_covered, 0::BIGINT AS n_symbols, array_to_string(list_transform(names, lambda n: regexp_replace(regexp_extract(n, '([^/]*)$', 1), '\\.[^.]*$', '')), ', ') || CASE WHEN n_files >= 5 THEN ', …' ELSE '' END AS summary
+ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_files DESC, dir) AS r FROM open WHERE n_covered < n_files) WHERE r <= 8""")
 def context_branches(spark, sf):
     n = nodes(spark, sf)
-    return context.branches(n, context.build(n, doc_edges(spark, sf), asked(spark, sf))).select("query_id", "dir", "n_files", "n_covered", "n_symbols", "summary")
+    found = context.branches(n, context.build(n, doc_edges(spark, sf), asked(spark, sf)))
+    return found.select("query_id", "dir", "n_files", F.col("n_covered").cast("bigint").alias("n_covered"), F.col("n_symbols").cast("bigint").alias("n_symbols"), "summary")
+
 
+# nodes of all kinds: every document has one symbol, and imports the next document and a library
 
-@query(f"WITH {_BM25} SELECT query_id, count(*) AS n, min(rn) AS first FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rn FROM bm) WHERE rn <= 200 GROUP BY query_id")
+
+def mixed_nodes(spark, sf):
+    n = nodes(spark, sf)
+    symbols = n.select(F.concat("id", F.lit(":S")).alias("id"), F.lit("function").alias("type"), F.substring("content", 1, 80).alias("content"), F.lit("").alias("hash"))
+    libraries = n.select(F.concat(F.lit("lib"), T.extension(F.col("id"))).alias("id")).distinct().select("id", F.lit("import").alias("type"), F.lit("").alias("content"), F.lit("").alias("hash"))
+    return n.select("id", "type", "content", "hash").unionByName(symbols).unionByName(libraries)
+
+
+def mixed_edges(spark, sf):
+    """A file contains its symbol and imports a library; a symbol calls that of the next document."""
+    n = nodes(spark, sf).select("id", "doc_id")
+    held = n.select(F.col("id").alias("from_id"), F.concat("id", F.lit(":S")).alias("to_id"), F.lit("contains").alias("relation_type"))
+    used = n.select(F.col("id").alias("from_id"), F.concat(F.lit("lib"), T.extension(F.col("id"))).alias("to_id"), F.lit("imports").alias("relation_type"))
+    calls = n.alias("a").join(n.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1).select(F.concat("a.id", F.lit(":S")).alias("from_id"), F.concat("b.id", F.lit(":S")).alias("to_id"), F.lit("calls").alias("relation_type"))
+    back = n.alias("a").join(n.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 2).select(F.concat("a.id", F.lit(":S")).alias("from_id"), F.col("b.id").alias("to_id"), F.lit("calls").alias("relation_type"))
+    return held.union(used).union(calls).union(back)
+
+
+_FILES = NODES.replace("nodes AS (", "files AS (", 1)
+MIXED = f"""{_FILES}, nodes AS (SELECT id, type, content FROM files UNION ALL SELECT id || ':S', 'function', left(content, 80) FROM files UNION ALL SELECT DISTINCT 'lib' || regexp_extract(id, '(\\.[^./]*)$', 1), 'import', '' FROM files)"""
+MIXED_EDGES = """edges AS (SELECT id AS from_id, id || ':S' AS to_id, 'contains' AS rel FROM files UNION ALL SELECT id, 'lib' || regexp_extract(id, '(\\.[^./]*)$', 1), 'imports' FROM files
+ UNION ALL SELECT a.id || ':S', b.id || ':S', 'calls' FROM files a JOIN files b ON b.doc_id = a.doc_id + 1 UNION ALL SELECT a.id || ':S', b.id, 'calls' FROM files a JOIN files b ON b.doc_id = a.doc_id + 2)"""
+
+
+@query(f"""WITH {_BM25.replace(NODES, MIXED)} SELECT query_id, rn AS rank, CASE WHEN top.type = 'function' THEN '[function] ' || id || ' — ' || trim(string_split(content, chr(10))[1]) WHEN top.type = 'import' THEN '[import] ' || id
+ ELSE '[' || CASE top.type WHEN 'go_file' THEN 'go' WHEN 'ts_file' THEN 'typescript' WHEN 'py_file' THEN 'python' ELSE 'text' END || regexp_extract(id, '(\\.[^./]*)$', 1) || '] ' || id || ' (' || len(string_split(content, chr(10))) || ' lines)' END AS line
+ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id)::INT AS rn FROM bm) top JOIN nodes USING (id) WHERE rn <= 10""")
+def hybrid_search(spark, sf):
+    """Summary lines of the ten best nodes of any kind: files, symbols, imports."""
+    n = settled(mixed_nodes(spark, sf))
+    hits = fts.search(n, asked(spark, sf), 10, files_only=False).drop("type")
+    return hits.join(n, "id").select("query_id", "rank", T.summary_line(F.col("id"), F.col("type"), F.col("content")).alias("line"))
+
+
+@query(f"""WITH {_SCORED}, files AS (SELECT id, doc_id FROM nodes), {MIXED_EDGES}, kinds AS (SELECT id, type FROM nodes UNION ALL SELECT id || ':S', 'function' FROM nodes UNION ALL SELECT DISTINCT 'lib' || regexp_extract(id, '(\\.[^./]*)$', 1), 'import' FROM nodes),
+ sd AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rn FROM sc) WHERE rn <= 30),
+ e1 AS (SELECT DISTINCT query_id, e.from_id, e.to_id, e.rel FROM sd JOIN edges e ON e.from_id = sd.id), f1 AS (SELECT DISTINCT query_id, to_id AS id FROM e1 WHERE (query_id, to_id) NOT IN (SELECT (query_id, id) FROM sd)),
+ e2 AS (SELECT DISTINCT query_id, e.from_id, e.to_id, e.rel FROM f1 JOIN edges e ON e.from_id = f1.id), found AS (SELECT query_id, from_id, to_id, rel, min(d) AS d FROM (SELECT *, 1 AS d FROM e1 UNION ALL SELECT *, 2 FROM e2) GROUP BY ALL),
+ far AS (SELECT query_id, to_id AS id, min(d) AS hop FROM found WHERE rel <> 'contains' GROUP BY ALL),
+ inside AS (SELECT found.query_id, found.to_id AS id, min(far.hop) AS hop FROM found JOIN far ON far.query_id = found.query_id AND far.id = found.from_id WHERE rel = 'contains' AND (found.query_id, found.to_id) NOT IN (SELECT (query_id, id) FROM far) GROUP BY ALL),
+ hop AS (SELECT * FROM far UNION ALL SELECT * FROM inside), fresh AS (SELECT hop.query_id, hop.id, hop, type FROM hop JOIN kinds USING (id) WHERE (query_id, hop.id) NOT IN (SELECT (query_id, id) FROM sc)),
+ parent AS (SELECT query_id, regexp_replace(id, ':[^:]*$', '') AS id, min(hop) AS hop FROM fresh WHERE type = 'function' GROUP BY ALL),
+ boost AS (SELECT query_id, id, max(0.15 / ln(hop + 2)) AS boost FROM (SELECT query_id, id, hop FROM hop UNION ALL SELECT * FROM parent) WHERE (query_id, id) IN (SELECT (query_id, id) FROM sc) GROUP BY ALL),
+ added AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT query_id, id, hop FROM fresh UNION ALL SELECT * FROM parent WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM sc)) GROUP BY ALL)
+ SELECT query_id, id, round(score, 4) AS score, 'fts' AS source, round(coalesce(boost, 0), 4) AS boost FROM sc LEFT JOIN boost USING (query_id, id) UNION ALL SELECT query_id, id, round(0.3 / ln(hop + 2), 4), 'graph', 0 FROM added""")
+def graph_expand_symbols(spark, sf):
+    """Expansion over files, symbols and imports: symbols lift their files or bring them in."""
+    found = settled(_scored(spark, sf)[1])
+    _, hops = graph.trace_many(mixed_edges(spark, sf), rank.seeds(found), 2)
+    out = rank.expand_graph(found, settled(hops), mixed_nodes(spark, sf).select("id", "type"))
+    return out.select("query_id", "id", F.round("score", 4).alias("score"), "source", F.round("boost", 4).alias("boost"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, count(*) AS n, min(rn) AS first FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm) WHERE rn <= 200 GROUP BY query_id")
 def baseline_paths(spark, sf):
     return context.baseline(nodes(spark, sf), asked(spark, sf)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("rank").cast("bigint").alias("first"))
 
@@ -390,7 +552,7 @@ def baseline_paths(spark, sf):
 @query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT from_id, to_id, relation_type, 1 AS depth FROM edges WHERE from_id = 'r1' UNION SELECT e.from_id, e.to_id, e.relation_type, b.depth + 1 FROM b JOIN edges e ON e.from_id = b.to_id WHERE b.depth < 4)
  SELECT from_id, to_id, relation_type, min(depth)::BIGINT AS depth FROM b GROUP BY ALL""")
 def trace_edges(spark, sf):
-    return graph.trace(edges(spark, sf), "r1", 4, limit=2_000_000_000)
+    return graph.trace(settled(edges(spark, sf)), "r1", 4, limit=None)
 
 
 _MULTI = f"""{EDGES}, seeds AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_regionkey = 2), b AS (SELECT from_id, to_id, relation_type, 1 AS depth FROM edges WHERE from_id IN (SELECT id FROM seeds)
@@ -399,7 +561,7 @@ _MULTI = f"""{EDGES}, seeds AS (SELECT 'n' || n_nationkey AS id FROM nation WHER
 
 def _multi(spark, sf):
     seeds = table(spark, sf, "nation").filter("n_regionkey = 2").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
-    return graph.trace_many(edges(spark, sf), seeds, 3, limit=2_000_000_000)
+    return graph.trace_many(settled(edges(spark, sf)), seeds, 3, limit=None)
 
 
 @query(f"WITH RECURSIVE {_MULTI} SELECT from_id, to_id, relation_type, min(depth)::BIGINT AS depth FROM b GROUP BY ALL")
@@ -416,17 +578,17 @@ def trace_min_hops(spark, sf):
  UNION SELECT e.from_id, e.to_id, e.rel, b.depth + 1 FROM b JOIN turned e ON e.from_id = b.to_id WHERE b.depth < 2), h AS (SELECT to_id AS id, min(depth) AS hop FROM b WHERE rel <> 'contains' GROUP BY to_id)
  SELECT id, hop::BIGINT AS hop FROM h UNION ALL SELECT b.to_id, min(h.hop)::BIGINT FROM b JOIN h ON h.id = b.from_id WHERE b.rel = 'contains' AND b.to_id NOT IN (SELECT id FROM h) GROUP BY b.to_id""")
 def trace_contains(spark, sf):
-    e = edges(spark, sf).withColumn("relation_type", F.when(F.col("from_id").startswith("r"), "calls").otherwise(F.col("relation_type")))
+    e = settled(edges(spark, sf).withColumn("relation_type", F.when(F.col("from_id").startswith("r"), "calls").otherwise(F.col("relation_type"))))
     seeds = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))
-    return graph.trace_many(e, seeds, 2, limit=2_000_000_000)[1]
+    return graph.trace_many(e, seeds, 2, limit=None)[1]
 
 
 @query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT 'c1' AS id, 0 AS depth UNION SELECT e.to_id, b.depth + 1 FROM b JOIN edges e ON e.from_id = b.id WHERE b.depth < 2) SELECT DISTINCT id FROM b""")
 def trace_node_ids(spark, sf):
-    return graph.trace_nodes(edges(spark, sf), "c1", 2)
+    return graph.trace_nodes(settled(edges(spark, sf)), "c1", 2, limit=None)
 
 
-_CALLS = """sym AS (SELECT p_brand || '/' || p_partkey AS id, 'f' || p_partkey % 700 AS name, p_brand AS dir FROM part WHERE p_partkey % 3 > 0), pend AS (SELECT p_brand || '/' || p_partkey AS caller, p_brand AS dir, 'f' || p_partkey * 3 % 900 AS callee FROM part)"""
+_CALLS = """sym AS (SELECT p_brand || '/' || p_partkey AS id, 'f' || p_partkey % 700 AS name, p_brand AS dir FROM part), pend AS (SELECT p_brand || '/' || p_partkey AS caller, p_brand AS dir, 'f' || p_partkey * 3 % 900 AS callee FROM part)"""
 
 
 @query(f"""WITH {_CALLS}, l AS (SELECT name, dir, count(*) AS n, min(id) AS id FROM sym GROUP BY ALL), g AS (SELECT name, count(*) AS n, min(id) AS id FROM sym GROUP BY name)
@@ -434,7 +596,7 @@ _CALLS = """sym AS (SELECT p_brand || '/' || p_partkey AS id, 'f' || p_partkey %
 def resolve_calls(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("dir"), F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("id"))
     named = lambda key: F.concat(F.lit("f"), key.cast("string"))
-    symbols = p.filter("p_partkey % 3 > 0").select("id", named(F.col("p_partkey") % 700).alias("name"), "dir")
+    symbols = p.select("id", named(F.col("p_partkey") % 700).alias("name"), "dir")
     pending = p.select(F.col("id").alias("caller"), "dir", named(F.col("p_partkey") * 3 % 900).alias("callee"))
     return graph.resolve_calls(pending, symbols).select("from_id", "to_id")
 
@@ -469,6 +631,12 @@ def ppmi_topk(spark, sf):
     return _ppmi(spark, sf).select("term", "neighbour", F.round("weight", 6).alias("weight"))
 
 
+@query(f"WITH {_PPMI} SELECT term, neighbour, round(weight, 6) AS weight FROM nb WHERE rn <= 2 AND term IN (SELECT min(p_brand) FROM part GROUP BY p_type)")
+def neighbour_lookup(spark, sf):
+    terms = table(spark, sf, "part").groupBy("p_type").agg(F.min("p_brand").alias("term"))
+    return cooccur.nearest(_ppmi(spark, sf), terms, 2).select("term", "neighbour", F.round("weight", 6).alias("weight"))
+
+
 @query(f"WITH {_PPMI}, q AS (SELECT p_type AS query_id, min(p_brand) AS t FROM part GROUP BY p_type) SELECT query_id, t AS first, count(neighbour) + 1 AS n_terms FROM q LEFT JOIN (SELECT * FROM nb WHERE rn <= 3) ON term = t GROUP BY query_id, t")
 def expand_query(spark, sf):
     q = table(spark, sf, "part").groupBy(F.col("p_type").alias("query_id")).agg(F.min("p_brand").alias("t")).select("query_id", F.array("t").alias("terms"))
@@ -523,9 +691,10 @@ def dir_summary(spark, sf):
     return first.groupBy("dir").agg(F.collect_list("id").alias("names")).select("dir", T.directory_summary(F.col("names")).alias("summary"))
 
 
-@query(f"WITH {NODES}, l AS (SELECT id, type, content, string_split(content, chr(10)) AS x FROM nodes WHERE starts_with(id, 'src3/')) SELECT id, type, greatest(1, strlen(CASE WHEN len(x) > 120 THEN array_to_string(x[1:120], chr(10)) || chr(10) || '... (' || (len(x) - 120) || ' lines omitted)' ELSE content END) // 4) AS tokens FROM l")
+@query(f"""WITH {NODES}, l AS (SELECT id, type, content, string_split(content, chr(10)) AS x FROM nodes WHERE starts_with(id, 'src3/')), d AS (SELECT *, {_DEFINES} AS d FROM l)
+ SELECT id, type, greatest(1, strlen(CASE type WHEN 'py_file' THEN {_lines_sql(120, 'd', 'array_to_string(d, chr(10))')} ELSE {_lines_sql(120)} END) // 4) AS tokens, row_number() OVER (ORDER BY id)::INT AS rank FROM d""")
 def drill_down(spark, sf):
-    return nav.drill_down(nodes(spark, sf), "src3/").select("id", "type", "tokens")
+    return nav.drill(nodes(spark, sf), "src3/").select("id", "type", "tokens", "rank")
 
 
 # evaluation
@@ -559,9 +728,123 @@ def information_density(spark, sf):
     return d.select("query_id", F.col("tokens").cast("bigint").alias("tokens"), F.col("useful").cast("bigint").alias("useful"), F.round("density", 6).alias("density"))
 
 
+_EFFICIENT = f"""{_PER}, used AS (SELECT query_id, sum(tokens) AS tokens, sum(CASE WHEN g.file IS NOT NULL THEN tokens ELSE 0 END)::DOUBLE / sum(tokens) AS density FROM r LEFT JOIN g USING (query_id, file) WHERE rank <= 5 GROUP BY query_id),
+ raw AS (SELECT query_id, sum(tokens) AS raw_tokens FROM r GROUP BY query_id), x AS (SELECT m.query_id, precision, coalesce(tokens, 0) AS tokens, coalesce(density, 0) AS density, tokens / raw_tokens AS ratio FROM m LEFT JOIN used USING (query_id) LEFT JOIN raw USING (query_id)),
+ y AS (SELECT *, 1 - ratio AS compression, CASE WHEN 1 - ratio > 0 THEN CASE WHEN precision + density > 0 THEN 2 * precision * density / (precision + density) ELSE 0 END END AS efficiency FROM x)"""
+
+
+def _efficient(spark, sf):
+    retrieved, truth = _evaluated(spark, sf)
+    used = metrics.density(retrieved.filter("rank <= 5"), truth)
+    raw = retrieved.groupBy("query_id").agg(F.sum("tokens").alias("raw_tokens"))
+    return metrics.efficiency(metrics.per_query(retrieved, truth), used, raw)
+
+
+@query(f"WITH {_EFFICIENT} SELECT query_id, tokens::BIGINT AS tokens, tokens <= 4000 AS within, round(ratio, 6) AS ratio, round(efficiency, 6) AS efficiency FROM y")
+def metrics_efficiency(spark, sf):
+    return _efficient(spark, sf).select("query_id", F.col("tokens").cast("bigint").alias("tokens"), "within", F.round("ratio", 6).alias("ratio"), F.round("efficiency", 6).alias("efficiency"))
+
+
+@query(f"""WITH {_EFFICIENT} SELECT count(*) AS n, round(avg(tokens), 3) AS tokens, round(100 * avg((tokens <= 4000)::INT), 3) AS pass_percent, round(coalesce(avg(ratio), 0), 3) AS ratio, round(coalesce(avg(compression) FILTER (compression > 0), 0), 3) AS compression,
+ round(coalesce(avg(density) FILTER (compression > 0), 0), 3) AS density, round(coalesce(avg(efficiency) FILTER (compression > 0), 0), 3) AS efficiency FROM y""")
+def metrics_totals(spark, sf):
+    return metrics.totals(_efficient(spark, sf))
+
+
 # code and events
 
 
+def _sources(spark, sf, extension: str, text: str):
+    """One source file per part: {n} is its key, {m} the next one's."""
+    key = F.col("p_partkey").cast("string")
+    pieces = [F.lit(x) if i % 2 == 0 else key if x == "n" else (F.col("p_partkey") + 1).cast("string") for i, x in enumerate(re.split(r"\{(n|m)\}", text))]
+    return table(spark, sf, "part").select(F.concat(F.lit("s/"), key, F.lit(extension)).alias("id"), F.concat(*pieces).alias("content"))
+
+
+def _symbols(files, precise=False):
+    found = extract.parsed(files, precise).select("id", F.explode("symbols").alias("s"))
+    return found.select("id", "s.name", "s.type", F.col("s.line").alias("line"), F.array_join("s.calls", " ").alias("calls"))
+
+
+def _symbols_sql(extension: str, rows: list[tuple[str, str, int, str]]) -> str:
+    """The expected symbols of every part: name, type, line and calls, {n} and {m} as in the source."""
+    filled = lambda x: "'" + x.replace("{n}", "' || p_partkey || '").replace("{m}", "' || (p_partkey + 1) || '") + "'"
+    return " UNION ALL ".join(f"SELECT 's/' || p_partkey || '{extension}' AS id, {filled(n)} AS name, '{t}' AS type, {line} AS line, {filled(c)} AS calls FROM part" for n, t, line, c in rows)
+
+
+_GO = 'package s\n\nimport "fmt"\n\ntype T{n} struct {\n\tA int\n}\n\nconst C{n} = 1\n\nfunc (t *T{n}) Run{n}() {\n\thelp{n}()\n\tfmt.Println(Run{m}())\n}\n\nfunc help{n}() {}\n'
+_PY = "import os, sys\nfrom a.b import c\n\nclass K{n}:\n    @cached\n    def run{n}(self):\n        print(len(go{m}()))\n        return self.go{n}(1)\n\nasync def go{n}(x):\n    return isinstance(x, K{n})\n"
+_TS = "import a from './x{n}'\nexport interface I{n} { go(): void }\nexport class K{n} {\n  run{n}(a: string): void { help{n}(a); this.api.get(a); }\n}\nenum E{n} { A }\ntype Y{n} = string\nexport const f{n} = async (a) => go{m}(a)\nfunction help{n}() { new K{n}() }\n"
+_RS = "pub struct S{n} { a: i32 }\npub enum E{n} { A }\ntrait T{n} {\n    fn area(&self);\n}\nimpl T{n} for S{n} {\n    fn area(&self) { help{n}(self.a); crate::go{m}(1); println!(\"x\"); }\n}\ntype Y{n} = S{n};\nasync fn help{n}() {}\n"
+
+
+@query(_symbols_sql(".go", [("T{n}", "type", 5, ""), ("C{n}", "variable", 9, ""), ("Run{n}", "function", 11, "help{n} Run{m}"), ("help{n}", "function", 16, "")]))
+def extract_go(spark, sf):
+    return _symbols(_sources(spark, sf, ".go", _GO))
+
+
+@query(_symbols_sql(".py", [("K{n}", "class", 4, ""), ("run{n}", "function", 6, "go{m} go{n}"), ("go{n}", "function", 10, "")]))
+def extract_python(spark, sf):
+    return _symbols(_sources(spark, sf, ".py", _PY))
+
+
+@query(_symbols_sql(".py", [("K{n}", "class", 4, ""), ("run{n}", "function", 6, "go len print"), ("go{n}", "function", 10, "isinstance")]).replace("'go len print'", "array_to_string(list_sort(['go' || p_partkey, 'go' || (p_partkey + 1), 'len', 'print']), ' ')"))
+def extract_python_precise(spark, sf):
+    return _symbols(_sources(spark, sf, ".py", _PY), precise=True)
+
+
+@query(_symbols_sql(".ts", [("I{n}", "interface", 2, ""), ("K{n}", "class", 3, ""), ("Y{n}", "type_alias", 7, ""), ("f{n}", "function", 8, ""), ("help{n}", "function", 9, "")]))
+def extract_ts(spark, sf):
+    return _symbols(_sources(spark, sf, ".ts", _TS))
+
+
+@query(_symbols_sql(".ts", [("I{n}", "interface", 2, ""), ("K{n}", "class", 3, ""), ("run{n}", "method", 4, "get help{n}"), ("E{n}", "enum", 6, ""), ("Y{n}", "type_alias", 7, ""), ("f{n}", "function", 8, "go{m}"), ("help{n}", "function", 9, "")]))
+def extract_ts_precise(spark, sf):
+    return _symbols(_sources(spark, sf, ".ts", _TS), precise=True)
+
+
+@query(_symbols_sql(".js", [("K{n}", "class", 3, ""), ("run{n}", "method", 4, "get help{n}"), ("f{n}", "function", 8, "go{m}"), ("help{n}", "function", 9, "")]))
+def extract_js_precise(spark, sf):
+    return _symbols(_sources(spark, sf, ".js", _TS), precise=True)
+
+
+@query(_symbols_sql(".rs", [("S{n}", "struct", 1, ""), ("E{n}", "enum", 2, ""), ("T{n}", "trait", 3, ""), ("area", "function", 4, ""), ("T{n} for S{n}", "impl", 6, ""), ("area", "function", 7, ""), ("help{n}", "function", 10, "")]))
+def extract_rust(spark, sf):
+    return _symbols(_sources(spark, sf, ".rs", _RS))
+
+
+@query(_symbols_sql(".rs", [("S{n}", "struct", 1, ""), ("E{n}", "enum", 2, ""), ("T{n}", "trait", 3, ""), ("S{n}", "impl", 6, ""), ("area", "function", 7, "go{m} help{n}"), ("Y{n}", "type_alias", 9, ""), ("help{n}", "function", 10, "")]))
+def extract_rust_precise(spark, sf):
+    return _symbols(_sources(spark, sf, ".rs", _RS), precise=True)
+
+
+@query("""SELECT 's/' || p_partkey || x.e AS id, unnest(CASE x.e WHEN '.go' THEN ['fmt'] WHEN '.py' THEN ['os', 'sys', 'a.b'] ELSE ['./x' || p_partkey] END) AS imported FROM part, (VALUES ('.go'), ('.py'), ('.ts')) x(e)""")
+def extract_imports(spark, sf):
+    files = _sources(spark, sf, ".go", _GO).union(_sources(spark, sf, ".py", _PY)).union(_sources(spark, sf, ".ts", _TS))
+    return extract.parsed(files).select("id", F.explode("imports").alias("imported"))
+
+
+@query("""SELECT relation_type, count(*) AS n FROM (SELECT 'contains' AS relation_type FROM part, range(4) UNION ALL SELECT 'imports' FROM part UNION ALL SELECT 'calls' FROM part UNION ALL SELECT 'calls' FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)) GROUP BY relation_type""")
+def parsed_edges(spark, sf):
+    """Edges of Go files: what they contain and import, calls inside a file and, by the name of a method, across files."""
+    files = _sources(spark, sf, ".go", _GO).select("id", F.lit("go_file").alias("type"), "content", F.sha2("content", 256).alias("hash"))
+    return extract.graph(files, settled(extract.parsed(files)))[1].groupBy("relation_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 's/' || p_partkey || '.go' AS id, 'package s' || chr(10) || 'import "fmt"' || chr(10) || 'type T' || p_partkey || ' struct' || chr(10) || 'const C' || p_partkey || ' = 1' || chr(10) || 'func (t *T' || p_partkey || ') Run' || p_partkey || '()' || chr(10) || 'func help' || p_partkey || '()' AS outline FROM part""")
+def go_outlines(spark, sf):
+    files = _sources(spark, sf, ".go", _GO).select("id", F.lit("go_file").alias("type"), "content")
+    return extract.outlines(files)
+
+
+@query("SELECT 's/' || p_partkey || '.rs' AS id, 7::BIGINT AS n, 'S' || p_partkey AS first FROM part")
+def symbols_json(spark, sf):
+    """Symbols to JSON and back."""
+    back = extract.from_json(extract.as_json(extract.parsed(_sources(spark, sf, ".rs", _RS), precise=True)))
+    return back.select("id", F.size("symbols").cast("bigint").alias("n"), F.col("symbols")[0]["name"].alias("first"))
+
+
+
 @query()
 def extract_symbols(spark, sf):
     """Symbols of one small source file per part, made from its columns."""

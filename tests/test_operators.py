@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,97 @@ def test_budget_skips_and_goes_on(spark):
     assert [(r["id"], r["tokens"], r["form"], r["used"]) for r in rank.fill_budget(items, 100).orderBy("rank").collect()] == [("a", 60, "soft", 60), ("c", 30, "hard", 90), ("d", 5, "soft", 95)]
 
 
+def greedy(items, budget):
+    out, used = [], 0
+    for rank_, i, soft, hard in sorted(items):
+        n = soft if used + soft <= budget else hard if used + hard <= budget else None
+        if n is not None:
+            used += n
+            out.append((rank_, i, n, used))
+    return out
+
+
+def test_budget_in_rounds(spark):
+    """More items than are folded at once give what one pass over all of them gives."""
+    rng = random.Random(4)
+    rows = [(q, r, f"i{r}", rng.randint(1, 90), rng.randint(1, 60)) for q in range(5) for r in range(rng.choice([3, 40, 200]))]
+    items = spark.createDataFrame(rows, "query_id long, rank int, id string, soft long, hard long")
+    for at_once in (1, 7, 2000):
+        got = [(r["query_id"], r["rank"], r["id"], r["tokens"], r["used"]) for r in rank.fill_budget(items, 300, at_once=at_once).collect()]
+        assert sorted(got) == [(q, *x) for q in range(5) for x in greedy([r[1:] for r in rows if r[0] == q], 300)]
+
+
+def test_index_and_nodes_give_the_same(spark):
+    nodes = corpus(spark)
+    asked = spark.createDataFrame([(1, "sqlite schema"), (2, "boost_term schemas_of_nothing"), (3, "")], "query_id long, query string")
+    stored = fts.postings(nodes), fts.doc_stats(nodes)
+    for files_only in (True, False):
+        a, b = (fts.search(nodes, asked, files_only=files_only, index=x).collect() for x in (None, stored))
+        assert {(r["query_id"], r["id"], r["rank"]) for r in a} == {(r["query_id"], r["id"], r["rank"]) for r in b} and len(a) > 2
+    long = fts.phrases(spark.createDataFrame([(1, "boost_termination handlers")], "query_id long, query string"))
+    assert fts.matches(long, stored[0]).collect() == fts.occurrences(nodes, long).collect() == []
+
+
+def test_limits_of_walks(spark):
+    star = edges(spark, *[("a", f"n{i}", "calls") for i in range(30)], ("a", "n1", "imports"))
+    assert graph.trace(star, "a", 1, limit=5).count() == 5 and graph.trace(star, "a", 1, limit=None).count() == 30
+    assert graph.trace_nodes(star, "a", 1, limit=None).count() == 31 and graph.trace_nodes(star, "a", 1, limit=4).count() == 5
+    found, _ = graph.trace_many(star, seeds(spark, "a"), 1, limit=None)
+    assert found.count() == 31
+    assert "TakeOrdered" not in found._jdf.queryExecution().toString()
+
+
+def test_branches_of_many_queries(spark):
+    rows = [(f"d{d:02d}/f{k}.go", "go_file", "", "") for d in range(12) for k in range(12 - d)]
+    files = spark.createDataFrame(rows, NODE)
+    covered = [(1, i) for i, *_ in rows if i.startswith(("d00", "d01"))] + [(2, "d03/f0.go"), (3, "d11/f0.go")]
+    got = nav.branches(files, spark.createDataFrame(covered, "query_id long, id string"), nav.symbol_counts(files), 3).collect()
+    assert {(r["query_id"], r["rank"], r["dir"], r["n_covered"]) for r in got} == {
+        (1, 1, "d02", 0), (1, 2, "d03", 0), (1, 3, "d04", 0), (2, 1, "d00", 0), (2, 2, "d01", 0), (2, 3, "d02", 0), (3, 1, "d00", 0), (3, 2, "d01", 0), (3, 3, "d02", 0)
+    }
+    ranked = nav.drill(files, "d1").orderBy("rank").collect()
+    assert [(r["rank"], r["id"]) for r in ranked] == [(1, "d10/f0.go"), (2, "d10/f1.go"), (3, "d11/f0.go")]
+
+
+def test_current_and_vectors(spark):
+    nodes = spark.createDataFrame([("a", "go_file", "", "1"), ("b", "go_file", "", "2")], NODE)
+    wanted = spark.createDataFrame([("a", "1"), ("b", "9"), ("c", "3")], "id string, hash string")
+    assert {tuple(r) for r in store.current(nodes, wanted).collect()} == {("a", True, True), ("b", True, False), ("c", False, False)}
+    base = spark.createDataFrame([("a", 2, [1.0, 0.0]), ("b", 2, [0.0, 1.0])], "id string, dim int, vec array<float>")
+    got = {r["id"]: (r["dim"], r["vec"]) for r in store.upsert_vectors(base, spark.createDataFrame([("b", [3.0, 4.0]), ("c", [0.0, 0.0, 2.0])], "id string, vec array<double>")).collect()}
+    assert got["a"] == (2, [1.0, 0.0]) and got["b"][1] == pytest.approx([0.6, 0.8]) and got["c"] == (3, [0.0, 0.0, 1.0])
+
+
+def test_vectors_of_other_lengths_and_ties(spark):
+    v = spark.createDataFrame([(f"k{i:03d}", [1.0, 0.0]) for i in range(50)] + [("long", [1.0, 0.0, 5.0]), ("none", None), ("empty", [])], "id string, vec array<float>").repartition(3)
+    q = spark.createDataFrame([(1, [2.0, 0.0])], "query_id long, vec array<float>")
+    rows = vector.top_cosine(v, q, 3, block=7).orderBy("rank").collect()
+    assert [(r["id"], r["cosine"]) for r in rows] == [("k000", 1.0), ("k001", 1.0), ("k002", 1.0)]
+
+
+def test_efficiency_and_report(spark):
+    rows = spark.createDataFrame([(1, 0.5), (2, 0.0), (3, 1.0)], "query_id long, precision double")
+    used = spark.createDataFrame([(1, 100, 0.5), (2, 5000, 0.2)], "query_id long, tokens long, density double")
+    raw = spark.createDataFrame([(1, 400), (2, 4000)], "query_id long, raw_tokens long")
+    got = metrics.efficiency(rows, used, raw)
+    by = {r["query_id"]: r for r in got.collect()}
+    assert (by[1]["within"], by[1]["ratio"], by[1]["efficiency"]) == (True, 0.25, 0.5)
+    assert (by[2]["within"], by[2]["compression"], by[2]["efficiency"]) == (False, -0.25, None) and by[3]["ratio"] is None
+    total = metrics.totals(got).first()
+    assert (total["n"], total["tokens"], total["pass_percent"], total["ratio"], total["compression"], total["efficiency"]) == (3, 1700.0, 66.667, 0.75, 0.75, 0.5)
+    assert metrics.report(got.orderBy("query_id"), ["query_id", "within", "ratio"], 9).split("\n") == ["query_id  within    ratio", "1         True      0.250", "2         False     1.250", "3         True"]
+
+
+def test_config_of_a_session(spark):
+    for name, value in (("budget", "77"), ("share", "0.5"), ("depth", "many"), ("files", "-3")):
+        spark.conf.set(f"spark.quarry.{name}", value)
+    try:
+        assert context.Config.of(spark) == context.Config(budget=77, share=0.5)
+    finally:
+        for name in ("budget", "share", "depth", "files"):
+            spark.conf.unset(f"spark.quarry.{name}")
+
+
 def test_store(spark):
     nodes = spark.createDataFrame([("pkg_a/file.go", "go_file", "", "1"), ("pkg_a/file.go:A", "function", "", ""), ("pkg/a_file.go", "go_file", "", "2"), ("pkg/a_file.go:B", "function", "", "")], NODE)
     e = edges(spark, ("pkg_a/file.go", "pkg_a/file.go:A", "contains"), ("pkg/a_file.go", "pkg/a_file.go:B", "contains"), ("pkg/a_file.go:B", "pkg_a/file.go:A", "calls"))

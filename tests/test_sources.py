@@ -6,6 +6,8 @@ import subprocess
 import pytest
 
 from quarry.functions import code
+from quarry.functions import text as T
+from quarry.plans import context
 from quarry.plans.engine import Engine
 from quarry.sources import files, snapshot
 from quarry.streaming import incremental
@@ -44,6 +46,60 @@ def test_ts_and_rust_symbols():
     assert names(code.rust_symbols(rust)) == [("S", "struct"), ("E", "enum"), ("T", "trait"), ("S", "impl"), ("run", "function")]
 
 
+def test_python_built_ins_are_no_calls():
+    got = code.python_symbols("def f(x):\n    return open(str(len(g(x))), isinstance(x, h()))\n")
+    assert got[0].calls == ["g", "h"]
+
+
+def test_precise_typescript():
+    source = """export async function load(a: string): Promise<void> {
+  const inner = () => go(a);
+  fetch(`x${a}`); this.api.get("q("); new Thing(); if (a) { run(); }
+}
+export default abstract class Store<T> extends Base {
+  private x = make(1);
+  handler = () => { skip(); };
+  constructor(private a: A) { super(a); this.init(); }
+  static async find(id: number): Promise<T> { return await db.find(id); }
+  get size() { return count(this); }
+  abstract nothing(): void;
+}
+interface Shape { area(): number }
+type Pair<A, B> = [A, B];
+export const enum Color { Red }
+export const add = (a: number, b: number): number => sum(a, b);
+const one = x => two(x), three = 3;
+if (a) { function nested() { deep(); } }
+"""
+    got = code.ts_precise(source)
+    assert names(got) == [
+        ("load", "function"), ("Store", "class"), ("constructor", "method"), ("find", "method"), ("size", "method"), ("Shape", "interface"), ("Pair", "type_alias"), ("Color", "enum"), ("add", "function"), ("nested", "function"),
+    ]
+    by = {s.name: s for s in got}
+    assert by["load"].calls == ["fetch", "get", "go", "run"] and by["constructor"].calls == ["init"] and by["add"].calls == ["sum"]
+    assert (by["size"].line, by["size"].content) == (10, "get size() { return count(this); }")
+    assert names(code.ts_precise(source, typed=False)) == [(n, k) for n, k in names(got) if k in ("function", "class", "method")]
+    assert code.ts_precise("class {{{ function") == [] and code.ts_precise("") == []
+
+
+def test_precise_rust():
+    source = """pub struct Point { x: i32 }
+struct Unit;
+enum E<'a> { A(&'a str) }
+pub trait Shape { type Out; fn area(&self) -> f64; fn twice(&self) -> f64 { self.area() * 2.0 } }
+impl<T: Clone> Shape for Vec<T> where T: Copy { type Out = T;
+    fn area(&self) -> f64 { let c = '('; helper(c); crate::util::run(1); println!("x("); Some(2) } }
+type Bytes = [u8; 4];
+pub async unsafe fn go() { fn inner() { no() } inner(); }
+"""
+    got = code.rust_precise(source)
+    assert names(got) == [
+        ("Point", "struct"), ("Unit", "struct"), ("E", "enum"), ("Shape", "trait"), ("twice", "function"), ("Vec<T>", "impl"), ("Out", "type_alias"), ("area", "function"), ("Bytes", "type_alias"), ("go", "function"),
+    ]
+    by = {s.name: s for s in got}
+    assert by["area"].calls == ["Some", "helper", "run"] and by["twice"].calls == ["area"] and by["area"].line == 6 and by["Bytes"].content == "type Bytes = [u8; 4]"
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "tree"
@@ -100,6 +156,87 @@ def test_engine(spark, tree, tmp_path):
     assert engine.status()["nodes"] == 0
 
 
+def test_engine_keeps_its_index_up_to_date(spark, tree, tmp_path):
+    """Identifier parts and phrases are found; after changes the tables are those of a fresh index."""
+    (tree / "pkg" / "user.go").write_text("package pkg\n\nfunc getUserHandler() {\n\tfoo.bar(now)\n}\n")
+    engine = Engine(spark, str(tmp_path / "index"), str(tree))
+    engine.index()
+    assert any("pkg/user.go" in line for line in engine.search("user"))
+    assert any("pkg/user.go" in line for line in engine.search("foo.bar")) and not engine.search("bar.foo")
+    (tree / "pkg" / "user.go").write_text("package pkg\n\nfunc getAccountHandler() {}\n")
+    (tree / "pkg" / "b.go").unlink()
+    (tree / "c.ts").write_text("export function widget() {}\n")
+    assert engine.index() == 3 and not any("[go.go] pkg/user.go" in line for line in engine.search("foo.bar"))
+    fresh = Engine(spark, str(tmp_path / "fresh"), str(tree))
+    fresh.index()
+    for name in ("nodes", "edges", "parsed", "postings", "stats"):
+        a, b = (sorted(map(str, e.tables.table(name).collect())) for e in (engine, fresh))
+        assert a == b and a, name
+    assert engine.build_context("account").to_dict() == fresh.build_context("account").to_dict()
+    found = engine.drill_down("pkg")
+    assert [n["id"] for n in found.nodes] == ["pkg/__init__.py", "pkg/user.go"] and not found.truncated
+    small = Engine(spark, str(tmp_path / "index"), str(tree), context.Config(budget=9)).drill_down("pkg")
+    assert small.truncated and small.token_estimate <= 9 and small.branches[0]["path"] == "pkg" and small.suggested_next == ["pkg"]
+
+
+def test_engine_plug_ins(spark, tree, tmp_path):
+    made = []
+
+    def embed(texts):
+        made.append(len(texts))
+        return [[float("gadget" in t), float("RunA" in t), 1.0] for t in texts]
+
+    def parse(path, source):
+        return [code.Symbol("only", "function", 1, "only", [])] if path == "a.go" else [], []
+
+    engine = Engine(spark, str(tmp_path / "index"), str(tree), embed=embed, parse=parse, vocabulary=T.token_set)
+    engine.index()
+    assert engine.status()["vectors"] == 4
+    assert {r["id"] for r in engine.nodes().filter("type = 'function'").collect()} == {"a.go:only"}
+    assert {n["source"] for n in engine.build_context("gadgets").nodes} >= {"fts"}
+    assert made == [1]  # the query; files are embedded where the tasks run
+
+
+def test_engine_expands_queries(spark, tree, tmp_path):
+    """Neighbours are searched, but coverage stays that of the query's own terms."""
+    engine = Engine(spark, str(tmp_path / "index"), str(tree), expansion=2)
+    engine.index()
+    engine.tables.commit(neighbours=spark.createDataFrame([("zeppelin", "gadgets", 2.0)], snapshot.SCHEMAS["neighbours"]))
+    row = engine._query("zeppelin").first()
+    assert (row["query"], row["expanded"]) == ("zeppelin", "zeppelin gadgets")
+    assert [n["id"] for n in engine.build_context("zeppelin").nodes] == ["README.md"]
+
+
+def test_requests(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"), str(tree))
+    assert json.loads(engine.handle('{"tool": "index"}')) == 4
+    assert json.loads(engine.handle(b'{"tool": "search", "arguments": {"query": "widgets"}}'))
+    assert json.loads(engine.handle('{"tool": "build_context", "arguments": {"query": "widgets"}}'))["nodes"][0]["id"] == "README.md"
+    for bad in ("{", '{"tool": "nodes"}', '{"tool": "search"}', '{"tool": "search", "arguments": {"query": ""}}', '{"tool": "reset"}', " " * (1 << 20) + "{}"):
+        assert "error" in json.loads(engine.handle(bad))
+
+
+def test_tracked_files(spark, tree, tmp_path):
+    assert files.git_tracked(spark, str(tree)).count() == 0
+    for args in (["init", "-q"], ["add", "a.go", "pkg"]):
+        subprocess.run(["git", "-C", str(tree), *args], check=True)
+    assert {r["id"] for r in files.git_tracked(spark, str(tree)).collect()} == {"a.go", "pkg/__init__.py", "pkg/b.go"}
+    engine = Engine(spark, str(tmp_path / "index"), str(tree), tracked_only=True)
+    assert engine.index() == 3
+
+
+def test_readers_outlive_a_commit(spark, tmp_path):
+    tables = snapshot.Snapshots(spark, str(tmp_path / "t"))
+    rows = lambda n: spark.range(n).selectExpr("string(id) AS from_id", "'x' AS to_id", "'calls' AS relation_type")
+    tables.commit(edges=rows(3))
+    old = tables.table("edges")
+    tables.commit(edges=rows(5))
+    assert old.count() == 3 and tables.table("edges").count() == 5
+    tables.commit(edges=rows(6))
+    kept = [p for p in (tmp_path / "t").iterdir() if p.is_dir() and any(p.iterdir())]
+    assert len([p for p in kept if (p / "edges").exists()]) == 2
+
+
 def test_snapshots(spark, tmp_path):
     tables = snapshot.Snapshots(spark, str(tmp_path))
     df = spark.createDataFrame([("a", "b", "calls")], snapshot.SCHEMAS["edges"])
@@ -137,3 +274,19 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([("a", "text_file", content, content), ("b", "text_file", "same", "h")], schema).write.mode("append").parquet(str(tmp_path / "in"))
         incremental.upsert_stream(spark, str(tmp_path / "in"), schema, tables, str(tmp_path / "cp")).awaitTermination(60)
     assert {r["id"]: r["content"] for r in tables.table("nodes").collect()} == {"a": "two", "b": "same"}
+
+
+def test_streams_take_the_latest_row(spark, tmp_path):
+    """Several rows of an id in one batch: that of the latest file, whatever the order of reading."""
+    import os
+
+    tables, schema = snapshot.Snapshots(spark, str(tmp_path / "t")), snapshot.SCHEMAS["nodes"]
+    for k in range(6):
+        spark.createDataFrame([("a", "text_file", f"text {k}", f"h{k}")], schema).coalesce(1).write.parquet(str(tmp_path / "made" / str(k)))
+        part = next((tmp_path / "made" / str(k)).glob("*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        at = tmp_path / "in" / f"{(k * 5) % 6}.parquet"
+        part.rename(at)
+        os.utime(at, (1_700_000_000 + k, 1_700_000_000 + k))
+    incremental.upsert_stream(spark, str(tmp_path / "in"), schema, tables, str(tmp_path / "cp")).awaitTermination(60)
+    assert [r["content"] for r in tables.table("nodes").collect()] == ["text 5"]

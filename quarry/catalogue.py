@@ -643,10 +643,17 @@ def expand_query(spark, sf):
     return cooccur.expand(q, _ppmi(spark, sf), 3).select("query_id", F.col("terms")[0].alias("first"), F.size("terms").cast("bigint").alias("n_terms"))
 
 
-@query()
+@query(f"""WITH v AS (SELECT DISTINCT doc_id AS doc, unnest(list_concat(list_transform({_raw_sql("coalesce(text, '')")}, lambda t: {_HEX_STEM}), list_transform({_split_sql("coalesce(text, '')")}, lambda p: hex(encode(p))))) AS term FROM documents),
+ c AS MATERIALIZED (SELECT term, df, row_number() OVER (ORDER BY term)::INT AS k FROM (SELECT term, count(*) AS df FROM v GROUP BY term HAVING count(*) >= 2)), d AS MATERIALIZED (SELECT doc::INT AS doc, k FROM v JOIN c USING (term)),
+ p AS (SELECT x.k AS a, y.k AS b, count(*) AS n FROM d x JOIN d y ON x.doc = y.doc AND x.k < y.k GROUP BY ALL HAVING count(*) >= 2),
+ w AS (SELECT a, b, ln(n * (SELECT count(*) FROM documents)::DOUBLE / (x.df * y.df)) AS weight FROM p JOIN c x ON x.k = a JOIN c y ON y.k = b),
+ t AS (SELECT * FROM (SELECT a, b, weight, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS r FROM (SELECT * FROM w WHERE weight > 0 UNION ALL SELECT b, a, weight FROM w WHERE weight > 0)) WHERE r <= 10)
+ SELECT x.term AS term, y.term AS neighbour, round(weight, 6) AS weight FROM t JOIN c x ON x.k = a JOIN c y ON y.k = b""")
 def ppmi_documents(spark, sf):
+    """Neighbours of all terms of all documents; terms in hexadecimal, since stems can end inside a character."""
     d = spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), T.vocabulary_tokens(F.col("text")).alias("terms"))
-    return cooccur.ppmi(cooccur.document_terms(d), d.count())
+    shown = lambda c: F.hex(F.col(c).cast("binary")).alias(c)
+    return cooccur.ppmi(cooccur.document_terms(d), d.count()).select(shown("term"), shown("neighbour"), F.round("weight", 6).alias("weight"))
 
 
 # vectors
@@ -845,7 +852,7 @@ def symbols_json(spark, sf):
 
 
 
-@query()
+@query("""SELECT name, type, count(*) AS n, min(line) AS line FROM (SELECT 'make_' || p_partkey AS name, 'function' AS type, 4 AS line FROM part UNION ALL SELECT 'Part' || p_size, 'class', 7 FROM part UNION ALL SELECT 'price', 'function', 8 FROM part) GROUP BY name, type""")
 def extract_symbols(spark, sf):
     """Symbols of one small source file per part, made from its columns."""
     source = F.concat(F.lit("import os\n\n@cached\ndef make_"), F.col("p_partkey").cast("string"), F.lit("(x):\n    return build(x)\n\nclass Part"), F.col("p_size").cast("string"), F.lit(":\n    async def price(self):\n        return obj.lookup(self)\n"))

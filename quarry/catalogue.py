@@ -19,6 +19,8 @@ from .plans import context
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: A table of one file is dealt anew below so many bytes; larger ones have row groups enough.
+SMALL_BYTES = 1 << 30
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -38,8 +40,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A single-file table holds one partition; work on long texts is dealt over the cluster's."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) < 2 else df
+    """A small single-file table is read by one task, whatever its splits; work on long texts is dealt over the cluster's cores."""
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small and len(df.inputFiles()) < 2 else df
 
 
 # the driver's tables as nodes, edges and queries
@@ -226,7 +229,7 @@ def upsert_vectors(spark, sf):
 
 @query(f"WITH x AS (SELECT doc_id, list_distinct(list_transform({_raw_sql('text')}, lambda t: {_HEX_STEM})) AS k FROM documents) SELECT doc_id, len(k) AS n, md5(array_to_string(list_sort(k), ' ')) AS digest FROM x")
 def tokenize_fts(spark, sf):
-    k = F.array_sort(F.transform(T.token_set(F.col("text")), lambda t: F.hex(t.cast("binary"))))
+    k = F.sort_array(F.transform(T.token_set(F.col("text")), lambda t: F.hex(t.cast("binary"))))
     return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", k.alias("k")).select("doc_id", F.size("k").cast("bigint").alias("n"), F.md5(F.array_join("k", " ")).alias("digest"))
 
 
@@ -234,7 +237,7 @@ def tokenize_fts(spark, sf):
  p AS (SELECT doc_id, lower(unnest(regexp_split_to_array(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' '))) AS t FROM w)
  SELECT doc_id, count(DISTINCT t) AS n, md5(string_agg(DISTINCT t, ' ' ORDER BY t)) AS digest FROM p WHERE length(t) >= 3 GROUP BY doc_id""")
 def split_identifiers(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.array_sort(T.split_identifiers(F.col("text"))).alias("k")).filter(F.size("k") > 0)
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.sort_array(T.split_identifiers(F.col("text"))).alias("k")).filter(F.size("k") > 0)
     return d.select("doc_id", F.size("k").cast("bigint").alias("n"), F.md5(F.array_join("k", " ")).alias("digest"))
 
 
@@ -427,6 +430,12 @@ def graph_expand_scores(spark, sf):
     return both.select("query_id", "id", F.col("hop").cast("int").alias("hop"), known.alias("known"), F.round(F.when(known, F.col("boost")).otherwise(F.col("score")), 4).alias("gain"))
 
 
+def _stored(spark, sf):
+    """Nodes and edges, which an index has as tables and every step of the pipeline reads."""
+    n = settled(nodes(spark, sf).select("id", "type", "content", "doc_id"))
+    return n, settled(doc_edges(spark, sf))
+
+
 def _lines_sql(n: int, lines: str = "x", content: str = "content") -> str:
     return f"CASE WHEN len({lines}) > {n} THEN array_to_string({lines}[1:{n}], chr(10)) || chr(10) || '... (' || (len({lines}) - {n}) || ' lines omitted)' ELSE {content} END"
 
@@ -463,17 +472,16 @@ _BUILT = _context_sql("c0 AS (SELECT query_id, id, type, score, 'fts' AS source
 
 @query(f"WITH RECURSIVE {_BUILT} SELECT * FROM built")
 def build_context_batch(spark, sf):
-    n = nodes(spark, sf)
-    return context.build(n, doc_edges(spark, sf), asked(spark, sf))
+    return context.build(*_stored(spark, sf), asked(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_context_sql(_DENSE)} SELECT * FROM built")
 def build_context_dense(spark, sf):
     """The same with dense hits: a document's vector is that of its number, a query's that of its item."""
-    n, e = nodes(spark, sf), table(spark, sf, "embeddings")
+    (n, links), e = _stored(spark, sf), table(spark, sf, "embeddings")
     vectors = n.join(e, F.col("doc_id") == F.col("vec_id")).select("id", F.col("embedding").alias("vec"))
     queries = asked(spark, sf).join(e, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("vec"))
-    return context.build(n, doc_edges(spark, sf), asked(spark, sf), vectors=vectors, query_vectors=queries)
+    return context.build(n, links, asked(spark, sf), vectors=vectors, query_vectors=queries)
 
 
 @query(f"""WITH RECURSIVE {_BUILT}, dirs AS (SELECT dir, count(*) AS n_files, (list(id ORDER BY id))[1:5] AS names FROM nodes GROUP BY dir), have AS (SELECT query_id, dir, count(DISTINCT built.id) AS n_covered FROM built JOIN nodes USING (id) GROUP BY ALL),
@@ -481,8 +489,8 @@ def build_context_dense(spark, sf):
  SELECT query_id, dir, n_files, n_covered, 0::BIGINT AS n_symbols, array_to_string(list_transform(names, lambda n: regexp_replace(regexp_extract(n, '([^/]*)$', 1), '\\.[^.]*$', '')), ', ') || CASE WHEN n_files >= 5 THEN ', …' ELSE '' END AS summary
  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_files DESC, dir) AS r FROM open WHERE n_covered < n_files) WHERE r <= 8""")
 def context_branches(spark, sf):
-    n = nodes(spark, sf)
-    found = context.branches(n, context.build(n, doc_edges(spark, sf), asked(spark, sf)))
+    n, links = _stored(spark, sf)
+    found = context.branches(n, context.build(n, links, asked(spark, sf)))
     return found.select("query_id", "dir", "n_files", F.col("n_covered").cast("bigint").alias("n_covered"), F.col("n_symbols").cast("bigint").alias("n_symbols"), "summary")
 
 

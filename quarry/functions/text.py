@@ -64,7 +64,7 @@ def token_set(x: Column) -> Column:
 
 def split_identifiers(x: Column) -> Column:
     """Parts of camel-case and snake-case identifiers: lower case, three characters or more, distinct, in order."""
-    words = F.array_distinct(F.split(F.coalesce(x, F.lit("")), "[^A-Za-z0-9]+"))
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("[A-Za-z0-9]+"), 0))
     cut = lambda w: F.split(w, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
     parts = F.flatten(F.transform(words, lambda w: F.when(w.rlike("[a-z][A-Z]|[A-Z]{2}[a-z]"), cut(w)).otherwise(F.array(w))))
     return F.array_distinct(F.filter(F.transform(parts, F.lower), lambda t: F.length(t) >= 3))

@@ -45,7 +45,7 @@ def _counted(terms: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
     Pairs are formed inside each document's array, so no join multiplies rows before aggregation. A long
     document is dealt out by pairs of its blocks.
     """
-    held = terms.join(vocabulary, "term").groupBy("doc").agg(F.array_sort(F.collect_list("code")).alias("t"))
+    held = terms.join(vocabulary, "term").groupBy("doc").agg(F.sort_array(F.collect_list("code")).alias("t"))
     last = F.floor((F.size("t") - 1) / BLOCK).cast("int")
     rows = held.select("t", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
     rows = rows.select("t", "i", F.explode(F.sequence("i", "last")).alias("j"))

@@ -71,17 +71,19 @@ class Asked:
     def __init__(self, wanted: DataFrame):
         named = _settled(wanted.withColumn("phrase", F.xxhash64("terms", "prefix")))
         self.queries = named.select("query_id", "phrase")
-        distinct = named.select("phrase", "terms", "prefix").dropDuplicates(["phrase"])
+        self.phrases = distinct = named.select("phrase", "terms", "prefix").dropDuplicates(["phrase"])
         parts = distinct.select("phrase", F.size("terms").alias("n"), "prefix", F.posexplode("terms").alias("i", "want"))
         parts = parts.withColumn("star", F.col("prefix") & (F.col("i") == F.col("n") - 1)).drop("prefix")
         key = F.when(F.col("star"), F.concat(F.lit("^"), F.substring("want", 1, HEAD))).otherwise(F.concat(F.lit("="), F.col("want")))
         self.parts = _settled(parts.withColumn("key", key))
         # at most HEAD + 1 kinds of keys
-        kinds = self.parts.groupBy(F.when(F.col("star"), F.least(F.length("want"), F.lit(HEAD))).alias("head")).agg(F.count("*").alias("n"), F.max("n").alias("longest")).collect()
+        kinds = self.parts.groupBy(F.when(F.col("star"), F.least(F.length("want"), F.lit(HEAD))).alias("head")).agg(F.count("*").alias("n"), F.max("n").alias("longest"), F.min("n").alias("least")).collect()
         self.heads = sorted(r["head"] for r in kinds if r["head"])
         self.whole = any(r["head"] is None for r in kinds)
         self.n_parts = sum(r["n"] for r in kinds)
-        self.several = any(r["longest"] > 1 for r in kinds)
+        self.longest = max((r["longest"] for r in kinds), default=0)
+        self.several = self.longest > 1
+        self.single = any(r["least"] == 1 for r in kinds)
         self.n_uses = self.queries.count()
 
     def keys(self, term: Column) -> Column:
@@ -103,13 +105,47 @@ def _full(placed: DataFrame, more: list[str]) -> DataFrame:
     return whole.groupBy("id", "phrase", *more).agg(F.count("*").alias("f")).select("phrase", "id", *more, "f")
 
 
+#: Terms that lead a phrase and meet a node's terms by equality at most.
+LEAD = 3
+
+
+def _node_phrases(cut: DataFrame, asked: Asked) -> DataFrame:
+    """phrase, id, dl and f of phrases of several terms in (id, dl, terms).
+
+    A phrase meets the places that hold its first terms, LEAD of them but never the last one, which can be a prefix; the term
+    after them is compared at once. Phrases that go on after that are compared whole, in the few nodes that are left.
+    """
+    several = asked.phrases.filter(F.size("terms") > 1).select("phrase", F.col("terms").alias("want"), "prefix", F.least(F.size("terms") - 1, F.lit(LEAD)).alias("lead"))
+    leads = _settled(several.withColumn("key", F.concat(F.col("lead").cast("string"), F.lit(" "), F.array_join(F.slice("want", F.lit(1), F.col("lead")), " "))))
+    widths = sorted(r["lead"] for r in leads.select("lead").distinct().collect())
+
+    def starts(n: int) -> Column:
+        key = lambda x, i: F.concat(F.lit(f"{n} "), x, *[F.concat(F.lit(" "), F.get("terms", i + k)) for k in range(1, n)])
+        return F.transform("terms", lambda x, i: F.struct(key(x, i).alias("key"), i.alias("pos"), F.get("terms", i + n).alias("next")))
+
+    n = F.size("want")
+    is_term = lambda held, want, at: F.when(F.col("prefix") & (at == n - 1), held.startswith(want)).otherwise(held == want)
+    placed = cut.select("id", "dl", F.inline(F.concat(*map(starts, widths)))).filter("key is not null and next is not null")
+    met = placed.join(_bounded(leads, asked.n_parts), "key").filter(is_term(F.col("next"), F.get("want", "lead"), F.col("lead")))
+    met = met.select("id", "dl", "pos", "phrase", "want", "prefix", (n > F.col("lead") + 1).alias("more"))
+    if asked.longest > LEAD + 1:
+        met = _settled(met)
+        whole = met.filter("more").drop("dl", "more").join(cut.join(met.filter("more").select("id").distinct(), "id", "left_semi"), "id")
+        same = (F.slice("terms", F.col("pos") + 1, n - 1) == F.slice("want", F.lit(1), n - 1)) & is_term(F.get("terms", F.col("pos") + n - 1), F.get("want", n - 1), n - 1)
+        met = met.filter("not more").select("id", "dl", "phrase").unionByName(whole.filter(same).select("id", "dl", "phrase"))
+    return met.groupBy("id", "phrase", "dl").agg(F.count("*").alias("f")).select("phrase", "id", "dl", "f")
+
+
 def _node_hits(nodes: DataFrame, asked: Asked) -> DataFrame:
     """phrase, id, dl and f: the occurrences of each phrase in each node that has it."""
     # an array of one array: what a generator makes is made once, where a projection would be repeated for each use
-    cut = nodes.select("id", F.explode(F.array(T.unicode_terms(F.col("content")))).alias("terms")).select("id", F.size("terms").cast("bigint").alias("dl"), F.posexplode("terms").alias("pos", "term"))
-    # one term may be one part of a phrase in one place only, so matches are counted; dealt by node, for what follows
-    hits = asked.meet(cut.drop("pos"), False).select("phrase", "id", "dl").repartition("id").groupBy("id", "phrase", "dl").agg(F.count("*").alias("f")).select("phrase", "id", "dl", "f")
-    return hits.unionByName(_full(asked.meet(cut, True).repartition("id"), ["dl"])) if asked.several else hits
+    cut = nodes.select("id", F.explode(F.array(T.unicode_terms(F.col("content")))).alias("terms")).select("id", F.size("terms").cast("bigint").alias("dl"), "terms")
+    if asked.several and not asked.single:
+        return _node_phrases(cut, asked)
+    # dealt by node, for what follows
+    words = cut.select("id", "dl", F.explode("terms").alias("term"))
+    hits = asked.meet(words, False).select("phrase", "id", "dl").repartition("id").groupBy("id", "phrase", "dl").agg(F.count("*").alias("f")).select("phrase", "id", "dl", "f")
+    return hits.unionByName(_node_phrases(cut, asked)) if asked.several else hits
 
 
 def _index_hits(posted: DataFrame, asked: Asked) -> DataFrame:

@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_held: list[DataFrame] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: through spark.checkpoint.dir where it is set, else (on one machine) in the executors' storage."""
+    """Cuts the lineage: through spark.checkpoint.dir where it is set, else (on one machine) in the executors' storage,
+    until released."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return df.checkpoint()
-    return df.persist()
+    _held.append(df.persist())
+    return _held[-1]
+
+
+def release() -> None:
+    """Frees what settled holds in storage; a result that still needs it is computed again."""
+    while _held:
+        _held.pop().unpersist()
 
 
 def places(df: DataFrame, order: str, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cooccur, extract, fts, graph, nav, rank, store
-from ..operators.settle import settled
+from ..operators.settle import release, settled
 from ..sources import files as sources
 from ..sources.snapshot import Snapshots, by_term
 from . import context
@@ -40,6 +41,22 @@ class Result:
         return asdict(self)
 
 
+def released(method: Callable) -> Callable:
+    """The method, which frees what its plans held once its answer is there; with follow_head it indexes first if the
+    repository's commit is another than that of the last index."""
+
+    @wraps(method)
+    def run(self, *args, **kwargs):
+        try:
+            if self.follow_head and method.__name__ != "index" and self.head_changed():
+                self.index()
+            return method(self, *args, **kwargs)
+        finally:
+            release()
+
+    return run
+
+
 def clamp(value: int, default: int, most: int) -> int:
     return default if value < 1 else min(value, most)
 
@@ -53,17 +70,19 @@ def _checked(text: str, what: str) -> str:
 
 
 class Engine:
-    """expansion: neighbours that each query term adds to the search.
+    """expansion: neighbours that each query term adds to the search; precise: the precise extractors; tracked_only: files that
+    git tracks; follow_head: answers index first what another commit changed.
 
     Plug-in points: embed (texts to vectors of one length), which turns dense retrieval on; parse (path and source to
     symbols and imports) in place of the extractors; vocabulary (a text column to an array of terms) of the pair statistics.
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, root: str, cfg: context.Config | None = None, expansion: int = 0, precise: bool = False, tracked_only: bool = False,
+        self, spark: SparkSession, folder: str, root: str, cfg: context.Config | None = None, expansion: int = 0, precise: bool = False, tracked_only: bool = False, follow_head: bool = False,
         embed: Callable[[list[str]], list[list[float]]] | None = None, parse: Callable[[str, str], tuple[list, list[str]]] | None = None, vocabulary: Callable[[Column], Column] = T.vocabulary_tokens,
     ):
         self.spark, self.tables, self.root, self.cfg, self.expansion = spark, Snapshots(spark, folder), root, cfg or context.Config.of(spark), expansion
+        self.follow_head = follow_head
         self.precise, self.tracked_only, self.embed, self.parse, self.vocabulary = precise, tracked_only, embed, parse, vocabulary
 
     def nodes(self) -> DataFrame:
@@ -81,6 +100,7 @@ class Engine:
         self.tables.optimise()
         return self.status()
 
+    @released
     def index(self, path: str | None = None) -> int:
         """Indexes path (default: the root); returns how many files are new, changed or gone."""
         scanned = sources.scan(self.spark, path or self.root, self.root)
@@ -148,6 +168,7 @@ class Engine:
             asked = asked.join(added, "query_id").select("query_id", "query", F.concat_ws(" ", "query", F.array_join("added", " ")).alias("expanded"))
         return asked
 
+    @released
     def build_context(self, query: str) -> Result:
         _checked(query, "query")
         nodes = self.nodes()
@@ -157,17 +178,16 @@ class Engine:
         if self.embed:
             vector = [float(x) for x in self.embed([query])[0]]
             dense = {"vectors": self.tables.table("vectors").select("id", "vec"), "query_vectors": self.spark.createDataFrame([(0, vector)], "query_id long, vec array<double>")}
-        built = context.build(nodes, self.edges(), self._query(query), self.cfg, index=self.searched(), **dense).persist()
-        try:
-            rows = context.contents(built, nodes).orderBy("rank").select("id", "type", "content", "score", "source", "tokens", "truncated").collect()
-            if not rows:
-                return Result(message="nothing matches the query")
-            found = context.branches(nodes, built, self.cfg.branches).orderBy("rank").select(F.col("dir").alias("path"), "n_files", "n_symbols", "summary").collect()
-        finally:
-            built.unpersist()
+        built = context.build(nodes, self.edges(), self._query(query), self.cfg, index=self.searched(), **dense)
+        built = settled(built)
+        rows = context.contents(built, nodes).orderBy("rank").select("id", "type", "content", "score", "source", "tokens", "truncated").collect()
+        if not rows:
+            return Result(message="nothing matches the query")
+        found = context.branches(nodes, built, self.cfg.branches).orderBy("rank").select(F.col("dir").alias("path"), "n_files", "n_symbols", "summary").collect()
         truncated = any(r["truncated"] for r in rows)
         return Result([{k: r[k] for k in ("id", "type", "content", "score", "source")} for r in rows], [r.asDict() for r in found], sum(r["tokens"] for r in rows), truncated, truncated or bool(found), [r["path"] for r in found[:2]])
 
+    @released
     def drill_down(self, path: str) -> Result:
         """Files below a path, as many as the budget holds in order of their ids; what is left out stays on the executors."""
         _checked(path, "path")
@@ -183,6 +203,7 @@ class Engine:
         truncated = len(rows) < total
         return Result([{k: r[k] for k in ("id", "type", "content", "score", "source")} for r in rows], [r.asDict() for r in left], sum(r["tokens"] for r in rows), truncated, truncated or bool(left), [r["path"] for r in left[:2]])
 
+    @released
     def search(self, query: str, limit: int = 10) -> list[str]:
         """Summary lines of the best nodes of any kind."""
         _checked(query, "query")
@@ -190,6 +211,7 @@ class Engine:
         shown = hits.drop("type").join(self.nodes(), "id")
         return [r[0] for r in shown.orderBy("rank").select(T.summary_line(F.col("id"), F.col("type"), F.col("content"))).collect()]
 
+    @released
     def trace(self, symbol: str, depth: int = 2) -> list[dict]:
         _checked(symbol, "symbol")
         found = graph.trace(self.edges(), symbol, clamp(depth, 2, 5))

@@ -196,6 +196,30 @@ def test_budget_in_rounds(spark):
         assert sorted(got) == [(q, *x) for q in range(5) for x in greedy([r[1:] for r in rows if r[0] == q], 300)]
 
 
+def test_long_phrases(spark):
+    """Phrases of two to eight terms, with and without a prefix at their end, against a scan of all places."""
+    rng = random.Random(6)
+    words = ["ab", "abc", "b", "ca", "cab"]
+    texts = [(f"n{i}", [rng.choice(words) for _ in range(rng.randint(1, 120))]) for i in range(25)] + [("empty", [])]
+    nodes = spark.createDataFrame([(i, "text_file", " ".join(t), "") for i, t in texts], NODE).repartition(3)
+    long = [t for _, t in texts if len(t) > 20]
+    asked = []
+    for k in range(42):  # every length with and without a prefix, most of them from the texts
+        t = rng.choice(long) if k % 5 else [rng.choice(words) for _ in range(9)]
+        at = rng.randint(0, len(t) - 9)
+        asked.append((k, t[at : at + 2 + k % 7], k % 2 == 0))
+    wanted = spark.createDataFrame([(q, 0, w, p) for q, w, p in asked], "query_id long, phrase_no int, terms array<string>, prefix boolean")
+    want = {}
+    for q, w, p in asked:
+        for i, t in texts:
+            n = sum(t[k : k + len(w) - 1] == w[:-1] and (t[k + len(w) - 1].startswith(w[-1]) if p else t[k + len(w) - 1] == w[-1]) for k in range(len(t) - len(w) + 1))
+            if n:
+                want[q, i] = n
+    for found in (fts.occurrences(nodes, wanted), fts.matches(wanted, fts.postings(nodes))):
+        assert {(r["query_id"], r["id"]): r["f"] for r in found.collect()} == want
+    assert len(want) > 150 and {len(asked[q][1]) for q, _ in want} == set(range(2, 9))
+
+
 def test_index_and_nodes_give_the_same(spark):
     nodes = corpus(spark)
     asked = spark.createDataFrame([(1, "sqlite schema"), (2, "boost_term schemas_of_nothing"), (3, "")], "query_id long, query string")

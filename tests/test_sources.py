@@ -216,6 +216,42 @@ def test_requests(spark, tree, tmp_path):
         assert "error" in json.loads(engine.handle(bad))
 
 
+def test_command_line(spark, tree, tmp_path, capsys):
+    import io
+
+    from quarry import __main__ as cli
+
+    (tmp_path / "conf.json").write_text(json.dumps({"spark.quarry.budget": "50"}))
+    out = io.StringIO()
+    requests = ['{"tool": "status"}\n', "\n", '{"tool": "build_context", "arguments": {"query": "widgets"}}\n', "no json\n"]
+    assert cli.main([str(tmp_path / "index"), str(tree), "--config", str(tmp_path / "conf.json")], requests, out) == 0
+    spark.conf.unset("spark.quarry.budget")
+    text = out.getvalue()
+    decoder, found = json.JSONDecoder(), []
+    while text.strip():
+        answer, end = decoder.raw_decode(text.lstrip())
+        found.append(answer)
+        text = text.lstrip()[end:]
+    assert found[0]["nodes"] > 4 and found[1]["token_estimate"] <= 50 and "error" in found[2]
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    assert capsys.readouterr().out.strip()
+
+
+def test_engine_follows_the_head(spark, tree, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tree), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-q", "-m", "x")
+    engine = Engine(spark, str(tmp_path / "index"), str(tree), follow_head=True)
+    engine.index()
+    (tree / "new.md").write_text("zeppelins")
+    assert not engine.search("zeppelins")
+    git("add", "-A")
+    git("commit", "-q", "-m", "y")
+    assert engine.search("zeppelins") and not engine.head_changed()
+
+
 def test_tracked_files(spark, tree, tmp_path):
     assert files.git_tracked(spark, str(tree)).count() == 0
     for args in (["init", "-q"], ["add", "a.go", "pkg"]):

@@ -26,7 +26,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, schema_of
+from .common import arrow_rows, no_collections, schema_of
 
 #: Bytes of chunks and of pre-tokens, as they are held, that a worker keeps before it starts that memo afresh.
 CHUNK_BYTES, PIECE_BYTES = 224 << 20, 224 << 20
@@ -242,11 +242,12 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
         coder, sha = _worker_coder(shared), hashlib.sha256
         for batch in batches:
             count, listed, decoded = [], [], []
-            for t in batch.column(text):
-                ids = coder.encode(t.as_py() or "")
-                count.append(len(ids))
-                listed.append(sha(coder.listing(ids).encode()).hexdigest())
-                decoded.append(sha(coder.decode(ids)).hexdigest())
+            with no_collections():
+                for t in batch.column(text):
+                    ids = coder.encode(t.as_py() or "")
+                    count.append(len(ids))
+                    listed.append(sha(coder.listing(ids).encode()).hexdigest())
+                    decoded.append(sha(coder.decode(ids)).hexdigest())
             yield arrow_rows(batch, [key], {"n_tokens": (count, pa.int64()), "ids_sha256": (listed, pa.string()), "decoded_sha256": (decoded, pa.string())})
 
     return df.select(key, text).mapInArrow(run, schema_of(df, [key], "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -84,6 +85,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def no_collections():
+    """Python's cyclic collector rests in the block, for work whose many objects hold no cycles; a worker's later tasks have it again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def filesystem(uri: str):
     """The pyarrow file system and path of a folder named by a URI or a plain path."""
     from pyarrow import fs
@@ -129,7 +142,7 @@ def with_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", most:
 
 
 #: Keys that hold more than one in FREQUENT_SHARE of all rows, and FREQUENT_ROWS at least, are at most FREQUENT_SHARE.
-FREQUENT_SHARE, FREQUENT_ROWS = 100_000, 4096
+FREQUENT_SHARE, FREQUENT_ROWS = 100_000, 256
 
 
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import filesystem, publish, work_dir
+from .common import filesystem, no_collections, publish, work_dir
 from .packing import added_tokens
 
 CHUNK_BITS = 8
@@ -264,10 +264,12 @@ def write(df: DataFrame, vocabulary: str, folder: str, end: int = 1, docs_per_sh
             return row
 
         for batch in batches:
-            for k, t in zip(batch.column(key).to_pylist(), batch.column(text), strict=True):
+            with no_collections():
+                made = [np.frombuffer(coder.encode(t.as_py() or "") + tail, dtype=width) for t in batch.column(text)]
+            for k, x in zip(batch.column(key).to_pylist(), made, strict=True):
                 keys.append(k)
-                ids.append(np.frombuffer(coder.encode(t.as_py() or "") + tail, dtype=width))
-                held += len(ids[-1])
+                ids.append(x)
+                held += len(x)
                 if len(keys) >= docs_per_shard or held >= SHARD_IDS:
                     yield close()
                     part, held = part + 1, 0

@@ -36,8 +36,7 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of all conversations, one row each, from the lists that the operator builds."""
-    linked = quoting.link(table(spark, sf_dir, "conversations"), most_levels=None, follow=True)
-    return quoting.conversations(linked).select("root_conv", "root_turn", "part", F.inline("turns"))
+    return quoting.conversations(table(spark, sf_dir, "conversations"), most_levels=None, follow=True).select("root_conv", "root_turn", "part", F.inline("turns"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,8 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg((F.min(label) > 0).cast("int").alias("_y"))
     chosen = known.withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(sample)
     rows = df.select(key, text).join(F.broadcast(chosen), key)
+    # of the rows of one key that with the smallest hash, so no more rows than the sample come back
+    rows = rows.groupBy("_h", "_y").agg(F.min(F.struct(F.xxhash64(text).alias("_t"), F.col(text).alias("_text")))["_text"].alias(text))
 
     def run(batches):
         for batch in batches:

@@ -18,8 +18,8 @@ ranges overlap by k, so that every qualifying pair meets in one universe: no lin
 counts as frequent.
 
 Sets that are equal are one class from the start. A signature that SHARED sets of a task's chunk hold
-is dealt by their ids to 4,095 slots of it, and one of the sets stands for the chunk in slot 0: so no slot
-grows as a group of near copies does, and the smallest ids of a signature's slots are tied together.
+is dealt by their ids to slots of it, about one for SLOT_ROWS rows of the table, and one of the sets stands for the chunk in
+slot 0: so no slot grows as a group of near copies does, and the smallest ids of a signature's slots are tied together.
 
 Candidates pass a bound first: a set's odd sketch has one bit for each class of its elements' hashes, set if
 the class holds an odd number of them, so two sketches differ in at most as many bits as their sets in
@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_rows, checkpoint, small_enough, written
+from .common import arrow_rows, checkpoint, join_unique, small_enough, written
 from .components import components
 
 WIDTH = 4
@@ -57,12 +57,13 @@ PERCENT = 85
 BROADCAST_IDS = 2_000_000
 #: A shingle is frequent if about one in FREQUENT documents holds it; counted in stretches of STRETCH shingles.
 FREQUENT = 1000
-STRETCH = 4_000_000
+STRETCH = 2_000_000
 #: Share of rare shingles, in hundredths of a band's least size, from which their segments are indexed.
 RARE_PERCENT = 75
-#: Low bits of a signature that number its slots; sets of a chunk of about so many signatures that share one before it is dealt.
-SLOTS, SHARED, CHUNK = 4095, 4, 1_000_000
-MASK = (1 << 64) - 1 - SLOTS
+#: Rows of the table for each slot of a signature, and low bits of it that number slots at most.
+SLOT_ROWS, SLOT_BITS = 1000, 16
+#: Sets of a chunk of about CHUNK signatures that share one before it is dealt to slots.
+SHARED, CHUNK = 4, 400_000
 #: Signatures of more than one in GIANT of all rows are at most that many, so they are broadcast.
 GIANT, GIANT_ROWS = 1_000_000, 256
 #: Sets of a bucket whose pairs become rows at most; larger buckets go by blocks of about so many sets or bytes.
@@ -313,10 +314,22 @@ def _by_blocks(docs: DataFrame, hot: DataFrame, heads: DataFrame, width: int, pe
     cluster = components(ties).toDF("doc_id", "cluster")
     placed = hot.select("doc_id", "component").distinct().join(cluster, "doc_id")
     held = checkpoint(placed.join(_cut(docs, placed.select("doc_id"), width), "doc_id"))
-    sizes = held.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.length("members")) / BLOCK_BYTES)).alias("blocks"))
-    dealt = held.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    packed = checkpoint(dealt.groupBy("cluster", "block").agg(F.collect_list(F.struct("doc_id", "component", "members")).alias("sets")))
-    pairs = packed.toDF("cluster", "i", "x").join(packed.toDF("cluster", "j", "y"), "cluster").filter("i <= j").select("x", "y")
+    rows, many = held.count(), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.length("members")) / BLOCK_BYTES)).alias("blocks")
+    # a component that fills blocks has blocks of its own, which need not meet each other; the others share some
+    own = held.groupBy("cluster", "component").agg(many).filter("blocks > 1")
+    marked = checkpoint(join_unique(held, own, ["cluster", "component"], rows))
+    shared = marked.filter("blocks is null").drop("blocks")
+    shared = join_unique(shared, checkpoint(shared.groupBy("cluster").agg(many)), ["cluster"], rows)
+    dealt = marked.filter("blocks is not null").withColumn("own", F.col("component")).unionByName(shared.withColumn("own", F.lit(None).cast("bigint")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    packed = checkpoint(dealt.groupBy("cluster", "own", "block").agg(F.collect_list(F.struct("doc_id", "component", "members")).alias("sets")))
+    # numbers of blocks alone are paired; their sets follow by equality
+    last = checkpoint(packed.groupBy("cluster", "own").agg(F.max("block").alias("last")))
+    pairs = last.toDF("cluster", "p", "m").join(last.toDF("cluster", "q", "n"), "cluster").filter("p is null or p < q")
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "m"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), "n"))).filter("q is not null or i <= j")
+    side = lambda t, sets: packed.select(F.col("cluster").alias(f"{t}_cluster"), F.col("own").alias(f"{t}_own"), F.col("block").alias(f"{t}_block"), F.col("sets").alias(sets))
+    same = lambda t, own, block: (F.col("cluster") == F.col(f"{t}_cluster")) & F.col(own).eqNullSafe(F.col(f"{t}_own")) & (F.col(block) == F.col(f"{t}_block"))
+    pairs = pairs.select("cluster", "p", "i", "q", "j").join(side("b", "y"), same("b", "q", "j")).join(side("a", "x"), same("a", "p", "i")).select("x", "y")
 
     def compare(batches):
         for batch in batches:
@@ -389,10 +402,12 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
     measured = written(docs.mapInArrow(measure, "doc_id bigint, n_shingles bigint, name binary, sketch binary, often binary"))
     rows = measured.filter("n_shingles >= 0").select("doc_id", "n_shingles", "name")
     sketches = measured.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
-    frequent = _frequent(measured.filter("n_shingles < 0").select("often"), rows.count())
+    total = rows.count()
+    frequent = _frequent(measured.filter("n_shingles < 0").select("often"), total)
     classes = rows.filter("doc_id is not null and name is not null").groupBy("name").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1")
     classes = checkpoint(classes.select("name", "class_id"))
-    members = rows.join(classes, "name", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # neither a class of many copies nor a hub of many stars meets in one task
+    members = join_unique(rows, classes, ["name"], total).select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     members = checkpoint(members)
     # a doc_id of several different rows ties their classes together
     mixed = checkpoint(members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a <> z"))
@@ -403,6 +418,7 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
     bands = [allocate(i, low, high, percent) for i, (low, high) in enumerate(limits)]
 
     known = docs.sparkSession.sparkContext.broadcast(frequent)
+    slots = (1 << min(SLOT_BITS, max(1, (total // SLOT_ROWS).bit_length()))) - 1
 
     def index(batches):
         """Rows of a chunk of whole sets: (signature and slot in one number, doc_id)."""
@@ -410,12 +426,12 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
 
         def chunk():
             of = np.repeat(np.array(ids, np.int64), [len(x) for x in found])
-            names, at, n = np.unique(np.concatenate(found) & np.uint64(MASK), return_inverse=True, return_counts=True)
+            names, at, n = np.unique(np.concatenate(found) & ~np.uint64(slots), return_inverse=True, return_counts=True)
             dealt = n[at] >= SHARED
             least = np.full(len(names), np.iinfo(np.int64).max)
             np.minimum.at(least, at[dealt], of[dealt])
             stand = np.flatnonzero(n >= SHARED)
-            slot = shingles.mix(of.view(np.uint64)) % np.uint64(SLOTS) + np.uint64(1)
+            slot = shingles.mix(of.view(np.uint64)) % np.uint64(slots) + np.uint64(1)
             names_of = np.where(dealt, names[at] | slot, names[at])
             ids.clear()
             found.clear()
@@ -439,11 +455,11 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
     single = _only(docs.filter("doc_id is not null"), copies, "left_anti")
     indexed = single.mapInArrow(index, "slot bigint, doc_id bigint")
     by = Window.partitionBy("slot")
-    led = indexed.withColumns({"hub": F.min("doc_id").over(by), "top": F.max("doc_id").over(by)}).withColumn("part", F.col("slot").bitwiseAND(SLOTS))
+    led = indexed.withColumns({"hub": F.min("doc_id").over(by), "top": F.max("doc_id").over(by)}).withColumn("part", F.col("slot").bitwiseAND(slots))
     buckets = led.filter("hub <> top or part > 0").select((F.col("slot") - F.col("part")).alias("signature"), "part", "doc_id", "hub")
     # in columns, which take half the room of a checkpoint's rows
     buckets = written(buckets)
-    # the hubs of a dealt signature's slots, at most SLOTS + 1
+    # the hubs of a dealt signature's slots, at most one for each
     parted = buckets.filter("part > 0").select("signature", "hub").distinct()
     hubs = parted.union(buckets.filter("part = 0 and doc_id = hub").select("signature", "hub").join(parted.select("signature").distinct(), "signature", "left_semi"))
     heads = hubs.join(hubs.groupBy("signature").agg(F.min("hub").alias("a")), "signature").select("signature", "a", F.col("hub").alias("b")).filter("a <> b")
@@ -454,7 +470,8 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
     links = checkpoint(_verify(docs, _possible(first, sketches, percent), width, percent).union(ties))
     found = checkpoint(components(links))
     at = lambda c: found.toDF(c, f"c{c}")
-    apart = stars.join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    apart = checkpoint(stars.join(first, ["a", "b"], "left_anti"))
+    apart = join_unique(apart, at("a"), ["a"], total).join(at("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     apart = _possible(apart, sketches, percent)
     if not apart.isEmpty():
         links = checkpoint(links.union(_verify(docs, apart, width, percent)))
@@ -483,7 +500,7 @@ def join(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame
         links = checkpoint(links.union(more.distinct()))
         found = checkpoint(components(links))
     reached = found.toDF("class_id", "component")
-    return members.join(reached, "class_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"))
+    return join_unique(members, reached, ["class_id"], total).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"))
 
 
 def keep_one(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -66,5 +66,5 @@ QUOTES = rf"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id,
  th AS (SELECT conv_id, turn, conv_id AS rc, turn AS rt, 0::BIGINT AS depth FROM up WHERE pc IS NULL UNION ALL SELECT up.conv_id, up.turn, rc, rt, depth + 1 FROM th JOIN up ON up.pc = th.conv_id AND up.pt = th.turn),
  o AS (SELECT b.*, coalesce(n_levels, 0)::BIGINT AS n_levels, coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(n_linked, 0)::BIGINT AS n_linked, pc, pt, coalesce(rc, b.conv_id) AS rc, coalesce(rt, b.turn) AS rt, coalesce(depth, 0) AS depth
   FROM b LEFT JOIN c USING (rid) LEFT JOIN up ON up.conv_id = b.conv_id AND up.turn = b.turn LEFT JOIN th ON th.conv_id = b.conv_id AND th.turn = b.turn),
- pos AS (SELECT *, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY rc, rt ORDER BY depth, conv_id, turn, role NULLS FIRST, body) END AS position FROM o)
+ pos AS (SELECT *, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY rc, rt ORDER BY depth, conv_id, turn, md5(coalesce(role, '') || chr(10) || body)) END AS position FROM o)
 SELECT rc AS root_conv, rt AS root_turn, (position - 1) // {quoting.PART} AS part, position, conv_id, turn, role, body, n_levels, n_passages, n_linked, pc AS parent_conv, pt AS parent_turn, depth FROM pos"""

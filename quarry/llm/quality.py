@@ -6,12 +6,14 @@ probabilities; it is kept if it is not below THRESHOLD and the structural rules
 rounded to millionths and summed as integers, so verdicts do not depend on the order of addition.
 
 Everything is DataFrame expressions: counting explodes n-grams into a pre-aggregated count of BUCKETS
-rows, scoring reads the ratios from one array of that fixed size, so texts are never shuffled.
+rows, scoring reads the ratios from one array of that fixed size. Texts are not shuffled, except to count n-grams
+where more ids are trusted than common.with_ids broadcasts.
 
 Words are runs of characters other than space and 0x09 to 0x0D; tokens of n-grams are runs of ASCII
 punctuation or of anything else but white space. Null text has no words; fewer than LEAST_WORDS fail.
 Windows of three words are compared by 64-bit hashes. Without any trusted document all ratios are 0.
-Repeated rows are judged alike, each on its own; other columns are ignored (scores) or kept (keep).
+Repeated rows are judged alike, each on its own; other columns are kept, but scores puts its own in place of those of
+the same name.
 """
 
 from __future__ import annotations

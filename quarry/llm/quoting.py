@@ -88,12 +88,12 @@ def units(lines: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.array(folded(lines)), F.transform(lines, normalised))), lambda x: x != "")
 
 
-def _links(messages: DataFrame, most_levels: int | None, rows: int) -> tuple[DataFrame, DataFrame]:
+def _links(messages: DataFrame, texts: DataFrame, most_levels: int | None, rows: int) -> tuple[DataFrame, DataFrame]:
     """Units of quoted passages with what they link to, and the counts of each message."""
     quoted = _passages(messages, most_levels).withColumn("passage_id", F.xxhash64("level", F.array_join("lines", "\n")))
     asked = quoted.select("key", "conv_id", "turn", "level", "passage_id", F.explode(units(F.col("lines"))).alias("unit"))
     asked = checkpoint(asked.select("key", "conv_id", "turn", "level", "passage_id", F.xxhash64("unit").alias("hash"), F.length("unit").alias("weight")).distinct())
-    held = messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units(F.split("body", "\n"))).alias("unit")).select("conv_id", "turn", F.xxhash64("unit").alias("hash"))
+    held = texts.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units(F.split("body", "\n"))).alias("unit")).select("conv_id", "turn", F.xxhash64("unit").alias("hash"))
     # what nobody quotes goes first; minima are taken before the shuffle
     nearby = held.groupBy("conv_id", "hash").agg(F.min("turn").alias("here")).join(asked.select("hash").distinct(), "hash", "left_semi")
     nearby = checkpoint(nearby)
@@ -131,43 +131,66 @@ def _ancestors(parents: DataFrame, rows: int) -> DataFrame:
     raise RuntimeError("threads did not settle")
 
 
-def link(df: DataFrame, most_levels: int | None = MOST_LEVELS, follow: bool = False) -> DataFrame:
-    """One row per message: conv_id, turn, role, body (without quotes), n_levels, n_passages, n_linked,
-    parent_conv, parent_turn, root_conv, root_turn and depth (all long but role and body)."""
+def _threads(df: DataFrame, most_levels: int | None, follow: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows with role and body by a number of their own, _row; and by that number all else, narrow: _tie sorts equal places."""
     messages = df.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     messages = bodies(messages.withColumn("key", F.xxhash64("conv_id", "turn", "text")))
-    rows = messages.count()
-    linked, counts = _links(messages, most_levels, rows)
+    held = written(messages.select("conv_id", "turn", "role", "body", "key", F.monotonically_increasing_id().alias("_row")))
+    rows = held.count()
+    linked, counts = _links(messages, held, most_levels, rows)
     votes = linked.filter("level = 1 and target is not null").groupBy("conv_id", "turn", "key", "target").agg(F.sum("weight").alias("weight"))
     best = votes.groupBy("conv_id", "turn", "key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("target").alias("t")))["t"].alias("target"))
     parents = checkpoint(best.groupBy("conv_id", "turn").agg(F.min("target").alias("parent")))
     if follow:
-        before = _before(messages).join(parents.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+        before = _before(held).join(parents.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
         parents = checkpoint(parents.unionByName(before))
     threads = checkpoint(_ancestors(parents, rows).join(parents, ["conv_id", "turn"]))
-    out = written(messages.select("key", "conv_id", "turn", "role", "body"))
-    out = join_unique(written(join_unique(out, checkpoint(counts), ["key"], rows)), threads, ["conv_id", "turn"], rows)
+    narrow = held.select("conv_id", "turn", "key", "_row", _tie().alias("_tie"))
+    out = join_unique(checkpoint(join_unique(narrow, checkpoint(counts), ["key"], rows)), threads, ["conv_id", "turn"], rows)
     none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return out.select(
-        "conv_id", "turn", "role", "body", none("n_levels"), none("n_passages"), none("n_linked"), F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
-        F.coalesce("root.conv_id", "conv_id").alias("root_conv"), F.coalesce("root.turn", "turn").alias("root_turn"), none("depth"),
+    out = out.select(
+        "conv_id", "turn", none("n_levels"), none("n_passages"), none("n_linked"), F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
+        F.coalesce("root.conv_id", "conv_id").alias("root_conv"), F.coalesce("root.turn", "turn").alias("root_turn"), none("depth"), "_row", "_tie",
     )
+    return held.select("_row", "role", "body"), out
 
 
-def ordered(linked: DataFrame) -> DataFrame:
-    """linked with position, from 1: its place in the reply order of its conversation."""
-    alone = linked.filter("conv_id is null or turn is null").withColumn("position", F.lit(1).cast("bigint"))
-    placed = places(linked.filter("conv_id is not null and turn is not null"), ["root_conv", "root_turn"], ["depth", "conv_id", "turn", "role", "body"], "position")
+def _tie() -> Column:
+    """Sorts rows of one place by role and body, in a few bytes."""
+    return F.md5(F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.col("body")))
+
+
+SHOWN = ["conv_id", "turn", "role", "body", "n_levels", "n_passages", "n_linked", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth"]
+
+
+def link(df: DataFrame, most_levels: int | None = MOST_LEVELS, follow: bool = False) -> DataFrame:
+    """One row per message: conv_id, turn, role, body (without quotes), n_levels, n_passages, n_linked,
+    parent_conv, parent_turn, root_conv, root_turn and depth (all long but role and body)."""
+    texts, narrow = _threads(df, most_levels, follow)
+    return texts.join(narrow, "_row").select(*SHOWN)
+
+
+def _positioned(narrow: DataFrame) -> DataFrame:
+    alone = narrow.filter("conv_id is null or turn is null").withColumn("position", F.lit(1).cast("bigint"))
+    placed = places(narrow.filter("conv_id is not null and turn is not null"), ["root_conv", "root_turn"], ["depth", "conv_id", "turn", "_tie"], "position")
     return placed.unionByName(alone)
 
 
-def conversations(linked: DataFrame) -> DataFrame:
+def ordered(linked: DataFrame) -> DataFrame:
+    """Rows of link with position, from 1: their place in the reply order of their conversation."""
+    return _positioned(linked.withColumn("_tie", _tie())).drop("_tie")
+
+
+def conversations(df: DataFrame, most_levels: int | None = MOST_LEVELS, follow: bool = False) -> DataFrame:
     """root_conv, root_turn, part (from 0) and turns: PART messages of a conversation in reply order, without quotes.
 
-    A turn is a struct of position and the columns of linked; messages without conv_id or turn are lists of one.
+    A turn is a struct of position and the other columns of link; messages without conv_id or turn are lists of one.
+    Bodies meet their places once and are dealt by part.
     """
-    shown = [c for c in linked.columns if c not in ("root_conv", "root_turn")]
-    rows = ordered(linked).withColumn("part", F.floor((F.col("position") - 1) / PART)).withColumn("message", F.struct("position", *shown)).select("root_conv", "root_turn", "part", "message")
+    texts, narrow = _threads(df, most_levels, follow)
+    rows = texts.join(_positioned(narrow), "_row")
+    shown = [c for c in SHOWN if c not in ("root_conv", "root_turn")]
+    rows = rows.withColumn("part", F.floor((F.col("position") - 1) / PART)).withColumn("message", F.struct("position", *shown)).select("root_conv", "root_turn", "part", "message")
     loose = F.col("message.conv_id").isNull() | F.col("message.turn").isNull()
     lists = rows.filter(~loose).groupBy("root_conv", "root_turn", "part").agg(F.sort_array(F.collect_list("message")).alias("turns"))
     return lists.unionByName(rows.filter(loose).select("root_conv", "root_turn", "part", F.array("message").alias("turns")))

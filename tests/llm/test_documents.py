@@ -223,7 +223,7 @@ def near_copies(rng, groups, each):
     return [*out, " ".join(long), " ".join(long[:-700])]
 
 
-@pytest.mark.parametrize("bounds", [{"CHUNK": 3000, "SHARED": 2, "SLOTS": 4095}, {"HOT": 3, "BLOCK_SETS": 7, "FREQUENT": 10, "STRETCH": 2000, "CHUNK": 10_000}, {"GIANT": 20, "GIANT_ROWS": 5, "BLOCK_BYTES": 4000, "HOT": 2, "COLUMNS": 16}])
+@pytest.mark.parametrize("bounds", [{"CHUNK": 3000, "SHARED": 2, "SLOT_ROWS": 3}, {"HOT": 3, "BLOCK_SETS": 7, "FREQUENT": 10, "STRETCH": 2000, "CHUNK": 10_000}, {"GIANT": 20, "GIANT_ROWS": 5, "BLOCK_BYTES": 4000, "HOT": 2, "COLUMNS": 16}])
 def test_jaccard_join_dealt_and_by_blocks(spark, monkeypatch, bounds):
     for name, value in bounds.items():
         monkeypatch.setattr(jaccard, name, value)
@@ -355,6 +355,49 @@ def test_quality_counts_and_ratio(spark, docs, texts, empty):
     assert {r["llr"] for r in quality.scores(plain, labels.limit(0)).collect()} == {0}
 
 
+def test_quality_with_clashing_columns(spark, texts):
+    """Columns of the names of results are replaced by scores, and others kept; keep returns what came."""
+    rows = [(i, t, "mine", 7, True) for i, t in enumerate(texts[:20])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string, llr int, kept boolean")
+    labels = spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
+    plain = {r["doc_id"]: r for r in quality.scores(df.select("doc_id", "text"), labels).collect()}
+    for r in quality.scores(df, labels).collect():
+        assert all(r[c] == plain[r["doc_id"]][c] for c in ("n_words", "llr", "kept", "n_grams"))
+    kept = quality.keep(df, labels)
+    assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} == {x for x in rows if plain[x[0]]["kept"]}
+
+
+def test_classifier_of_odd_tables(spark, empty):
+    """Very long texts, repeated rows, a key of many texts, and empty tables."""
+    long = " ".join(f"w{i % 9000}" for i in range(200_000))
+    rows = [(1, long), (1, long), (2, "the old house"), (2, "another text"), (3, None), (None, "x")] + [(k, f"text {k}") for k in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = fm.classify(df, df, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and len({r["score"] for r in got if r["doc_id"] == 2}) == 2
+    again = {(r["doc_id"], r["score"]) for r in fm.classify(df, df.repartition(5), labels).collect()}
+    assert again == {(r["doc_id"], r["score"]) for r in got}
+    plain = empty.select("doc_id", "text")
+    assert fm.classify(plain, plain, labels).count() == 0
+    assert {r["score"] for r in fm.classify(df, plain, labels.limit(0)).collect()} == {0.5}
+
+
+def test_packing_of_groups_and_repeats(spark):
+    """Groups end within a task; repeated rows are documents of their own; sequences are full or a power of two."""
+    rows = [(k % 7, " ".join(f"word{k}" for _ in range(k % 40))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    pieces = packing.pack(df, P.path("byte_bpe_50k.json"), P.PATTERN, group_tokens=3000, added=True).collect()
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    total = sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert sum(r["length"] for r in pieces) == total
+    sequences = collections.defaultdict(list)
+    for r in pieces:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    sizes = [gapless(found) for found in sequences.values()]
+    assert all(n == 1024 or n < 1024 and n.bit_count() == 1 for n in sizes) and sum(n < 1024 for n in sizes) > 2
+
+
 def test_classifier_learns_and_is_bounded(spark):
     rng = random.Random(0)
     good = lambda: " ".join(rng.choice(["the", "house", "was", "red", "and", "old", "river"]) for _ in range(60)) + "."

@@ -360,7 +360,7 @@ def test_prose_that_announces_no_quote_stays(spark):
 def test_long_conversations_come_in_parts(spark, monkeypatch):
     monkeypatch.setattr(quoting, "PART", 10)
     rows = [(7, t, "u", "hello") for t in range(55)] + [(None, 1, "u", "x"), (None, 1, "u", "x")]
-    found = quoting.conversations(quoting.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), follow=True)).collect()
+    found = quoting.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), follow=True).collect()
     parts = {r["part"]: [m["turn"] for m in r["turns"]] for r in found if r["root_conv"] == 7}
     assert parts == {p: list(range(10 * p, min(55, 10 * p + 10))) for p in range(6)}
     assert len(found) == 8

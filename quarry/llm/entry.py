@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, fm, html_cut, jaccard, oracles, packing, quality, quoting, vafile, warc
+from . import bpe, dac, fm, html_cut, jaccard, line_dedup, oracles, packing, phrases, quality, quoting, spelling, vafile, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,9 +63,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), slip=199))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op3_quality_classifier": op3_quality_classifier, "op4_top_k": op4_top_k, "op5_quotation_linking": op5_quotation_linking, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op9_html": op9_html, "op10_warc": op10_warc}
+    return {"op1_quality": op1_quality, "op2_byte_bpe": op2_byte_bpe, "op3_quality_classifier": op3_quality_classifier, "op4_top_k": op4_top_k, "op5_quotation_linking": op5_quotation_linking, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_token_files": op8_token_files, "op9_html": op9_html, "op10_warc": op10_warc, "op11_spelling": op11_spelling, "op12_phrases": op12_phrases, "op13_line_dedup": op13_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": oracles.QUALITY, "op4_top_k": oracles.TOP_K, "op5_quotation_linking": oracles.QUOTES, "op6_jaccard": oracles.JACCARD, "op10_warc": oracles.WARC}
+    return {"op1_quality": oracles.QUALITY, "op4_top_k": oracles.TOP_K, "op5_quotation_linking": oracles.QUOTES, "op6_jaccard": oracles.JACCARD, "op10_warc": oracles.WARC, "op11_spelling": oracles.SPELLING, "op12_phrases": oracles.PHRASES, "op13_line_dedup": oracles.LINES}

@@ -68,3 +68,34 @@ QUOTES = rf"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id,
   FROM b LEFT JOIN c USING (rid) LEFT JOIN up ON up.conv_id = b.conv_id AND up.turn = b.turn LEFT JOIN th ON th.conv_id = b.conv_id AND th.turn = b.turn),
  pos AS (SELECT *, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY rc, rt ORDER BY depth, conv_id, turn, md5(coalesce(role, '') || chr(10) || body)) END AS position FROM o)
 SELECT rc AS root_conv, rt AS root_turn, (position - 1) // {quoting.PART} AS part, position, conv_id, turn, role, body, n_levels, n_passages, n_linked, pc AS parent_conv, pt AS parent_turn, depth FROM pos"""
+
+LINES = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM t),
+ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ s AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+ d AS (SELECT k.*, s.key IS NOT NULL AND doc_id <> first AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id"""
+
+SPELLING = r"""WITH RECURSIVE run AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL),
+ crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+ hx AS (SELECT doc_id, w, n, hex(encode(doc_id || ':' || w)) AS x FROM run),
+ hs AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h FROM hx, crc_table),
+ v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w) + 2)::INT) ELSE w END AS word, n FROM hs) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+ del AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+ near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM del a JOIN del b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, v.word, v.n FROM del a JOIN v ON v.word = a.rest UNION SELECT v.word, a.word, a.n FROM del a JOIN v ON v.word = a.rest),
+ best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM near),
+ f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word AND k = 1),
+ r AS (SELECT word, form, word AS at FROM f UNION ALL SELECT r.word, f.form, f.word FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL"""
+
+PHRASES = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+ g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size),
+ f AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY lang, size, phrase HAVING count(*) >= 30),
+ c AS (SELECT lang, phrase, ws, f AS a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+ s AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, (a::HUGEINT * 2000000) // (x.f + y.f) AS score FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1 : ], ' ')),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM s) WHERE i = 1),
+ part AS (SELECT lang, f, unnest(list_transform(range(1, size - m + 2), lambda i: array_to_string(ws[i : i + m - 1], ' '))) AS phrase FROM f, (SELECT unnest([2, 3]) AS m) WHERE m < size),
+ longer AS (SELECT lang, phrase, max(f) AS f FROM part GROUP BY ALL),
+ kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer.f IS NULL OR 100 * longer.f < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN tot USING (lang) WHERE rank <= 2000"""

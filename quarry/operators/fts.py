@@ -192,10 +192,13 @@ def _scored(hits: DataFrame, whole: DataFrame, asked: Asked) -> DataFrame:
     return used.groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("bm25"))
 
 
-def bm25(wanted: DataFrame, posted: DataFrame, stats: DataFrame) -> DataFrame:
-    """query_id, id, bm25 (higher is better) of all phrases of each query, from postings and (id, dl) of all nodes."""
+def bm25(wanted: DataFrame, posted: DataFrame, stats: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """query_id, id, bm25 (higher is better) of all phrases of each query, from postings and (id, dl) of all nodes.
+
+    whole: the totals where they are known, which are then not added up.
+    """
     asked = Asked(wanted)
-    return _scored(_index_hits(posted, asked).join(stats.select("id", "dl"), "id"), totals(stats), asked)
+    return _scored(_index_hits(posted, asked).join(stats.select("id", "dl"), "id"), totals(stats) if whole is None else whole, asked)
 
 
 def scores(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,10 +213,10 @@ def top(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def search(nodes: DataFrame, queries: DataFrame, k: int = 200, files_only: bool = True, phrase_positions: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def search(nodes: DataFrame, queries: DataFrame, k: int = 200, files_only: bool = True, phrase_positions: bool = False, index: tuple[DataFrame, ...] | None = None) -> DataFrame:
     """query_id, id, type, bm25 and rank of the k best nodes of each query.
 
-    index: postings and (id, dl) of the nodes, which are then not read for their texts. phrase_positions: postings
+    index: postings, (id, dl) and, where known, totals of the nodes, which are then not read for their texts. phrase_positions: postings
     are made on the way; the result is the same.
     """
     wanted = phrases(queries)

@@ -55,10 +55,15 @@ def current(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("id", "hash").join(held, "id", "left").select("id", F.col("held").isNotNull().alias("known"), F.coalesce(F.col("held") == F.col("hash"), F.lit(False)).alias("current"))
 
 
+def unit_vectors(delta: DataFrame) -> DataFrame:
+    """(id, dim, vec) of (id, vec) at unit length."""
+    made = delta.select("id", normalise(F.col("vec")).cast("array<float>").alias("vec"))
+    return made.select("id", F.size("vec").alias("dim"), "vec")
+
+
 def upsert_vectors(base: DataFrame, delta: DataFrame) -> DataFrame:
     """(id, dim, vec) with the vectors of delta (id, vec) at unit length in place of those of the same id."""
-    made = delta.select("id", normalise(F.col("vec")).cast("array<float>").alias("vec")).withColumn("dim", F.size("vec"))
-    return upsert(base.select("id", "dim", "vec"), made.select("id", "dim", "vec"), ["id"])
+    return upsert(base.select("id", "dim", "vec"), unit_vectors(delta), ["id"])
 
 
 def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ class Config:
         return cls(**found)
 
 
-Index = tuple[DataFrame, DataFrame]
+Index = tuple[DataFrame, ...]
 
 
 def candidates(nodes: DataFrame, edges: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, index: Index | None = None) -> DataFrame:

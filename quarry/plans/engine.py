@@ -1,7 +1,8 @@
 """The interactive interface: index a tree, then search, build, trace, drill down and reset.
 
-Tables are kept up to date for what changed: only changed files are parsed and embedded, and only nodes that changed
-are cut to postings again. Searches read the stored postings; texts are read for what is shown.
+Tables are kept up to date for what changed: only changed files are parsed, embedded and cut to postings, only calls of
+changed names are resolved again, and only those rows are written, as segments of the tables. Searches read the stored
+postings; texts are read for what is shown.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from . import context
 #: Bytes of a query or symbol, and of a request, at most.
 MOST_QUERY_BYTES, MOST_REQUEST_BYTES = 4096, 1 << 20
 CONFIRMATION = "yes-delete-all"
+#: Changed files from which the pair statistics are made anew.
+REBUILT = 100
 
 
 @dataclass
@@ -92,7 +95,9 @@ class Engine:
         return self.tables.table("edges")
 
     def searched(self) -> context.Index:
-        return self.tables.table("postings"), self.tables.table("stats")
+        docs, terms = int(self.tables.get("docs") or 0), int(self.tables.get("terms") or 0)
+        whole = self.spark.createDataFrame([(docs, terms / docs if docs else None)], "n_docs bigint, avgdl double")
+        return self.tables.table("postings"), self.tables.table("stats"), whole
 
     def init(self) -> dict:
         if self.nodes().isEmpty():
@@ -102,47 +107,60 @@ class Engine:
 
     @released
     def index(self, path: str | None = None) -> int:
-        """Indexes path (default: the root); returns how many files are new, changed or gone."""
+        """Indexes path (default: the root); returns how many files are new, changed or gone.
+
+        What other writers commit meanwhile stays: the work starts again on top of it.
+        """
         scanned = sources.scan(self.spark, path or self.root, self.root)
         if self.tracked_only:
             scanned = scanned.join(sources.git_tracked(self.spark, self.root), "id", "left_semi")
         scanned = scanned.persist()
-        old = self.nodes()
-        held = old.filter("hash <> ''")
         at = "" if path is None else sources.os.path.relpath(sources.os.path.realpath(path), sources.os.path.realpath(self.root)).removeprefix(".")
-        below = F.lit(True) if not at else (F.col("id") == at) | F.col("id").startswith(at + "/")
-        seen = settled(store.diff(held.filter(below).select("id", "hash"), scanned.select("id", "hash")))
-        states = {r["state"]: r["n"] for r in seen.groupBy("state").agg(F.count("*").alias("n")).collect()}
-        changed = sum(n for s, n in states.items() if s != "same")
-        if changed:
-            gone, fresh = seen.filter("state = 'deleted'").select("id"), seen.filter("state in ('new', 'changed')").select("id")
-            delta = scanned.join(fresh, "id", "left_semi")
-            touched = gone.union(fresh)
-            contents = settled(held.join(touched, "id", "left_anti").unionByName(delta))
-            parsed = settled(self.tables.table("parsed").join(touched, "id", "left_anti").unionByName(extract.parsed(delta, self.precise, self.parse)))
-            nodes, edges = extract.graph(contents, parsed)
-            nodes = settled(nodes)
-            made = {"nodes": nodes, "edges": edges, "parsed": parsed} | self._postings(old, nodes)
-            terms = cooccur.document_terms(contents.select(F.col("id").alias("doc"), self.vocabulary(F.col("content")).alias("terms")))
-            known = self.tables.table("neighbours")
-            made["neighbours"] = cooccur.rebuild(known, changed, 100, lambda: cooccur.ppmi(terms, contents.count()))
-            if self.embed:
-                vectors = self.tables.table("vectors")
-                made["vectors"] = store.upsert_vectors(vectors.join(touched, "id", "left_anti"), self._embedded(delta.select("id", F.col("content").alias("text"))))
-            self.tables.commit(**made)
+        changed = self.tables.attempt(lambda: self._take(scanned, F.lit(True) if not at else (F.col("id") == at) | F.col("id").startswith(at + "/")))
         self.tables.put("head", sources.git_head(self.root))
         scanned.unpersist()
+        self.tables.merge()
         return changed
 
-    def _postings(self, old: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
-        """postings and stats with those of changed nodes made anew; files are indexed with the parts of their identifiers."""
-        mark = F.xxhash64("type", F.when(F.col("hash") != "", F.col("hash")).otherwise(F.col("content")))
-        before, now = old.select("id", mark.alias("a")), nodes.select("id", mark.alias("b"))
-        touched = settled(before.join(now, "id", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select("id"))
+    def _take(self, scanned: DataFrame, below: Column) -> int:
+        """Commits what differs between the tables and the scanned files below a path."""
+        held = self.nodes().filter("hash <> ''")
+        if self.tables.get("reindex"):  # an index of an older version: every file counts as changed
+            held = held.withColumn("hash", F.lit("-"))
+        seen = settled(store.diff(held.filter(below).select("id", "hash"), scanned.select("id", "hash")).filter("state <> 'same'"))
+        changed = seen.count()
+        if not changed:
+            return 0
+        touched = seen.select("id")
+        delta = scanned.join(seen.filter("state <> 'deleted'").select("id"), "id", "left_semi")
+        before = self.tables.table("parsed")
+        fresh = settled(extract.parsed(delta, self.precise, self.parse))
+        ids = held.select("id").join(touched, "id", "left_anti").unionByName(delta.select("id"))
+        changes = extract.graph_changes(ids, delta, touched, before, before.join(touched, "id", "left_anti").unionByName(fresh))
+        changes = {name: tuple(map(settled, pair)) for name, pair in changes.items()}
+        nodes, replaced = changes["nodes"]
+        changes["parsed"] = fresh, touched
         augmented = F.concat("content", F.lit("\n"), T.index_text(F.col("content"), F.col("id")))
-        cut = nodes.join(touched, "id", "left_semi").select("id", F.when(F.col("hash") != "", augmented).otherwise(F.col("content")).alias("content"))
-        postings, stats = (x.join(touched, "id", "left_anti") for x in self.searched())
-        return {"postings": by_term(postings.unionByName(fts.postings(cut).select(F.col("term"), "id", "tf", "positions"))), "stats": stats.unionByName(fts.doc_stats(cut))}
+        cut = nodes.select("id", F.when(F.col("hash") != "", augmented).otherwise(F.col("content")).alias("content"))
+        changes["postings"] = by_term(fts.postings(cut)), replaced
+        stats = settled(fts.doc_stats(cut))
+        changes["stats"] = stats, replaced
+        if self.embed:
+            vectors = store.unit_vectors(self._embedded(delta.select("id", F.col("content").alias("text"))))
+            changes["vectors"] = vectors, touched
+        known, whole = self.tables.table("neighbours"), {}
+        if changed >= REBUILT or known.isEmpty():
+            contents = held.join(touched, "id", "left_anti").select("id", "content").unionByName(delta.select("id", "content"))
+            terms = cooccur.document_terms(contents.select(F.col("id").alias("doc"), self.vocabulary(F.col("content")).alias("terms")))
+            whole["neighbours"] = cooccur.ppmi(terms, contents.count())
+        self.tables.commit(changes, self._totals(stats, replaced) | {"reindex": ""}, **whole)
+        return changed
+
+    def _totals(self, stats: DataFrame, replaced: DataFrame) -> dict[str, str]:
+        """Nodes and terms of the index with those that come and without those that go."""
+        count = lambda df: df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        gone, come = count(self.tables.table("stats").join(replaced, "id", "left_semi")), count(stats)
+        return {k: str(int(self.tables.get(k) or 0) + come[i] - gone[i]) for i, k in enumerate(("docs", "terms"))}
 
     def _embedded(self, texts: DataFrame) -> DataFrame:
         """id and vec of (id, text)."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store
+from ..operators.settle import release, settled
 from ..sources.snapshot import Snapshots
 
 
@@ -16,11 +17,15 @@ def upsert_stream(spark: SparkSession, source: str, schema: str, tables: Snapsho
         # of the rows of an id the one in the latest file; within a file, ties go to the larger content
         row = F.struct("modified", "path", "content", "hash", "type")
         latest = batch.groupBy("id").agg(F.max(row).alias("row")).select("id", "row.type", "row.content", "row.hash")
-        known = tables.table("nodes")
-        states = store.diff(known.select("id", "hash"), latest.select("id", "hash")).filter("state in ('new', 'changed')").select("id")
-        delta = latest.join(states, "id", "left_semi")
-        if not delta.isEmpty():
-            tables.commit(nodes=store.upsert(known, delta.select("id", "type", "content", "hash"), ["id"]))
+        def upsert() -> None:
+            states = store.diff(tables.table("nodes").select("id", "hash"), latest.select("id", "hash")).filter("state in ('new', 'changed')").select("id")
+            delta = settled(latest.join(states, "id", "left_semi"))
+            if not delta.isEmpty():
+                tables.commit({"nodes": (delta, delta.select("id"))})
+
+        tables.attempt(upsert)
+        tables.merge()
+        release()
 
     stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("path"))
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,26 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import bucketed
 from .settle import settled as _settled
 
 
-def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+#: Nodes of a frontier that are broadcast to the edges; more are dealt by node, to edges that are dealt so once for all levels.
+BROADCAST_FRONTIER = 200_000
+
+
+class Adjacency:
+    """Edges whose levels of a walk move the frontier alone.
+
+    A small frontier goes to the edges where they lie. At the first level with a larger one, edges are written once in
+    buckets by from_id, and frontiers are dealt to those; out-edges of a node that are more than the share of a task lie in
+    several buckets, which its frontier row goes to.
+    """
+
+    def __init__(self, edges: DataFrame):
+        self.edges, self._dealt = edges, None
+        spark = edges.sparkSession
+        self.parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+    def _laid(self) -> tuple[DataFrame, DataFrame]:
+        """The edges by (from_id, slot), and (from_id, slots) of nodes in several slots."""
+        if self._dealt is None:
+            degree = self.edges.groupBy("from_id").agg(F.count("*").alias("n"))
+            most = max(10_000, (degree.agg(F.sum("n")).first()[0] or 0) // (4 * self.parts))
+            # at most four for each part
+            hubs = _settled(degree.filter(F.col("n") > most).select("from_id", F.ceil(F.col("n") / most).cast("int").alias("slots")))
+            slot = F.pmod(F.xxhash64("to_id", "relation_type"), F.coalesce("slots", F.lit(1))).cast("int")
+            laid = self.edges.join(F.broadcast(hubs), "from_id", "left").select("from_id", slot.alias("slot"), "to_id", "relation_type")
+            self._dealt = bucketed(laid, self.parts, "from_id", "slot"), hubs
+        return self._dealt
+
+    def step(self, frontier: DataFrame, size: int) -> DataFrame:
+        """The out-edges of a frontier (id, ...) of so many rows."""
+        front = frontier.withColumnRenamed("id", "from_id")
+        if size <= BROADCAST_FRONTIER:
+            return self.edges.join(F.broadcast(front), "from_id")
+        laid, hubs = self._laid()
+        spread = front.join(F.broadcast(hubs), "from_id", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
+        return laid.join(spread.hint("shuffle_hash"), ["from_id", "slot"]).drop("slot")
+
+
+def walk(edges: DataFrame | Adjacency, seeds: DataFrame, depth: int) -> DataFrame:
     """from_id, to_id, relation_type and depth (least number of hops from a seed) of edges within reach.
 
     Only newly reached nodes are expanded, which yields the same least depths as all walks would.
     seeds has a column id; with a column query_id as well, every query walks on its own.
     """
     key = ["query_id"] if "query_id" in seeds.columns else []
-    frontier = seeds.select(*key, "id").distinct()
-    seen, found = frontier, None
+    near = edges if isinstance(edges, Adjacency) else Adjacency(edges)
+    frontier, found = _settled(seeds.select(*key, "id").distinct()), None
+    seen = frontier
     for level in range(1, depth + 1):
-        step = edges.join(frontier.withColumnRenamed("id", "from_id"), "from_id").select(*key, "from_id", "to_id", "relation_type", F.lit(level).cast("bigint").alias("depth")).distinct()
+        size = frontier.count()
+        if level > 1 and not size:
+            break
+        step = near.step(frontier, size).select(*key, "from_id", "to_id", "relation_type", F.lit(level).cast("bigint").alias("depth")).distinct()
         step = _settled(step)
         found = step if found is None else found.unionByName(step)
-        frontier = _settled(step.select(*key, F.col("to_id").alias("id")).distinct().join(seen, [*key, "id"], "left_anti"))
-        if level < depth and frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+        if level < depth:
+            frontier = _settled(step.select(*key, F.col("to_id").alias("id")).distinct().join(seen, [*key, "id"], "left_anti"))
+            seen = seen.unionByName(frontier)
     return found
 
 

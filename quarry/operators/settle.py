@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _held: list[DataFrame] = []
+_tables: list[tuple[SparkSession, str, str | None]] = []
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -19,10 +21,26 @@ def settled(df: DataFrame) -> DataFrame:
     return _held[-1]
 
 
+def bucketed(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """df as a table of so many buckets, which joins on its keys read without a shuffle; until released."""
+    spark, name = df.sparkSession, f"quarry_{uuid.uuid4().hex}"
+    writer, root = df.repartition(parts, *keys).write.bucketBy(parts, *keys).format("parquet"), spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{root.rstrip('/')}/{name}" if root else None
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    _tables.append((spark, name, path))
+    return spark.table(name)
+
+
 def release() -> None:
-    """Frees what settled holds in storage; a result that still needs it is computed again."""
+    """Frees what settled holds in storage, where a result that still needs it is computed again, and drops bucketed tables."""
     while _held:
         _held.pop().unpersist()
+    while _tables:
+        spark, name, path = _tables.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if path:  # files of a table with a path of its own stay
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def places(df: DataFrame, order: str, name: str) -> DataFrame:

@@ -243,7 +243,7 @@ class Snapshots:
             if self.files.create(f"manifest-{number:012d}.json", json.dumps(made)):
                 break
         for name in writes:
-            self._seen[name] = made["tables"].get(name)
+            self._seen.pop(name, None)
         if self._pinned:
             self._pinned = made
         for path in gone:

@@ -62,6 +62,7 @@ def test_no_update_of_two_writers_is_lost(spark, tmp_path):
         one.commit(edges=old.union(_edges(spark, ("e", "f"))))
     # a change of other keys that reads nothing goes on top
     one._seen.clear()
+    two.commit({"edges": (_edges(spark, ("k", "l")), spark.createDataFrame([("k",)], "id string"))})
     one.commit({"edges": (_edges(spark, ("g", "h")), spark.createDataFrame([("g",)], "id string"))})
     runs = []
 
@@ -75,7 +76,7 @@ def test_no_update_of_two_writers_is_lost(spark, tmp_path):
 
     one.attempt(work)
     assert len(runs) == 2
-    assert {r["from_id"] for r in two.table("edges").collect()} == {"a", "c", "e", "g", "i"}
+    assert {r["from_id"] for r in two.table("edges").collect()} == {"a", "c", "e", "g", "i", "k"}
     assert (two.get("k1"), two.get("k2")) == ("v1", "v2")
     taken = max(int(n[9:-5]) for n in one.files.names() if n.startswith("manifest-"))
     assert not one.files.create(f"manifest-{taken:012d}.json", "{}")
@@ -114,7 +115,7 @@ def test_one_changed_file_writes_what_changed(spark, tmp_path):
     root = tmp_path / "tree"
     root.mkdir()
     for k in range(30):
-        (root / f"f{k}.py").write_text(f"def own_{k}():\n    return helper_{k}\n" + "text of a file\n" * 20)
+        (root / f"f{k}.py").write_text(f"def own_{k}():\n    return helper_{k}\n" + "text of a file\n" * 20 + "lorem ipsum\n" * (k % 2))
     engine = Engine(spark, str(tmp_path / "index"), str(root))
     engine.index()
     before = engine.tables._manifest()["tables"]

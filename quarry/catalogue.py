@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import cooccur, extract, fts, graph, metrics, nav, rank, store, vector
+from .operators import blockmax, cooccur, extract, fts, graph, metrics, nav, rank, store, vector
 from .operators.settle import settled
 from .plans import context
 from .streaming import incremental
@@ -353,6 +353,13 @@ def bm25_or_topk(spark, sf):
     return fts.top(scored, 20).select("query_id", "id", F.round("bm25", 4).alias("bm25"))
 
 
+@query(f"WITH {_BM25} SELECT query_id, id, rn AS rank, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm WHERE type LIKE '%_file') WHERE rn <= 10")
+def bm25_blocks_topk(spark, sf):
+    """The best files from a stored index in blocks, of which those that cannot hold any are skipped."""
+    found, _ = blockmax.search(blockmax.build(nodes(spark, sf)), asked(spark, sf), 10)
+    return found.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("bm25", 4).alias("bm25"))
+
+
 @query(f"WITH {_BM25} SELECT query_id, id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm WHERE type LIKE '%_file') WHERE rn <= 10")
 def fts_files_topk(spark, sf):
     n = nodes(spark, sf)

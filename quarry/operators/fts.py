@@ -179,15 +179,23 @@ def matches(wanted: DataFrame, posted: DataFrame) -> DataFrame:
     return named.join(_index_hits(posted, asked), "phrase").select("query_id", "phrase_no", "id", "f")
 
 
+def weights(n_hits: DataFrame, whole: DataFrame) -> DataFrame:
+    """phrase, weight and avgdl of (phrase, n_hits) and the totals."""
+    idf = F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
+    return n_hits.join(F.broadcast(whole)).select("phrase", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("weight"), "avgdl")
+
+
+def part() -> Column:
+    """What f occurrences in dl terms add to a score; it grows with f and falls with dl."""
+    return F.col("weight") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def _scored(hits: DataFrame, whole: DataFrame, asked: Asked) -> DataFrame:
     """query_id, id and bm25 of hits (phrase, id, dl, f); a phrase that repeats counts again."""
     hits = _settled(hits)
-    n = hits.groupBy("phrase").agg(F.count("*").alias("n_hits")).join(F.broadcast(whole))
-    idf = F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
-    weights = n.select("phrase", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("weight"), "avgdl")
+    weighing = weights(hits.groupBy("phrase").agg(F.count("*").alias("n_hits")), whole)
     uses = asked.queries.groupBy("phrase", "query_id").agg(F.count("*").alias("times"))
-    part = F.col("weight") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = hits.join(_bounded(weights, asked.n_parts), "phrase").select("phrase", "id", part.alias("part"))
+    weighed = hits.join(_bounded(weighing, asked.n_parts), "phrase").select("phrase", "id", part().alias("part"))
     used = weighed.join(_bounded(uses, asked.n_uses), "phrase")
     return used.groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("bm25"))
 

@@ -21,16 +21,25 @@ def settled(df: DataFrame) -> DataFrame:
     return _held[-1]
 
 
-def bucketed(df: DataFrame, parts: int, *keys: str) -> DataFrame:
-    """df as a table of so many buckets, which joins on its keys read without a shuffle; until released."""
-    spark, name = df.sparkSession, f"quarry_{uuid.uuid4().hex}"
-    writer, root = df.repartition(parts, *keys).write.bucketBy(parts, *keys).format("parquet"), spark.conf.get("spark.checkpoint.dir", None)
+def _saved(spark: SparkSession, writer) -> DataFrame:
+    """A table below spark.checkpoint.dir, or in the warehouse where that is unset, until released."""
+    name, root = f"quarry_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None)
     path = f"{root.rstrip('/')}/{name}" if root else None
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+    (writer.option("path", path) if path else writer).format("parquet").saveAsTable(name)
     _tables.append((spark, name, path))
     return spark.table(name)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table, of which later reads take only the columns and row groups that they need."""
+    return _saved(df.sparkSession, df.write)
+
+
+def bucketed(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """df as a table of so many buckets, which joins on its keys read without a shuffle."""
+    return _saved(df.sparkSession, df.repartition(parts, *keys).write.bucketBy(parts, *keys))
+
+
 def release() -> None:
     """Frees what settled holds in storage, where a result that still needs it is computed again, and drops bucketed tables."""
     while _held:

@@ -194,7 +194,9 @@ def search(df: DataFrame, k: int, query: str, vector: str) -> tuple[DataFrame, D
     ints = written(valid.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(SCALE)))).alias("v")))
     asked = written(ints.filter(query).distinct().withColumn("q", F.monotonically_increasing_id()))
     equal = Window.partitionBy("v").orderBy("vec_id")
-    kept = ints.withColumn("n", F.row_number().over(equal)).filter(F.col("n") <= k + 1).drop("n")
+    # of equal vectors the rows of k + 1 ids, one of which can be the query's own, and of each id k rows
+    ids = ints.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("rows"))
+    kept = ids.withColumn("n", F.row_number().over(equal)).filter(F.col("n") <= k + 1).select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("col")
     vectors = written(kept.withColumn("key", F.monotonically_increasing_id()))
     n, dims = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     n_asked = asked.count()

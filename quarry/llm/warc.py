@@ -127,7 +127,8 @@ def write(df: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, least_
 
     def store(batches):
         fs, root = filesystem(folder)
-        task, n, files = TaskContext.get().partitionId(), 0, 0
+        # two attempts of a task can hold its pages in other orders, so each has files and record ids of its own
+        task, n, files = f"{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}", 0, 0
         parts, held, count = [], 0, 0
 
         def name() -> str:
@@ -137,7 +138,7 @@ def write(df: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, least_
 
         def close():
             nonlocal files, held, count
-            path = f"{root}/part-{task:05d}-{files:04d}.warc.gz"
+            path = f"{root}/part-{task}-{files:04d}.warc.gz"
             data = b"".join(parts)
             publish(fs, path, data)
             row = pa.RecordBatch.from_pydict({"path": [path], "n_records": [count], "n_bytes": [len(data)]})

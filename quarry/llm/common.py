@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,12 +37,13 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         if not current:
             spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    for held in _scratch:
+    for held in _scratch.get():
         held.append(path)
     return path
 
 
-_scratch: list[list[str]] = []
+#: The blocks that the code of this thread or task is in.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
@@ -51,11 +53,11 @@ def scratch(spark: SparkSession):
     Without it, tables that a lazy result still needs stay until the folder itself is cleared.
     """
     held: list[str] = []
-    _scratch.append(held)
+    token = _scratch.set((*_scratch.get(), held))
     try:
         yield
     finally:
-        _scratch.remove(held)
+        _scratch.reset(token)
         remove(spark, held)
 
 
@@ -71,9 +73,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared checkpoint folder; never a local checkpoint."""
     work_dir(df.sparkSession, "probe")
     done = df.checkpoint(eager=True)
-    if _scratch:
+    if _scratch.get():
         file = done._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        for held in _scratch if file.isDefined() else []:
+        for held in _scratch.get() if file.isDefined() else []:
             held.append(file.get())
     return done
 

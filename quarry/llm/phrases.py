@@ -60,6 +60,7 @@ class Words:
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_VALUES[data] * up[:n], out=total[1:])
         self.hash = mix((total[self.stop] - total[self.start]) * down[self.start]) ^ salts[self.text]
+        del total, solid, first, last
         breaks = np.cumsum(_BREAK[data], dtype=np.int32)
         self.tied = (breaks[self.start[1:]] == breaks[self.stop[:-1] - 1]) & (self.text[1:] == self.text[:-1])
         # a space to join words by
@@ -83,7 +84,8 @@ class Words:
 
     def names(self, places: np.ndarray, size: int) -> pa.Array:
         """The phrases from places, words joined by one space."""
-        begin = np.full((len(places), 2 * size - 1), len(self.data) - 1, dtype=np.int64)
+        kind = np.int32 if 2 * size * len(self.data) < 1 << 31 else np.int64
+        begin = np.full((len(places), 2 * size - 1), len(self.data) - 1, dtype=kind)
         length = np.ones_like(begin)
         for k in range(size):
             begin[:, 2 * k] = self.start[places + k]
@@ -91,8 +93,10 @@ class Words:
         offsets = np.zeros(len(places) + 1, dtype=np.int64)
         np.cumsum(length.sum(axis=1), out=offsets[1:])
         begin, length = begin.ravel(), length.ravel()
-        at = np.cumsum(length) - length
-        out = self.data[np.repeat(begin - at, length) + np.arange(offsets[-1])]
+        # where each byte comes from
+        at = np.repeat(begin - (np.cumsum(length, dtype=kind) - length), length)
+        at += np.arange(offsets[-1], dtype=kind)
+        out = self.data[at]
         return pa.Array.from_buffers(pa.string(), len(places), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 

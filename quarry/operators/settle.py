@@ -3,12 +3,35 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_held: list[DataFrame] = []
-_tables: list[tuple[SparkSession, str, str | None]] = []
+
+@dataclass
+class _Scope:
+    """What plans of a block, or those outside of any block, hold in storage and as tables."""
+
+    frames: list[DataFrame] = field(default_factory=list)
+    tables: list[tuple[SparkSession, str, str | None]] = field(default_factory=list)
+
+
+_outer = _Scope()
+_scope: ContextVar[_Scope] = ContextVar("scope", default=_outer)
+
+
+@contextmanager
+def holding():
+    """Frees at its end what the block settled, and nothing that other threads or outer blocks did."""
+    token = _scope.set(_Scope())
+    try:
+        yield
+    finally:
+        release()
+        _scope.reset(token)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -17,8 +40,9 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return df.checkpoint()
-    _held.append(df.persist())
-    return _held[-1]
+    held = _scope.get().frames
+    held.append(df.persist())
+    return held[-1]
 
 
 def _saved(spark: SparkSession, writer) -> DataFrame:
@@ -26,7 +50,7 @@ def _saved(spark: SparkSession, writer) -> DataFrame:
     name, root = f"quarry_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None)
     path = f"{root.rstrip('/')}/{name}" if root else None
     (writer.option("path", path) if path else writer).format("parquet").saveAsTable(name)
-    _tables.append((spark, name, path))
+    _scope.get().tables.append((spark, name, path))
     return spark.table(name)
 
 
@@ -41,11 +65,12 @@ def bucketed(df: DataFrame, parts: int, *keys: str) -> DataFrame:
 
 
 def release() -> None:
-    """Frees what settled holds in storage, where a result that still needs it is computed again, and drops bucketed tables."""
-    while _held:
-        _held.pop().unpersist()
-    while _tables:
-        spark, name, path = _tables.pop()
+    """Frees what this block holds in storage, where a result that still needs it is computed again, and drops its tables."""
+    scope = _scope.get()
+    while scope.frames:
+        scope.frames.pop().unpersist()
+    while scope.tables:
+        spark, name, path = scope.tables.pop()
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         if path:  # files of a table with a path of its own stay
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

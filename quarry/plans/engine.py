@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cooccur, extract, fts, graph, nav, rank, store
-from ..operators.settle import release, settled
+from ..operators.settle import holding, settled
 from ..sources import files as sources
 from ..sources.snapshot import Snapshots, by_term
 from . import context
@@ -50,12 +50,10 @@ def released(method: Callable) -> Callable:
 
     @wraps(method)
     def run(self, *args, **kwargs):
-        try:
+        with holding():
             if self.follow_head and method.__name__ != "index" and self.head_changed():
                 self.index()
             return method(self, *args, **kwargs)
-        finally:
-            release()
 
     return run
 

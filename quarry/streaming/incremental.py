@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store
-from ..operators.settle import release, settled
+from ..operators.settle import holding, settled
 from ..sources.snapshot import Snapshots
 
 
@@ -23,9 +23,9 @@ def upsert_stream(spark: SparkSession, source: str, schema: str, tables: Snapsho
             if not delta.isEmpty():
                 tables.commit({"nodes": (delta, delta.select("id"))})
 
-        tables.attempt(upsert)
+        with holding():
+            tables.attempt(upsert)
         tables.merge()
-        release()
 
     stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("path"))
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

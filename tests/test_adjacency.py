@@ -26,8 +26,11 @@ def test_bucketed_levels_equal_broadcast_levels(spark, monkeypatch):
     edge_side = plan[plan.index(":- ") : plan.index("+- Exchange hashpartitioning")]
     assert "Bucketed: true" in edge_side and "Exchange" not in edge_side
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
-    path = settle._tables[-1][2]
+    path = settle._outer.tables[-1][2]
+    with settle.holding():  # another block frees nothing of this one
+        settle.stored(spark.range(3))
+    assert settle._outer.tables[-1][2] == path and near.step(frontier, 1000).count() > 0
     settle.release()
-    assert not settle._tables and not [t for t in spark.catalog.listTables() if t.name.startswith("quarry_")]
+    assert not settle._outer.tables and not [t for t in spark.catalog.listTables() if t.name.startswith("quarry_")]
     if path:
         assert not spark.sparkContext._jvm.java.io.File(path).exists()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import blockmax, cooccur, extract, fts, graph, metrics, nav, rank, store, vector
+from .operators import blockmax, clusters, cooccur, extract, fts, graph, metrics, nav, rank, store, vector
 from .operators.settle import settled
 from .plans import context
 from .streaming import incremental
@@ -690,6 +690,15 @@ def vector_topk(spark, sf):
     return vector.top_cosine(vectors, queries).select("query_id", "id", F.round("cosine", 6).alias("cosine"))
 
 
+@query(ORACLES["vector_topk"])
+def vector_index_topk(spark, sf):
+    """The same from a stored index, of which only the blocks that can hold a result are read."""
+    e = table(spark, sf, "embeddings")
+    queries = asked(spark, sf).join(e, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("vec"))
+    found, _ = clusters.search(clusters.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))), queries)
+    return found.select("query_id", "id", F.round("cosine", 6).alias("cosine"))
+
+
 # directories
 
 

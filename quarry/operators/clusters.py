@@ -157,37 +157,47 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10) -> tuple[DataFra
     by = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
     first = settled(outline.mapInArrow(best, "q int, block bigint, bound double").withColumn("place", F.row_number().over(by)).filter(F.col("place") <= some).select("q", "block"))
 
-    def score(batches):
-        for batch in batches:
-            q, _ = shared.value
-            for row in range(batch.num_rows):
-                ids, who = batch.column("ids")[row].values, np.array(batch.column("qs")[row].as_py())
-                v = np.frombuffer(batch.column("data")[row].as_py()).reshape(len(ids), -1)
-                scores = np.round(q[who] @ v.T, PLACES)
-                order = np.lexsort((np.broadcast_to(np.array(ids.to_pylist()), scores.shape), -scores), axis=1)[:, :k]
-                r, c = np.repeat(np.arange(len(who)), order.shape[1]), order.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(who[r], pa.int32()), ids.take(pa.array(c)), pa.array(scores[r, c])], names=["q", "id", "cosine"])
+    def score(limits=None):
+        """The k best of each block; with limits (cosine, id) of each query only what comes before those."""
+
+        def run(batches):
+            for batch in batches:
+                q, _ = shared.value
+                for row in range(batch.num_rows):
+                    ids, who = batch.column("ids")[row].values, np.array(batch.column("qs")[row].as_py())
+                    v = np.frombuffer(batch.column("data")[row].as_py()).reshape(len(ids), -1)
+                    scores, named = np.round(q[who] @ v.T, PLACES), np.array(ids.to_pylist())
+                    order = np.lexsort((np.broadcast_to(named, scores.shape), -scores), axis=1)[:, :k]
+                    r, c = np.repeat(np.arange(len(who)), order.shape[1]), order.ravel()
+                    if limits:
+                        least, last = limits.value
+                        keep, ties = scores[r, c] > least[who[r]], np.flatnonzero(scores[r, c] == least[who[r]])
+                        keep[ties] = [named[c[i]] < last[who[r[i]]] for i in ties]
+                        r, c = r[keep], c[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(who[r], pa.int32()), ids.take(pa.array(c)), pa.array(scores[r, c])], names=["q", "id", "cosine"])
+
+        return run
 
     top = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
     schema = StructType([StructField("q", IntegerType()), StructField("id", kind), StructField("cosine", DoubleType())])
     # at most BROADCAST_QUERIES numbers a block
-    scored = lambda pairs: index.blocks.select("block", "ids", "data").join(pairs.groupBy("block").agg(F.collect_list("q").alias("qs")), "block").select("ids", "data", "qs").mapInArrow(score, schema)
-    found = settled(ranked(scored(first)))
-    least = np.full(len(q), -np.inf)
-    for r in found.filter(F.col("rank") == k).select("q", "cosine").collect():  # one number a query
-        least[r["q"]] = r["cosine"]
-    limits = spark.sparkContext.broadcast(least)
+    paired = lambda pairs: index.blocks.select("block", "ids", "data").join(pairs.groupBy("block").agg(F.collect_list("q").alias("qs")), "block").select("ids", "data", "qs")
+    found = settled(ranked(paired(first).mapInArrow(score(), schema)))
+    least, last = np.full(len(q), -np.inf), [None] * len(q)
+    for r in found.filter(F.col("rank") == k).select("q", "cosine", "id").collect():  # one row a query
+        least[r["q"]], last[r["q"]] = r["cosine"], r["id"]
+    limits = spark.sparkContext.broadcast((least, last))
 
     def left(batches):
         for batch in batches:
             q, c = shared.value
             bound = _bounds(q, c, *[batch.column(x).to_numpy() for x in ("cluster", "low", "high")])
-            r, b = np.nonzero(bound + SLACK >= limits.value[:, None])
+            r, b = np.nonzero(bound + SLACK >= limits.value[0][:, None])
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), batch.column("block").take(pa.array(b))], names=["q", "block"])
 
     rest = settled(outline.mapInArrow(left, "q int, block bigint").join(first, ["q", "block"], "left_anti"))
     names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], StructType([StructField("q", IntegerType()), StructField("query_id", key)]))
-    out = ranked(found.drop("rank").unionByName(scored(rest))).join(F.broadcast(names), "q").select("query_id", "id", "cosine", "rank")
+    out = ranked(found.drop("rank").unionByName(paired(rest).mapInArrow(score(limits), schema))).join(F.broadcast(names), "q").select("query_id", "id", "cosine", "rank")
     read = first.unionByName(rest).join(outline, "block").groupBy("q").agg(F.sum("n").alias("n_read"))
     return out, read.join(F.broadcast(names), "q").select("query_id", "n_read")

@@ -15,11 +15,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import fts
-from .settle import places, settled, stored
+from .settle import settled, stored
 
 #: Documents of a block.
 PER_BLOCK = 128
@@ -37,15 +42,46 @@ class BlockIndex:
     per_block: int
 
 
+ENTRIES = "term string, block bigint, id string, type string, dl bigint, tf bigint, positions array<int>"
+
+
+def _posted(per_block: int):
+    """Postings of batches of (id, type, terms): documents are taken in the order of their lengths, per_block of them at a time."""
+
+    def run(batches):
+        made = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            length = pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
+            order = np.argsort(length, kind="stable")
+            for at in range(0, len(order), per_block):
+                rows = order[at : at + per_block]
+                part = batch.take(pa.array(rows))
+                terms, size = part.column("terms").flatten().dictionary_encode(), length[rows]
+                doc = np.repeat(np.arange(len(rows)), size)
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+                code = terms.indices.to_numpy().astype(np.int64) * len(rows) + doc
+                by = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.diff(code[by], prepend=-1))
+                tf = np.diff(first, append=len(by))
+                who = pa.array(doc[by][first])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        terms.dictionary.take(terms.indices.take(pa.array(by[first]))), pa.array(np.full(len(first), made)), part.column("id").take(who), part.column("type").take(who), pa.array(size.astype(np.int64)).take(who),
+                        pa.array(tf.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(first, len(by)).astype(np.int32)), pa.array(pos[by].astype(np.int32))),
+                    ],
+                    names=["term", "block", "id", "type", "dl", "tf", "positions"],
+                )
+                made += 1
+
+    return run
+
+
 def build(nodes: DataFrame, per_block: int = PER_BLOCK) -> BlockIndex:
-    """The stored index of nodes (id, type, content)."""
-    stats = fts.doc_stats(nodes)
-    placed = places(stats.join(nodes.select("id", "type"), "id"), "dl", "place")
-    docs = settled(placed.select("id", "type", "dl", F.floor((F.col("place") - 1) / per_block).cast("int").alias("block")))
-    posted = fts.postings(nodes).join(docs, "id").select("term", "block", "id", "type", "dl", "tf", "positions")
-    entries = stored(posted.repartitionByRange("term", "block").sortWithinPartitions("term", "block"))
+    """The stored index of nodes (id, type, content), which is made without a shuffle of postings: a block lies in one task."""
+    cut = nodes.select("id", "type", T.unicode_terms(F.col("content")).alias("terms"))
+    entries = stored(cut.mapInArrow(_posted(per_block), ENTRIES).sortWithinPartitions("term", "block"))
     maxima = stored(entries.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least")))
-    return BlockIndex(entries, maxima, settled(fts.totals(docs)), per_block)
+    return BlockIndex(entries, maxima, settled(fts.totals(fts.doc_stats(nodes))), per_block)
 
 
 def _is_file() -> Column:

@@ -34,7 +34,8 @@ SLACK = 1e-8
 
 @dataclass
 class BlockIndex:
-    """entries: term, block, id, type, dl, tf, positions; maxima: term, block, n, most, least; whole: the totals."""
+    """entries: term, block, id, type, dl, tf, positions; maxima: term, block, n, most, least, now and then in two rows, which add
+    up to a looser bound; whole: the totals."""
 
     entries: DataFrame
     maxima: DataFrame
@@ -76,11 +77,24 @@ def _posted(per_block: int):
     return run
 
 
+def _maxima(batches):
+    """n, most and least of each run of a term and block in sorted postings."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        terms, block = batch.column("term").dictionary_encode(), batch.column("block").to_numpy()
+        code = terms.indices.to_numpy()
+        first = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(block) != 0)))
+        n = np.diff(first, append=batch.num_rows)
+        most, least = np.maximum.reduceat(batch.column("tf").to_numpy(), first), np.minimum.reduceat(batch.column("dl").to_numpy(), first)
+        yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(first)), pa.array(block[first]), pa.array(n), pa.array(most), pa.array(least)], names=["term", "block", "n", "most", "least"])
+
+
 def build(nodes: DataFrame, per_block: int = PER_BLOCK) -> BlockIndex:
     """The stored index of nodes (id, type, content), which is made without a shuffle of postings: a block lies in one task."""
     cut = nodes.select("id", "type", T.unicode_terms(F.col("content")).alias("terms"))
     entries = stored(cut.mapInArrow(_posted(per_block), ENTRIES).sortWithinPartitions("term", "block"))
-    maxima = stored(entries.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least")))
+    maxima = stored(entries.select("term", "block", "tf", "dl").mapInArrow(_maxima, "term string, block bigint, n bigint, most bigint, least bigint"))
     return BlockIndex(entries, maxima, settled(fts.totals(fts.doc_stats(nodes))), per_block)
 
 

@@ -138,14 +138,15 @@ class _Search:
 
     def score(self, chosen: DataFrame) -> DataFrame:
         """query_id, id, type and bm25 of the documents of chosen (query_id, block)."""
-        blocks = chosen.select("block").distinct()
+        n = chosen.count()
+        blocks, pairs = (fts._bounded(x, n) for x in (chosen.select("block").distinct(), chosen.select("query_id", "block")))
         here = lambda df: (df.filter(_is_file()) if self.files_only else df).join(blocks, "block", "left_semi")
         met = here(self.index.entries.select("term", "block", "id", "type", "dl", "tf")).join(fts._bounded(self.single.select("phrase", "term"), self.n_single), "term")
         hits = met.groupBy("phrase", "block", "id", "type", "dl").agg(F.sum("tf").alias("f"))
         if self.several is not None:
             hits = hits.unionByName(here(self.several).select(*hits.columns))
         weighed = hits.join(fts._bounded(self.weights, self.asked.n_parts), "phrase").select("phrase", "block", "id", "type", fts.part().alias("part"))
-        used = weighed.join(fts._bounded(self.uses, self.asked.n_uses), "phrase").join(chosen.select("query_id", "block"), ["query_id", "block"], "left_semi")
+        used = weighed.join(fts._bounded(self.uses, self.asked.n_uses), "phrase").join(pairs, ["query_id", "block"], "left_semi")
         return used.groupBy("query_id", "id", "type").agg(F.sum(F.col("part") * F.col("times")).alias("bm25"))
 
 

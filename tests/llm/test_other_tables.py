@@ -114,6 +114,47 @@ def test_no_text_of_an_article_is_lost():
     assert html_cut.main_text(f"<article><p>{LONG}</p><form><p>{LONG}</p></form></article>") == LONG
 
 
+def test_names_and_text_weigh_alike():
+    """Labels that neither the name of the nearest element nor the text of the block would give alone."""
+    page = f"<form><p>{LONG}</p><p>Of.</p><p>{LONG}</p><p>{LONG}</p></form>"  # a form around a whole page
+    found = html_cut.blocks(page)
+    assert found[1].score < 0 and found[1].element.score < 0
+    assert html_cut.main_text(page).split("\n") == [LONG, "Of.", LONG, LONG]
+    for page, kept in (
+        (f'<div class="widget">{f"<p>{LONG}</p>" * 8}</div><footer><p>{LONG}</p></footer>', [LONG] * 8),
+        (f'<article><p>{LONG}</p></article><div class="notice"><p>{LONG}</p><p>{LONG}</p></div>', [LONG]),
+        (f'<div class="sidebar"><article><p>A teaser.</p></article></div><p>{LONG}</p>', [LONG]),
+        (f'<article class="post has-share"><p>{LONG}</p></article>', [LONG]),
+        (f'<main class="legal"><p>{LONG}</p></main>', [LONG]),
+        (f'<article><p>{LONG}</p><div class="message"><p>{LONG}</p></div></article>', [LONG, LONG]),
+        (f'<article><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article>', [LONG]),
+        ("<article><ul>" + "<li><a>A link</a></li>" * 100 + f"</ul><table>{'<tr><td>7</td></tr>' * 100}</table></article>", ["A link"] * 100 + ["7"] * 100),
+        (f'<div data-id="comment" title="class=ad"><p>{LONG}</p></div>', [LONG]),
+    ):
+        assert html_cut.main_text(page).split("\n") == kept, page
+
+
+def test_inline_parts_are_judged_by_themselves():
+    for page, kept in (
+        (f'<p><a class="share">Share</a> {LONG}</p>', LONG),
+        (f'<p>{LONG} <span style="display:none">secret</span>And more.</p>', f"{LONG} And more."),
+        (f'<article><p>{LONG} <button>Buy</button> And <i class="text">mo</i>re.</p></article>', f"{LONG} And more."),
+        ("<article><p>beauti<script>1</script>ful<noscript>x</noscript> it<template>y</template>s <iframe src=a></iframe>i<select><option>x</select>n</p></article>", "beautiful its in"),
+        (f"<!-->{LONG}<p>b --> c</p>", f"{LONG}\nb --> c"),
+        (f"<!--->{LONG}<!-- a > b --!> And more.", f"{LONG} And more."),
+        (f'<article><p title="a > b" lang=\'x>y\'>{LONG}</p></article>', LONG),
+    ):
+        assert html_cut.main_text(page) == kept, page
+
+
+def test_broken_tags_take_time_by_length():
+    for part in ('<a "', '<a ="> "', "<a b='", "<!", "<a ", "</", "<", "<script></script ", "<!--"):
+        began = time.monotonic()
+        html_cut.main_text(part * 100_000)
+        html_cut.main_text(part * 100_000 + ">")
+        assert time.monotonic() - began < 10, part
+
+
 def test_deep_pages_take_time_by_length():
     for page in ("<center>" * 40_000 + LONG, "<b>" * 40_000 + "</i>" * 40_000 + LONG, f"<ul><li>{LONG}" * 20_000, f"<div class=content>{f'<p>{LONG}</p><p><a>Nine</a></p>' * 20_000}"):
         began = time.monotonic()

@@ -113,7 +113,7 @@ class Engine:
         if self.tracked_only:
             scanned = scanned.join(sources.git_tracked(self.spark, self.root), "id", "left_semi")
         scanned = scanned.persist()
-        at = "" if path is None else sources.os.path.relpath(sources.os.path.realpath(path), sources.os.path.realpath(self.root)).removeprefix(".")
+        at = "" if path is None else sources.Tree.at(path, self.root).below
         changed = self.tables.attempt(lambda: self._take(scanned, F.lit(True) if not at else (F.col("id") == at) | F.col("id").startswith(at + "/")))
         self.tables.put("head", sources.git_head(self.root))
         scanned.unpersist()

@@ -56,7 +56,7 @@ def python_calls(body: str) -> list[str]:
     for line in body.split("\n"):
         if re.match(r"\s*(async\s+def|def|class)\b", line) or line.strip().startswith("#"):
             continue
-        for m in re.finditer(r"([A-Za-z_]\w*)\(", line):
+        for m in re.finditer(r"([A-Za-z_]\w*)[ \t]*\(", line):
             if m[1] not in _PY_KEYWORDS:
                 found.setdefault(m[1])
     return list(found)
@@ -146,6 +146,16 @@ def _block_end(plain: str, at: int) -> int:
     return len(plain)
 
 
+def _statement_end(plain: str, at: int, end: int) -> int:
+    """Where a statement that begins at `at` ends: at a semicolon, before a bracket that it did not open, or at `end`."""
+    depth = 0
+    for i in range(at, end):
+        depth += (plain[i] in "({[") - (plain[i] in ")}]")
+        if depth < 0 or not depth and plain[i] == ";":
+            return i
+    return end
+
+
 def _lines_of(text: str) -> Callable[[int], int]:
     """Tells the line, from 1, of a place in the text."""
     ends = [m.start() for m in re.finditer("\n", text)]
@@ -166,7 +176,7 @@ def go_symbols(source: str) -> list[Symbol]:
         brace = plain.find("{", m.end(), end)
         calls = go_calls(plain[brace:end]) if brace >= 0 else []
         out.append(Symbol(m[1], "function", line_of(m.start()), source[m.start() : end], calls))
-    for m in re.finditer(r"^[ \t]*(type|var|const)\b[ \t]*(\(?)", plain, re.M):
+    for m in re.finditer(r"(?:^|[{;])[ \t]*(type|var|const)\b[ \t]*(\(?)", plain, re.M):
         kind = "type" if m[1] == "type" else "variable"
         if m[2]:
             depth, end = 1, m.end()
@@ -180,8 +190,8 @@ def go_symbols(source: str) -> list[Symbol]:
                 level += sum((c in "({[") - (c in ")}]") for c in text)
                 at += len(text) + 1
         elif x := re.compile(r"(\w+(?:\s*,\s*\w+)*)").match(plain, m.end()):
-            end = _block_end(plain, m.end())
-            out += [Symbol(name.strip(), kind, line_of(m.start()), source[m.start() : end].strip(), []) for name in x[1].split(",")]
+            end = _statement_end(plain, m.end(), _block_end(plain, m.end()))
+            out += [Symbol(name.strip(), kind, line_of(m.start(1)), source[m.start(1) : end].strip(), []) for name in x[1].split(",")]
     return sorted(out, key=lambda s: (s.line, s.name))
 
 

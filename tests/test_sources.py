@@ -51,6 +51,16 @@ def test_python_built_ins_are_no_calls():
     assert got[0].calls == ["g", "h"]
 
 
+def test_spaces_before_brackets():
+    got = code.python_symbols("def f(x):\n    foo (x) and (bar\t(y) or not (x in (1, 2)))\n    return (x)\n")
+    assert got[0].calls == ["foo", "bar"]
+
+
+def test_declarations_within_a_line():
+    got = code.go_symbols("package p\n\nfunc f(a bool) {\n\tif a { const z = 1 }; var y = 2\n}\n")
+    assert [(s.name, s.type, s.line, s.content) for s in got if s.name != "f"] == [("y", "variable", 4, "var y = 2"), ("z", "variable", 4, "const z = 1")]
+
+
 def test_precise_typescript():
     source = """export async function load(a: string): Promise<void> {
   const inner = () => go(a);

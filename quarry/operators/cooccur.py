@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bounded
 from .settle import settled as _settled
 
 #: Terms of a block: a task forms the pairs of two blocks of a document at a time.
@@ -39,18 +40,22 @@ def _place(code: str) -> Column:
     return F.col(code).bitwiseAND((1 << 32) - 1)
 
 
-def _counted(terms: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
-    """Codes a < b and n, the documents that hold both.
+def _held(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc and t, the sorted codes of its terms."""
+    return terms.join(vocabulary, "term").groupBy("doc").agg(F.sort_array(F.collect_list("code")).alias("t"))
+
+
+def _counted(held: DataFrame, least: int) -> DataFrame:
+    """Codes a < b and n, the documents that hold both, of documents' sorted codes t.
 
     Pairs are formed inside each document's array, so no join multiplies rows before aggregation. A long
     document is dealt out by pairs of its blocks.
     """
-    held = terms.join(vocabulary, "term").groupBy("doc").agg(F.sort_array(F.collect_list("code")).alias("t"))
     last = F.floor((F.size("t") - 1) / BLOCK).cast("int")
     rows = held.select("t", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
     rows = rows.select("t", "i", F.explode(F.sequence("i", "last")).alias("j"))
     block = lambda k: F.slice("t", F.col(k) * BLOCK + 1, BLOCK)
-    dealt = rows.select(block("i").alias("x"), block("j").alias("y"), (F.col("i") == F.col("j")).alias("own")).repartition(_tasks(terms))
+    dealt = rows.select(block("i").alias("x"), block("j").alias("y"), (F.col("i") == F.col("j")).alias("own")).repartition(_tasks(held))
     firsts = dealt.select("y", "own", F.posexplode("x").alias("k", "a"))
     rest = F.slice("y", F.when(F.col("own"), F.col("k") + 2).otherwise(1), F.size("y"))
     return firsts.select("a", F.explode(rest).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
@@ -65,21 +70,20 @@ def pairs(terms: DataFrame, least: int = 2) -> DataFrame:
     """a < b and n, the documents that hold both; rare terms go first, since their pairs cannot count."""
     vocabulary = _vocabulary(terms, least)
     named = lambda c: vocabulary.toDF(f"t{c}", c)
-    both = _counted(terms, vocabulary, least).join(named("a"), "a").join(named("b"), "b")
+    both = _counted(_held(terms, vocabulary), least).join(named("a"), "a").join(named("b"), "b")
     return both.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "n")
 
 
 def ppmi(terms: DataFrame, documents: int, k: int = 10, least: int = 2) -> DataFrame:
-    """term, neighbour, weight: the k neighbours of highest positive pointwise mutual information.
+    """term, neighbour, weight: the k neighbours of highest positive pointwise mutual information, ties to the smaller.
 
-    Codes carry what weights and ties need, so only the neighbours that are kept meet their names.
+    Bounds leave out most pairs. Codes carry what weights and ties need, so only the neighbours that are kept meet their names.
     """
     vocabulary = _vocabulary(terms, least)
     df = lambda c: F.shiftright(c, 32)
+    found = bounded.top(_held(terms, vocabulary), vocabulary.select("code"), k, least, _counted)
     weight = F.log(F.col("n") * F.lit(float(documents)) / (df("a") * df("b")))
-    positive = _counted(terms, vocabulary, least).select("a", "b", weight.alias("weight")).filter("weight > 0")
-    ways = F.explode(F.array(F.struct(F.col("a").alias("t"), F.col("b").alias("o")), F.struct(F.col("b").alias("t"), F.col("a").alias("o"))))
-    both = positive.select(ways.alias("w"), "weight").select("w.t", "w.o", "weight")
+    both = found.select(F.col("a").alias("t"), F.col("b").alias("o"), weight.alias("weight")).filter("weight > 0")
     by = Window.partitionBy("t").orderBy(F.desc("weight"), _place("o"))
     kept = both.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n")
     return kept.join(vocabulary.toDF("term", "t"), "t").join(vocabulary.toDF("neighbour", "o"), "o").select("term", "neighbour", "weight")

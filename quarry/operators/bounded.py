@@ -33,6 +33,8 @@ OWNER = 1024
 SLICES = (1 / 32, 1 / 8, 1.0)
 #: Pairs of an owner's document and one of its terms for a task.
 COST = 1 << 30
+#: So many terms have few enough pairs for every task to count all that it meets.
+FEW = 1024
 #: Found neighbours that a task holds before it keeps the best of each term.
 HELD = 1 << 21
 
@@ -193,10 +195,13 @@ def top(held: DataFrame, codes: DataFrame, k: int, least: int, counted: Callable
     held: doc and t, the codes (document count in the upper half, place in term order in the lower) of its terms in ascending
     order; codes: all of them, as code; counted(docs, least): n of all pairs a < b.
     """
-    docs = stored(held.select("t"))
     df, place = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(_LOW)
     codes = settled(codes.select(F.col("code").alias("a")))
     size, most = codes.agg(F.count("*"), F.max(df("a"))).first()
+    both_ways = lambda p: p.select(F.explode(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))).alias("p")).select("p.*")
+    if size <= FEW:
+        return both_ways(counted(held, least))
+    docs = stored(held.select("t"))
     most, found, before = most or 0, None, 0
     # terms above so many documents still have fewer than k neighbours of share 1
     wide, low, high = codes.filter(df("a") > NARROW), NARROW, most
@@ -227,8 +232,7 @@ def top(held: DataFrame, codes: DataFrame, k: int, least: int, counted: Callable
     if most > OWNER:
         busy = docs.select(F.filter("t", lambda x: F.shiftright(x, 32) > OWNER).alias("t")).filter(F.size("t") > 1)
         if high > OWNER:
-            both = counted(busy, least)
-            pairs = both.select("a", "b", "n").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+            pairs = both_ways(counted(busy, least))
         else:  # every such term has its k neighbours of share 1: only one before the last of them can take its place
             last = full.filter(df("a") > OWNER).agg(F.max("p")).first()[0] or 0
             firsts = busy.select("t", F.explode(F.filter("t", lambda x: x.bitwiseAND(_LOW) < last)).alias("b"))

@@ -37,7 +37,7 @@ def corpus(seed, n_docs=120, copies=True):
 
 @pytest.mark.parametrize("narrow, owner, slices, seed", [(32, 1024, (1 / 32, 1 / 8, 1.0), 1), (2, 10, (1 / 8, 1 / 2, 1.0), 2), (2, 10, (1 / 8, 1 / 2, 1.0), 3), (3, 20, (1 / 16, 1 / 4, 1.0), 4), (0, 4, (1 / 4, 1 / 2, 1.0), 5), (200, 400, (1 / 2, 1 / 2, 1.0), 6), (1, 1, (0.5, 0.75, 1.0), 7)])
 def test_equals_all_pairs(spark, monkeypatch, narrow, owner, slices, seed):
-    for name, value in (("NARROW", narrow), ("OWNER", owner), ("SLICES", slices), ("COST", 5000), ("HELD", 100)):
+    for name, value in (("NARROW", narrow), ("OWNER", owner), ("SLICES", slices), ("COST", 5000), ("HELD", 100), ("FEW", 0)):
         monkeypatch.setattr(bounded, name, value)
     docs = corpus(seed)
     rows = spark.createDataFrame(list(enumerate(docs)), "doc long, terms array<string>")

@@ -86,6 +86,24 @@ def _dealt(docs: DataFrame, parts: int, owners: tuple[int, int], places: tuple[i
     return docs.select("t").mapInArrow(run, "part int, n int, head binary, own binary, met binary")
 
 
+def _repeated(numbers: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values found `least` times or more, and how often."""
+    s = np.sort(numbers)
+    again = s[: len(s) - least + 1][s[least - 1 :] == s[: len(s) - least + 1]]  # all but least - 1 of each run
+    first = np.flatnonzero(np.concatenate([[True], again[1:] != again[:-1]])) if len(again) else np.empty(0, np.int64)
+    return again[first], np.diff(np.append(first, len(again))) + least - 1
+
+
+def _numbered(codes: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+    """The places of found ones among the codes: by a table where it is no longer than a few times the codes."""
+    last = int((codes & _LOW).max()) if len(codes) else 0
+    if last < 8 * len(codes):
+        at = np.zeros(last + 1, np.int32)
+        at[codes & _LOW] = np.arange(len(codes), dtype=np.int32)
+        return [at[f & _LOW] for f in found]
+    return [np.searchsorted(codes, f).astype(np.int32) for f in found]
+
+
 class _Part:
     """The owners of a part, with the documents of each, whose partners are numbers of known codes in their order."""
 
@@ -102,7 +120,7 @@ class _Part:
         none = [np.empty(0, np.int64)]
         self.codes = np.unique(np.concatenate([np.unique(m) for m in met] or none))
         self.df, self.place = self.codes >> 32, self.codes & _LOW
-        self.numbers = np.concatenate([np.searchsorted(self.codes, m).astype(np.int32) for m in met] or none)
+        self.numbers = np.concatenate(_numbered(self.codes, met) or none)
         self.ends = np.cumsum(np.concatenate(lengths or none))
         owners, docs = np.concatenate(own or none), np.concatenate(at or none)
         order = np.argsort(owners, kind="stable")
@@ -140,8 +158,8 @@ def _within(k: int, least: int, busy: int) -> Callable[[pa.Table], pa.Table]:
         done = tuple(np.empty(0, np.int64) for _ in range(3))
         for owner, numbers in part.groups():
             df = owner >> 32
-            at, n = np.unique(numbers, return_counts=True)
-            good = (n >= least) & ((n == df) | (part.df[at] > busy)) & (part.df[at] >= df) & (part.codes[at] != owner)
+            at, n = _repeated(numbers, least)
+            good = ((n == df) | (part.df[at] > busy)) & (part.df[at] >= df) & (part.codes[at] != owner)
             at, n = at[good], n[good]
             kept.append((part.codes[at], np.full(len(at), owner), n))
             held += len(at)
@@ -159,7 +177,7 @@ def _around(k: int, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The neighbours of the owners that are asked for."""
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-        wanted, part, out = set(asked.column("a").to_pylist()), _Part(table), []
+        wanted, part, out, held = set(asked.column("a").to_pylist()), _Part(table), [], 0
         for owner, numbers in part.groups():
             if owner not in wanted:
                 continue
@@ -167,15 +185,21 @@ def _around(k: int, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             while True:
                 # terms of more than df * times documents have a share below 1 / times
                 end = int(np.searchsorted(part.df, df * times, "right"))
-                at, n = np.unique(numbers[numbers < end], return_counts=True)
-                good = (n >= least) & (part.codes[at] != owner)
-                at, n = at[good], n[good]
-                last = np.partition(n / part.df[at], -k)[-k] if len(at) >= k else 0.0
+                at, n = _repeated(numbers if end == len(part.codes) else numbers[numbers < end], least)
+                own = part.codes[at] != owner
+                at, n = at[own], n[own]
+                share = n / part.df[at]
+                last = np.partition(share, -k)[-k] if len(at) >= k else 0.0
                 if end == len(part.codes) or last * times >= 1:
                     break
                 times = int(np.ceil(1 / last)) + 1 if last else times * 16
-            out.append(_best(np.full(len(at), owner), part.codes[at], n, k))
-        return _rows(*(np.concatenate(x) for x in zip(*out))) if out else _rows(*(np.empty(0, np.int64),) * 3)
+            good = share >= last
+            at, n = at[good], n[good]
+            out.append((np.full(len(at), owner), part.codes[at], n))
+            held += len(at)
+            if held >= HELD:
+                out, held = [_best(*(np.concatenate(x) for x in zip(*out, strict=True)), k)], 0
+        return _rows(*_best(*(np.concatenate(x) for x in zip(*out, strict=True)), k)) if out else _rows(*(np.empty(0, np.int64),) * 3)
 
     return run
 

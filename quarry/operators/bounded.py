@@ -15,7 +15,7 @@ depend on any of the numbers below.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ def _squeezed(a: np.ndarray) -> bytes:
     return pa.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), "zstd", asbytes=True)
 
 
-def _whole(b: bytes, n: int, kind: type) -> np.ndarray:
+def _whole(b: bytes | pa.Buffer, n: int, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(b, n * size, "zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
@@ -94,33 +94,36 @@ def _repeated(numbers: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return again[first], np.diff(np.append(first, len(again))) + least - 1
 
 
-def _numbered(codes: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+def _numbered(codes: np.ndarray, found: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
     """The places of found ones among the codes: by a table where it is no longer than a few times the codes."""
     last = int((codes & _LOW).max()) if len(codes) else 0
     if last < 8 * len(codes):
         at = np.zeros(last + 1, np.int32)
         at[codes & _LOW] = np.arange(len(codes), dtype=np.int32)
-        return [at[f & _LOW] for f in found]
-    return [np.searchsorted(codes, f).astype(np.int32) for f in found]
+        return (at[f & _LOW] for f in found)
+    return (np.searchsorted(codes, f).astype(np.int32) for f in found)
 
 
 class _Part:
     """The owners of a part, with the documents of each, whose partners are numbers of known codes in their order."""
 
     def __init__(self, table: pa.Table):
-        own, at, met, lengths, before = [], [], [], [], 0
-        for r in table.select(["n", "head", "own", "met"]).to_pylist():
-            head = _whole(r["head"], 2 * r["n"], np.int32)
-            counts, sizes = head[: r["n"]], head[r["n"] :]
-            own.append(_whole(r["own"], int(counts.sum()), np.int64))
-            at.append(np.repeat(np.arange(before, before + r["n"]), counts))
-            met.append(_whole(r["met"], int(sizes.sum()), np.int64))
-            lengths.append(sizes)
-            before += r["n"]
+        own, at, lengths, known, before = [], [], [], [], 0
+        rows = [(n, _whole(head, 2 * n, np.int32)) for n, head in zip(table.column("n").to_pylist(), table.column("head").to_pylist(), strict=True)]
+        packed, owners_of = table.column("met"), table.column("own")
+        met = lambda i: _whole(packed[i].as_buffer(), int(rows[i][1][rows[i][0] :].sum()), np.int64)
+        for i, (n, head) in enumerate(rows):
+            counts = head[:n]
+            own.append(_whole(owners_of[i].as_buffer(), int(counts.sum()), np.int64))
+            at.append(np.repeat(np.arange(before, before + n, dtype=np.int32), counts))
+            lengths.append(head[n:])
+            known.append(np.unique(met(i)))
+            before += n
         none = [np.empty(0, np.int64)]
-        self.codes = np.unique(np.concatenate([np.unique(m) for m in met] or none))
+        self.codes = np.unique(np.concatenate(known or none))
         self.df, self.place = self.codes >> 32, self.codes & _LOW
-        self.numbers = np.concatenate(_numbered(self.codes, met) or none)
+        # unpacked once more, so that only numbers of half the size are held together
+        self.numbers = np.concatenate(list(_numbered(self.codes, map(met, range(len(rows))))) or [np.empty(0, np.int32)])
         self.ends = np.cumsum(np.concatenate(lengths or none))
         owners, docs = np.concatenate(own or none), np.concatenate(at or none)
         order = np.argsort(owners, kind="stable")

@@ -218,10 +218,10 @@ def clear_contents(spark, sf):
 def upsert_vectors(spark, sf):
     """Vectors in two loads of which the later ones replace those of the same id; stored at unit length."""
     e = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), (F.col("vec_id") % 1500).cast("string")).alias("id"), "vec_id", F.col("embedding").alias("vec"))
-    none = spark.createDataFrame([], "id string, dim int, vec array<float>")
-    first = store.upsert_vectors(none, e.filter("vec_id < 1500").select("id", "vec"))
-    both = store.upsert_vectors(first, e.filter("vec_id >= 1500").select("id", "vec"))
-    return both.select("id", F.col("dim").cast("bigint").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+    none = spark.createDataFrame([], "id string, dim int, vec array<double>")
+    first = store.upsert_vectors(none, e.filter("vec_id < 1500"), "vec_id")
+    both = store.upsert_vectors(first, e.filter("vec_id >= 1500"), "vec_id")
+    return both.select("id", F.col("dim").cast("bigint").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 # text functions

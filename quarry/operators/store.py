@@ -55,15 +55,25 @@ def current(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("id", "hash").join(held, "id", "left").select("id", F.col("held").isNotNull().alias("known"), F.coalesce(F.col("held") == F.col("hash"), F.lit(False)).alias("current"))
 
 
-def unit_vectors(delta: DataFrame) -> DataFrame:
+def latest(rows: DataFrame, order: str) -> DataFrame:
+    """The row of each id that comes last in an order."""
+    others = [c for c in rows.columns if c != "id"]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*others), order).alias("_row")).select("id", "_row.*").select(*rows.columns)
+
+
+def unit_vectors(delta: DataFrame, kind: str = "array<float>") -> DataFrame:
     """(id, dim, vec) of (id, vec) at unit length."""
-    made = delta.select("id", normalise(F.col("vec")).cast("array<float>").alias("vec"))
+    made = delta.select("id", normalise(F.col("vec")).cast(kind).alias("vec"))
     return made.select("id", F.size("vec").alias("dim"), "vec")
 
 
-def upsert_vectors(base: DataFrame, delta: DataFrame) -> DataFrame:
-    """(id, dim, vec) with the vectors of delta (id, vec) at unit length in place of those of the same id."""
-    return upsert(base.select("id", "dim", "vec"), unit_vectors(delta), ["id"])
+def upsert_vectors(base: DataFrame, delta: DataFrame, order: str | None = None) -> DataFrame:
+    """(id, dim, vec) with the vectors of delta (id, vec) at unit length, as precise as those of base, in place of those of the same id.
+
+    order: a column of delta that tells which vector of an id comes last, where ids repeat in delta.
+    """
+    last = delta if order is None else latest(delta, order)
+    return upsert(base.select("id", "dim", "vec"), unit_vectors(last, dict(base.dtypes)["vec"]), ["id"])
 
 
 def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:

@@ -261,6 +261,12 @@ def test_current_and_vectors(spark):
     assert got["a"] == (2, [1.0, 0.0]) and got["b"][1] == pytest.approx([0.6, 0.8]) and got["c"] == (3, [0.0, 0.0, 1.0])
 
 
+def test_the_last_vector_of_an_id_stays(spark):
+    base = spark.createDataFrame([("a", 2, [1.0, 0.0])], "id string, dim int, vec array<double>")
+    load = spark.createDataFrame([("a", 7, [0.0, 2.0]), ("b", 9, [3.0, 4.0]), ("a", 30, [4.0, 3.0]), ("b", 8, [1.0, 0.0])], "id string, no long, vec array<float>")
+    assert sorted((r["id"], r["vec"]) for r in store.upsert_vectors(base, load, "no").collect()) == [("a", [0.8, 0.6]), ("b", [0.6, 0.8])]
+
+
 def test_vectors_of_other_lengths_and_ties(spark):
     v = spark.createDataFrame([(f"k{i:03d}", [1.0, 0.0]) for i in range(50)] + [("long", [1.0, 0.0, 5.0]), ("none", None), ("empty", [])], "id string, vec array<float>").repartition(3)
     q = spark.createDataFrame([(1, [2.0, 0.0])], "query_id long, vec array<float>")

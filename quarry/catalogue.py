@@ -789,7 +789,7 @@ def _sources(spark, sf, extension: str, text: str):
     """One source file per part: {n} is its key, {m} the next one's."""
     key = F.col("p_partkey").cast("string")
     pieces = [F.lit(x) if i % 2 == 0 else key if x == "n" else (F.col("p_partkey") + 1).cast("string") for i, x in enumerate(re.split(r"\{(n|m)\}", text))]
-    return table(spark, sf, "part").select(F.concat(F.lit("s/"), key, F.lit(extension)).alias("id"), F.concat(*pieces).alias("content"))
+    return spread(table(spark, sf, "part").select("p_partkey")).select(F.concat(F.lit("s/"), key, F.lit(extension)).alias("id"), F.concat(*pieces).alias("content"))
 
 
 def _symbols(files, precise=False):
@@ -880,7 +880,7 @@ def symbols_json(spark, sf):
 def extract_symbols(spark, sf):
     """Symbols of one small source file per part, made from its columns."""
     source = F.concat(F.lit("import os\n\n@cached\ndef make_"), F.col("p_partkey").cast("string"), F.lit("(x):\n    return build(x)\n\nclass Part"), F.col("p_size").cast("string"), F.lit(":\n    async def price(self):\n        return obj.lookup(self)\n"))
-    files = table(spark, sf, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("id"), source.alias("content"))
+    files = spread(table(spark, sf, "part").select("p_brand", "p_partkey", "p_size")).select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("id"), source.alias("content"))
     return extract.parsed(files).select("id", F.explode("symbols").alias("s")).groupBy("s.name", "s.type").agg(F.count("*").alias("n"), F.min("s.line").alias("line"))
 
 

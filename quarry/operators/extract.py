@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +22,16 @@ def parsed(files: DataFrame, precise: bool = False, parse: Callable[[str, str],
     parse: a parser in place of the built-in ones, from path and source to code.Symbol rows and imports.
     """
     one = parse or (lambda path, source: code.parse(path, source, precise))
+    symbol = pa.struct([("name", pa.string()), ("type", pa.string()), ("line", pa.int32()), ("content", pa.string()), ("calls", pa.list_(pa.string()))])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(i, c or "") for i, c in zip(batch["id"], batch["content"], strict=True)]
-            yield pd.DataFrame({"id": batch["id"], "symbols": [[s._asdict() for s in r[0]] for r in rows], "imports": [r[1] for r in rows]})
+            ids, contents = batch.column("id"), batch.column("content")
+            rows = [one(i.as_py(), c.as_py() or "") for i, c in zip(ids, contents, strict=True)]
+            symbols = pa.array([[s._asdict() for s in r[0]] for r in rows], pa.list_(symbol))
+            yield pa.RecordBatch.from_arrays([ids, symbols, pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["id", "symbols", "imports"])
 
-    return files.select("id", "content").mapInPandas(run, PARSED)
+    return files.select("id", "content").mapInArrow(run, PARSED)
 
 
 def as_json(found: DataFrame) -> DataFrame:
@@ -76,8 +80,9 @@ def calls_of(symbols: DataFrame) -> DataFrame:
 def call_edges(called: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges of calls among all symbols of their names: to a symbol of the own file, else as resolve_calls has it."""
     own = symbols.select("file", F.col("name").alias("callee"), F.col("id").alias("to_id")).distinct()
-    inside = called.join(own, ["file", "callee"]).filter("caller <> to_id").select(F.col("caller").alias("from_id"), "to_id", F.lit("calls").alias("relation_type"))
-    pending = called.join(own.select("file", "callee"), ["file", "callee"], "left_anti").select("caller", "dir", "callee")
+    # a file has any number of symbols and calls, which its size does not tell, so nothing is broadcast by estimate
+    inside = called.join(own.hint("merge"), ["file", "callee"]).filter("caller <> to_id").select(F.col("caller").alias("from_id"), "to_id", F.lit("calls").alias("relation_type"))
+    pending = called.join(own.select("file", "callee").hint("merge"), ["file", "callee"], "left_anti").select("caller", "dir", "callee")
     across = resolve_calls(pending, symbols.select("id", "name", T.directory(F.col("file")).alias("dir")))
     return inside.unionByName(across)
 
@@ -94,7 +99,7 @@ def graph(files: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     Calls resolve against all symbols, so an incremental run equals a full one.
     """
     symbols, imports = symbols_of(found), imports_of(found)
-    nodes = files.select("id", "type", "content", "hash").unionByName(symbol_nodes(symbols)).unionByName(import_nodes(imports.select("id").distinct().join(files.select("id"), "id", "left_anti")))
+    nodes = files.select("id", "type", "content", "hash").unionByName(symbol_nodes(symbols)).unionByName(import_nodes(imports.select("id").distinct().join(files.select("id").hint("merge"), "id", "left_anti")))
     return nodes, file_edges(symbols, imports).unionByName(call_edges(calls_of(symbols), symbols)).distinct()
 
 

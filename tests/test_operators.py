@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import catalogue
 from quarry.functions import text as T
-from quarry.operators import cooccur, fts, graph, metrics, nav, rank, store, vector
+from quarry.operators import cooccur, extract, fts, graph, metrics, nav, rank, store, vector
 from quarry.plans import context, evaluate
 
 NODE = "id string, type string, content string, hash string"
@@ -50,6 +51,23 @@ def test_call_resolution(spark):
     assert {(r["from_id"], r["to_id"]) for r in graph.resolve_calls(pending, symbols).collect()} == {("pkg/a.go:A", "pkg/h.go:Helper"), ("pkg/a.go:A", "b.go:RunB")}
 
 
+def test_symbols_are_not_broadcast_by_estimate(spark, capsys):
+    found = spark.range(8).select(F.concat(F.lit("d/"), "id", F.lit(".go")).alias("file"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("name"))
+    symbols = found.select("file", F.concat("file", F.lit(":"), "name").alias("id"), "name", F.array(F.lit("b"), F.lit("c")).alias("calls"))
+    made = extract.call_edges(extract.calls_of(symbols), symbols)
+    assert made.count() == 8
+    capsys.readouterr()
+    made.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_sources_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
+    spark.range(64).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = catalogue._sources(spark, str(tmp_path), ".py", catalogue._PY)
+    assert files.rdd.getNumPartitions() > 1
+    assert {r["name"] for r in catalogue._symbols(files.filter("id = 's/3.py'"), precise=True).collect()} == {"K3", "run3", "go3"}
+
+
 def ppmi_docs(spark, *groups):
     rows, n = [], 0
     for times, terms in groups:

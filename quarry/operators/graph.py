@@ -110,10 +110,11 @@ def resolve_calls(pending: DataFrame, symbols: DataFrame) -> DataFrame:
     One symbol of that name in the caller's directory wins; with none there, a single one anywhere
     wins unless the caller is at the root; otherwise the call stays unresolved. Two entries of one
     id count as two. Candidates are counted per name before the join, so common names stay narrow.
+    Nothing is broadcast by estimate: symbols come from explodes, which multiply rows and not their estimates.
     """
     local = symbols.groupBy("name", "dir").agg(F.count("*").alias("n_here"), F.min("id").alias("here"))
     anywhere = symbols.groupBy("name").agg(F.count("*").alias("n_all"), F.min("id").alias("any"))
-    joined = pending.join(local, (F.col("callee") == local["name"]) & (pending["dir"] == local["dir"]), "left").select(pending["caller"], pending["dir"], "callee", "n_here", "here")
-    joined = joined.join(anywhere, F.col("callee") == F.col("name"), "left")
+    joined = pending.join(local.hint("merge"), (F.col("callee") == local["name"]) & (pending["dir"] == local["dir"]), "left").select(pending["caller"], pending["dir"], "callee", "n_here", "here")
+    joined = joined.join(anywhere.hint("merge"), F.col("callee") == F.col("name"), "left")
     target = F.when(F.col("n_here") == 1, F.col("here")).when(F.col("n_here").isNull() & (F.col("n_all") == 1) & (F.col("dir") != "(root)"), F.col("any"))
     return joined.select(F.col("caller").alias("from_id"), target.alias("to_id"), F.lit("calls").alias("relation_type")).filter("to_id is not null and to_id <> from_id").distinct()

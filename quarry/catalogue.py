@@ -21,6 +21,8 @@ from .streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 #: A table of one file is dealt anew below so many bytes; larger ones have row groups enough.
 SMALL_BYTES = 1 << 30
+#: Rows of keys for a task.
+TASK_ROWS = 1 << 19
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -63,13 +65,20 @@ NODES = """nodes AS (SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN
  CASE lang WHEN 'en' THEN 'go_file' WHEN 'de' THEN 'ts_file' WHEN 'fr' THEN 'py_file' ELSE 'text_file' END AS type, coalesce(text, '') AS content, sha256(coalesce(text, '')) AS hash, doc_id, source AS dir FROM documents)"""
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys in as many tasks as keep each at some TASK_ROWS, so that what a task holds does not grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS)), *keys)
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """region contains nation contains customer calls order imports part."""
     edge = lambda df, a, ka, b, kb, rel: df.select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("from_id"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("to_id"), F.lit(rel).alias("relation_type"))
+    # repeats are of one relation; those of the large tables are dropped by their keys, before ids are made
+    once = lambda name, ka, kb: dealt(table(spark, sf, name).select(ka, kb), ka, kb).distinct()
     made = edge(table(spark, sf, "nation"), "r", "n_regionkey", "n", "n_nationkey", "contains")
-    made = made.union(edge(table(spark, sf, "customer"), "n", "c_nationkey", "c", "c_custkey", "contains"))
-    made = made.union(edge(table(spark, sf, "orders"), "c", "o_custkey", "o", "o_orderkey", "calls"))
-    return made.union(edge(table(spark, sf, "lineitem"), "o", "l_orderkey", "p", "l_partkey", "imports")).distinct()
+    made = made.union(edge(table(spark, sf, "customer"), "n", "c_nationkey", "c", "c_custkey", "contains")).distinct()
+    made = made.union(edge(once("orders", "o_custkey", "o_orderkey"), "c", "o_custkey", "o", "o_orderkey", "calls"))
+    return made.union(edge(once("lineitem", "l_orderkey", "l_partkey"), "o", "l_orderkey", "p", "l_partkey", "imports"))
 
 
 EDGES = """edges AS (SELECT DISTINCT * FROM (SELECT 'r' || n_regionkey AS from_id, 'n' || n_nationkey AS to_id, 'contains' AS relation_type FROM nation UNION ALL

@@ -361,3 +361,16 @@ def test_evaluation(spark):
     cases = spark.createDataFrame([("x", "needle", ["a.go"], ""), ("y", "words", ["a.go"], "")], "id string, query string, ground_truth_files array<string>, notes string")
     rows = {r["metric"]: r["mean"] for r in evaluate.evaluate(nodes, edges(spark, ("b.go", "zzz", "imports")), cases).collect()}
     assert rows == {"mrr": 0.5, "ndcg": 0.5, "precision": 0.1, "recall": 0.5}
+
+
+def test_tasks_of_edges_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    part = lambda name, **c: spark.range(0, 600).select(*[x.cast("long").alias(k) for k, x in c.items()]).write.parquet(f"{tmp_path}/{name}.parquet")
+    i = F.col("id")
+    part("nation", n_regionkey=i % 5, n_nationkey=i % 25)
+    part("customer", c_nationkey=i % 25, c_custkey=i % 100)
+    part("orders", o_custkey=i % 100, o_orderkey=i)
+    part("lineitem", l_orderkey=i % 300, l_partkey=i % 2)
+    monkeypatch.setattr(catalogue, "TASK_ROWS", 50)
+    assert catalogue.dealt(spark.range(600), "id").rdd.getNumPartitions() == 12
+    made = {r["relation_type"]: (r["n"], r["n_from"], r["n_to"]) for r in catalogue.node_edge_stats(spark, str(tmp_path)).collect()}
+    assert made == {"contains": (125, 30, 125), "calls": (600, 100, 600), "imports": (300, 300, 2)}

@@ -352,7 +352,7 @@ def query_phrases(spark, sf):
 @query(f"WITH {_INDEX}, w AS (SELECT DISTINCT item_id AS query_id, unnest({_terms_sql('text')}) AS term FROM benchmark) SELECT query_id, count(DISTINCT id) AS n_docs_hit, sum(tf)::BIGINT AS n_hits FROM w JOIN post USING (term) GROUP BY query_id")
 def term_matches(spark, sf):
     w = asked(spark, sf).select("query_id", F.explode(F.array_distinct(T.unicode_terms(F.col("query")))).alias("term"))
-    return w.join(fts.frequencies(nodes(spark, sf)), "term").groupBy("query_id").agg(F.countDistinct("id").alias("n_docs_hit"), F.sum("tf").alias("n_hits"))
+    return fts.term_matches(nodes(spark, sf), w)
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm) WHERE rn <= 20")

@@ -374,3 +374,9 @@ def test_tasks_of_edges_grow_with_the_tables(spark, tmp_path, monkeypatch):
     assert catalogue.dealt(spark.range(600), "id").rdd.getNumPartitions() == 12
     made = {r["relation_type"]: (r["n"], r["n_from"], r["n_to"]) for r in catalogue.node_edge_stats(spark, str(tmp_path)).collect()}
     assert made == {"contains": (125, 30, 125), "calls": (600, 100, 600), "imports": (300, 300, 2)}
+
+
+def test_term_matches_of_repeated_ids_and_terms(spark):
+    nodes = spark.createDataFrame([("a", "x y x"), ("b", "z"), ("a", "y"), ("c", None)], "id string, content string")
+    wanted = spark.createDataFrame([(1, "x"), (1, "y"), (1, "x"), (2, "z"), (3, "w")], "query_id long, term string")
+    assert sorted(tuple(r) for r in fts.term_matches(nodes, wanted).collect()) == [(1, 1, 4), (2, 1, 1)]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import blockmax, clusters, cooccur, extract, fts, graph, metrics, nav, rank, store, vector
-from .operators.settle import settled
+from .operators.settle import settled, stored
 from .plans import context
 from .streaming import incremental
 
@@ -357,9 +357,8 @@ def term_matches(spark, sf):
 
 @query(f"WITH {_BM25} SELECT query_id, id, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm) WHERE rn <= 20")
 def bm25_or_topk(spark, sf):
-    n = nodes(spark, sf)
-    scored = fts.scores(n, fts.phrases(asked(spark, sf)))
-    return fts.top(scored, 20).select("query_id", "id", F.round("bm25", 4).alias("bm25"))
+    found = fts.best(nodes(spark, sf), fts.phrases(asked(spark, sf)), 20)
+    return found.select("query_id", "id", F.round("bm25", 4).alias("bm25"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, rn AS rank, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm WHERE type LIKE '%_file') WHERE rn <= 10")
@@ -371,9 +370,8 @@ def bm25_blocks_topk(spark, sf):
 
 @query(f"WITH {_BM25} SELECT query_id, id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rn FROM bm WHERE type LIKE '%_file') WHERE rn <= 10")
 def fts_files_topk(spark, sf):
-    n = nodes(spark, sf)
-    scored = fts.scores(n, fts.phrases(asked(spark, sf))).join(n.select("id", "type"), "id").filter(F.col("type").like("%_file"))
-    return fts.top(scored, 10).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
+    found = fts.best(nodes(spark, sf), fts.phrases(asked(spark, sf)), 10, files_only=True)
+    return found.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {NODES}, t AS (SELECT id, {_terms_sql('content')} AS k FROM nodes), p AS (SELECT id, unnest(k) AS term, generate_subscripts(k, 1) AS pos FROM t),
@@ -397,8 +395,7 @@ _SCORED = f"""{_BM25}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTI
 def _scored(spark, sf):
     n = nodes(spark, sf)
     q = asked(spark, sf).select("query_id", "query", T.tokenise_query(F.col("query")).alias("tokens"))
-    scored = fts.scores(n, fts.phrases(q))
-    return n, rank.score_text(fts.top(scored, 200), n, q)
+    return n, rank.score_text(fts.best(n, fts.phrases(q), 200), n, q)
 
 
 @query(f"WITH {_SCORED} SELECT query_id, id, round(score, 4) AS score FROM sc")
@@ -448,7 +445,7 @@ def graph_expand_scores(spark, sf):
 
 def _stored(spark, sf):
     """Nodes and edges, which an index has as tables and every step of the pipeline reads."""
-    n = settled(nodes(spark, sf).select("id", "type", "content", "doc_id"))
+    n = stored(nodes(spark, sf).select("id", "type", "content", "doc_id"))
     return n, settled(doc_edges(spark, sf))
 
 
@@ -541,7 +538,7 @@ MIXED_EDGES = """edges AS (SELECT id AS from_id, id || ':S' AS to_id, 'contains'
  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id)::INT AS rn FROM bm) top JOIN nodes USING (id) WHERE rn <= 10""")
 def hybrid_search(spark, sf):
     """Summary lines of the ten best nodes of any kind: files, symbols, imports."""
-    n = settled(mixed_nodes(spark, sf))
+    n = stored(mixed_nodes(spark, sf).select("id", "type", "content"))
     hits = fts.search(n, asked(spark, sf), 10, files_only=False).drop("type")
     return hits.join(n, "id").select("query_id", "rank", T.summary_line(F.col("id"), F.col("type"), F.col("content")).alias("line"))
 

@@ -10,6 +10,8 @@ from .settle import settled
 
 #: Decimal places of a score that count: sums that differ by the order of addition are ties.
 PLACES = 9
+#: Hits that are broadcast to the nodes.
+FEW = 1_000_000
 DENSE_SHARE, GRAPH_BOOST, GRAPH_SCORE, LEAST_SHARE, SEEDS = 0.25, 0.15, 0.3, 0.25, 30
 
 
@@ -23,9 +25,11 @@ def score_text(hits: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFra
 
     queries has query_id and tokens; the range is that of the query's own hits.
     """
-    hits = hits.select("query_id", "id", "bm25")
-    # only nodes with hits are cut to tokens
-    hits = hits.join(node_tokens(nodes.join(hits.select("id").distinct(), "id", "left_semi")), "id")
+    hits = settled(hits.select("query_id", "id", "bm25"))
+    few = F.broadcast if hits.count() <= FEW else lambda df: df
+    # only nodes with hits are cut to tokens; where hits are few, neither texts nor tokens are shuffled
+    held = node_tokens(nodes.join(few(hits.select("id").distinct()), "id", "left_semi"))
+    hits = held.join(few(hits), "id")
     w = Window.partitionBy("query_id")
     low, high = F.min("bm25").over(w), F.max("bm25").over(w)
     norm = F.when(high - low <= 1e-9, 1.0).otherwise((F.col("bm25") - low) / (high - low))

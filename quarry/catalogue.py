@@ -539,8 +539,8 @@ MIXED_EDGES = """edges AS (SELECT id AS from_id, id || ':S' AS to_id, 'contains'
 def hybrid_search(spark, sf):
     """Summary lines of the ten best nodes of any kind: files, symbols, imports."""
     n = stored(mixed_nodes(spark, sf).select("id", "type", "content"))
-    hits = fts.search(n, asked(spark, sf), 10, files_only=False).drop("type")
-    return hits.join(n, "id").select("query_id", "rank", T.summary_line(F.col("id"), F.col("type"), F.col("content")).alias("line"))
+    hits = settled(fts.search(n, asked(spark, sf), 10, files_only=False).drop("type"))
+    return n.join(fts._bounded(hits, hits.count()), "id").select("query_id", "rank", T.summary_line(F.col("id"), F.col("type"), F.col("content")).alias("line"))
 
 
 @query(f"""WITH {_SCORED}, files AS (SELECT id, doc_id FROM nodes), {MIXED_EDGES}, kinds AS (SELECT id, type FROM nodes UNION ALL SELECT id || ':S', 'function' FROM nodes UNION ALL SELECT DISTINCT 'lib' || regexp_extract(id, '(\\.[^./]*)$', 1), 'import' FROM nodes),

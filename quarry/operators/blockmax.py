@@ -1,29 +1,31 @@
 """Full-text top-k with early termination: postings in blocks of documents, with the maxima of each term in each block.
 
-Documents of about the same length make a block. For a term and block the index keeps how many documents hold it, its largest
+Documents of about the same length make a block, which is a row. For a term and block the index keeps its largest
 frequency and the least length of a document, which bound what the term can add to any score there. A search
 
-* meets what is asked with the dictionary, one row a term, not with postings;
+* meets what is asked with the terms of each block, and counts the documents that have it: no positions or frequencies are read for it;
 * adds up a bound for each query and block, and scores the blocks of largest bound first;
 * skips every block whose bound is below the k-th best score that those gave, and scores the rest.
 
-Scores are those of fts.scores, ties included: a block goes only if its bound is below the threshold at the places that count.
-Document counts of prefixes with several terms and of phrases need the ids of their postings, and no more of them.
+Blocks stay where they lie, and only bounds and the best of each task are shuffled. Scores are those of fts.scores, ties included: a
+block goes only if its bound is below the threshold at the places that count. Phrases of several terms read the positions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from ..functions import text as T
-from . import fts
+from . import fts, matching
 from .settle import settled, stored
 
 #: Documents of a block.
@@ -34,20 +36,19 @@ SLACK = 1e-8
 
 @dataclass
 class BlockIndex:
-    """entries: term, block, id, type, dl, tf, positions; maxima: term, block, n, most, least, now and then in two rows, which add
-    up to a looser bound; whole: the totals."""
+    """blocks: block, id, type and dl of its documents; terms in order, and of each the largest frequency (most), the least length
+    (least) and where its postings end (ends); doc and tf of postings, and positions, tf of them for each; whole: the totals."""
 
-    entries: DataFrame
-    maxima: DataFrame
+    blocks: DataFrame
     whole: DataFrame
     per_block: int
 
 
-ENTRIES = "term string, block bigint, id string, type string, dl bigint, tf bigint, positions array<int>"
+BLOCKS = "block bigint, id array<string>, type array<string>, dl array<bigint>, terms array<string>, most array<bigint>, least array<bigint>, ends array<int>, doc array<int>, tf array<int>, positions array<int>"
 
 
 def _posted(per_block: int):
-    """Postings of batches of (id, type, terms): documents are taken in the order of their lengths, per_block of them at a time."""
+    """Blocks of batches of (id, type, terms): documents are taken in the order of their lengths, per_block of them at a time."""
 
     def run(batches):
         made = TaskContext.get().partitionId() << 33
@@ -56,111 +57,126 @@ def _posted(per_block: int):
             order = np.argsort(length, kind="stable")
             for at in range(0, len(order), per_block):
                 rows = order[at : at + per_block]
-                part = batch.take(pa.array(rows))
-                terms, size = part.column("terms").flatten().dictionary_encode(), length[rows]
+                part, size = batch.take(pa.array(rows)), length[rows].astype(np.int64)
+                words = part.column("terms").flatten().dictionary_encode()
+                by_name = pc.sort_indices(words.dictionary).to_numpy()
+                place = np.empty(len(by_name), np.int64)
+                place[by_name] = np.arange(len(by_name))
                 doc = np.repeat(np.arange(len(rows)), size)
                 pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-                code = terms.indices.to_numpy().astype(np.int64) * len(rows) + doc
+                code = place[words.indices.to_numpy()] * len(rows) + doc
                 by = np.argsort(code, kind="stable")
                 first = np.flatnonzero(np.diff(code[by], prepend=-1))
-                tf = np.diff(first, append=len(by))
-                who = pa.array(doc[by][first])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        terms.dictionary.take(terms.indices.take(pa.array(by[first]))), pa.array(np.full(len(first), made)), part.column("id").take(who), part.column("type").take(who), pa.array(size.astype(np.int64)).take(who),
-                        pa.array(tf.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(first, len(by)).astype(np.int32)), pa.array(pos[by].astype(np.int32))),
-                    ],
-                    names=["term", "block", "id", "type", "dl", "tf", "positions"],
-                )
+                tf, who, term = np.diff(first, append=len(by)), doc[by][first], code[by][first] // len(rows)
+                starts = np.flatnonzero(np.diff(term, prepend=-1))
+                most, least = (np.maximum.reduceat(tf, starts), np.minimum.reduceat(size[who], starts)) if len(starts) else (tf, tf)
+                lists = [part.column("id"), part.column("type"), pa.array(size), words.dictionary.take(pa.array(by_name)), pa.array(most), pa.array(least)]
+                lists += [pa.array(x.astype(np.int32)) for x in (np.append(starts[1:], len(term)) if len(starts) else starts, who, tf, pos[by])]
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([pa.array([made]), *map(one, lists)], names=["block", "id", "type", "dl", "terms", "most", "least", "ends", "doc", "tf", "positions"])
                 made += 1
 
     return run
 
 
-def _maxima(batches):
-    """n, most and least of each run of a term and block in sorted postings."""
+def build(nodes: DataFrame, per_block: int = PER_BLOCK) -> BlockIndex:
+    """The stored index of nodes (id, type, content), which is made without a shuffle: a block lies in one task."""
+    cut = nodes.select("id", "type", T.unicode_terms(F.col("content")).alias("terms"))
+    blocks = stored(cut.mapInArrow(_posted(per_block), BLOCKS))
+    return BlockIndex(blocks, settled(fts.totals(blocks.select(F.explode("dl").alias("dl")))), per_block)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    """The lists of each block."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        terms, block = batch.column("term").dictionary_encode(), batch.column("block").to_numpy()
-        code = terms.indices.to_numpy()
-        first = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(block) != 0)))
-        n = np.diff(first, append=batch.num_rows)
-        most, least = np.maximum.reduceat(batch.column("tf").to_numpy(), first), np.minimum.reduceat(batch.column("dl").to_numpy(), first)
-        yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(first)), pa.array(block[first]), pa.array(n), pa.array(most), pa.array(least)], names=["term", "block", "n", "most", "least"])
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].values if pa.types.is_list(batch.schema.field(c).type) else batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def build(nodes: DataFrame, per_block: int = PER_BLOCK) -> BlockIndex:
-    """The stored index of nodes (id, type, content), which is made without a shuffle of postings: a block lies in one task."""
-    cut = nodes.select("id", "type", T.unicode_terms(F.col("content")).alias("terms"))
-    entries = stored(cut.mapInArrow(_posted(per_block), ENTRIES).sortWithinPartitions("term", "block"))
-    maxima = stored(entries.select("term", "block", "tf", "dl").mapInArrow(_maxima, "term string, block bigint, n bigint, most bigint, least bigint"))
-    return BlockIndex(entries, maxima, settled(fts.totals(fts.doc_stats(nodes))), per_block)
+def _bounded(phrases: matching.Phrases):
+    """block, and lists of phrase, n (its documents), most and least: no document has the phrase more often, or has fewer terms."""
 
+    def run(batches):
+        for x in _blocks(batches):
+            known, ends = x["terms"].to_numpy(zero_copy_only=False), x["ends"].to_numpy().astype(np.int64)
+            phrase, n, most, least = phrases.bounds(known, ends, x["doc"].to_numpy(), x["most"].to_numpy(), x["least"].to_numpy())
+            if phrases.several:
+                code, f = phrases.severals_of(known, ends, *(x[c].to_numpy() for c in ("doc", "tf", "positions")))
+                at, doc = code % phrases.size, code // phrases.size
+                by = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.diff(at[by], prepend=-1))
+                if len(first):
+                    dl = x["dl"].to_numpy()[doc[by]]
+                    phrase, n = np.append(phrase, at[by][first]), np.append(n, np.diff(first, append=len(by)))
+                    most, least = np.append(most, np.maximum.reduceat(f[by], first)), np.append(least, np.minimum.reduceat(dl, first))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(t))) for v, t in ((phrase, np.int32), (n, np.int64), (most, np.int64), (least, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([x["block"]]), *lists], names=["block", "phrase", "n", "most", "least"])
 
-def _is_file() -> Column:
-    return F.col("type").like("%_file")
+    return run
 
 
 class _Search:
-    def __init__(self, index: BlockIndex, queries: DataFrame, files_only: bool):
-        self.index, self.asked, self.files_only = index, fts.Asked(fts.phrases(queries)), files_only
-        terms = index.maxima.groupBy("term").agg(F.sum("n").alias("df")).withColumn("held", F.col("term"))
-        self.single = settled(self.asked.meet(terms, False).select("phrase", F.col("held").alias("term"), "df"))
-        self.n_single = self.single.count()
-        self.several = self._several(terms) if self.asked.several else None
-        self.weights = settled(fts.weights(self._n_hits(), index.whole))
-        self.uses = settled(self.asked.queries.groupBy("phrase", "query_id").agg(F.count("*").alias("times")))
-
-    def _several(self, terms: DataFrame) -> DataFrame:
-        """phrase, block, id, type, dl and f of phrases of several terms."""
-        parts = self.asked.meet(terms, True).select("phrase", "n", "i", F.col("held").alias("term"))
-        at = self.index.entries.join(fts._bounded(parts, self.asked.n_parts), "term")
-        return settled(fts._full(at.select("phrase", "n", "i", "id", "block", "type", "dl", F.explode("positions").alias("pos")), ["block", "type", "dl"]))
-
-    def _n_hits(self) -> DataFrame:
-        """phrase and n_hits: from the dictionary where one term matches, else by ids."""
-        n_terms = self.single.groupBy("phrase").agg(F.count("*").alias("n_terms"), F.max("df").alias("n_hits"))
-        more = self.single.join(n_terms.filter("n_terms > 1").select("phrase"), "phrase", "left_semi").select("phrase", "term")
-        ids = self.index.entries.select("term", "id").join(fts._bounded(more, self.n_single), "term").select("phrase", "id").distinct()
-        out = n_terms.filter("n_terms = 1").select("phrase", "n_hits").unionByName(ids.groupBy("phrase").agg(F.count("*").alias("n_hits")))
-        return out if self.several is None else out.unionByName(self.several.groupBy("phrase").agg(F.count("*").alias("n_hits")))
+    def __init__(self, index: BlockIndex, queries: DataFrame, k: int, files_only: bool):
+        asked = fts.Asked(fts.phrases(queries))
+        if asked.n_parts > fts.BROADCAST_TERMS or asked.n_uses > fts.BROADCAST_TERMS:
+            raise ValueError("more phrases than tasks hold; search in batches of queries")
+        rows, uses = asked.numbered()
+        self.index, self.files_only, self.phrases, self.kind = index, files_only, matching.Phrases.of(rows), asked.queries.schema["query_id"]
+        columns = ["block", "terms", "most", "least", "ends", "doc"] + (["dl", "tf", "positions"] if self.phrases.several else [])
+        self.maxima = stored(index.blocks.select(*columns).mapInArrow(_bounded(self.phrases), "block bigint, phrase array<int>, n array<bigint>, most array<bigint>, least array<bigint>"))
+        n_hits = self.maxima.select(F.inline(F.arrays_zip("phrase", "n"))).groupBy("phrase").agg(F.sum("n").alias("n_hits"))
+        self.scoring = matching.scoring(fts.weights(n_hits, index.whole).toArrow(), uses, len(rows), k, fts.part_of)
 
     def bounds(self) -> DataFrame:
-        """query_id, block and bound: no document of the block scores more."""
-        found = self.index.maxima.join(fts._bounded(self.single.select("phrase", "term"), self.n_single), "term")
-        most = found.groupBy("phrase", "block").agg(F.sum("most").alias("f"), F.min("least").alias("dl"))
-        if self.several is not None:
-            most = most.unionByName(self.several.groupBy("phrase", "block").agg(F.max("f").alias("f"), F.min("dl").alias("dl")))
-        each = most.join(fts._bounded(self.weights, self.asked.n_parts), "phrase").select("phrase", "block", fts.part().alias("part"))
-        used = each.join(fts._bounded(self.uses, self.asked.n_uses), "phrase")
-        return used.groupBy("query_id", "block").agg((F.sum(F.col("part") * F.col("times")) * (1 + SLACK) + SLACK).alias("bound"))
+        """query_id, query (its number), block and bound: no document of the block scores more."""
+        by = self.scoring
+
+        def run(batches):
+            for x in _blocks(batches):
+                score = by.sums(*(x[c].to_numpy() for c in ("phrase", "most", "least")), np.array([len(x["phrase"])]))[0]
+                query = np.flatnonzero(score > 0)
+                yield pa.RecordBatch.from_arrays([by.ids.take(pa.array(query)), pa.array(query), pa.array(np.full(len(query), x["block"])), pa.array(score[query] * (1 + SLACK) + SLACK)], names=["query_id", "query", "block", "bound"])
+
+        return self.maxima.select("block", "phrase", "most", "least").mapInArrow(run, fts.with_fields(self.kind, "query bigint, block bigint, bound double"))
 
     def score(self, chosen: DataFrame) -> DataFrame:
-        """query_id, id, type and bm25 of the documents of chosen (query_id, block)."""
-        n = chosen.count()
-        blocks, pairs = (fts._bounded(x, n) for x in (chosen.select("block").distinct(), chosen.select("query_id", "block")))
-        here = lambda df: (df.filter(_is_file()) if self.files_only else df).join(blocks, "block", "left_semi")
-        met = here(self.index.entries.select("term", "block", "id", "type", "dl", "tf")).join(fts._bounded(self.single.select("phrase", "term"), self.n_single), "term")
-        hits = met.groupBy("phrase", "block", "id", "type", "dl").agg(F.sum("tf").alias("f"))
-        if self.several is not None:
-            hits = hits.unionByName(here(self.several).select(*hits.columns))
-        weighed = hits.join(fts._bounded(self.weights, self.asked.n_parts), "phrase").select("phrase", "block", "id", "type", fts.part().alias("part"))
-        used = weighed.join(fts._bounded(self.uses, self.asked.n_uses), "phrase").join(pairs, ["query_id", "block"], "left_semi")
-        return used.groupBy("query_id", "id", "type").agg(F.sum(F.col("part") * F.col("times")).alias("bm25"))
+        """query_id, bm25, place, id and type of the k best documents of each task in chosen (query, block)."""
+        lists = chosen.groupBy("block").agg(F.collect_list("query").alias("queries"))
+        columns = ["block", "id", "type", "dl", "terms", "ends", "doc", "tf"] + (["positions"] if self.phrases.several else [])
+        # a query of a block takes few bytes
+        here = self.index.blocks.select(*columns).join(fts._bounded(lists, chosen.count() // 8), "block")
+        by, phrases, files_only = self.scoring, self.phrases, self.files_only
+
+        def scores(batches):
+            for x in _blocks(batches):
+                known, ends, doc, tf = x["terms"].to_numpy(zero_copy_only=False), *(x[c].to_numpy() for c in ("ends", "doc", "tf"))
+                code, f = phrases.singles_of(known, ends, doc, tf)
+                if phrases.several:
+                    more = phrases.severals_of(known, ends, doc, tf, x["positions"].to_numpy())
+                    code, f = matching.summed(np.append(code, more[0]), np.append(f, more[1]))
+                row, dl = code // phrases.size, x["dl"].to_numpy()
+                score = by.sums(code % phrases.size, f, dl[row], np.bincount(row, minlength=len(dl)))
+                asked = np.zeros(len(by.ids), bool)
+                asked[x["queries"].to_numpy()] = True
+                found = pa.RecordBatch.from_arrays([x["id"], x["type"]], names=["id", "type"])
+                kept = pc.is_valid(x["id"])
+                kept = pc.and_(kept, pc.match_substring_regex(x["type"], ".file$")) if files_only else kept
+                yield (score * asked)[kept.fill_null(False).to_numpy(zero_copy_only=False)], found.filter(kept)
+
+        return here.mapInArrow(lambda batches: by.fold(scores(batches)), matching.found_schema(self.kind, [StructField(c, self.index.blocks.schema[c].dataType.elementType) for c in ("id", "type")]))
 
 
 def search(index: BlockIndex, queries: DataFrame, k: int = 200, files_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """query_id, id, type, bm25 and rank of the k best nodes of each query; and query_id, n_blocks and n_scored, the blocks that
     could hold a hit and those that were read for it."""
-    run = _Search(index, queries, files_only)
-    bounds = settled(run.bounds())
+    run = _Search(index, queries, k, files_only)
+    bounds = stored(run.bounds())
     some = 2 * -(-k // index.per_block)
     by = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     first = settled(bounds.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= some).drop("n"))
-    best = settled(fts.top(run.score(first), k))
-    least = best.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.min("bm25"), fts.PLACES).alias("least")).filter(F.col("n") == k).select("query_id", "least")
-    rest = settled(bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(least, "query_id", "left").filter("least is null or bound >= least").select("query_id", "block"))
-    found = fts.top(best.drop("rank").unionByName(run.score(rest)), k)
-    read = first.select("query_id", "block").unionByName(rest).groupBy("query_id").agg(F.count("*").alias("n_scored"))
-    return found, bounds.groupBy("query_id").agg(F.count("*").alias("n_blocks")).join(read, "query_id")
+    best = settled(fts.top(run.score(first), k, "place"))
+    least = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("place").alias("least")).filter(F.col("n") == k).select("query_id", "least")
+    rest = settled(bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(least, "query_id", "left").filter("least is null or bound >= least").select("query_id", "query", "block"))
+    found = fts.top(best.drop("rank").unionByName(run.score(rest)), k, "place")
+    read = first.select("query_id", "block").unionByName(rest.select("query_id", "block")).groupBy("query_id").agg(F.count("*").alias("n_scored"))
+    return found.select("query_id", "id", "type", "bm25", "rank"), bounds.groupBy("query_id").agg(F.count("*").alias("n_blocks")).join(read, "query_id")

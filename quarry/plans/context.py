@@ -71,7 +71,7 @@ def build(nodes: DataFrame, edges: DataFrame, queries: DataFrame, cfg: Config =
     ranks = settled(candidates(nodes, edges, queries, cfg, vectors, query_vectors, index).filter("id is not null"))
     kept = settled(rank.threshold(ranks, cfg.share).select("query_id", "rank", "id", "type", "source", "score", "dropped"))
     # each node is cut once, however many queries it answers
-    held = nodes.select("id", "type", "content").join(kept.select("id").distinct(), "id", "left_semi")
+    held = nodes.select("id", "type", "content").join(fts._bounded(kept.select("id").distinct(), kept.count()), "id", "left_semi")
     sizes = shown(held).select("id", T.estimate_tokens(F.col("soft")).alias("soft"), T.estimate_tokens(F.col("hard")).alias("hard"))
     kept = settled(kept.join(sizes, "id"))
     filled = rank.fill_budget(kept.select("query_id", "rank", "id", "soft", "hard"), cfg.budget)

@@ -24,3 +24,13 @@ def test_blocks_equal_a_full_search(spark):
     none = blockmax.build(nodes.limit(0), 8)
     assert blockmax.search(none, queries, 5)[0].count() == 0
     settle.release()
+
+
+def test_hits_are_not_shuffled(spark, capsys):
+    nodes = spark.createDataFrame([(f"d{i}", "go_file", f"w{i % 7} w{i % 3} word") for i in range(50)], "id string, type string, content string")
+    found, _ = blockmax.search(blockmax.build(nodes, 8), spark.createDataFrame([(1, "w2 word"), (2, "w5")], "query_id long, query string"), 5)
+    capsys.readouterr()
+    found.explain()
+    dealt = [x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not any("phrase" in x or "id#" in x.split("query_id#")[0] for x in dealt)
+    settle.release()

@@ -44,7 +44,7 @@ class BlockIndex:
     per_block: int
 
 
-BLOCKS = "block bigint, id array<string>, type array<string>, dl array<bigint>, terms array<string>, most array<bigint>, least array<bigint>, ends array<int>, doc array<int>, tf array<int>, positions array<int>"
+BLOCKS = "block bigint, id array<string>, type array<string>, dl array<bigint>, terms array<string>, most array<int>, least array<int>, ends array<int>, doc array<int>, tf array<int>, positions array<int>"
 
 
 def _posted(per_block: int):
@@ -70,7 +70,7 @@ def _posted(per_block: int):
                 tf, who, term = np.diff(first, append=len(by)), doc[by][first], code[by][first] // len(rows)
                 starts = np.flatnonzero(np.diff(term, prepend=-1))
                 most, least = (np.maximum.reduceat(tf, starts), np.minimum.reduceat(size[who], starts)) if len(starts) else (tf, tf)
-                lists = [part.column("id"), part.column("type"), pa.array(size), words.dictionary.take(pa.array(by_name)), pa.array(most), pa.array(least)]
+                lists = [part.column("id"), part.column("type"), pa.array(size), words.dictionary.take(pa.array(by_name)), pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32))]
                 lists += [pa.array(x.astype(np.int32)) for x in (np.append(starts[1:], len(term)) if len(starts) else starts, who, tf, pos[by])]
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays([pa.array([made]), *map(one, lists)], names=["block", "id", "type", "dl", "terms", "most", "least", "ends", "doc", "tf", "positions"])
@@ -99,7 +99,7 @@ def _bounded(phrases: matching.Phrases):
     def run(batches):
         for x in _blocks(batches):
             known, ends = x["terms"].to_numpy(zero_copy_only=False), x["ends"].to_numpy().astype(np.int64)
-            phrase, n, most, least = phrases.bounds(known, ends, x["doc"].to_numpy(), x["most"].to_numpy(), x["least"].to_numpy())
+            phrase, n, most, least = phrases.bounds(known, ends, x["doc"].to_numpy(), *(x[c].to_numpy().astype(np.int64) for c in ("most", "least")))
             if phrases.several:
                 code, f = phrases.severals_of(known, ends, *(x[c].to_numpy() for c in ("doc", "tf", "positions")))
                 at, doc = code % phrases.size, code // phrases.size

@@ -674,7 +674,7 @@ def ppmi_documents(spark, sf):
     """Neighbours of all terms of all documents; terms in hexadecimal, since stems can end inside a character."""
     d = spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), T.vocabulary_tokens(F.col("text")).alias("terms"))
     shown = lambda c: F.hex(F.col(c).cast("binary")).alias(c)
-    return cooccur.ppmi(cooccur.document_terms(d), d.count()).select(shown("term"), shown("neighbour"), F.round("weight", 6).alias("weight"))
+    return cooccur.document_ppmi(d, d.count()).select(shown("term"), shown("neighbour"), F.round("weight", 6).alias("weight"))
 
 
 # vectors

@@ -15,12 +15,14 @@ depend on any of the numbers below.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .settle import settled, stored
@@ -30,16 +32,24 @@ NARROW = 32
 #: A task holds the documents of an owner, so terms of more documents own nothing.
 OWNER = 1024
 #: Shares of the vocabulary, in term order, that the slices of owners end at.
-SLICES = (1 / 32, 1 / 8, 1.0)
+SLICES = (1 / 256, 1 / 32, 1 / 8, 1 / 4, 1.0)
+#: Document counts that partners of terms of few documents go up to, in turn, while a higher one can still matter.
+TIERS = (64, 1024)
 #: Pairs of an owner's document and one of its terms for a task.
 COST = 1 << 30
+#: Numbers of documents' terms that a task holds.
+TASK = 1 << 26
+#: Parts that documents are dealt to at a time, or as many as there are cores.
+ROUND = 12
 #: So many terms have few enough pairs for every task to count all that it meets.
 FEW = 1024
 #: Found neighbours that a task holds before it keeps the best of each term.
 HELD = 1 << 21
 
 _LOW = (1 << 32) - 1
-_ALL = (0, 1 << 31)
+_ALL = (0, 1 << 32)
+_BITS = 1 << 15
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _squeezed(a: np.ndarray) -> bytes:
@@ -53,37 +63,158 @@ def _whole(b: bytes | pa.Buffer, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
 
 
-def _within_range(codes: np.ndarray, df: tuple[int, int], places: tuple[int, int] = _ALL) -> np.ndarray:
-    d, p = codes >> 32, codes & _LOW
-    return (d > df[0]) & (d <= df[1]) & (p >= places[0]) & (p < places[1])
+def pack(n: int, lengths: np.ndarray, codes: np.ndarray, numbers: np.ndarray) -> tuple:
+    """n documents: their lengths and, of the codes (sorted, each once), the numbers of those that each holds, as steps."""
+    return n, _squeezed(lengths.astype(np.int32)), len(codes), _squeezed(codes), len(numbers), _squeezed(np.diff(numbers.astype(np.int32), prepend=np.int32(0)))
 
 
-def _dealt(docs: DataFrame, parts: int, owners: tuple[int, int], places: tuple[int, int], partners: tuple[int, int]) -> DataFrame:
-    """Documents with owners (ranges of document counts and of places) and their partners, packed for each part that has such an owner."""
+PACKED = "n int, lengths binary, n_codes int, codes binary, n_numbers int, numbers binary"
+
+
+def unpack(lengths: pa.Scalar, n: int, numbers: pa.Scalar, n_numbers: int) -> tuple[np.ndarray, np.ndarray]:
+    return _whole(lengths.as_buffer(), n, np.int32), np.cumsum(_whole(numbers.as_buffer(), n_numbers, np.int32), dtype=np.int32)
+
+
+def _unpacked(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Lengths, codes and numbers of each row."""
+    n, n_codes, n_numbers = (batch.column(c).to_pylist() for c in ("n", "n_codes", "n_numbers"))
+    lengths, codes, numbers = (batch.column(c) for c in ("lengths", "codes", "numbers"))
+    for i in range(batch.num_rows):
+        sizes, found = unpack(lengths[i], n[i], numbers[i], n_numbers[i])
+        yield sizes, _whole(codes[i].as_buffer(), n_codes[i], np.int64), found
+
+
+def table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(c.strip().split(" ") for c in schema.split(",")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows), types, strict=True)], list(names))
+
+
+def packed(held: DataFrame) -> DataFrame:
+    """Documents' sorted codes t, many documents a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = batch.column("t")
-            flat, sizes = t.flatten().to_numpy(), pc.list_value_length(t).to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            own = np.flatnonzero(_within_range(flat, owners, places))
-            met = _within_range(flat, partners)
-            kept, ends = flat[met], np.cumsum(np.bincount(of[met], minlength=len(sizes)))
-            part = (flat[own] & _LOW) % parts
-            own = own[np.argsort(part, kind="stable")]
-            cuts = np.flatnonzero(np.diff(np.sort(part))) + 1
-            rows = []
-            for mine in np.split(own, cuts) if len(own) else []:
-                at, counts = np.unique(of[mine], return_counts=True)
-                firsts = np.where(at > 0, ends[at - 1], 0)
-                lengths = ends[at] - firsts
-                taken = kept[np.arange(lengths.sum()) + np.repeat(firsts - np.cumsum(lengths) + lengths, lengths)]
-                head = np.concatenate([counts, lengths]).astype(np.int32)
-                rows.append((int((flat[mine[0]] & _LOW) % parts), len(at), _squeezed(head), _squeezed(flat[mine]), _squeezed(taken)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "n", "head", "own", "met"])
-
-    return docs.select("t").mapInArrow(run, "part int, n int, head binary, own binary, met binary")
+            codes, numbers = np.unique(t.flatten().to_numpy(), return_inverse=True)
+            yield table([pack(len(t), pc.list_value_length(t).to_numpy(zero_copy_only=False), codes, numbers)], PACKED)
+
+    return held.select("t").mapInArrow(run, PACKED)
+
+
+def unpacked(docs: DataFrame) -> DataFrame:
+    """Their codes t again, a document a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lengths, codes, numbers in _unpacked(batch):
+                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[numbers]))], ["t"])
+
+    return docs.mapInArrow(run, "t array<bigint>")
+
+
+def _marked(terms: DataFrame, size: int) -> np.ndarray:
+    """A bit for each place: is it one of a's?"""
+    place = F.col("a").bitwiseAND(_LOW)
+    bits = np.zeros((size // _BITS + 1) * _BITS // 8, np.uint8)
+    for r in terms.groupBy(F.shiftright(place, 15).alias("g")).agg(F.expr(f"bitmap_construct_agg(a & {_BITS - 1})").alias("m")).toLocalIterator():
+        bits[r["g"] * _BITS // 8 :][: _BITS // 8] = np.frombuffer(r["m"], np.uint8)
+    return bits
+
+
+@dataclass
+class _Ask:
+    """Pairs to be counted: owners by document count, place and mark; partners by document count and, if given, mark."""
+
+    owners: tuple[int, int]
+    places: tuple[int, int]
+    partners: tuple[int, int]
+    owners_marked: np.ndarray | None = None
+    partners_marked: np.ndarray | None = None
+
+    @staticmethod
+    def _chosen(codes: np.ndarray, df: tuple[int, int], marked: np.ndarray | None) -> np.ndarray:
+        d, p = codes >> 32, codes & _LOW
+        chosen = (d > df[0]) & (d <= df[1])
+        return chosen if marked is None else chosen & (marked[p >> 3] >> (p & 7) & 1).astype(bool)
+
+    def sides(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = codes & _LOW
+        own = self._chosen(codes, self.owners, self.owners_marked) & (p >= self.places[0]) & (p < self.places[1])
+        return own, self._chosen(codes, self.partners, self.partners_marked)
+
+    def parts(self, docs: DataFrame) -> int:
+        """Tasks for the pairs; more where documents are too many for a task to hold."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lengths, codes, numbers in _unpacked(batch):
+                    own, met = self.sides(codes)
+                    of = np.repeat(np.arange(len(lengths)), lengths)
+                    x, y = np.bincount(of[own[numbers]], minlength=len(lengths)), np.bincount(of[met[numbers]], minlength=len(lengths))
+                    yield table([(int((x * y).sum()), int(y[x > 0].sum()))], _LOAD)
+
+        pairs, numbers = (x or 0 for x in docs.mapInArrow(run, _LOAD).agg(F.sum("pairs"), F.sum("numbers")).first())
+        return max(docs.sparkSession.sparkContext.defaultParallelism, -(-pairs // (COST if numbers <= TASK else min(COST, TASK))))
+
+
+_LOAD = "pairs bigint, numbers bigint"
+_DEALT = f"part int, {PACKED}, counts binary, n_own int, own binary"
+
+
+def _dealt(docs: DataFrame, parts: int, first: int, last: int, ask: _Ask) -> DataFrame:
+    """Documents with owners and their partners, packed for each part from first to last that has such an owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lengths, codes, numbers in _unpacked(batch):
+                owner, partner = ask.sides(codes)
+                part_of = (codes & _LOW) % parts
+                owner &= (part_of >= first) & (part_of < last)
+                of = np.repeat(np.arange(len(lengths)), lengths)
+                own = np.flatnonzero(owner[numbers])
+                met = partner[numbers]
+                kept, sizes = numbers[met], np.bincount(of[met], minlength=len(lengths))
+                ends, part = np.cumsum(sizes), part_of[numbers[own]]
+                own = own[np.argsort(part, kind="stable")]
+                cuts = np.flatnonzero(np.diff(np.sort(part))) + 1
+                rows = []
+                for mine in np.split(own, cuts) if len(own) else []:
+                    at, counts = np.unique(of[mine], return_counts=True)
+                    some = sizes[at]
+                    taken = kept[np.arange(some.sum()) + np.repeat(ends[at] - np.cumsum(some), some)]
+                    used = np.zeros(len(codes), bool)
+                    used[taken] = used[numbers[mine]] = True
+                    number = np.cumsum(used, dtype=np.int32) - 1
+                    steps = np.diff(number[numbers[mine]], prepend=np.int32(0))
+                    rows.append((int(part_of[numbers[mine[0]]]), *pack(len(at), some, codes[used], number[taken]), _squeezed(counts.astype(np.int32)), len(mine), _squeezed(steps)))
+                if rows:
+                    yield table(rows, _DEALT)
+
+    return docs.mapInArrow(run, _DEALT).repartitionById(last - first, "part")
+
+
+def _in_rounds(docs: DataFrame, ask: _Ask, count: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """What all parts count. A round deals documents to a number of parts, so that their copies on disk do not grow with parts."""
+    parts, out = ask.parts(docs), None
+    step = max(ROUND, docs.sparkSession.sparkContext.defaultParallelism)
+    for first in range(0, parts, step):
+        more = _dealt(docs, parts, first, min(first + step, parts), ask).groupBy("part").applyInArrow(count, _FOUND)
+        more = settled(more) if parts > step else more
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as a step is settled, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def _repeated(numbers: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,38 +225,25 @@ def _repeated(numbers: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return again[first], np.diff(np.append(first, len(again))) + least - 1
 
 
-def _numbered(codes: np.ndarray, found: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
-    """The places of found ones among the codes: by a table where it is no longer than a few times the codes."""
-    last = int((codes & _LOW).max()) if len(codes) else 0
-    if last < 8 * len(codes):
-        at = np.zeros(last + 1, np.int32)
-        at[codes & _LOW] = np.arange(len(codes), dtype=np.int32)
-        return (at[f & _LOW] for f in found)
-    return (np.searchsorted(codes, f).astype(np.int32) for f in found)
-
-
 class _Part:
     """The owners of a part, with the documents of each, whose partners are numbers of known codes in their order."""
 
     def __init__(self, table: pa.Table):
-        own, at, lengths, known, before = [], [], [], [], 0
-        rows = [(n, _whole(head, 2 * n, np.int32)) for n, head in zip(table.column("n").to_pylist(), table.column("head").to_pylist(), strict=True)]
-        packed, owners_of = table.column("met"), table.column("own")
-        met = lambda i: _whole(packed[i].as_buffer(), int(rows[i][1][rows[i][0] :].sum()), np.int64)
-        for i, (n, head) in enumerate(rows):
-            counts = head[:n]
-            own.append(_whole(owners_of[i].as_buffer(), int(counts.sum()), np.int64))
-            at.append(np.repeat(np.arange(before, before + n, dtype=np.int32), counts))
-            lengths.append(head[n:])
-            known.append(np.unique(met(i)))
-            before += n
-        none = [np.empty(0, np.int64)]
-        self.codes = np.unique(np.concatenate(known or none))
+        packed, n_codes = table.column("codes"), table.column("n_codes").to_pylist()
+        self.codes = np.unique(np.concatenate([_whole(c.as_buffer(), n, np.int64) for c, n in zip(packed, n_codes, strict=True)]))
         self.df, self.place = self.codes >> 32, self.codes & _LOW
-        # unpacked once more, so that only numbers of half the size are held together
-        self.numbers = np.concatenate(list(_numbered(self.codes, map(met, range(len(rows))))) or [np.empty(0, np.int32)])
-        self.ends = np.cumsum(np.concatenate(lengths or none))
-        owners, docs = np.concatenate(own or none), np.concatenate(at or none)
+        own, at, sizes, numbers, before = [], [], [], [], 0
+        for i, (lengths, codes, some) in enumerate(_unpacked(table)):
+            known = np.searchsorted(self.codes, codes).astype(np.int32)
+            counts = _whole(table.column("counts")[i].as_buffer(), len(lengths), np.int32)
+            steps = _whole(table.column("own")[i].as_buffer(), table.column("n_own")[i].as_py(), np.int32)
+            own.append(codes[np.cumsum(steps, dtype=np.int32)])
+            at.append(np.repeat(np.arange(before, before + len(lengths), dtype=np.int32), counts))
+            sizes.append(lengths)
+            numbers.append(known[some])
+            before += len(lengths)
+        self.numbers, self.ends = np.concatenate(numbers), np.cumsum(np.concatenate(sizes), dtype=np.int64)
+        owners, docs = np.concatenate(own), np.concatenate(at)
         order = np.argsort(owners, kind="stable")
         self.docs = docs[order]
         self.owners, self.first = np.unique(owners[order], return_index=True)
@@ -156,8 +274,8 @@ _FOUND = "a bigint, b bigint, n bigint"
 def _within(k: int, least: int, busy: int) -> Callable[[pa.Table], pa.Table]:
     """Terms whose documents include all of an owner's; any share counts for terms of more than `busy` documents."""
 
-    def run(table: pa.Table) -> pa.Table:
-        part, kept, held = _Part(table), [], 0
+    def run(rows: pa.Table) -> pa.Table:
+        part, kept, held = _Part(rows), [], 0
         done = tuple(np.empty(0, np.int64) for _ in range(3))
         for owner, numbers in part.groups():
             df = owner >> 32
@@ -176,28 +294,19 @@ def _within(k: int, least: int, busy: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _around(k: int, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The neighbours of the owners that are asked for."""
+def _around(k: int, least: int) -> Callable[[pa.Table], pa.Table]:
+    """The neighbours of the owners among the partners."""
 
-    def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-        wanted, part, out, held = set(asked.column("a").to_pylist()), _Part(table), [], 0
+    def run(rows: pa.Table) -> pa.Table:
+        part, out, held = _Part(rows), [], 0
         for owner, numbers in part.groups():
-            if owner not in wanted:
-                continue
-            df, times = owner >> 32, 4
-            while True:
-                # terms of more than df * times documents have a share below 1 / times
-                end = int(np.searchsorted(part.df, df * times, "right"))
-                at, n = _repeated(numbers if end == len(part.codes) else numbers[numbers < end], least)
-                own = part.codes[at] != owner
-                at, n = at[own], n[own]
+            at, n = _repeated(numbers, least)
+            own = part.codes[at] != owner
+            at, n = at[own], n[own]
+            if len(at) > k:
                 share = n / part.df[at]
-                last = np.partition(share, -k)[-k] if len(at) >= k else 0.0
-                if end == len(part.codes) or last * times >= 1:
-                    break
-                times = int(np.ceil(1 / last)) + 1 if last else times * 16
-            good = share >= last
-            at, n = at[good], n[good]
+                good = share >= np.partition(share, -k)[-k]
+                at, n = at[good], n[good]
             out.append((np.full(len(at), owner), part.codes[at], n))
             held += len(at)
             if held >= HELD:
@@ -207,62 +316,58 @@ def _around(k: int, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def _parts(docs: DataFrame, owners: tuple[int, int], places: tuple[int, int], partners: tuple[int, int]) -> int:
-    """Tasks for the pairs of owners and partners."""
-    df, place = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(_LOW)
-    own = F.size(F.filter("t", lambda x: df(x).between(owners[0] + 1, owners[1]) & place(x).between(places[0], places[1] - 1)))
-    met = F.size(F.filter("t", lambda x: df(x).between(partners[0] + 1, partners[1])))
-    pairs = docs.agg(F.sum(own.cast("bigint") * met)).first()[0] or 0
-    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-pairs // COST))
-
-
-def top(held: DataFrame, codes: DataFrame, k: int, least: int, counted: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def top(docs: DataFrame, codes: DataFrame, k: int, least: int, counted: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """a, b and n, with the k best neighbours b of every a among them.
 
-    held: doc and t, the codes (document count in the upper half, place in term order in the lower) of its terms in ascending
-    order; codes: all of them, as code; counted(docs, least): n of all pairs a < b.
+    docs: packed documents, of codes (document count in the upper half, place in term order in the lower); codes: all of them,
+    as code; counted(held, least): n of all pairs a < b of documents' sorted codes t.
     """
     df, place = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(_LOW)
     codes = settled(codes.select(F.col("code").alias("a")))
     size, most = codes.agg(F.count("*"), F.max(df("a"))).first()
     both_ways = lambda p: p.select(F.explode(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))).alias("p")).select("p.*")
     if size <= FEW:
-        return both_ways(counted(held, least))
-    docs = stored(held.select("t"))
-    most, found, before = most or 0, None, 0
-    # terms above so many documents still have fewer than k neighbours of share 1
-    wide, low, high = codes.filter(df("a") > NARROW), NARROW, most
+        return both_ways(counted(unpacked(docs), least))
     by = Window.partitionBy("a").orderBy(F.desc(F.col("n") / df("b")), place("b"))
-    for share in SLICES:
-        end = int(np.ceil(size * share))
-        if high > low and end > before:
-            ask = (0, OWNER), (before, end), (low, high)
-            parts = _parts(docs, *ask)
-            more = _dealt(docs, parts, *ask).repartition(parts, "part").groupBy("part").applyInArrow(_within(k, least, OWNER), _FOUND)
-            more = more if found is None else more.unionByName(found)
-            found = settled(more.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k).drop("r"))
-            before = end
-        full = found.filter(F.col("n") == df("b")).groupBy("a").agg(F.count("*").alias("c"), F.max(place("b")).alias("p")).filter(F.col("c") >= k) if found is not None else codes.select("a", F.lit(0).alias("c"), F.lit(0).alias("p")).limit(0)
-        open_ = settled(wide.join(full, "a", "left_anti"))
+    best = lambda more, found: settled((more if found is None else more.unionByName(found)).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k).drop("r"))
+    with tidied(docs.sparkSession):
+        docs, found, before = stored(docs), None, 0
+        # terms above so many documents still have fewer than k neighbours of share 1
+        open_ = codes.filter(df("a") > NARROW)
+        full = codes.select("a", F.lit(0).alias("p")).limit(0)
+        for share in SLICES:
+            end = int(np.ceil(size * share))
+            high = open_.agg(F.max(df("a"))).first()[0] or 0
+            low = OWNER if share == SLICES[-1] else NARROW  # the others count their own documents' terms
+            if high > low and end > before:
+                ask = _Ask((0, min(OWNER, high)), (before, end), (low, high), partners_marked=_marked(open_, size))
+                found = best(_in_rounds(docs, ask, _within(k, least, OWNER)), found)
+                before = end
+                full = found.filter(F.col("n") == df("b")).groupBy("a").agg(F.count("*").alias("c"), F.max(place("b")).alias("p")).filter(F.col("c") >= k)
+                open_ = settled(open_.join(full, "a", "left_anti"))
         high = open_.agg(F.max(df("a"))).first()[0] or 0
-        if SLICES.index(share) == len(SLICES) - 2:
-            low = OWNER  # the others count their own documents' terms
-    asked = codes.filter(df("a") <= NARROW).unionByName(open_.filter(df("a") <= OWNER))
-    top_owner = asked.agg(F.max(df("a"))).first()[0] or 0
-    out = found.join(asked, "a", "left_anti") if found is not None else None
-    if top_owner:
-        ask = (0, top_owner), _ALL, (0, most)
-        parts = _parts(docs, (0, min(top_owner, NARROW)), _ALL, (0, most))
-        asked = asked.withColumn("part", (place("a") % parts).cast("int"))
-        own = _dealt(docs, parts, *ask).repartition(parts, "part").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_around(k, least), _FOUND)
-        out = own if out is None else out.unionByName(own)
-    if most > OWNER:
-        busy = docs.select(F.filter("t", lambda x: F.shiftright(x, 32) > OWNER).alias("t")).filter(F.size("t") > 1)
-        if high > OWNER:
-            pairs = both_ways(counted(busy, least))
-        else:  # every such term has its k neighbours of share 1: only one before the last of them can take its place
-            last = full.filter(df("a") > OWNER).agg(F.max("p")).first()[0] or 0
-            firsts = busy.select("t", F.explode(F.filter("t", lambda x: x.bitwiseAND(_LOW) < last)).alias("b"))
-            pairs = firsts.select(F.explode("t").alias("a"), "b").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out if out is not None else held.sparkSession.createDataFrame([], _FOUND)
+        # partners of many documents are counted only while they can be among the k best
+        asked = settled(codes.filter(df("a") <= NARROW).unionByName(open_.filter(df("a") <= OWNER)))
+        out = found.join(asked, "a", "left_anti") if found is not None else None
+        around, low = None, 0
+        for end in [*(t for t in TIERS if t < most), most]:
+            top_owner = asked.agg(F.max(df("a"))).first()[0] or 0
+            if not top_owner:
+                break
+            more = _in_rounds(docs, _Ask((0, top_owner), _ALL, (low, end), owners_marked=_marked(asked, size)), _around(k, least))
+            around = settled(more) if around is None else best(more, around)  # a part has all of its owners' documents
+            # a term of more than `end` documents has a share below df_a / end
+            done = around.groupBy("a").agg(F.count("*").alias("c"), F.min(F.col("n") / df("b")).alias("s")).filter((F.col("c") >= k) & (F.col("s") * end >= df("a")))
+            asked, low = settled(asked.join(done, "a", "left_anti")), end
+        if around is not None:
+            out = around if out is None else out.unionByName(around)
+        if most > OWNER:
+            busy = unpacked(docs).select(F.filter("t", lambda x: F.shiftright(x, 32) > OWNER).alias("t")).filter(F.size("t") > 1)
+            if high > OWNER:
+                pairs = both_ways(counted(busy, least))
+            else:  # every such term has its k neighbours of share 1: only one before the last of them can take its place
+                last = full.filter(df("a") > OWNER).agg(F.max("p")).first()[0] or 0
+                firsts = busy.select("t", F.explode(F.filter("t", lambda x: x.bitwiseAND(_LOW) < last)).alias("b"))
+                pairs = firsts.select(F.explode("t").alias("a"), "b").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+            out = pairs if out is None else out.unionByName(pairs)
+        return settled(out) if out is not None else docs.sparkSession.createDataFrame([], _FOUND)

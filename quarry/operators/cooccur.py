@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from . import bounded
 from .settle import settled as _settled
+from .settle import stored
 
 #: Terms of a block: a task forms the pairs of two blocks of a document at a time.
 BLOCK = 512
@@ -21,9 +28,9 @@ def frequencies(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _vocabulary(terms: DataFrame, least: int) -> DataFrame:
+def _vocabulary(frequencies: DataFrame, least: int) -> DataFrame:
     """term and code of terms in `least` documents or more: df in the upper half, place in term order in the lower."""
-    common = frequencies(terms).filter(F.col("df") >= least).orderBy("term")
+    common = frequencies.filter(F.col("df") >= least).orderBy("term")
     placed = _settled(common.select("term", "df", F.monotonically_increasing_id().alias("at")))
     part = F.shiftright("at", 33)
     before, offsets = 0, []
@@ -68,20 +75,58 @@ def _tasks(df: DataFrame) -> int:
 
 def pairs(terms: DataFrame, least: int = 2) -> DataFrame:
     """a < b and n, the documents that hold both; rare terms go first, since their pairs cannot count."""
-    vocabulary = _vocabulary(terms, least)
+    vocabulary = _vocabulary(frequencies(terms), least)
     named = lambda c: vocabulary.toDF(f"t{c}", c)
     both = _counted(_held(terms, vocabulary), least).join(named("a"), "a").join(named("b"), "b")
     return both.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "n")
 
 
-def ppmi(terms: DataFrame, documents: int, k: int = 10, least: int = 2) -> DataFrame:
-    """term, neighbour, weight: the k neighbours of highest positive pointwise mutual information, ties to the smaller.
-
-    Bounds leave out most pairs. Codes carry what weights and ties need, so only the neighbours that are kept meet their names.
-    """
-    vocabulary = _vocabulary(terms, least)
+def _worded(docs: DataFrame) -> DataFrame:
+    """Many documents a row: an id, their distinct terms and counts of documents, and the numbers of those that each holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(batches):
+            lists = batch.column("terms")
+            n, sizes = len(lists), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            words = lists.flatten().dictionary_encode()
+            known, terms = pc.is_valid(words.indices).to_numpy(zero_copy_only=False), words.dictionary
+            keys = np.repeat(np.arange(n, dtype=np.int64), sizes)[known] * max(1, len(terms)) + pc.drop_null(words.indices).to_numpy()
+            doc, numbers = np.divmod(np.unique(keys), max(1, len(terms)))  # a term that a document repeats counts once
+            _, lengths, _, _, n_numbers, packed = bounded.pack(n, np.bincount(doc, minlength=n), np.empty(0, np.int64), numbers)
+            ends = pa.array([0, len(terms)], pa.int32())
+            counts = pa.array(np.bincount(numbers, minlength=len(terms)).astype(np.int32))
+            columns = [[TaskContext.get().partitionId() << 32 | i], pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, counts), [n], [lengths], [n_numbers], [packed]]
+            kinds = [pa.int64(), None, None, pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) if k else c for c, k in zip(columns, kinds, strict=True)], ["id", "terms", "counts", "n", "lengths", "n_numbers", "numbers"])
+
+    return docs.select("terms").mapInArrow(run, "id bigint, terms array<string>, counts array<int>, n int, lengths binary, n_numbers int, numbers binary")
+
+
+def _coded(worded: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The documents with codes for terms, packed; only terms of rows are joined, not those of documents."""
+    codes = worded.select("id", F.posexplode("terms").alias("i", "term")).join(vocabulary, "term").groupBy("id").agg(F.collect_list(F.struct("i", "code")).alias("c"))
+    rows = worded.select("id", F.size("terms").alias("n_terms"), "n", "lengths", "n_numbers", "numbers").join(codes, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j, r in enumerate(batch.select(["n_terms", "n", "n_numbers"]).to_pylist()):
+                lengths, numbers = bounded.unpack(batch.column("lengths")[j], r["n"], batch.column("numbers")[j], r["n_numbers"])
+                codes = batch.column("code")[j].values.to_numpy()
+                order = np.argsort(codes)
+                number = np.full(r["n_terms"], -1, np.int64)
+                number[batch.column("i")[j].values.to_numpy()[order]] = np.arange(len(codes))
+                found = number[numbers]
+                keys = np.sort(np.repeat(np.arange(r["n"], dtype=np.int64), lengths)[found >= 0] * len(codes) + found[found >= 0])
+                doc, found = np.divmod(keys, len(codes))
+                yield bounded.table([bounded.pack(r["n"], np.bincount(doc, minlength=r["n"]), codes[order], found)], bounded.PACKED)
+
+    return rows.select("n_terms", "n", "lengths", "n_numbers", "numbers", F.col("c")["i"].alias("i"), F.col("c")["code"].alias("code")).mapInArrow(run, bounded.PACKED)
+
+
+def _weighed(docs: DataFrame, vocabulary: DataFrame, documents: int, k: int, least: int) -> DataFrame:
+    """term, neighbour and weight. Codes carry what weights and ties need, so only the neighbours that are kept meet their names."""
     df = lambda c: F.shiftright(c, 32)
-    found = bounded.top(_held(terms, vocabulary), vocabulary.select("code"), k, least, _counted)
+    found = bounded.top(docs, vocabulary.select("code"), k, least, _counted)
     weight = F.log(F.col("n") * F.lit(float(documents)) / (df("a") * df("b")))
     both = found.select(F.col("a").alias("t"), F.col("b").alias("o"), weight.alias("weight")).filter("weight > 0")
     by = Window.partitionBy("t").orderBy(F.desc("weight"), _place("o"))
@@ -89,6 +134,24 @@ def ppmi(terms: DataFrame, documents: int, k: int = 10, least: int = 2) -> DataF
     return kept.join(vocabulary.toDF("term", "t"), "t").join(vocabulary.toDF("neighbour", "o"), "o").select("term", "neighbour", "weight")
 
 
+def ppmi(terms: DataFrame, documents: int, k: int = 10, least: int = 2) -> DataFrame:
+    """term, neighbour, weight: the k neighbours of highest positive pointwise mutual information, ties to the smaller.
+
+    Bounds leave out most pairs.
+    """
+    vocabulary = _vocabulary(frequencies(terms), least)
+    return _weighed(bounded.packed(_held(terms, vocabulary)), vocabulary, documents, k, least)
+
+
+def document_ppmi(docs: DataFrame, documents: int, k: int = 10, least: int = 2) -> DataFrame:
+    """The same of rows with `terms`, a document each. Terms are made once and shuffled once for each batch of documents."""
+    with bounded.tidied(docs.sparkSession):
+        worded = stored(_worded(docs))
+        counts = worded.select(F.explode(F.arrays_zip("terms", "counts")).alias("c")).groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("df"))
+        vocabulary = _vocabulary(counts, least)
+        return _weighed(_coded(worded, vocabulary), vocabulary, documents, k, least)
+
+
 def rebuild(existing: DataFrame | None, changed: int, least_changed: int, build) -> DataFrame:
     """The existing table while fewer than `least_changed` files changed, else build()."""
     if existing is not None and changed < least_changed and not existing.isEmpty():

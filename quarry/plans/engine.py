@@ -149,8 +149,7 @@ class Engine:
         known, whole = self.tables.table("neighbours"), {}
         if changed >= REBUILT or known.isEmpty():
             contents = held.join(touched, "id", "left_anti").select("id", "content").unionByName(delta.select("id", "content"))
-            terms = cooccur.document_terms(contents.select(F.col("id").alias("doc"), self.vocabulary(F.col("content")).alias("terms")))
-            whole["neighbours"] = cooccur.ppmi(terms, contents.count())
+            whole["neighbours"] = cooccur.document_ppmi(contents.select(self.vocabulary(F.col("content")).alias("terms")), contents.count())
         self.tables.commit(changes, self._totals(stats, replaced) | {"reindex": ""}, **whole)
         return changed
 

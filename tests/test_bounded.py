@@ -50,3 +50,37 @@ def test_no_documents(spark):
     rows = spark.createDataFrame([(1, []), (2, ["once"])], "doc long, terms array<string>")
     assert cooccur.ppmi(cooccur.document_terms(rows), 2).collect() == []
     assert cooccur.ppmi(cooccur.document_terms(rows.limit(0)), 0).collect() == []
+
+
+def test_copies_of_documents_do_not_grow_with_parts(spark, monkeypatch):
+    """Each deal goes to a round of parts, however many there are, and its shuffle files go with it."""
+    for name, value in (("NARROW", 2), ("OWNER", 10), ("COST", 2000), ("FEW", 0), ("ROUND", 4)):
+        monkeypatch.setattr(bounded, name, value)
+    copies, deal = [], bounded._dealt
+
+    def counted(docs, *rest):
+        out = deal(docs, *rest)
+        copies.append((out.select("part").distinct().count(), out.count(), docs.count()))
+        return out
+
+    monkeypatch.setattr(bounded, "_dealt", counted)
+    docs = corpus(8, 60)
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc long, terms array<string>")
+    got = {(r["term"], r["neighbour"]) for r in cooccur.ppmi(cooccur.document_terms(rows), len(docs)).collect()}
+    assert got == {x[:2] for x in by_counting(docs, 10)}
+    most = max(4, spark.sparkContext.defaultParallelism)
+    assert len(copies) > 6 and all(parts <= most and n <= most * rows for parts, n, rows in copies)
+
+
+@pytest.mark.parametrize("few", [0, 1024])
+def test_terms_of_documents_by_batches(spark, monkeypatch, few):
+    """Repeats count once; null terms, null lists and empty ones hold nothing."""
+    monkeypatch.setattr(bounded, "FEW", few)
+    docs = [[*d, *d[:3]] for d in corpus(9)]
+    held = [*docs, [], [], []]
+    rows = spark.createDataFrame([*((d,) for d in docs), ([],), (None,), ([None, None],)], "terms array<string>").repartition(5)
+    before = spark.conf.get(bounded._CLEANUP)
+    got = {(r["term"], r["neighbour"]) for r in cooccur.document_ppmi(rows, len(held)).collect()}
+    assert got == {x[:2] for x in by_counting(held, 10)} and spark.conf.get(bounded._CLEANUP) == before
+    for none in (rows.limit(0), rows.filter("size(terms) = 0")):
+        assert cooccur.document_ppmi(none, 0).collect() == []

@@ -13,7 +13,7 @@ block goes only if its bound is below the threshold at the places that count. Ph
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +26,16 @@ from pyspark.sql.types import StructField
 
 from ..functions import text as T
 from . import fts, matching
-from .settle import settled, stored
-
-#: Documents of a block.
-PER_BLOCK = 128
+from .settle import settled, small_batches, stored
+
+#: Documents of a block, and its terms with their repeats; a single document can have more.
+PER_BLOCK, BLOCK_TERMS = 128, 1 << 17
+#: Bytes of documents that a task sorts by length at a time.
+SORTED = 24 << 20
+#: Documents and blocks that Python gets at a time: whole partitions would stand several times in an executor's memory.
+DOCUMENTS, BLOCKS_AT_ONCE = 256, 8
+#: Bytes of blocks that are read at a time.
+GROUP = 4 << 20
 #: What the order of addition can change of a bound, relative and absolute.
 SLACK = 1e-8
 
@@ -47,42 +53,62 @@ class BlockIndex:
 BLOCKS = "block bigint, id array<string>, type array<string>, dl array<bigint>, terms array<string>, most array<int>, least array<int>, ends array<int>, doc array<int>, tf array<int>, positions array<int>"
 
 
-def _posted(per_block: int):
-    """Blocks of batches of (id, type, terms): documents are taken in the order of their lengths, per_block of them at a time."""
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of `most` bytes and a batch more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            whole, held, size = pa.concat_batches(held), [], 0
+            yield whole
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _posted(per_block: int, most_terms: int, at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of batches of (id, type, terms): documents are taken in the order of their lengths, per_block of them at a time, or
+    fewer that have most_terms."""
 
     def run(batches):
         made = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in _gathered(batches, at_once):
             length = pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
             order = np.argsort(length, kind="stable")
             for at in range(0, len(order), per_block):
-                rows = order[at : at + per_block]
-                part, size = batch.take(pa.array(rows)), length[rows].astype(np.int64)
-                words = part.column("terms").flatten().dictionary_encode()
-                by_name = pc.sort_indices(words.dictionary).to_numpy()
-                place = np.empty(len(by_name), np.int64)
-                place[by_name] = np.arange(len(by_name))
-                doc = np.repeat(np.arange(len(rows)), size)
-                pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-                code = place[words.indices.to_numpy()] * len(rows) + doc
-                by = np.argsort(code, kind="stable")
-                first = np.flatnonzero(np.diff(code[by], prepend=-1))
-                tf, who, term = np.diff(first, append=len(by)), doc[by][first], code[by][first] // len(rows)
-                starts = np.flatnonzero(np.diff(term, prepend=-1))
-                most, least = (np.maximum.reduceat(tf, starts), np.minimum.reduceat(size[who], starts)) if len(starts) else (tf, tf)
-                lists = [part.column("id"), part.column("type"), pa.array(size), words.dictionary.take(pa.array(by_name)), pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32))]
-                lists += [pa.array(x.astype(np.int32)) for x in (np.append(starts[1:], len(term)) if len(starts) else starts, who, tf, pos[by])]
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([pa.array([made]), *map(one, lists)], names=["block", "id", "type", "dl", "terms", "most", "least", "ends", "doc", "tf", "positions"])
-                made += 1
+                alike = order[at : at + per_block]
+                for start, n in matching.slices(length[alike].astype(np.int64), most_terms):
+                    rows = alike[start : start + n]
+                    yield _block(made, batch.take(pa.array(rows)), length[rows].astype(np.int64))
+                    made += 1
 
     return run
 
 
+def _block(number: int, part: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+    words = part.column("terms").flatten().dictionary_encode()
+    by_name = pc.sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(by_name), np.int64)
+    place[by_name] = np.arange(len(by_name))
+    doc = np.repeat(np.arange(len(size)), size)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    code = place[words.indices.to_numpy()] * len(size) + doc
+    by = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[by], prepend=-1))
+    tf, who, term = np.diff(first, append=len(by)), doc[by][first], code[by][first] // len(size)
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    most, least = (np.maximum.reduceat(tf, starts), np.minimum.reduceat(size[who], starts)) if len(starts) else (tf, tf)
+    lists = [part.column("id"), part.column("type"), pa.array(size), words.dictionary.take(pa.array(by_name)), pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32))]
+    lists += [pa.array(x.astype(np.int32)) for x in (np.append(starts[1:], len(term)) if len(starts) else starts, who, tf, pos[by])]
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return pa.RecordBatch.from_arrays([pa.array([number]), *map(one, lists)], names=["block", "id", "type", "dl", "terms", "most", "least", "ends", "doc", "tf", "positions"])
+
+
 def build(nodes: DataFrame, per_block: int = PER_BLOCK) -> BlockIndex:
     """The stored index of nodes (id, type, content), which is made without a shuffle: a block lies in one task."""
     cut = nodes.select("id", "type", T.unicode_terms(F.col("content")).alias("terms"))
-    blocks = stored(cut.mapInArrow(_posted(per_block), BLOCKS))
+    with small_batches(nodes.sparkSession, DOCUMENTS):
+        blocks = stored(cut.mapInArrow(_posted(per_block, BLOCK_TERMS, SORTED), BLOCKS), GROUP)
     return BlockIndex(blocks, settled(fts.totals(blocks.select(F.explode("dl").alias("dl")))), per_block)
 
 
@@ -169,14 +195,15 @@ class _Search:
 def search(index: BlockIndex, queries: DataFrame, k: int = 200, files_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """query_id, id, type, bm25 and rank of the k best nodes of each query; and query_id, n_blocks and n_scored, the blocks that
     could hold a hit and those that were read for it."""
-    run = _Search(index, queries, k, files_only)
-    bounds = stored(run.bounds())
-    some = 2 * -(-k // index.per_block)
-    by = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    first = settled(bounds.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= some).drop("n"))
-    best = settled(fts.top(run.score(first), k, "place"))
-    least = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("place").alias("least")).filter(F.col("n") == k).select("query_id", "least")
-    rest = settled(bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(least, "query_id", "left").filter("least is null or bound >= least").select("query_id", "query", "block"))
-    found = fts.top(best.drop("rank").unionByName(run.score(rest)), k, "place")
+    with small_batches(queries.sparkSession, BLOCKS_AT_ONCE):
+        run = _Search(index, queries, k, files_only)
+        bounds = stored(run.bounds())
+        some = 2 * -(-k // index.per_block)
+        by = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+        first = settled(bounds.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= some).drop("n"))
+        best = settled(fts.top(stored(run.score(first)), k, "place"))
+        least = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("place").alias("least")).filter(F.col("n") == k).select("query_id", "least")
+        rest = settled(bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(least, "query_id", "left").filter("least is null or bound >= least").select("query_id", "query", "block"))
+        found = fts.top(best.drop("rank").unionByName(stored(run.score(rest))), k, "place")
     read = first.select("query_id", "block").unionByName(rest.select("query_id", "block")).groupBy("query_id").agg(F.count("*").alias("n_scored"))
     return found.select("query_id", "id", "type", "bm25", "rank"), bounds.groupBy("query_id").agg(F.count("*").alias("n_blocks")).join(read, "query_id")

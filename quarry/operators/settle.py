@@ -45,6 +45,18 @@ def settled(df: DataFrame) -> DataFrame:
     return held[-1]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Python gets so many rows at a time, or fewer where the session says so, of what the block computes; what it leaves lazy gets the session's."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _saved(spark: SparkSession, writer) -> DataFrame:
     """A table below spark.checkpoint.dir, or in the warehouse where that is unset, until released."""
     name, root = f"quarry_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None)
@@ -54,9 +66,11 @@ def _saved(spark: SparkSession, writer) -> DataFrame:
     return spark.table(name)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table, of which later reads take only the columns and row groups that they need."""
-    return _saved(df.sparkSession, df.write)
+def stored(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+    """df as a Parquet table, of which later reads take only the columns and row groups that they need; a task that reads it holds a
+    row group, so rows that are large want groups of fewer bytes, looked at row by row."""
+    small = {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1} if group_bytes else {}
+    return _saved(df.sparkSession, df.write.options(**small))
 
 
 def bucketed(df: DataFrame, parts: int, *keys: str) -> DataFrame:

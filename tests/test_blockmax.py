@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from quarry.operators import blockmax, fts, settle
 
 
@@ -34,3 +37,24 @@ def test_hits_are_not_shuffled(spark, capsys):
     dealt = [x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in x]
     assert dealt and not any("phrase" in x or "id#" in x.split("query_id#")[0] for x in dealt)
     settle.release()
+
+
+def test_blocks_and_batches_are_bounded(spark, monkeypatch):
+    """Long documents make blocks of fewer, tasks get few blocks at a time, and results stay."""
+    monkeypatch.setattr(blockmax, "BLOCK_TERMS", 500)
+    monkeypatch.setattr(blockmax, "SORTED", 1 << 10)
+    monkeypatch.setattr(blockmax, "GROUP", 1 << 12)
+    rows = [(f"d{i:02d}", "go_file", " ".join(f"w{(i * j) % 11} common" for j in range(120 if i % 3 else 3))) for i in range(60)] + [("long", "go_file", "w1 common " * 900)]
+    nodes = spark.createDataFrame(rows, "id string, type string, content string").coalesce(1)
+    queries = spark.createDataFrame([(1, "w1 w7"), (2, "common")], "query_id long, query string")
+    index = blockmax.build(nodes)
+    sizes = [(sum(r["dl"]), len(r["dl"])) for r in index.blocks.select("dl").collect()]
+    assert sum(n for _, n in sizes) == 61 and all(terms <= 500 or n == 1 for terms, n in sizes)
+    assert sum(pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in index.blocks.inputFiles()) > 1
+    shape = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["bm25"], 9)) for r in df.collect())
+    assert shape(blockmax.search(index, queries, 9)[0]) == shape(fts.search(nodes, queries, 9, True))
+    lengths = lambda df: {r["n"] for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()}
+    with settle.small_batches(spark, 8):
+        assert lengths(spark.range(0, 50, 1, 1)) == {8, 2}
+    assert lengths(spark.range(0, 50, 1, 1)) == {50}
+    settle.release()

@@ -7,7 +7,9 @@ above min(df_a, df_b) / df_b. Terms lie in the order of their document counts, s
   meet them in slices of that order, and it ends for a term with its k-th such neighbour (`_within`).
 * Terms of few documents, and others left open, count their own documents' terms up to the bound that the k-th share so far sets
   (`_around`).
-* Pairs of two terms of very many documents are counted by partial sums, for no task could hold their documents.
+* Pairs of two terms of very many documents are counted by partial sums, for no task could hold their documents: tasks that hold
+  some of the documents add up the counts of some owners with all such terms (`_busy`). Owners are those that still lack neighbours,
+  and those that come before the last neighbour of one that has them.
 
 Tasks get an owner's documents whole, each document once for all of a task's owners. More pairs mean more tasks; results do not
 depend on any of the numbers below.
@@ -41,6 +43,8 @@ COST = 1 << 30
 TASK = 1 << 26
 #: Parts that documents are dealt to at a time, or as many as there are cores.
 ROUND = 12
+#: Counts of owners with terms of very many documents that a task adds up at a time.
+CELLS = 1 << 23
 #: So many terms have few enough pairs for every task to count all that it meets.
 FEW = 1024
 #: Found neighbours that a task holds before it keeps the best of each term.
@@ -316,6 +320,93 @@ def _around(k: int, least: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+@dataclass
+class _Busy:
+    """Terms of very many documents: codes in order, which of them are open, and for the others the place of their last neighbour."""
+
+    codes: np.ndarray
+    open: np.ndarray
+    last: np.ndarray
+
+    @classmethod
+    def of(cls, codes: DataFrame, open_: DataFrame, full: DataFrame) -> _Busy:
+        known = np.sort(codes.toArrow().column("a").to_numpy())
+        last, ended = np.zeros(len(known), np.int64), full.select("a", "p").toArrow()
+        last[np.searchsorted(known, ended.column("a").to_numpy())] = ended.column("p").to_numpy()
+        lacking = np.isin(known, open_.select("a").toArrow().column("a").to_numpy())
+        return cls(known, lacking, np.where(lacking, 0, last))
+
+    def owners(self) -> np.ndarray:
+        """The numbers of terms whose counts are asked for: a neighbour of share 1 is in no more documents than its term."""
+        df = self.codes >> 32
+        later = np.maximum.accumulate(self.last[::-1])[::-1][np.searchsorted(df, df)] if len(df) else self.last
+        return np.flatnonzero(self.open | ((self.codes & _LOW) < later))
+
+    def counts(self, owners: np.ndarray, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """For each part of the owners, their counts with all terms in a task's documents."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = np.zeros((len(owners), len(self.codes)), np.int32)
+            row = np.full(len(self.codes), -1, np.int64)
+            row[owners] = np.arange(len(owners))
+            for batch in batches:
+                for lengths, codes, numbers in _unpacked(batch):
+                    at = np.searchsorted(self.codes, codes)
+                    at[codes != np.append(self.codes, -1)[at]] = -1
+                    of, term = np.repeat(np.arange(len(lengths)), lengths), at[numbers]
+                    of, term = of[term >= 0], term[term >= 0]
+                    sizes = np.bincount(of, minlength=len(lengths))
+                    firsts = np.cumsum(sizes) - sizes
+                    mine = np.flatnonzero(row[term] >= 0)
+                    mine = mine[np.argsort(row[term[mine]], kind="stable")]
+                    for some in np.split(mine, np.flatnonzero(np.diff(row[term[mine]])) + 1) if len(mine) else []:
+                        docs = of[some]
+                        n = sizes[docs]
+                        held = np.arange(n.sum()) + np.repeat(firsts[docs] - np.cumsum(n) + n, n)
+                        found[row[term[some[0]]]] += np.bincount(term[held], minlength=len(self.codes)).astype(np.int32)
+            for part in range(min(parts, len(owners))):
+                if found[part::parts].any():
+                    yield table([(part, _squeezed(np.ascontiguousarray(found[part::parts]).reshape(-1)))], _SUMS)
+
+        return run
+
+    def neighbours(self, owners: np.ndarray, parts: int, k: int, least: int) -> Callable[[pa.Table], pa.Table]:
+        """The best neighbours of an open owner; other terms that an owner is a neighbour of share 1 to, before their last one."""
+        df, place = self.codes >> 32, self.codes & _LOW
+
+        def run(rows: pa.Table) -> pa.Table:
+            mine = owners[rows.column("part")[0].as_py() :: parts]
+            n = sum(_whole(x.as_buffer(), len(mine) * len(df), np.int32) for x in rows.column("counts")).reshape(len(mine), len(df))
+            out = []
+            for x, found in zip(mine.tolist(), n, strict=True):
+                to = (found == df[x]) & (place[x] < self.last)
+                to[x] = False
+                out.append((self.codes[to], np.full(to.sum(), self.codes[x]), found[to]))
+                if self.open[x]:
+                    good = found >= least
+                    good[x] = False
+                    out.append(_best(np.full(good.sum(), self.codes[x]), self.codes[good], found[good], k))
+            return _rows(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+        return run
+
+
+_SUMS = "part int, counts binary"
+
+
+def _busy(docs: DataFrame, busy: _Busy, k: int, least: int) -> DataFrame | None:
+    """Pairs of terms of very many documents, in rounds of owners."""
+    owners, out = busy.owners(), None
+    tasks = max(ROUND, docs.sparkSession.sparkContext.defaultParallelism)
+    step = max(1, CELLS // max(1, len(busy.codes)))
+    for first in range(0, len(owners), step):
+        some = owners[first : first + step]
+        sums = docs.coalesce(tasks).mapInArrow(busy.counts(some, tasks), _SUMS).repartitionById(tasks, "part")
+        more = settled(sums.groupBy("part").applyInArrow(busy.neighbours(some, tasks, k, least), _FOUND))
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
 def top(docs: DataFrame, codes: DataFrame, k: int, least: int, counted: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """a, b and n, with the k best neighbours b of every a among them.
 
@@ -362,12 +453,7 @@ def top(docs: DataFrame, codes: DataFrame, k: int, least: int, counted: Callable
         if around is not None:
             out = around if out is None else out.unionByName(around)
         if most > OWNER:
-            busy = unpacked(docs).select(F.filter("t", lambda x: F.shiftright(x, 32) > OWNER).alias("t")).filter(F.size("t") > 1)
-            if high > OWNER:
-                pairs = both_ways(counted(busy, least))
-            else:  # every such term has its k neighbours of share 1: only one before the last of them can take its place
-                last = full.filter(df("a") > OWNER).agg(F.max("p")).first()[0] or 0
-                firsts = busy.select("t", F.explode(F.filter("t", lambda x: x.bitwiseAND(_LOW) < last)).alias("b"))
-                pairs = firsts.select(F.explode("t").alias("a"), "b").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-            out = pairs if out is None else out.unionByName(pairs)
+            many = lambda c: c.filter(df("a") > OWNER)
+            pairs = _busy(docs, _Busy.of(many(codes), many(open_), many(full)), k, least)
+            out = pairs if out is None else out if pairs is None else out.unionByName(pairs)
         return settled(out) if out is not None else docs.sparkSession.createDataFrame([], _FOUND)

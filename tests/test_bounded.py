@@ -84,3 +84,19 @@ def test_terms_of_documents_by_batches(spark, monkeypatch, few):
     assert got == {x[:2] for x in by_counting(held, 10)} and spark.conf.get(bounded._CLEANUP) == before
     for none in (rows.limit(0), rows.filter("size(terms) = 0")):
         assert cooccur.document_ppmi(none, 0).collect() == []
+
+
+@pytest.mark.parametrize("narrow, owner, seed", [(2, 10, 2), (0, 4, 5), (2, 3, 11)])
+def test_pairs_of_frequent_terms_are_added_up_within_tasks(spark, monkeypatch, narrow, owner, seed):
+    """Such pairs are not shuffled one by one, in however many rounds their owners come."""
+    for name, value in (("NARROW", narrow), ("OWNER", owner), ("SLICES", (1 / 8, 1 / 2, 1.0)), ("FEW", 0), ("CELLS", 600)):
+        monkeypatch.setattr(bounded, name, value)
+
+    def shuffled(*_):
+        raise AssertionError("pairs are shuffled")
+
+    monkeypatch.setattr(cooccur, "_counted", shuffled)
+    docs = corpus(seed, 60)
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc long, terms array<string>").repartition(3)
+    got = {(r["term"], r["neighbour"], round(r["weight"], 9)) for r in cooccur.ppmi(cooccur.document_terms(rows), len(docs)).collect()}
+    assert got == by_counting(docs, 10)

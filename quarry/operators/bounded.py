@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .settle import settled, stored
+from .settle import settled, small_batches, stored
 
 #: Up to so many documents, a term counts its own documents' terms; above, it first meets owners in term order.
 NARROW = 32
@@ -39,16 +39,20 @@ SLICES = (1 / 256, 1 / 32, 1 / 8, 1 / 4, 1.0)
 TIERS = (64, 1024)
 #: Pairs of an owner's document and one of its terms for a task.
 COST = 1 << 30
-#: Numbers of documents' terms that a task holds.
-TASK = 1 << 26
+#: Numbers of documents' terms that a task holds, and the most parts, as a power of two times the cores, that are tried for it.
+TASK, DOUBLED = 1 << 24, 24
+#: Packed rows of documents that Python gets at a time: a group's rows would stand several times in an executor's memory.
+AT_ONCE = 4
 #: Parts that documents are dealt to at a time, or as many as there are cores.
 ROUND = 12
 #: Counts of owners with terms of very many documents that a task adds up at a time.
 CELLS = 1 << 23
+#: Documents of an owner whose terms a task has in memory as numbers at a time.
+SPREAD = 512
 #: So many terms have few enough pairs for every task to count all that it meets.
 FEW = 1024
-#: Found neighbours that a task holds before it keeps the best of each term.
-HELD = 1 << 21
+#: Found neighbours that a task holds before it keeps the best of each term, and that it returns at a time.
+HELD, RETURNED = 1 << 21, 1 << 17
 
 _LOW = (1 << 32) - 1
 _ALL = (0, 1 << 32)
@@ -149,7 +153,8 @@ class _Ask:
         return own, self._chosen(codes, self.partners, self.partners_marked)
 
     def parts(self, docs: DataFrame) -> int:
-        """Tasks for the pairs; more where documents are too many for a task to hold."""
+        """Tasks for the pairs; more where documents are too many for a task to hold, by the share of a document's owners that a part has."""
+        least = docs.sparkSession.sparkContext.defaultParallelism
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -157,13 +162,15 @@ class _Ask:
                     own, met = self.sides(codes)
                     of = np.repeat(np.arange(len(lengths)), lengths)
                     x, y = np.bincount(of[own[numbers]], minlength=len(lengths)), np.bincount(of[met[numbers]], minlength=len(lengths))
-                    yield table([(int((x * y).sum()), int(y[x > 0].sum()))], _LOAD)
+                    held = [int(np.ceil((y * (1 - (1 - 1 / (least << i)) ** x)).sum())) for i in range(DOUBLED)]
+                    yield pa.RecordBatch.from_pydict({"pairs": [int((x * y).sum())], "held": [held]})
 
-        pairs, numbers = (x or 0 for x in docs.mapInArrow(run, _LOAD).agg(F.sum("pairs"), F.sum("numbers")).first())
-        return max(docs.sparkSession.sparkContext.defaultParallelism, -(-pairs // (COST if numbers <= TASK else min(COST, TASK))))
+        sums = docs.mapInArrow(run, "pairs bigint, held array<bigint>").agg(F.sum("pairs"), *(F.sum(F.col("held")[i]) for i in range(DOUBLED))).first()
+        pairs, held = sums[0] or 0, [x or 0 for x in sums[1:]]
+        parts = least << next((i for i, x in enumerate(held) if x <= TASK), DOUBLED - 1)
+        return max(parts, -(-pairs // COST))
 
 
-_LOAD = "pairs bigint, numbers bigint"
 _DEALT = f"part int, {PACKED}, counts binary, n_own int, own binary"
 
 
@@ -236,7 +243,8 @@ class _Part:
         packed, n_codes = table.column("codes"), table.column("n_codes").to_pylist()
         self.codes = np.unique(np.concatenate([_whole(c.as_buffer(), n, np.int64) for c, n in zip(packed, n_codes, strict=True)]))
         self.df, self.place = self.codes >> 32, self.codes & _LOW
-        own, at, sizes, numbers, before = [], [], [], [], 0
+        own, at, sizes, before, filled = [], [], [], 0, 0
+        self.numbers = np.empty(sum(table.column("n_numbers").to_pylist()), np.int32)
         for i, (lengths, codes, some) in enumerate(_unpacked(table)):
             known = np.searchsorted(self.codes, codes).astype(np.int32)
             counts = _whole(table.column("counts")[i].as_buffer(), len(lengths), np.int32)
@@ -244,9 +252,9 @@ class _Part:
             own.append(codes[np.cumsum(steps, dtype=np.int32)])
             at.append(np.repeat(np.arange(before, before + len(lengths), dtype=np.int32), counts))
             sizes.append(lengths)
-            numbers.append(known[some])
-            before += len(lengths)
-        self.numbers, self.ends = np.concatenate(numbers), np.cumsum(np.concatenate(sizes), dtype=np.int64)
+            self.numbers[filled : filled + len(some)] = known[some]
+            before, filled = before + len(lengths), filled + len(some)
+        self.ends = np.cumsum(np.concatenate(sizes), dtype=np.int64)
         owners, docs = np.concatenate(own), np.concatenate(at)
         order = np.argsort(owners, kind="stable")
         self.docs = docs[order]
@@ -254,8 +262,9 @@ class _Part:
 
     def groups(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each owner and the numbers that its documents hold."""
-        firsts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
-        for owner, docs in zip(self.owners.tolist(), np.split(self.docs, self.first[1:]) if len(self.owners) else [], strict=True):
+        firsts, begin = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends, np.append(self.first, len(self.docs)).tolist()
+        for i, owner in enumerate(self.owners.tolist()):
+            docs = self.docs[begin[i] : begin[i + 1]]
             yield owner, np.concatenate([self.numbers[a:b] for a, b in zip(firsts[docs].tolist(), self.ends[docs].tolist(), strict=True)])
 
 
@@ -269,7 +278,9 @@ def _best(a: np.ndarray, b: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def _rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.Table:
-    return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "n": n.astype(np.int64)})
+    """In pieces, for the executor takes over one at a time."""
+    whole = pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "n": n.astype(np.int64)})
+    return pa.Table.from_batches(whole.to_batches(RETURNED), whole.schema)
 
 
 _FOUND = "a bigint, b bigint, n bigint"
@@ -298,11 +309,12 @@ def _within(k: int, least: int, busy: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _around(k: int, least: int) -> Callable[[pa.Table], pa.Table]:
+def _around(k: int, least: int, most: int) -> Callable[[pa.Table], pa.Table]:
     """The neighbours of the owners among the partners."""
 
     def run(rows: pa.Table) -> pa.Table:
-        part, out, held = _Part(rows), [], 0
+        part, out, some, held = _Part(rows), [_rows(*(np.empty(0, np.int64),) * 3)], [], 0
+        kept = lambda: _rows(*_best(*(np.concatenate(x) for x in zip(*some, strict=True)), k))  # noqa: E731  an owner is met once
         for owner, numbers in part.groups():
             at, n = _repeated(numbers, least)
             own = part.codes[at] != owner
@@ -311,11 +323,12 @@ def _around(k: int, least: int) -> Callable[[pa.Table], pa.Table]:
                 share = n / part.df[at]
                 good = share >= np.partition(share, -k)[-k]
                 at, n = at[good], n[good]
-            out.append((np.full(len(at), owner), part.codes[at], n))
+            some.append((np.full(len(at), owner), part.codes[at], n))
             held += len(at)
-            if held >= HELD:
-                out, held = [_best(*(np.concatenate(x) for x in zip(*out, strict=True)), k)], 0
-        return _rows(*_best(*(np.concatenate(x) for x in zip(*out, strict=True)), k)) if out else _rows(*(np.empty(0, np.int64),) * 3)
+            if held >= most:
+                out.append(kept())
+                some, held = [], 0
+        return pa.concat_tables([*out, kept()] if some else out)
 
     return run
 
@@ -360,10 +373,11 @@ class _Busy:
                     mine = np.flatnonzero(row[term] >= 0)
                     mine = mine[np.argsort(row[term[mine]], kind="stable")]
                     for some in np.split(mine, np.flatnonzero(np.diff(row[term[mine]])) + 1) if len(mine) else []:
-                        docs = of[some]
-                        n = sizes[docs]
-                        held = np.arange(n.sum()) + np.repeat(firsts[docs] - np.cumsum(n) + n, n)
-                        found[row[term[some[0]]]] += np.bincount(term[held], minlength=len(self.codes)).astype(np.int32)
+                        for at in range(0, len(some), SPREAD):
+                            docs = of[some[at : at + SPREAD]]
+                            n = sizes[docs]
+                            held = np.arange(n.sum()) + np.repeat(firsts[docs] - np.cumsum(n) + n, n)
+                            found[row[term[some[0]]]] += np.bincount(term[held], minlength=len(self.codes)).astype(np.int32)
             for part in range(min(parts, len(owners))):
                 if found[part::parts].any():
                     yield table([(part, _squeezed(np.ascontiguousarray(found[part::parts]).reshape(-1)))], _SUMS)
@@ -423,37 +437,40 @@ def top(docs: DataFrame, codes: DataFrame, k: int, least: int, counted: Callable
     best = lambda more, found: settled((more if found is None else more.unionByName(found)).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k).drop("r"))
     with tidied(docs.sparkSession):
         docs, found, before = stored(docs), None, 0
-        # terms above so many documents still have fewer than k neighbours of share 1
-        open_ = codes.filter(df("a") > NARROW)
-        full = codes.select("a", F.lit(0).alias("p")).limit(0)
-        for share in SLICES:
-            end = int(np.ceil(size * share))
+        with small_batches(docs.sparkSession, AT_ONCE):
+            # terms above so many documents still have fewer than k neighbours of share 1
+            open_ = codes.filter(df("a") > NARROW)
+            full = codes.select("a", F.lit(0).alias("p")).limit(0)
+            for share in SLICES:
+                end = int(np.ceil(size * share))
+                high = open_.agg(F.max(df("a"))).first()[0] or 0
+                low = OWNER if share == SLICES[-1] else NARROW  # the others count their own documents' terms
+                if high > low and end > before:
+                    ask = _Ask((0, min(OWNER, high)), (before, end), (low, high), partners_marked=_marked(open_, size))
+                    found = best(_in_rounds(docs, ask, _within(k, least, OWNER)), found)
+                    before = end
+                    full = found.filter(F.col("n") == df("b")).groupBy("a").agg(F.count("*").alias("c"), F.max(place("b")).alias("p")).filter(F.col("c") >= k)
+                    open_ = settled(open_.join(full, "a", "left_anti"))
             high = open_.agg(F.max(df("a"))).first()[0] or 0
-            low = OWNER if share == SLICES[-1] else NARROW  # the others count their own documents' terms
-            if high > low and end > before:
-                ask = _Ask((0, min(OWNER, high)), (before, end), (low, high), partners_marked=_marked(open_, size))
-                found = best(_in_rounds(docs, ask, _within(k, least, OWNER)), found)
-                before = end
-                full = found.filter(F.col("n") == df("b")).groupBy("a").agg(F.count("*").alias("c"), F.max(place("b")).alias("p")).filter(F.col("c") >= k)
-                open_ = settled(open_.join(full, "a", "left_anti"))
-        high = open_.agg(F.max(df("a"))).first()[0] or 0
-        # partners of many documents are counted only while they can be among the k best
-        asked = settled(codes.filter(df("a") <= NARROW).unionByName(open_.filter(df("a") <= OWNER)))
-        out = found.join(asked, "a", "left_anti") if found is not None else None
-        around, low = None, 0
-        for end in [*(t for t in TIERS if t < most), most]:
-            top_owner = asked.agg(F.max(df("a"))).first()[0] or 0
-            if not top_owner:
-                break
-            more = _in_rounds(docs, _Ask((0, top_owner), _ALL, (low, end), owners_marked=_marked(asked, size)), _around(k, least))
-            around = settled(more) if around is None else best(more, around)  # a part has all of its owners' documents
-            # a term of more than `end` documents has a share below df_a / end
-            done = around.groupBy("a").agg(F.count("*").alias("c"), F.min(F.col("n") / df("b")).alias("s")).filter((F.col("c") >= k) & (F.col("s") * end >= df("a")))
-            asked, low = settled(asked.join(done, "a", "left_anti")), end
-        if around is not None:
-            out = around if out is None else out.unionByName(around)
+            # partners of many documents are counted only while they can be among the k best
+            asked = settled(codes.filter(df("a") <= NARROW).unionByName(open_.filter(df("a") <= OWNER)))
+            out = found.join(asked, "a", "left_anti") if found is not None else None
+            around, low = None, 0
+            for end in [*(t for t in TIERS if t < most), most]:
+                top_owner = asked.agg(F.max(df("a"))).first()[0] or 0
+                if not top_owner:
+                    break
+                more = _in_rounds(docs, _Ask((0, top_owner), _ALL, (low, end), owners_marked=_marked(asked, size)), _around(k, least, min(HELD, RETURNED)))
+                around = settled(more) if around is None else best(more, around)  # a part has all of its owners' documents
+                # a term of more than `end` documents has a share below df_a / end
+                done = around.groupBy("a").agg(F.count("*").alias("c"), F.min(F.col("n") / df("b")).alias("s")).filter((F.col("c") >= k) & (F.col("s") * end >= df("a")))
+                asked, low = settled(asked.join(done, "a", "left_anti")), end
+            if around is not None:
+                out = around if out is None else out.unionByName(around)
         if most > OWNER:
             many = lambda c: c.filter(df("a") > OWNER)
-            pairs = _busy(docs, _Busy.of(many(codes), many(open_), many(full)), k, least)
+            busy = _Busy.of(many(codes), many(open_), many(full))
+            with small_batches(docs.sparkSession, AT_ONCE):
+                pairs = _busy(docs, busy, k, least)
             out = pairs if out is None else out if pairs is None else out.unionByName(pairs)
         return settled(out) if out is not None else docs.sparkSession.createDataFrame([], _FOUND)

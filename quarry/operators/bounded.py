@@ -126,7 +126,7 @@ def _marked(terms: DataFrame, size: int) -> np.ndarray:
     """A bit for each place: is it one of a's?"""
     place = F.col("a").bitwiseAND(_LOW)
     bits = np.zeros((size // _BITS + 1) * _BITS // 8, np.uint8)
-    for r in terms.groupBy(F.shiftright(place, 15).alias("g")).agg(F.expr(f"bitmap_construct_agg(a & {_BITS - 1})").alias("m")).toLocalIterator():
+    for r in terms.groupBy(F.shiftright(place, 15).alias("g")).agg(F.expr(f"bitmap_construct_agg(a & {_BITS - 1})").alias("m")).collect():
         bits[r["g"] * _BITS // 8 :][: _BITS // 8] = np.frombuffer(r["m"], np.uint8)
     return bits
 

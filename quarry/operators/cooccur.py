@@ -13,8 +13,10 @@ from pyspark.taskcontext import TaskContext
 
 from . import bounded
 from .settle import settled as _settled
-from .settle import stored
+from .settle import small_batches, stored
 
+#: Documents that Python gets at a time, and those of a row that it packs.
+DOCUMENTS, PACKED_DOCUMENTS = 512, 10_000
 #: Terms of a block: a task forms the pairs of two blocks of a document at a time.
 BLOCK = 512
 
@@ -84,20 +86,39 @@ def pairs(terms: DataFrame, least: int = 2) -> DataFrame:
 def _worded(docs: DataFrame) -> DataFrame:
     """Many documents a row: an id, their distinct terms and counts of documents, and the numbers of those that each holds."""
 
+    most = PACKED_DOCUMENTS
+
+    def row(i: int, lengths: list[np.ndarray], numbers: list[pa.DictionaryArray]) -> pa.RecordBatch:
+        same = pa.chunked_array(numbers).unify_dictionaries()
+        terms, found = same.chunk(0).dictionary, []
+        for sizes, chunk in zip(lengths, same.chunks, strict=True):
+            keys = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * max(1, len(terms)) + chunk.indices.to_numpy()
+            found.append((np.sort(keys) % max(1, len(terms))).astype(np.int32))
+        found, sizes = np.concatenate(found), np.concatenate(lengths)
+        _, sized, _, _, n_numbers, packed = bounded.pack(len(sizes), sizes, np.empty(0, np.int64), found)
+        ends = pa.array([0, len(terms)], pa.int32())
+        counts = pa.array(np.bincount(found, minlength=len(terms)).astype(np.int32))
+        columns = [[TaskContext.get().partitionId() << 32 | i], pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, counts), [len(sizes)], [sized], [n_numbers], [packed]]
+        kinds = [pa.int64(), None, None, pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) if k else c for c, k in zip(columns, kinds, strict=True)], ["id", "terms", "counts", "n", "lengths", "n_numbers", "numbers"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, batch in enumerate(batches):
+        i, n_held, lengths, numbers = 0, 0, [], []
+        for batch in batches:
             lists = batch.column("terms")
             n, sizes = len(lists), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             words = lists.flatten().dictionary_encode()
             known, terms = pc.is_valid(words.indices).to_numpy(zero_copy_only=False), words.dictionary
             keys = np.repeat(np.arange(n, dtype=np.int64), sizes)[known] * max(1, len(terms)) + pc.drop_null(words.indices).to_numpy()
-            doc, numbers = np.divmod(np.unique(keys), max(1, len(terms)))  # a term that a document repeats counts once
-            _, lengths, _, _, n_numbers, packed = bounded.pack(n, np.bincount(doc, minlength=n), np.empty(0, np.int64), numbers)
-            ends = pa.array([0, len(terms)], pa.int32())
-            counts = pa.array(np.bincount(numbers, minlength=len(terms)).astype(np.int32))
-            columns = [[TaskContext.get().partitionId() << 32 | i], pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, counts), [n], [lengths], [n_numbers], [packed]]
-            kinds = [pa.int64(), None, None, pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) if k else c for c, k in zip(columns, kinds, strict=True)], ["id", "terms", "counts", "n", "lengths", "n_numbers", "numbers"])
+            doc, number = np.divmod(np.unique(keys), max(1, len(terms)))  # a term that a document repeats counts once
+            lengths.append(np.bincount(doc, minlength=n))
+            numbers.append(pa.DictionaryArray.from_arrays(pa.array(number.astype(np.int32)), terms))
+            n_held += n
+            if n_held >= most:
+                yield row(i, lengths, numbers)
+                i, n_held, lengths, numbers = i + 1, 0, [], []
+        if numbers:
+            yield row(i, lengths, numbers)
 
     return docs.select("terms").mapInArrow(run, "id bigint, terms array<string>, counts array<int>, n int, lengths binary, n_numbers int, numbers binary")
 
@@ -146,7 +167,8 @@ def ppmi(terms: DataFrame, documents: int, k: int = 10, least: int = 2) -> DataF
 def document_ppmi(docs: DataFrame, documents: int, k: int = 10, least: int = 2) -> DataFrame:
     """The same of rows with `terms`, a document each. Terms are made once and shuffled once for each batch of documents."""
     with bounded.tidied(docs.sparkSession):
-        worded = stored(_worded(docs))
+        with small_batches(docs.sparkSession, DOCUMENTS):
+            worded = stored(_worded(docs))
         counts = worded.select(F.explode(F.arrays_zip("terms", "counts")).alias("c")).groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("df"))
         vocabulary = _vocabulary(counts, least)
         return _weighed(_coded(worded, vocabulary), vocabulary, documents, k, least)

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from quarry.operators import bounded, cooccur
+from quarry.operators import bounded, cooccur, settle
 
 
 def by_counting(docs, k, least=2):
@@ -93,10 +93,29 @@ def test_pairs_of_frequent_terms_are_added_up_within_tasks(spark, monkeypatch, n
         monkeypatch.setattr(bounded, name, value)
 
     def shuffled(*_):
-        raise AssertionError("pairs are shuffled")
+        raise AssertionError("pairs are shuffled, or read too late")
 
     monkeypatch.setattr(cooccur, "_counted", shuffled)
     docs = corpus(seed, 60)
     rows = spark.createDataFrame(list(enumerate(docs)), "doc long, terms array<string>").repartition(3)
+    monkeypatch.setattr(type(rows), "toLocalIterator", shuffled)  # it reads shuffle files after they are gone
     got = {(r["term"], r["neighbour"], round(r["weight"], 9)) for r in cooccur.ppmi(cooccur.document_terms(rows), len(docs)).collect()}
     assert got == by_counting(docs, 10)
+
+
+def test_documents_are_packed_from_small_batches(spark, monkeypatch):
+    """Rows hold as many documents as they should, of however few that Python gets at a time."""
+    monkeypatch.setattr(cooccur, "PACKED_DOCUMENTS", 40)
+    docs = corpus(10)
+    rows = spark.createDataFrame([(d,) for d in docs], "terms array<string>").coalesce(1)
+    with settle.small_batches(spark, 7):
+        packed = cooccur._worded(rows).select("n", "terms", "counts").collect()
+    assert [r["n"] for r in packed[:-1]] == [42] * (len(packed) - 1) and sum(r["n"] for r in packed) == len(docs)
+    counts = {}
+    for r in packed:
+        for t, c in zip(r["terms"], r["counts"], strict=True):
+            counts[t] = counts.get(t, 0) + c
+    assert counts == {t: sum(t in d for d in docs) for t in {t for d in docs for t in d}}
+    got = {(r["term"], r["neighbour"], round(r["weight"], 9)) for r in cooccur.document_ppmi(rows, len(docs)).collect()}
+    assert got == by_counting(docs, 10)
+    settle.release()
